@@ -1,31 +1,72 @@
-"""A training-data pipeline: stages that each take (spark, docs, sf_dir) and return a DataFrame."""
+"""A training-data pipeline over `documents`: quality classifier, MinHash near-dedup, benchmark
+decontamination, secret scan, packing. Each stage takes (spark, docs, sf_dir) and returns a
+DataFrame; between stages the documents are written as Parquet and read again. All stages but the
+last return the columns of the documents; the last returns pieces of packed sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import written
-from lexforge.llm.near_dedup import near_duplicates
+from lexforge.llm.common import cut, table, written
+from lexforge.llm.decontaminate import contaminated
+from lexforge.llm.near_dedup import BROADCAST_IDS, near_duplicates
+from lexforge.llm.packing import pack_documents
+from lexforge.llm.quality_classifier import keep_quality
+from lexforge.llm.secret_scan import redact_secrets
 
-#: The near-duplicate stage works on five words and 0.8.
+#: The near-duplicate stage links on five words and 0.8.
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without those whose doc_id is in ids(doc_id); the ids are broadcast only if few."""
+    gone = cut(ids.select(F.col("doc_id").alias("_gone")).distinct())
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one of the smallest doc_id, stays."""
-    groups = near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT).filter(F.col("kept")).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(groups, docs["doc_id"] == groups["_kept_id"], "left_semi")
+    """Of each group of near copies the document of the smallest doc_id stays."""
+    groups = near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
+    return without(docs, groups.filter(~F.col("kept")))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked; every document stays."""
+    return redact_secrets(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 2048 tokens."""
+    return pack_documents(docs)
 
 
-STAGES = [("MinHash near-dedup", dedup_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", dedup_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secret_stage),
+    ("packing", packing_stage),
+]
 
-#: Trained and iterative stages can't be stated in SQL; tests hold them against brute force.
+#: A trained model, iterated components and a tokenizer can't be stated in SQL; tests hold the
+#: stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
