@@ -2,11 +2,10 @@
 
 Fit (training rows only, at most about `SAMPLE` labelled rows chosen by hash, in one map and two
 small aggregations): words whose share among toxic documents is far above that among others make
-the lexicon (`LEXICON` words at most). A trie of the lexicon is walked together with the automaton
-of all strings within one edit of a word (two from 9 letters on): a state is the row of edit
-distances, and a branch is left as soon as no distance in the row can come back under the limit. So
-misspelled terms are caught, after undoing look-alike digits and stretched letters. Each distinct
-word is looked up once a task, in a bounded memo.
+the lexicon (`LEXICON` words at most). The automata of all strings within one edit of a term (two
+from 9 letters on) are intersected with the trie of the lexicon and made deterministic step by
+step. So misspelled terms are caught, after undoing look-alike digits and stretched letters. Each
+distinct word is looked up once a task, in a bounded memo.
 
 A hit counts by its context: the window of `CONTEXT` words around it holds quotation marks around
 the hit or reporting words (quotation) or further hits and second-person address (abuse). The
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, cut, held_out, narrow, small_batches
 
-SAMPLE, LEXICON, CONTEXT, THRESHOLD = 20_000, 400, 8, 0.3
+SAMPLE, LEXICON, CONTEXT, THRESHOLD = 20_000, 1500, 8, 0.3
 LEAST_DOCS, LEAST_ODDS = 5, 3.0
 #: Words that report speech, and words that address someone.
 REPORT = set("said says quote quoted quoting called wrote writes reported allegedly so-called dit dijo sagte".split())
@@ -46,35 +45,91 @@ def plain(word: str) -> str:
     return _EDGE.sub("", word).lower()
 
 
-class Trie:
-    def __init__(self, words) -> None:
-        self.root: dict = {}
-        for w in words:
-            node = self.root
-            for ch in w:
-                node = node.setdefault(ch, {})
-            node[""] = w
-
-    def within(self, word: str, edits: int) -> tuple[str, int] | None:
-        """The nearest lexicon term within the edits (ties: the first by name), and the distance."""
-        best: tuple[int, str] | None = None
-        stack = [(self.root, tuple(range(len(word) + 1)), None, None)]
-        while stack:
-            node, row, before, last = stack.pop()
-            for ch, child in node.items():
-                if ch == "":
-                    if row[-1] <= edits and (best is None or (row[-1], child) < best):
-                        best = (row[-1], child)
-                    continue
-                new = [row[0] + 1]
-                for j, x in enumerate(word, 1):
-                    cost = min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != ch))
-                    if before is not None and j > 1 and x == last and word[j - 2] == ch:  # transposition
-                        cost = min(cost, before[j - 2] + 1)
-                    new.append(cost)
-                if min(new) <= edits:
-                    stack.append((child, tuple(new), row, ch))
-        return (best[1], best[0]) if best else None
+def limit(term: str) -> int:
+    """Edits allowed from a term: short ones have many lawful neighbours and must match exactly."""
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+
+
+class Automaton:
+    """The Levenshtein automata of all terms, intersected with their trie and made deterministic as
+    far as words need it. A state is a set of (trie node, edits used, letter owed by a swap); the
+    first letter must be right. Steps are remembered, so a word costs one look-up a letter."""
+
+    STATES = 50_000
+
+    def __init__(self, terms) -> None:
+        # nodes: children, allowed edits of the longest term below, allowed edits of the term here (-1: none)
+        self.kids: list[dict[str, int]] = [{}]
+        self.room, self.own = [0], [-1]
+        for term in sorted(terms):
+            node, k = 0, limit(term)
+            for ch in term:
+                self.room[node] = max(self.room[node], k)
+                if ch not in self.kids[node]:
+                    self.kids[node][ch] = len(self.kids)
+                    self.kids.append({}), self.room.append(0), self.own.append(-1)
+                node = self.kids[node][ch]
+            self.room[node] = max(self.room[node], k)
+            self.own[node] = k
+        self.ids: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.steps: dict[tuple[int, str], int] = {}
+        self.ends: list[bool] = []
+
+    def _state(self, found) -> int:
+        """The number of a set, closed under letters left out; -1 for the empty set."""
+        todo, seen = list(found), set()
+        while todo:
+            s = todo.pop()
+            if s in seen:
+                continue
+            seen.add(s)
+            node, e, owed = s
+            if not owed and e < self.room[node]:
+                todo += [(kid, e + 1, "") for kid in self.kids[node].values() if e + 1 <= self.room[kid]]
+        if not seen:
+            return -1
+        key = frozenset(seen)
+        if key not in self.ids:
+            self.ids[key] = len(self.sets)
+            self.sets.append(key)
+            self.ends.append(any(not owed and e <= self.own[node] for node, e, owed in key))
+        return self.ids[key]
+
+    def _step(self, state: int, ch: str) -> int:
+        out = set()
+        for node, e, owed in self.sets[state]:
+            if owed:
+                if owed == ch:
+                    out.add((node, e, ""))
+                continue
+            if ch in self.kids[node]:
+                out.add((self.kids[node][ch], e, ""))
+            if e < self.room[node]:
+                out.add((node, e + 1, ""))  # a letter too many
+                for other, kid in self.kids[node].items():
+                    if e + 1 <= self.room[kid]:
+                        out.add((kid, e + 1, ""))  # another letter
+                        if other != ch and ch in self.kids[kid]:
+                            out.add((self.kids[kid][ch], e + 1, other))  # two letters swapped
+        return self._state(out)
+
+    def accepts(self, word: str) -> bool:
+        if not word or word[0] not in self.kids[0]:
+            return False
+        if len(self.sets) > self.STATES:
+            self.ids, self.sets, self.steps, self.ends = {}, [], {}, []
+        state = self.steps.get((-1, word[0]))
+        if state is None:
+            state = self.steps[-1, word[0]] = self._state([(self.kids[0][word[0]], 0, "")])
+        for ch in word[1:]:
+            nxt = self.steps.get((state, ch))
+            if nxt is None:
+                nxt = self.steps[state, ch] = self._step(state, ch)
+            if nxt < 0:
+                return False
+            state = nxt
+        return self.ends[state]
 
 
 class Lookup(dict):
@@ -83,7 +138,7 @@ class Lookup(dict):
     LIMIT = 300_000
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.lexicon, self.trie = lexicon, Trie(lexicon)
+        self.lexicon, self.automaton = lexicon, Automaton(lexicon)
 
     def __missing__(self, raw: str) -> int:
         if len(self) >= self.LIMIT:
@@ -94,9 +149,7 @@ class Lookup(dict):
         elif 4 <= len(w) <= 40:
             if not w.isalpha() or _STRETCH.search(w):
                 w = _STRETCH.sub(r"\1", w.translate(LOOKALIKE))
-            # Short terms have many lawful neighbours: they must match after undoing disguises.
-            hit = self.trie.within(w, 0 if len(w) < 5 else 1 if len(w) < 9 else 2)
-            out = 1 if hit and hit[0][0] == w[0] else 0
+            out = int(self.automaton.accepts(w))
         if len(raw) < 100:
             self[raw] = out
         return out
@@ -154,7 +207,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     c = rows.select("toxic", "text").mapInArrow(_terms, "word string, toxic int, n bigint").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("g"))
     odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("g") + 0.5) / (good + 1))
     # A word must mark a good part of toxic documents, else chance co-occurrence on few pages passes.
-    least = max(LEAST_DOCS, 0.02 * bad)
+    least = max(LEAST_DOCS, 0.004 * bad)
     top = c.filter(F.col("b") >= least).select("word", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "word").limit(LEXICON)
     return {r.word: r.odds for r in top.collect()}
 
