@@ -56,7 +56,7 @@ def parse(xml: bytes, source: str) -> dict:
     body = flat_text(next(iter([*root.iter("CONTENU"), *root.iter("BLOC_TEXTUEL")]), None))
     if not uid or (kind in ("article", "decision") and not body):
         return out | {"root_kind": kind, "source_uid": uid, "error": "skipped: no id or empty body"}
-    links = [{"tag": e.tag, "target": next((e.attrib[a] for a in ("id", "cid", "cidtexte", "href") if e.attrib.get(a)), None), "text": flat_text(e), "position": i} for i, e in enumerate(x for x in root.iter() if x.tag.startswith("LIEN"))]
+    links = [{"tag": e.tag, "target": next((e.attrib[a] for a in ("id", "cid", "cidtexte", "href") if e.attrib.get(a)), None), "text": flat_text(e), "position": i} for i, e in enumerate(x for x in root.iter() if x.tag == "LIEN" or x.tag.startswith("LIEN_"))]
     return out | {
         "root_kind": kind,
         "document_id": f"{source}:{uid}@{start}" if kind == "article" else f"{source}:{uid}",
