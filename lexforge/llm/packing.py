@@ -23,6 +23,8 @@ table: no rows.
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
 
 import numpy as np
@@ -45,26 +47,64 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-class Encoder(dict):
-    """Word -> ids as bytes of unsigned 32-bit integers, remembered; cleared when full."""
+#: A word of plain Latin letters, with ASCII punctuation behind it or not: its two parts are
+#: pre-tokens of their own, so their ids can be learned apart and in lower case.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([!-/:-@\[-^`{-~]*)")
 
-    LIMIT = 300_000
+#: Python also splits at four control characters; the tokenizer doesn't.
+_CONTROLS = re.compile("[\x1c-\x1f]")
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+class Encoder:
+    """Ids of white-space separated words as bytes of unsigned 32-bit integers, remembered over the
+    tasks of a worker. Unknown words are encoded a batch at a time. Memory is bounded: a full memo
+    is cleared."""
+
+    LIMIT = 500_000
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(word) < 100:
-            self[word] = ids
-        return ids
-
-    def document(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.split())) + END.to_bytes(4, "little")
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _encode(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.parts[w] = np.array(e.ids, "<u4").tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        new = words - self.words.keys()
+        if len(self.words) + len(new) > self.LIMIT:
+            self.words.clear()
+            new = words
+        cut = {w: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for w in new}
+        if len(self.parts) > self.LIMIT:
+            self.parts = {"": b""}
+        self._encode(list({p for two in cut.values() for p in two} - self.parts.keys()))
+        parts = self.parts
+        for w, (a, b) in cut.items():
+            self.words[w] = parts[a] + parts[b]
+
+    def documents(self, texts: list[str]) -> list[bytes]:
+        split, end = [_SPACES.split(t) if _CONTROLS.search(t) else t.split() for t in texts], END.to_bytes(4, "little")
+        self.learn(set().union(*split))
+        ids = self.words.__getitem__
+        return [b"".join(map(ids, w)) + end for w in split]
+
+
+_encoders: dict[int, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
+    """The worker's encoder; one task runs in a worker at a time."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    key = zlib.crc32(definition.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(definition)
+    return _encoders[key]
 
 
 class Room:
@@ -137,7 +177,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int, i
 
 def _pieces(definition):
     def run(batches):
-        encoder, seq = Encoder(definition.value), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
+        encoder, seq = encoder_of(definition.value), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         ids: list[int | None] = []
         docs: list[bytes] = []
         held = 0
@@ -153,10 +193,10 @@ def _pieces(definition):
             ids, docs, held = [], [], 0
             return out
 
-        for batch in in_chunks(batches, 32 << 20):
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                docs.append(encoder.document(text.as_py()))
-                ids.append(doc_id.as_py())
+        for batch in in_chunks(batches, 8 << 20):
+            for doc_id, tokens in zip(batch.column(0).to_pylist(), encoder.documents(batch.column(1).to_pylist()), strict=True):
+                docs.append(tokens)
+                ids.append(doc_id)
                 held += len(docs[-1])
                 if held >= 4 * GROUP:
                     yield flush()
