@@ -171,11 +171,11 @@ def contextualize(spark, sf_dir):
     return docs(spark, sf_dir).select("document_id", F.md5(D.contextualize(F.array(F.lit("Livre I")), F.col("title"), F.col("body"))).alias("body"))
 
 
-@query("SELECT document_id, s AS start, md5(substr(body, s + 1, 50)) AS text FROM (SELECT document_id, body, unnest([0, 100, 5000]) AS s FROM docs) WHERE s + 50 <= length(body) AND trim(substr(body, s + 1, 50)) <> ''", DOCS_SQL)
+@query("SELECT document_id, CAST(s AS BIGINT) AS start, md5(substr(body, s + 1, 50)) AS text FROM (SELECT document_id, body, unnest([0, 100, 5000]) AS s FROM docs) WHERE s + 50 <= length(body) AND trim(substr(body, s + 1, 50)) <> ''", DOCS_SQL)
 def zone_normalize(spark, sf_dir):
     z = F.array(*(F.struct(F.lit(s).alias("start"), F.lit(s + 50).alias("end")) for s in (0, 100, 5000)))
     d = docs(spark, sf_dir).select("document_id", F.explode(D.zone_slices(F.col("body"), z)).alias("z"))
-    return d.select("document_id", "z.start", F.md5("z.text").alias("text"))
+    return d.select("document_id", F.col("z.start").cast("bigint").alias("start"), F.md5("z.text").alias("text"))
 
 
 @query("""SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS fragment_index, md5(x) AS body FROM
