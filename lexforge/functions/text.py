@@ -86,7 +86,7 @@ def article_number(c: Column) -> Column:
 
 
 def code_name(c: Column) -> Column:
-    return F.rtrim(F.lit(".,"), squash(F.lower(c)))
+    return F.rtrim(squash(F.lower(c)), F.lit(".,"))
 
 
 def valid_date(c: Column) -> Column:
