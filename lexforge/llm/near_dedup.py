@@ -210,17 +210,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: in
 
     bucket = reps.select("doc_id", F.explode("bands").alias("bucket"))
     centre = bucket.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
-    first = cut(bucket.join(centre, "bucket").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
+    shared = written(bucket.join(centre, "bucket"))  # members of buckets that hold more than one
+    first = cut(shared.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
     edges = confirm(docs, first, width, percent)
     groups = cut(components(edges))
 
     # Second round: members of a bucket that are still in different components.
-    own = reps.join(groups, reps["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", "bands", F.coalesce("component", "doc_id").alias("c"))
-    spread = own.select("c", "doc_id", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket")
-    open_ = cut(own.select("doc_id", "c", "n_shingles", "bands", F.posexplode("bands").alias("band", "bucket")).join(spread, "bucket", "left_semi"))
+    own = shared.join(groups, shared["doc_id"] == groups["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    spread = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket")
+    open_ = cut(own.join(spread, "bucket", "left_semi"))
     if open_.limit(1).count():
-        text = texts_of(docs, cut(open_.select(F.col("doc_id").alias("id")).distinct()))
-        signs = written(text.mapInArrow(_signatures(width), ", ".join(["doc_id bigint", *(f"s{k} bigint" for k in range(BITS // 64))])))
+        ids = cut(open_.select(F.col("doc_id").alias("id")).distinct())
+        signs = texts_of(docs, ids).mapInArrow(_signatures(width), ", ".join(["doc_id bigint", *(f"s{k} bigint" for k in range(BITS // 64))]))
+        signs = written(signs.join(reps, "doc_id"))
         second = cross_pairs(open_.join(signs, "doc_id"), percent, bands)
         second = cut(second.join(first, ["a", "b"], "left_anti"))
         groups = cut(components(edges.unionByName(confirm(docs, second, width, percent))))
@@ -241,9 +243,9 @@ def cross_pairs(members: DataFrame, percent: int, bands: int) -> DataFrame:
     most = BITS - int(BITS * p - MARGIN * (BITS * p * (1 - p)) ** 0.5)
     x, y = (members.select([F.col(c).alias(f"{c}_{side}") for c in members.columns if c != "bucket"] + ["bucket"]) for side in "xy")
     differ = sum((F.bit_count(F.col(f"s{k}_x").bitwiseXOR(F.col(f"s{k}_y"))) for k in range(words)), F.lit(0))
-    earlier = F.lit(False)  # the first band that the two share makes the pair, so that it is made once
-    for k in range(bands - 1):
-        earlier = earlier | ((F.col("band_x") > k) & (F.col("bands_x")[k] == F.col("bands_y")[k]))
+    shared = F.lit(None).cast("bigint")  # the first band that the two share makes the pair, so that it is made once
+    for k in reversed(range(bands)):
+        shared = F.when(F.col("bands_x")[k] == F.col("bands_y")[k], F.col("bands_x")[k]).otherwise(shared)
     pair = x.join(y, (x["bucket"] == y["bucket"]) & (x["doc_id_x"] < y["doc_id_y"]) & (x["c_x"] != y["c_y"])
-        & (100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")) & (differ <= most) & ~earlier)
+        & (100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")) & (differ <= most) & (shared == x["bucket"]))
     return pair.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
