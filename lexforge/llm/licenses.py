@@ -2,9 +2,9 @@
 
 The index holds the words of licence templates (function words left out) with their postings
 (template, position). Document frequencies of these words are counted over the whole corpus; a
-file's rarest licence words by IDF (`RAREST` of them) are looked up, and each place where such a
-word stands votes for every template that has it, at the relative position place - posting. The
-template's score is the longest run of votes on one relative position (give or take `SLACK`) over
+file's rarest words of each template by IDF (`RAREST` a template, so that no notice takes the votes
+of another) are looked up, and each place where such a word stands votes for the template, at the
+relative position place - posting. The template's score is the longest run of votes on one relative position (give or take `SLACK`) over
 the words it could have had; from `LEAST` on, and only if its mandatory key phrases stand in the
 file as well, the template's label is added to the base labels.
 
@@ -98,20 +98,20 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     seen = docs.select("doc_id", F.regexp_extract_all(low, F.lit(WORDS), F.lit(0)).alias("words"), stem.alias("likely"))
     seen = seen.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.when(F.col("likely"), F.col("words")).otherwise(none).alias("words"))
     seen = seen.select("*", *(at_phrase(F.col("words"), p).alias(f"p{k}") for k, p in enumerate(BASE)))
-    # the file's rarest licence words, and where they stand
-    rare = F.slice(F.array_intersect(F.array(*map(F.lit, order)), "words"), 1, RAREST)
-
-    def places(r: Column) -> Column:
-        return F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(r, w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-
-    seen = seen.select("*", rare.alias("rare"), let(rare, places).alias("places"))
+    # where licence words stand, and each template's rarest words in the file
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(order), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    seen = seen.select("*", places.alias("places"))
+    seen = seen.select("*", F.array_distinct(F.transform("places", lambda p: p["w"])).alias("held"))
+    own = [[w for w in order if any(t == k for t, _ in post[w])] for k in range(len(TEMPLATES))]
+    seen = seen.select("*", *(F.slice(F.array_intersect(F.array(*map(F.lit, ws)), "held"), 1, RAREST).alias(f"r{k}") for k, ws in enumerate(own)))
     labels, scores = [], []
     for k, (label, text, keys) in enumerate(TEMPLATES):
         mine = {w: [i for t, i in ps if t == k] for w, ps in post.items() if any(t == k for t, _ in ps)}
         table = F.create_map(*(x for w, at in mine.items() for x in (F.lit(w), F.array(*map(F.lit, at)))))
 
         def votes(m: Column) -> Column:
-            shifts = F.flatten(F.transform("places", lambda p: F.coalesce(F.transform(F.try_element_at(m, p["w"]), lambda i: p["i"] - i), ints)))
+            at = lambda p: F.when(F.array_contains(f"r{k}", p["w"]), F.try_element_at(m, p["w"]))
+            shifts = F.flatten(F.transform("places", lambda p: F.coalesce(F.transform(at(p), lambda i: p["i"] - i), ints)))
 
             def longest(s: Column) -> Column:
                 """The longest run of sorted shifts in which neighbours are within the slack."""
@@ -125,8 +125,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
             return longest(F.sort_array(shifts))
 
-        # The words that a whole notice would vote with: those of the template among the rare ones.
-        could = F.aggregate("rare", F.lit(0), lambda a, w: a + F.coalesce(F.size(F.try_element_at(table, w)), F.lit(0)))
+        # The words that a whole notice would vote with.
+        could = F.aggregate(f"r{k}", F.lit(0), lambda a, w: a + F.coalesce(F.size(F.try_element_at(table, w)), F.lit(0)))
         share = F.when(F.size("places") == 0, 0.0).otherwise(F.coalesce(F.try_divide(let(table, votes).cast("double"), F.greatest(could, F.lit(min(2, len(mine))))), F.lit(0.0)))
         ok = F.lit(True)
         for key in keys:

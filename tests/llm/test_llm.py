@@ -285,6 +285,13 @@ def test_licenses(spark):
     assert "cc-by-nc" in got[10_005].labels
 
 
+def test_license_notices_do_not_silence_each_other(spark):
+    pick = [c for n in (2, 3, len(licenses.TEMPLATES)) for c in itertools.combinations(licenses.TEMPLATES, n)]
+    d = spark.createDataFrame([(i, " some words between ".join(t for _, t, _ in c)) for i, c in enumerate(pick)], DOCS)
+    for r in licenses.scan_licenses(d).collect():
+        assert {x for x, _, _ in pick[r.doc_id]} <= set(r.labels.split(",")), pick[r.doc_id]
+
+
 def test_license_template_without_base_phrase(spark):
     text = "x " * 50 + "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     got = {r.doc_id: r.labels for r in licenses.scan_licenses(spark.createDataFrame([(1, text), (2, "source conditions and binary use are met with forms")], DOCS)).collect()}
