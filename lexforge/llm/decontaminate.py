@@ -9,13 +9,20 @@ least `COVERAGE` of the item's distinct windows and the slots are consistent: al
 that most shared windows have, one benchmark value stands for one value of the document, so that a
 question with other numbers or names is caught, and mere likeness of form isn't.
 
-Plan at scale. The benchmark's windows are broadcast behind a check of their size (`BROADCAST_ROWS`;
-about 0.1 KB each); documents are then scanned once, no text moves. Beyond that size the same scan
+Placeholders depend on case and on where a sentence starts, so a copy may differ from its item in
+them. Hence a second form of each text, its words lower-cased as they stand: a document is also
+reported if it holds at least `COVERAGE` of the item's windows in this exact form. An item shorter
+than a window is one window, its whole text, wherever it stands: a common word that is an item is
+reported in each document with that word.
+
+Plan at scale. The benchmark's windows of both forms are broadcast behind a check of their size
+(`BROADCAST_ROWS`; about 0.1 KB each); documents are then scanned once, no text moves. Beyond that size the same scan
 emits each window of a document, hashed, and a shuffled join, sort-merge under AQE, finds the hits.
 
 Rows: one per (doc_id, item_id) reported; documents without a match, null and empty texts among
-them, give no row. Items of fewer words than a window, or without a window of three ordinary words,
-can't be told from prose and are ignored, as are null items. Repeated rows are reported once. Ties
+them, give no row. Null items and items without a word are ignored; those without a window of three
+ordinary words have the exact form only. A pair that both forms reach has the first one's figures;
+the exact form has consistency 1. Repeated rows are reported once. Ties
 for the commonest alignment: the one met first.
 """
 
@@ -47,44 +54,51 @@ def _hash(word: str) -> int:
 
 
 class Canon(dict):
-    """word as written -> (code at the start of a sentence, code within one, ends a sentence)."""
+    """word as written -> (code at the start of a sentence, code within one, code of the exact form,
+    ends a sentence)."""
 
     LIMIT = 300_000
 
-    def __missing__(self, word: str) -> tuple[int, int, bool]:
+    def __missing__(self, word: str) -> tuple[int, int, int, bool]:
         if len(self) >= self.LIMIT:
             self.clear()
         core, ends = word.strip(_EDGE), word.rstrip("\"'”’)»")[-1:] in (".", "!", "?", ":")
         low = core.lower()
         if not core:
-            out = (SPACE, SPACE, ends)
+            out = (SPACE, SPACE, SPACE, ends)
         elif _NUMBER.fullmatch(core):
-            out = (NUMBER, NUMBER, ends)
+            out = (NUMBER, NUMBER, _hash(low), ends)
         elif low in UNITS and len(core) > 1:
-            out = (UNIT, UNIT, ends)
+            out = (UNIT, UNIT, _hash(low), ends)
         else:
             code = _hash(low)
             named = core[0].isupper() and core[1:].islower() and core.isalpha()
-            out = (code, NAME if named else code, ends)
+            out = (code, NAME if named else code, code, ends)
         if len(word) < 200:
             self[word] = out
         return out
 
 
-def canonical(canon: Canon, text: str) -> tuple[np.ndarray, list[str]]:
-    """Codes and the words as written, without words that are punctuation only."""
-    codes, kept, start = [], [], True
+def canonical(canon: Canon, text: str) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Codes, the words as written, without words that are punctuation only, and codes of the exact form."""
+    exact, kept, at, slots, start = [], [], [], [], True
     for line in text.split("\n"):
         start = True
         for w in line.split():
-            first, inner, ends = canon[w]
-            if first:
-                codes.append(first if start else inner)
+            first, inner, plain, ends = canon[w]
+            if plain:
+                code = first if start else inner
+                if code != plain:
+                    at.append(len(exact)), slots.append(code)
+                exact.append(plain)
                 kept.append(w)
                 start = ends
             else:
                 start = start or ends
-    return np.array(codes, np.uint64), kept
+    same = np.array(exact, np.uint64)
+    codes = same.copy()
+    codes[at] = slots
+    return codes, kept, same
 
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -105,48 +119,70 @@ def windows(codes: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndar
     return h[at], at
 
 
+#: Tells windows of the exact form from others.
+EXACT = np.uint64(0x5851F42D4C957F2D)
+
+
+def exact_windows(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    h, at = windows(codes, width)
+    return h ^ EXACT, at
+
+
+def item_windows(codes: np.ndarray, exact: np.ndarray):
+    """(form, hashes, positions) of an item's forms, 1 being the exact one; only forms that have windows."""
+    forms = (windows(codes), exact_windows(exact, min(WINDOW, max(len(exact), 1))))
+    return [(form, h, at) for form, (h, at) in enumerate(forms) if len(h)]
+
+
+def text_windows(codes: np.ndarray, exact: np.ndarray, widths) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of a document's windows of both forms; widths: of the items' exact windows."""
+    h, at = zip(windows(codes), *(exact_windows(exact, w) for w in widths), strict=True)
+    return np.concatenate(h), np.concatenate(at)
+
+
 class Index:
     """The benchmark's windows: sorted hashes with postings, and a bit table in front of them."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        canon, rows, self.codes, self.words, self.n = Canon(), [], {}, {}, {}
+        canon, rows, self.codes, self.words, self.n, self.widths = Canon(), [], {}, {}, {}, set()
         for item, text in items:
-            codes, words = canonical(canon, text)
-            h, at = windows(codes)
-            if not len(h):
-                continue
-            self.codes[item], self.words[item], self.n[item] = codes, words, len(np.unique(h))
-            rows += zip(h.tolist(), [item] * len(h), at.tolist(), strict=True)
+            codes, words, exact = canonical(canon, text)
+            for form, h, at in item_windows(codes, exact):
+                self.codes[item], self.words[item], self.n[item, form] = codes, words, len(np.unique(h))
+                self.widths.add(min(WINDOW, len(codes)))
+                rows += zip(h.tolist(), [item] * len(h), [form] * len(h), at.tolist(), strict=True)
         rows.sort()
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for h, item, at in rows:
-            self.postings[h].append((item, at))
+        self.postings: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for h, item, form, at in rows:
+            self.postings[h].append((item, form, at))
         self.bits = np.zeros(1 << 22, np.bool_)
         keys = np.fromiter(self.postings, np.uint64, len(self.postings))
         self.bits[(keys >> np.uint64(42)).astype(np.int64)] = True
 
-    def matches(self, codes: np.ndarray, words: list[str]):
+    def matches(self, codes: np.ndarray, words: list[str], exact: np.ndarray):
         """(item, coverage, windows, slots, consistency) of the items that a document holds."""
-        h, at = windows(codes)
+        h, at = text_windows(codes, exact, self.widths)
         maybe = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-        seen: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        seen: dict[tuple[int, int], list[tuple[int, int, int]]] = defaultdict(list)
         for i in maybe.tolist():
-            for item, place in self.postings.get(int(h[i]), ()):
-                seen[item].append((int(h[i]), int(at[i]), place))
-        for item, hits in seen.items():
-            coverage = len({x for x, _, _ in hits}) / self.n[item]
-            if coverage < COVERAGE:
+            for item, form, place in self.postings.get(int(h[i]), ()):
+                seen[form, item].append((int(h[i]), int(at[i]), place))
+        done = set()
+        for (form, item), hits in sorted(seen.items()):
+            coverage = len({x for x, _, _ in hits}) / self.n[item, form]
+            if coverage < COVERAGE or item in done:
                 continue
             slots, share = self.slots(item, hits, words)
-            if share >= CONSISTENT:
-                yield item, coverage, len(hits), slots, share
+            if form or share >= CONSISTENT:
+                done.add(item)
+                yield item, coverage, len(hits), slots, 1.0 if form else share
 
     def slots(self, item: int, hits: list[tuple[int, int, int]], words: list[str]) -> tuple[int, float]:
         """Slots of the item on the commonest alignment, and the share of them whose benchmark value
         stands for its usual document value."""
         shift = Counter(a - p for _, a, p in hits).most_common(1)[0][0]
         pairs: dict[str, Counter] = defaultdict(Counter)
-        for place in {p + k for _, a, p in hits if a - p == shift for k in range(WINDOW)}:
+        for place in {p + k for _, a, p in hits if a - p == shift for k in range(min(WINDOW, len(self.codes[item])))}:
             if self.codes[item][place] < 16:
                 pairs[self.words[item][place].strip(_EDGE)][words[place + shift].strip(_EDGE)] += 1
         n = sum(sum(c.values()) for c in pairs.values())
@@ -159,24 +195,40 @@ def _scan(index):
         for batch in in_chunks(batches, 32 << 20):
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                codes, words = canonical(canon, text.as_py())
-                out += [(doc_id.as_py(), *m) for m in idx.matches(codes, words)]
+                out += [(doc_id.as_py(), *m) for m in idx.matches(*canonical(canon, text.as_py()))]
             cols = list(zip(*out, strict=True)) or [[]] * 6
             yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["doc_id", "item_id", "coverage", "n_windows", "n_slots", "consistency"])
 
     return run
 
 
-def _hashed(batches):
+def _hashed(widths):
     """(doc_id, window hash, position) rows, for the shuffled join."""
+
+    def run(batches):
+        canon = Canon()
+        for batch in in_chunks(batches, 4 << 20):
+            ids, hashes, places = [], [], []
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                codes, _, exact = canonical(canon, text.as_py())
+                h, at = text_windows(codes, exact, widths)
+                ids += [doc_id.as_py()] * len(h)
+                hashes.append(h.view(np.int64)), places.append(at)
+            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate(hashes or [[]]).astype(np.int64)), pa.array(np.concatenate(places or [[]]).astype(np.int64))], names=["doc_id", "h", "at"])
+
+    return run
+
+
+def _items(batches):
+    """(item_id, form, window hash, width) rows of the items, for the shuffled join."""
     canon = Canon()
     for batch in in_chunks(batches, 4 << 20):
-        ids, hashes, places = [], [], []
-        for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-            h, at = windows(canonical(canon, text.as_py())[0])
-            ids += [doc_id.as_py()] * len(h)
-            hashes.append(h.view(np.int64)), places.append(at)
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate(hashes or [[]]).astype(np.int64)), pa.array(np.concatenate(places or [[]]).astype(np.int64))], names=["doc_id", "h", "at"])
+        out = []
+        for item, text in zip(batch.column(0), batch.column(1), strict=True):
+            codes, _, exact = canonical(canon, text.as_py())
+            out += [(item.as_py(), form, x, min(WINDOW, len(exact))) for form, h, _ in item_windows(codes, exact) for x in h.view(np.int64).tolist()]
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["item_id", "form", "h", "width"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -186,13 +238,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BR
     docs = narrow(docs).filter("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
     words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if words <= 6 * broadcast_rows:  # a window takes about a word
+    if words <= 3 * broadcast_rows:  # a word has a window of each form
         index = spark.sparkContext.broadcast(Index(sorted(tuple(r) for r in items.collect())))
         return docs.mapInArrow(_scan(index), OUT).distinct()
-    mine = items.select(F.col("item_id").alias("doc_id"), "text").mapInArrow(_hashed, "doc_id bigint, h bigint, at bigint").withColumnsRenamed({"doc_id": "item_id", "at": "place"})
-    size = mine.groupBy("item_id").agg(F.countDistinct("h").alias("n"))
-    hit = docs.mapInArrow(_hashed, "doc_id bigint, h bigint, at bigint").join(mine, "h")
-    full = hit.groupBy("doc_id", "item_id").agg(F.countDistinct("h").alias("k"), F.count("*").alias("n_windows")).join(size, "item_id").filter(F.col("k") >= COVERAGE * F.col("n"))
+    mine = items.mapInArrow(_items, "item_id bigint, form int, h bigint, width int")
+    widths = sorted(r.width for r in mine.select("width").distinct().collect())
+    size = mine.groupBy("item_id", "form").agg(F.countDistinct("h").alias("n"))
+    hit = docs.mapInArrow(_hashed(widths), "doc_id bigint, h bigint, at bigint").join(mine, "h")
+    full = hit.groupBy("doc_id", "item_id", "form").agg(F.countDistinct("h").alias("k")).join(size, ["item_id", "form"]).filter(F.col("k") >= COVERAGE * F.col("n")).select("doc_id", "item_id").distinct()
     # Few pairs are left: their texts come together for the slots.
     pair = full.join(docs.withColumnRenamed("text", "text_d").dropDuplicates(["doc_id"]), "doc_id").join(items.withColumnRenamed("text", "text_i"), "item_id").select("doc_id", "item_id", "text_i", "text_d")
 

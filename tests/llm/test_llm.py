@@ -337,6 +337,14 @@ def test_slots_must_be_consistent():
     assert not list(index.matches(*decontaminate.canonical(canon, loose)))
 
 
+def test_decontamination_finds_exact_copies(spark):
+    items = [(1, "What is the capital city of France?"), (2, "Ask Anna Brown and Peter Young if Rome or Oslo is nearer to Vienna Station than the old harbour"), (3, "Who wrote Hamlet?"), (4, "Anna Maria Peter Paul Simon Jonas")]
+    rows = [(1, "Question 3) What is the capital city of France?"), (2, "so " + items[1][1].lower()), (3, "They ask: who wrote Hamlet? Nobody."), (4, "with Anna Maria Peter Paul Simon Jonas"), (5, "who has hamlet wrote, and what is the city?")]
+    d, b = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_ROWS, 0):
+        assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b, limit).collect()) == [(k, k) for k in (1, 2, 3, 4)]
+
+
 # --- op9 ---------------------------------------------------------------------------------------
 
 
