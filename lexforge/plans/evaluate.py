@@ -22,6 +22,9 @@ best AS (SELECT query_id, sum(CASE WHEN r <= 10 THEN (pow(2.0, label) - 1) / log
 m AS (SELECT query_id, round(coalesce(hits, 0) / 10, 6) AS precision, CASE WHEN relevant > 0 THEN round(coalesce(hits, 0) / relevant, 6) END AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr,
   coalesce(CASE WHEN idcg > 0 THEN round(coalesce(dcg, 0) / idcg, 6) END, 0) AS ndcg FROM (SELECT DISTINCT query_id FROM ranking) LEFT JOIN got USING (query_id) LEFT JOIN best USING (query_id))"""
 
+#: Values that bootstrap_ci resamples on the driver; a thousand rounds over as many take about a minute.
+BOOTSTRAP_ITEMS = 200_000
+
 
 def ranking(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     from pyspark.sql import Window as W
@@ -84,8 +87,12 @@ def authority_pairs(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    """A few dozen per-query values come to the driver; the generator is bit-exact there."""
-    values = [r.ndcg for r in measured(spark, sf_dir).orderBy("query_id").limit(1000).collect()]
+    """One double per benchmark item comes to the driver; the generator is bit-exact there. Beyond
+    BOOTSTRAP_ITEMS items it fails rather than leave some out."""
+    rows = measured(spark, sf_dir).orderBy("query_id").select("ndcg").limit(BOOTSTRAP_ITEMS + 1).collect()
+    if len(rows) > BOOTSTRAP_ITEMS:
+        raise ValueError(f"bootstrap_ci: more than {BOOTSTRAP_ITEMS} benchmark items")
+    values = [r.ndcg for r in rows]
     low, high = E.bootstrap_ci(values, E.fnv1a("ndcg"))
     return spark.createDataFrame([(low, high)], "low double, high double")
 

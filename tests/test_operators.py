@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import text as T
 from lexforge.functions.stem import stem_word
 from lexforge.operators import delta, derive, evaluation, relations, retrieval
+from lexforge.plans import evaluate
 from lexforge.sources import archives, xml
 from lexforge.streaming import changelog
 
@@ -132,3 +133,14 @@ def test_stream_equals_batch(spark):
     got = {r.scope: (r.last_seq, r.n) for r in changelog.coalesce_stream_once(spark, f"{sf}/events.parquet").collect()}
     want = {r.user_id: (r.s, r.n) for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("s"), F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_bootstrap_covers_every_item(spark, monkeypatch):
+    values = [0.0] * 1000 + [1.0] * 500
+    rows = spark.createDataFrame(list(enumerate(values)), "query_id long, ndcg double")
+    monkeypatch.setattr(evaluate, "measured", lambda s, d: rows)
+    got = evaluate.bootstrap_ci(spark, "").first()
+    assert (got.low, got.high) == evaluation.bootstrap_ci(values, evaluation.fnv1a("ndcg")) and got.low > 0
+    monkeypatch.setattr(evaluate, "BOOTSTRAP_ITEMS", 1499)
+    with pytest.raises(ValueError):
+        evaluate.bootstrap_ci(spark, "")
