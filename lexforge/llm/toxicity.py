@@ -2,7 +2,9 @@
 
 Fit (training rows only, at most about `SAMPLE` labelled rows chosen by hash, in one map and two
 small aggregations): words whose share among toxic documents is far above that among others make
-the lexicon (`LEXICON` words at most). The automata of all strings within one edit of a term (two
+the lexicon (`LEXICON` words at most). Words have 1 to 40 letters; a term must stand in 0.4 % of the
+sample's toxic documents (`LEAST_DOCS` at least), so rarer terms are not learned, however many labels
+there are. Terms under 5 letters match exactly only. The automata of all strings within one edit of a term (two
 from 9 letters on) are intersected with the trie of the lexicon and made deterministic step by
 step. So misspelled terms are caught, after undoing look-alike digits and stretched letters. Each
 distinct word is looked up once a task, in a bounded memo.
@@ -185,7 +187,7 @@ def _terms(batches):
     count: tuple[Counter, Counter] = (Counter(), Counter())
     for batch in batches:
         for toxic, text in zip(batch.column(0), batch.column(1), strict=True):
-            count[toxic.as_py()].update({w for w in map(plain, text.as_py().split()) if 3 < len(w) <= 40})
+            count[toxic.as_py()].update({w for w in map(plain, text.as_py().split()) if 0 < len(w) <= 40})
         for toxic in (0, 1):
             if len(count[toxic]) > 200_000:
                 yield _counted(count[toxic], toxic)

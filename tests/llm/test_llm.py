@@ -180,6 +180,14 @@ def test_toxicity_context_tells_quotation():
     assert plain[3] == 0 and quoted[3] == 1 and plain[5] == 1
 
 
+def test_toxicity_learns_short_words(spark):
+    rows = [(i, f"plain words number {i} of the page " + ("zug" if i % 3 == 0 else "fine")) for i in range(600)]
+    d = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame([(i, 0, int(i % 3 == 0)) for i, _ in rows], LABELS)
+    got = toxicity.score_toxicity(d, marks).collect()
+    assert all(r.predicted == int(r.doc_id % 3 == 0) and r.n_hits == int(r.doc_id % 3 == 0) for r in got)
+
+
 # --- op3 ---------------------------------------------------------------------------------------
 
 
