@@ -16,6 +16,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,10 +96,24 @@ def _sweep() -> None:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the Arrow batches that go to Python, as texts can be long."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 4000, size: int = 4 << 20) -> None:
+    """Bounds the Arrow batches that go to Python by rows and, as texts can be long, by bytes. The
+    settings are the session's, are only lowered, and stay lowered: a plan reads them when it runs."""
+    for key, most, before in (("maxRecordsPerBatch", rows, "10000"), ("maxBytesPerBatch", size, str(64 << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, before)
+        if not now.isdigit() or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
+def split_words(texts: pa.Array, unicode: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of texts, cut at ASCII (or all) white space; the place in them of each word, in
+    order; where each text's words begin, and the end. A text may begin and end with an empty word."""
+    lists = (pc.utf8_split_whitespace if unicode else pc.ascii_split_whitespace)(texts)
+    words = lists.flatten().dictionary_encode()
+    offsets = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum(pc.list_value_length(lists).to_numpy(), out=offsets[1:])
+    return words.dictionary, words.indices.to_numpy(), offsets
 
 
 def bounded_sample(rows: DataFrame, key: str, bound: int, salt: int, total: int | None = None) -> DataFrame:

@@ -13,8 +13,9 @@ Scale. Each map task packs its own rows in groups of about `GROUP` tokens (4 MB
 is no shuffle, memory is bounded whatever a row or partition holds, and a lost task is redone
 alone. sequence_id is the number of the task's partition, then a running number: unique, not dense.
 
-Tokens depend on one white-space separated word at a time (the tokenizer drops white space and no
-pre-token crosses it), so ids are looked up per distinct word in a bounded memo.
+Where the tokenizer's definition says that tokens depend on one white-space separated word at a time
+(`by_words`: it drops white space and no pre-token crosses it), ids are learned per distinct word of a
+batch; any other tokenizer gets whole texts.
 
 Null text: empty, a document of the end id alone. Repeated rows are packed each by itself. Empty
 table: no rows.
@@ -23,17 +24,18 @@ table: no rows.
 from __future__ import annotations
 
 import heapq
+import json
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_chunks, small_batches
+from .common import in_chunks, small_batches, split_words
 
 CAPACITY, END, GROUP = 2048, 1, 1 << 20
 #: Cost of a piece: LINEAR * n + QUADRATIC * n²; at 2048 both parts weigh alike.
@@ -47,58 +49,105 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-#: A word of plain Latin letters, with ASCII punctuation behind it or not: its two parts are
-#: pre-tokens of their own, so their ids can be learned apart and in lower case.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įıĲ-ſ]+)([!-/:-@\[-^`{-~]*)")
+#: The letters and the ASCII punctuation of plain words. Such a word is its letters and
+#: the punctuation behind them: two pre-tokens, whose ids can be learned apart and in lower case.
+LETTERS, PUNCTUATION = "A-Za-zÀ-ÖØ-öø-įıĲ-ſ", r"!-/:-@\[-`{-~"
+_PLAIN = f"^(?P<head>[{LETTERS}]+)(?P<tail>[{PUNCTUATION}]*)$"
+#: Parts that may be encoded joined, as each is one pre-token whatever its neighbours are.
+_JOINED = f"^(?:[{LETTERS}]+|[{PUNCTUATION}]+)$"
+#: What stands between joined parts: a pre-token of its own, of one id.
+_BETWEEN = "\x7f"
+#: What a tokenizer must do before its model for white space to part its tokens and case
+#: not to matter.
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
-#: Python also splits at four control characters; the tokenizer doesn't.
-_CONTROLS = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+def by_words(definition: str) -> bool:
+    """Whether a tokenizer's ids of a text are those of its white-space separated words in lower case."""
+    d = json.loads(definition)
+    steps = (d.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    spaced = any(any(c.isspace() for c in t["content"]) or t["lstrip"] or t["rstrip"] for t in d.get("added_tokens", []))
+    return (d.get("normalizer") or {}).get("normalizers") == _NORMAL and steps[:1] == [_SPLIT] and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in steps[1:]) and not spaced
 
 
 class Encoder:
-    """Ids of white-space separated words as bytes of unsigned 32-bit integers, remembered over the
-    tasks of a worker. Unknown words are encoded a batch at a time. Memory is bounded: a full memo
-    is cleared."""
+    """Ids of texts as bytes of unsigned 32-bit integers. A batch's distinct words are found by
+    dictionary encoding; their parts are looked up in a bounded memo, which holds parts that recur
+    within a batch, or encoded, many in one call; the ids of the texts are gathered by word."""
 
-    LIMIT = 500_000
+    MEMO, CALL = 150_000, 512
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.parts[w] = np.array(e.ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        new = words - self.words.keys()
-        if len(self.words) + len(new) > self.LIMIT:
-            self.words.clear()
-            new = words
-        cut = {w: (m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(w)) else (w, "") for w in new}
-        if len(self.parts) > self.LIMIT:
-            self.parts = {"": b""}
-        self._encode(list({p for two in cut.values() for p in two} - self.parts.keys()))
-        parts = self.parts
-        for w, (a, b) in cut.items():
-            self.words[w] = parts[a] + parts[b]
-
-    def documents(self, texts: list[str]) -> list[bytes]:
-        split, end = [_SPACES.split(t) if _CONTROLS.search(t) else t.split() for t in texts], END.to_bytes(4, "little")
-        self.learn(set().union(*split))
-        ids = self.words.__getitem__
-        return [b"".join(map(ids, w)) + end for w in split]
+        self.by_words = by_words(definition)
+        self.memo: dict[str, bytes] = {}
+        between = self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, parts: list[str]) -> list[bytes]:
+        """As _alone, for parts that may be joined."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), self.CALL):
+            some = parts[at : at + self.CALL]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = [*(np.flatnonzero(ids == self.between) * 4).tolist(), 4 * len(ids)]
+            if len(ends) != len(some):  # a part has the id between: not with this model, but then
+                out += self._alone(some)
+                continue
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends[:-1])], ends, strict=True)]
+        return out
+
+    def _parts(self, parts: pa.Array, recur: np.ndarray) -> pa.Array:
+        """The ids of distinct parts."""
+        names = parts.to_pylist()
+        got = list(map(self.memo.get, names))
+        new = np.array([k for k, ids in enumerate(got) if ids is None], np.int64)
+        if len(new):
+            joined = pc.match_substring_regex(parts.take(pa.array(new)), _JOINED).to_numpy(zero_copy_only=False) & (self.between is not None)
+            for some, encode in ((new[joined], self._together), (new[~joined], self._alone)):
+                for k, ids in zip(some.tolist(), encode([names[k] for k in some.tolist()]), strict=True):
+                    got[k] = ids
+            if len(self.memo) > self.MEMO:
+                self.memo.clear()
+            self.memo |= {names[k]: got[k] for k in new[recur[new]].tolist() if len(names[k]) < 64}
+        return pa.array(got, pa.large_binary())
+
+    def _words(self, words: pa.Array, index: np.ndarray) -> pa.Array:
+        """The ids of distinct words; index: of their occurrences."""
+        cut = pc.extract_regex(words, _PLAIN)
+        head = pc.coalesce(pc.utf8_lower(pc.struct_field(cut, "head")), words)
+        parts = pa.concat_arrays([head, pc.coalesce(pc.struct_field(cut, "tail"), "")]).dictionary_encode()
+        which = parts.indices.to_numpy()
+        uses = np.bincount(which, np.tile(np.bincount(index, minlength=len(words)), 2), len(parts.dictionary))
+        ids = self._parts(parts.dictionary, uses > 1).take(pa.array(which.reshape(2, -1).T.ravel()))
+        at = np.frombuffer(ids.buffers()[1], np.int64, 2 * len(words) + 1)[::2]
+        return pa.Array.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(np.ascontiguousarray(at)), ids.buffers()[2]])
+
+    def documents(self, texts: pa.Array) -> list[memoryview]:
+        """The ids of each text, with the end id."""
+        end = END.to_bytes(4, "little")
+        if not self.by_words:
+            return [memoryview(x + end) for x in self._alone(texts.to_pylist())]
+        words, index, offsets = split_words(texts)
+        table = pa.concat_arrays([self._words(words, index), pa.array([end], pa.large_binary())])
+        ids = table.take(pa.array(np.insert(index, offsets[1:], len(words))))
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[offsets + np.arange(len(offsets))].tolist()
+        data = memoryview(ids.buffers()[2])
+        return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 _encoders: dict[int, Encoder] = {}
 
 
 def encoder_of(definition: str) -> Encoder:
-    """The worker's encoder; one task runs in a worker at a time."""
+    """The worker's encoder, remembered over its tasks; one task runs in a worker at a time."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     key = zlib.crc32(definition.encode())
     if key not in _encoders:
@@ -179,14 +228,14 @@ def _pieces(definition):
     def run(batches):
         encoder, seq = encoder_of(definition.value), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         ids: list[int | None] = []
-        docs: list[bytes] = []
+        docs: list[memoryview] = []
         held = 0
 
         def flush():
             nonlocal seq, ids, docs, held
             pieces = pack([len(b) // 4 for b in docs])
             d, start, length, k, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
-            crc = [zlib.crc32(memoryview(docs[i])[4 * s : 4 * (s + n)]) for i, s, n, _, _ in pieces]
+            crc = [zlib.crc32(docs[i][4 * s : 4 * (s + n)]) for i, s, n, _, _ in pieces]
             sizes = np.array([len(b) // 4 for b in docs], np.int64)
             out = pa.record_batch([pa.array(ids, pa.int64()).take(pa.array(d)), *map(pa.array, (start, length, np.array(crc, np.int64), sizes[d], k + seq, offset))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
             seq += int(k.max()) + 1
@@ -194,7 +243,7 @@ def _pieces(definition):
             return out
 
         for batch in in_chunks(batches, 8 << 20):
-            for doc_id, tokens in zip(batch.column(0).to_pylist(), encoder.documents(batch.column(1).to_pylist()), strict=True):
+            for doc_id, tokens in zip(batch.column(0).to_pylist(), encoder.documents(batch.column(1)), strict=True):
                 docs.append(tokens)
                 ids.append(doc_id)
                 held += len(docs[-1])
