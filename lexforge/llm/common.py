@@ -47,6 +47,12 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def settled(value: Column) -> Column:
+    """The value, for a column that later steps use within higher-order functions: a condition that
+    always holds, but that Catalyst takes for changing, keeps it from inlining the expression there."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def held_out(modulus: int, remainder: int) -> Column:
     """True for rows whose crc32 of the decimal doc_id has the remainder; false for a null id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % F.lit(modulus) == remainder, F.lit(False))
@@ -54,10 +60,12 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 def scratch_dir(spark: SparkSession) -> str:
     """A folder that all executors share. spark.checkpoint.dir names it; only where that is unset
-    (tests, one machine) is a temporary folder made and set."""
+    (tests, one machine) is a temporary folder made and set; elsewhere that is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lexforge-")
         sc.setCheckpointDir(f"file://{base}")
         base = f"file://{base}"
@@ -77,18 +85,25 @@ _written: list[tuple[SparkSession, str]] = []
 
 def written(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: columnar, compressed, with known
-    sizes, and safe from lost executors. The folder goes when the driver ends."""
+    sizes, and safe from lost executors. The folder goes when the driver ends, or by drop_written."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lexforge-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(path)
     if not _written:
-        atexit.register(_sweep)
+        atexit.register(drop_written)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _sweep() -> None:
-    for spark, path in _written:
+def tables_written() -> int:
+    return len(_written)
+
+
+def drop_written(since: int = 0, last: bool = True) -> None:
+    """Deletes the tables written after the first `since`; the last one only if said so."""
+    gone = _written[since:] if last else _written[since:-1]
+    _written[since:] = [] if last else _written[since:][-1:]
+    for spark, path in gone:
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -19,13 +19,18 @@ Plan at scale, n documents:
   pairs, not m². Confirmed pairs make components. What is left are pairs across components within
   a bucket; all of them whose signatures don't rule the link out are confirmed in a second round, so
   no link between components is lost, and pairs inside a component, which can't change it, are
-  never made;
-* components by alternating large-star / small-star rounds on DataFrames, each cut by a checkpoint.
-Nothing is collected to the driver but counts. Skewed join keys are left to AQE's skew join.
+  never made. A bucket of more than `BLOCK` members is dealt in blocks, so that no task compares more
+  than two blocks;
+* components by alternating large-star / small-star rounds on DataFrames, each cut by a checkpoint;
+* texts are read twice: once to sketch, once to write those of bucket members.
+Nothing is collected to the driver but counts. Hot keys (classes, buckets, star centres, documents of
+many pairs) are those with more than one in `HOT_SHARE` of a table's rows, so at most as many: what is
+joined to their rows is broadcast, or dealt anew where it is text, and the rest has no hot key.
 
 Nulls, empties: a document without words (or null) has an empty set, links with nothing, is kept.
 Rows with a null doc_id can't be linked: each is returned as its own row with a null component and
-kept true. A repeated doc_id counts as one document, one of its texts stands for it. Ties: the smallest id.
+kept true. A repeated doc_id counts as one document; of its texts the one of the smallest xxhash64
+stands for it. Ties: the smallest id.
 """
 
 from __future__ import annotations
@@ -33,14 +38,18 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, narrow, small_batches, written
+from .common import cut, narrow, small_batches, split_words, written
 
 T, R = 96, 4
-SKETCH = "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+SKETCH = "doc_id bigint, tk bigint, n_shingles bigint, set_key binary, bands array<bigint>"
+#: A key is hot with more than this share of the rows, and more than so many; members compared at once.
+HOT_SHARE, HOT_ROWS, BLOCK = 1000, 1000, 2000
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _U = np.uint64
 
@@ -52,30 +61,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class Words(dict):
-    """Word -> 64-bit hash, remembered; cleared when full so that memory stays bounded."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
-
-
-def shingle_set(words: Words, text: bytes, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes; one for a shorter text's whole sequence; none without words."""
-    w = text.lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    if len(w) < width:
-        return np.array([int.from_bytes(hashlib.blake2b(b" ".join(w), digest_size=8).digest(), "little")], np.uint64)
-    h = np.fromiter(map(words.__getitem__, w), np.uint64, len(w))
-    x = h[: len(h) - width + 1].copy()
+def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
+    """Of each text the sorted distinct 64-bit shingle hashes; one for a shorter text's whole sequence;
+    none without words. Words are hashed per distinct word of the batch."""
+    words, index, offsets = split_words(texts)
+    hashed = pd.util.hash_array(pc.ascii_lower(words).cast(pa.binary()).to_numpy(zero_copy_only=False), categorize=False)
+    at = np.flatnonzero(~pc.equal(words, "").to_numpy(zero_copy_only=False)[index])
+    begin, h = np.searchsorted(at, offsets).tolist(), hashed[index[at]]
+    n = max(len(h) - width + 1, 0)
+    x = h[:n].copy()
     for k in range(1, width):
-        x = mix(x + _C[0]) + h[k : len(h) - width + 1 + k]
-    return np.unique(mix(x))
+        x = mix(x + _C[0]) + h[k : n + k]
+    x, out = mix(x), []
+    for a, b in zip(begin[:-1], begin[1:], strict=True):
+        if a < b < a + width:
+            y = np.array([_C[2]])
+            for k in range(a, b):
+                y = mix(y + _C[0]) + h[k : k + 1]
+            out.append(mix(y))
+        else:
+            out.append(np.unique(x[a : max(a, b - width + 1)]))
+    return out
 
 
 def fast_sketch(x: np.ndarray, t: int = T) -> np.ndarray:
@@ -97,23 +103,20 @@ def fast_sketch(x: np.ndarray, t: int = T) -> np.ndarray:
 
 def _sketches(width: int, bands: int):
     def run(batches):
-        words = Words()
         offsets = mix(np.arange(1, bands + 1, dtype=np.uint64) * _C[0])
         for batch in batches:
-            ids, n, keys, cuts = batch.column(0), [], [], []
-            for text in batch.column(1):
-                s = shingle_set(words, text.as_py(), width)
+            n, keys, cuts = [], [], []
+            for s in shingle_sets(batch.column(2), width):
                 n.append(len(s))
                 if not len(s):
                     keys.append(None), cuts.append(None)
                     continue
-                sk = fast_sketch(s, bands * R)
                 b = offsets.copy()
-                for part in sk.reshape(bands, R).T:
+                for part in fast_sketch(s, bands * R).reshape(bands, R).T:
                     b = mix(b + part)
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 cuts.append(b.view(np.int64).tolist())
-            yield pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(cuts, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(cuts, pa.list_(pa.int64()))], names=["doc_id", "tk", "n_shingles", "set_key", "bands"])
 
     return run
 
@@ -124,12 +127,8 @@ BITS, MARGIN = 1024, 4.5
 
 def _signatures(width: int):
     def run(batches):
-        words = Words()
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                bits = (fast_sketch(shingle_set(words, text.as_py(), width), BITS) & _U(1)).astype(np.uint8)
-                rows.append(np.packbits(bits).view(np.int64))
+            rows = [np.packbits((fast_sketch(x, BITS) & _U(1)).astype(np.uint8)).view(np.int64) for x in shingle_sets(batch.column(1), width)]
             rows = np.stack(rows) if rows else np.empty((0, BITS // 64), np.int64)
             yield pa.record_batch([batch.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], names=["doc_id", *(f"s{k}" for k in range(BITS // 64))])
 
@@ -138,99 +137,154 @@ def _signatures(width: int):
 
 def _confirm(width: int, percent: int):
     def run(batches):
-        words = Words()
-        last: tuple = (None, None)
         for batch in batches:
-            a, b, out = batch.column(0), batch.column(1), []
-            for k, text_a, text_b in zip(a, batch.column(2), batch.column(3), strict=True):
-                if last[0] != (k := k.as_py()):
-                    last = (k, shingle_set(words, text_a.as_py(), width))
-                x, y = last[1], shingle_set(words, text_b.as_py(), width)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                out.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+            a, b = batch.column(0), batch.column(1)
+            # rows of one a come together: its set is made once
+            _, first, which = np.unique(a.to_numpy(), return_index=True, return_inverse=True)
+            left, out = shingle_sets(batch.column(2).take(pa.array(first)), width), []
+            for k, y in zip(which.tolist(), shingle_sets(batch.column(3), width), strict=True):
+                both = len(np.intersect1d(left[k], y, assume_unique=True))
+                out.append(both > 0 and 100 * both >= percent * (len(left[k]) + len(y) - both))
             keep = pa.array(out, pa.bool_())
             yield pa.record_batch([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     return run
 
 
-#: Ids of documents in candidate pairs that may be broadcast to pick their texts (16 MB); beyond, a shuffled semi-join.
+#: Ids of documents in buckets that may be broadcast to pick their texts (32 MB); beyond, a shuffled semi-join.
 BROADCAST_IDS = 2_000_000
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text (binary) of the documents whose id is in ids(id)."""
-    few = ids.count() <= BROADCAST_IDS
-    text = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    return text.select("doc_id", F.col("text").cast("binary").alias("text"))
+def hot_limit(rows: int) -> int:
+    return max(rows // HOT_SHARE, HOT_ROWS)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b), those that reach the similarity on their full sets."""
-    ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    text = written(texts_of(docs, ids))
-    left, right = text.toDF("a", "text_a"), text.toDF("b", "text_b")
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return cut(both.mapInArrow(_confirm(width, percent), "a bigint, b bigint"))
+def attach(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """Join of rows (total of them) to a table that is cheap to read again, with a row per key and n,
+    its number of rows. Hot keys, HOT_SHARE of them at most, are broadcast, and their rows dealt by
+    a hash of the whole row."""
+    limit = hot_limit(total)
+    hot = table.filter(F.col("n") > limit)
+    if total <= limit or not hot.count():
+        return rows.join(table.drop("n"), key, how)
+    given = F.struct(*(c for c in table.columns if c not in (key, "n")))
+    some = rows.join(F.broadcast(hot.select(key, given.alias("_hot"))), key, "left")
+    dealt = F.xxhash64(*rows.columns).cast("string").cast(table.schema[key].dataType) if table.schema[key].dataType.typeName() == "binary" else F.xxhash64(*rows.columns)
+    some = some.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(dealt))
+    rest = table.filter(F.col("n") <= limit).select(F.col(key).alias("_key"), given.alias("_rest"))
+    out = some.join(rest, "_key", "left").withColumn("_got", F.coalesce("_hot", "_rest"))
+    return (out.filter("_got is not null") if how == "inner" else out).select(*rows.columns, "_got.*")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents (doc_id, tk, text) in ids(doc_id, tk)."""
+    few = ids.count() <= BROADCAST_IDS // 2
+    return docs.join(F.broadcast(ids) if few else ids, ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id", "tk"]).select("doc_id", "text")
+
+
+def confirm(text: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of distinct pairs (a, b), those that reach the similarity on their full sets; text: doc_id, text.
+    Pairs of a hot a are dealt, HOT_ROWS together, to copies of its text."""
+    both = pairs.join(text.toDF("b", "text_b"), "b")
+    left = text.toDF("a", "text_a")
+    limit = hot_limit(pairs.count())
+    hot = cut(pairs.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > limit))
+    if hot.count():
+        deals = F.broadcast(hot.select("a", F.ceil(F.col("n") / HOT_ROWS).cast("bigint").alias("deals")))
+        zero, n = F.lit(0).cast("bigint"), F.coalesce("deals", F.lit(1).cast("bigint"))
+        both = both.join(deals, "a", "left").withColumn("deal", F.pmod(F.xxhash64("b"), n)).drop("deals")
+        left = left.join(deals, "a", "left").select("a", "text_a", F.explode(F.sequence(zero, n - 1)).alias("deal"))
+        both = both.join(left, ["a", "deal"])
+    else:
+        both = both.join(left, "a")
+    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(width, percent), "a bigint, b bigint"))
+
+
+def degrees(edges: DataFrame) -> tuple[int, int, bool]:
+    """(edges, largest degree, whether they are stars around the smallest of each component) of distinct
+    edges (u, v) with u > v."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    each = ends.groupBy("x").agg(F.count("*").alias("n"), F.sum("up").alias("ups"))
+    r = each.agg(F.sum("ups"), F.max("n"), F.max((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("n") > 1)))).first()
+    return r[0] or 0, r[1] or 0, not r[2]
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of undirected edges (a, b): component is the smallest node
-    reachable. Alternates large-star and small-star (Kiveris et al., SoCC 2014): O(log² n) rounds,
-    every step an aggregation and a join."""
-    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    e, before = cut(e), None
-    while True:
+    reachable. Alternates large-star and small-star (Kiveris et al., SoCC 2014) until all edges lead
+    from a node to the smallest: O(log² n) rounds, every step an aggregation and a join."""
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    n, most, done = degrees(e)
+
+    def smallest(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+        """rows with m, the smallest of low's; a star's centre may be hot."""
+        return attach(rows, cut(low), "u", total) if most > hot_limit(total) else rows.join(low.drop("n"), "u")
+
+    while not done:
         # large-star: every neighbour above u points to the smallest of u and its neighbours
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        e = smallest(both, low, 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         # small-star: u and its smaller neighbours point to the smallest of them
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        star = e.join(low, "u")
-        e = star.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        e = cut(e)
-        now = tuple(e.agg(F.count("*"), F.sum("u"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = now
+        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        star = smallest(e, low, n).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+        e = cut(star.filter("u <> v").distinct())
+        n, most, done = degrees(e)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def one_text_each(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, tk) of repeated ids of rows (doc_id, tk): the text that stands; None without any."""
+    again = cut(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("tk").alias("tk")).filter("n > 1").drop("n"))
+    return again if again.limit(1).count() else None
+
+
+def text_key(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("tk", F.xxhash64("text"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bins: int = T) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id. Documents link when
     100 * |intersection| >= percent * |union| of their shingle sets of `width` words."""
-    docs = narrow(docs)
+    docs = text_key(narrow(docs))
     bands = bins // R
     small_batches(docs.sparkSession)
-    table = written(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(_sketches(width, bands), SKETCH))
-    full = table.filter("set_key is not null and doc_id is not null")
-    classes = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = full.join(classes, full["doc_id"] == classes["rep"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n_shingles", "bands")
-    reps = written(reps)
-
-    bucket = reps.select("doc_id", F.explode("bands").alias("bucket"))
-    centre = bucket.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
-    shared = written(bucket.join(centre, "bucket"))  # members of buckets that hold more than one
+    table = written(docs.select("doc_id", "tk", "text").mapInArrow(_sketches(width, bands), SKETCH))
+    nameless, table = table.filter("doc_id is null"), table.filter("doc_id is not null")
+    again = one_text_each(table)
+    if again is not None:
+        table = table.join(again, "doc_id", "left_anti").unionByName(table.join(again, ["doc_id", "tk"], "left_semi").dropDuplicates(["doc_id"]))
+    full = table.filter("set_key is not null")
+    total = full.count()
+    classes = written(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    member = written(attach(full.select("doc_id", "n_shingles", "set_key"), classes, "set_key", total).drop("set_key"))
+    copies = cut(member.filter("doc_id <> rep").select("doc_id"))
+    copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+    reps = written(full.join(copies, "doc_id", "left_anti").select("doc_id", "tk", "n_shingles", "bands"))
+
+    bucket = reps.select("doc_id", "tk", F.explode("bands").alias("bucket"))
+    centre = written(bucket.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1"))
+    shared = written(attach(bucket, centre, "bucket", total))  # members of buckets that hold more than one
     first = cut(shared.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct())
-    edges = confirm(docs, first, width, percent)
+    text = written(texts_of(docs, cut(shared.select("doc_id", "tk").distinct())))
+    edges = confirm(text, first, width, percent)
     groups = cut(components(edges))
 
     # Second round: members of a bucket that are still in different components.
-    own = shared.join(groups, shared["doc_id"] == groups["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    spread = own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket")
-    open_ = cut(own.join(spread, "bucket", "left_semi"))
+    own = cut(shared.join(groups, shared["doc_id"] == groups["node"], "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c")))
+    spread = cut(own.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi and n > 2").select("bucket", "n", F.col("n").alias("size")))
+    open_ = cut(attach(own, spread, "bucket", total))
     if open_.limit(1).count():
-        ids = cut(open_.select(F.col("doc_id").alias("id")).distinct())
-        signs = texts_of(docs, ids).mapInArrow(_signatures(width), ", ".join(["doc_id bigint", *(f"s{k} bigint" for k in range(BITS // 64))]))
-        signs = written(signs.join(reps, "doc_id"))
+        ids = cut(open_.select("doc_id").distinct())
+        signs = text.join(ids, "doc_id", "left_semi").mapInArrow(_signatures(width), ", ".join(["doc_id bigint", *(f"s{k} bigint" for k in range(BITS // 64))]))
+        signs = written(signs.join(reps.drop("tk"), "doc_id"))
         second = cross_pairs(open_.join(signs, "doc_id"), percent, bands)
         second = cut(second.join(first, ["a", "b"], "left_anti"))
-        groups = cut(components(edges.unionByName(confirm(docs, second, width, percent))))
+        groups = cut(components(edges.unionByName(confirm(text, second, width, percent))))
 
-    member = table.join(classes, "set_key", "left")
-    # Repeated ids: the row of the smallest representative stands.
-    member = member.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("rep").alias("rep"))
-    out = member.join(groups, member["rep"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
+    none = table.filter("set_key is null").unionByName(nameless).select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    grouped = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node").select(F.col("node").alias("rep"), "component", "n")
+    out = attach(member, cut(grouped), "rep", total, "left").select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")).unionByName(none)
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "class_id")
 
 
@@ -238,14 +292,22 @@ def cross_pairs(members: DataFrame, percent: int, bands: int) -> DataFrame:
     """Distinct pairs (a, b) of one bucket but different components that may reach the similarity:
     set sizes allow it, and so do the signatures of 1024 one-bit bins. Two sets of similarity s agree
     in a bin with probability (1 + s) / 2; a pair at the threshold falls 4.5 standard deviations
-    below its mean with a chance of 5e-6, and then matters only if it is the sole link."""
+    below its mean with a chance of 5e-6, and then matters only if it is the sole link. Members of a
+    bucket lie in blocks of about BLOCK, and pairs of blocks are keys of the join."""
     p, words = (1 + percent / 100) / 2, BITS // 64
     most = BITS - int(BITS * p - MARGIN * (BITS * p * (1 - p)) ** 0.5)
-    x, y = (members.select([F.col(c).alias(f"{c}_{side}") for c in members.columns if c != "bucket"] + ["bucket"]) for side in "xy")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("bigint")
+    members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    members = members.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("size", "other")
+    key = ["bucket", "lo", "hi"]
+    x, y = (members.select([F.col(c).alias(f"{c}_{side}") for c in members.columns if c not in key] + key) for side in "xy")
     differ = sum((F.bit_count(F.col(f"s{k}_x").bitwiseXOR(F.col(f"s{k}_y"))) for k in range(words)), F.lit(0))
     shared = F.lit(None).cast("bigint")  # the first band that the two share makes the pair, so that it is made once
     for k in reversed(range(bands)):
         shared = F.when(F.col("bands_x")[k] == F.col("bands_y")[k], F.col("bands_x")[k]).otherwise(shared)
-    pair = x.join(y, (x["bucket"] == y["bucket"]) & (x["doc_id_x"] < y["doc_id_y"]) & (x["c_x"] != y["c_y"])
+    met = F.lit(True)
+    for k in key:
+        met = met & (x[k] == y[k])
+    pair = x.join(y, met & (F.col("doc_id_x") < F.col("doc_id_y")) & (F.col("c_x") != F.col("c_y")) & ((F.col("block_x") != F.col("block_y")) | (x["lo"] == x["hi"]))
         & (100 * F.least("n_shingles_x", "n_shingles_y") >= percent * F.greatest("n_shingles_x", "n_shingles_y")) & (differ <= most) & (shared == x["bucket"]))
     return pair.select(F.col("doc_id_x").alias("a"), F.col("doc_id_y").alias("b"))
