@@ -1,11 +1,12 @@
 """Operator 5: secret scan by multipart credential linking. Native: DataFrame functions only.
 
-Base findings (assign, access, hex) stand by themselves. The method adds weak candidates: short
-assigned secrets, account identifiers and endpoints. None of them is a secret on its own; each is
-reported only if complementary parts of a credential lie in its scope, the interval of `SCOPE`
-code points around it: a weak secret needs an identifier, access key or endpoint; an identifier
-needs a secret; an endpoint needs both. The interval join runs inside the row, over the few parts
-of a text, so nothing is shuffled at any size.
+Base findings (assign, access, hex) stand by themselves. The method adds weak candidates: short or
+otherwise named assigned secrets, account identifiers and endpoints. None of them is a secret on its
+own; each is reported only if complementary parts of a credential lie in its scope, the interval of
+`SCOPE` code points around it: a weak secret needs an identifier, access key or endpoint; an
+identifier needs a secret; an endpoint needs both. Weak secrets that overlap a strong finding are part
+of it. The interval join runs inside the row, over the few parts of a text, by one sort and running
+values, so nothing is shuffled at any size and a text of many parts costs no square of them.
 
 Row by row: null text counts as empty, empty text has no spans, rows and their repeats stay.
 """
@@ -15,61 +16,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, narrow
-from .spans import SPAN, find_all, listed, ranked
+from .common import narrow, settled
+from .spans import SPAN, apart, empty, find_all, listed, masked, near, ranked
 
 #: The patterns of the base kinds, in order; hex and access as maximal runs.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Weak parts.
-IDENTIFIER = r"""(?i:\b(?:user(?:name)?|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,64})"""
+WEAK = r"""(?i:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|private|access|account|storage|shared|client)_?key|credential)s?(?i:[_-]?(?:access|value))?(?i:[_-]?key)?["']?\x20*[:=]\x20*["']?([^\s"'<>,;]{6,})"""
+IDENTIFIER = r"""(?i:\b(?:user(?:name)?|login|account|client_?id|app_?id|tenant_?id|key_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})"""
 ENDPOINT = r"""(?i:\b(?:https?|ftps?|ssh|amqps?|redis|mongodb|postgres(?:ql)?|mysql|jdbc:[a-z]+))://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"""
 KINDS = ["assign", "access", "hex", "weak_secret", "identifier", "endpoint"]
 SCOPE = 200
 
 
-def near(one: Column, others: Column) -> Column:
-    """Whether an interval of others lies in the scope of one."""
-    return F.exists(others, lambda o: (o["start"] <= one["end"] + SCOPE) & (o["end"] >= one["start"] - SCOPE))
-
-
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, assign, access, hex (base spans), extra (linked weak spans as (start, kind, end))."""
-    none = F.array().cast(f"array<{SPAN}>")
+    none = empty(SPAN)
     low = F.lower("text")
-    keyed = F.lit(False)
-    for word in ("passw", "secret", "token", "apikey", "api_key"):
-        keyed = keyed | low.contains(word)
-    said = F.lit(False)
-    for word in ("user", "login", "account", "client", "access"):
-        said = said | low.contains(word)
+
+    def any_of(*words: str) -> Column:
+        out = F.lit(False)
+        for word in words:
+            out = out | low.contains(word)
+        return out
+
     text = F.col("text")
     found = docs.select(
         "doc_id",
         "text",
-        F.when(keyed, find_all(text, ASSIGN, 2)).otherwise(none).alias("assigned"),
+        F.when(any_of("passw", "secret", "token", "apikey", "api_key"), find_all(text, ASSIGN, 2)).otherwise(none).alias("assigned"),
         F.when(text.contains("AKIA"), find_all(text, ACCESS)).otherwise(none).alias("access"),
         find_all(text, HEX).alias("hex"),
-        F.when(said, find_all(text, IDENTIFIER, 1)).otherwise(none).alias("ids"),
+        F.when(any_of("pass", "pwd", "secret", "token", "key", "credential"), find_all(text, WEAK, 1)).otherwise(none).alias("weak"),
+        F.when(any_of("user", "login", "account", "client", "_id", "keyid", "appid", "tenantid"), find_all(text, IDENTIFIER, 1)).otherwise(none).alias("ids"),
         F.when(text.contains("://"), find_all(text, ENDPOINT)).otherwise(none).alias("ends"),
     )
-    strong = F.filter("assigned", lambda s: F.length(s["part"]) >= 12)
-    weak = F.filter("assigned", lambda s: (F.length(s["part"]) >= 6) & (F.length(s["part"]) < 12))
-
-    def link(p: Column) -> Column:
-        secrets = F.concat(p["strong"], p["weak"], p["access"])
-        keys = F.concat(p["ids"], p["access"])
-        return F.concat(
-            ranked(F.filter(p["weak"], lambda s: near(s, F.concat(keys, p["ends"]))), 3),
-            ranked(F.filter(p["ids"], lambda s: near(s, secrets)), 4),
-            ranked(F.filter(p["ends"], lambda s: near(s, keys) & near(s, secrets)), 5),
-        )
-
-    parts = F.struct(strong.alias("strong"), weak.alias("weak"), F.col("access").alias("access"), F.col("ids").alias("ids"), F.col("ends").alias("ends"))
+    found = found.withColumn("assign", settled(F.filter("assigned", lambda s: F.length(s["part"]) >= 12)))
     lonely = (F.size("ids") + F.size("ends") + F.size("access")) == 0
-    extra = F.when(lonely, F.array().cast("array<struct<start:int,kind:int,end:int>>")).otherwise(let(parts, link))
-    return found.select("doc_id", "text", strong.alias("assign"), "access", "hex", extra.alias("extra"))
+    for part in ("weak", "ids", "ends"):  # nothing to link without keys or endpoints
+        found = found.withColumn(part, settled(F.when(lonely, none).otherwise(F.col(part))))
+    found = apart(found, "weak", F.col("weak"), F.concat("assign", "access", "hex"))
+    secrets, keys = F.concat("assign", "access", "weak"), F.concat("ids", "access")
+    found = near(found, "secrets", F.col("weak"), F.concat("ids", "access", "ends"), SCOPE)
+    found = near(found, "names", F.col("ids"), secrets, SCOPE)
+    found = near(found, "served", F.col("ends"), keys, SCOPE)
+    found = near(found, "places", F.col("served"), secrets, SCOPE)
+    extra = F.concat(ranked(F.col("secrets"), 3), ranked(F.col("names"), 4), ranked(F.col("places"), 5))
+    return found.select("doc_id", "text", "assign", "access", "hex", extra.alias("extra"))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -92,17 +87,6 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     src = docs.select(F.struct(*docs.columns).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     s = secret_spans(src)
     spans = F.sort_array(F.concat(ranked(F.col("assign"), 0), ranked(F.col("access"), 1), ranked(F.col("hex"), 2), F.filter("extra", lambda e: e["kind"] == 3)))
-
-    def rebuild(p: Column) -> Column:
-        def step(state: Column, x: Column) -> Column:
-            fresh = x["start"] >= state["at"]
-            piece = F.when(fresh, F.concat(F.substring(p["text"], state["at"] + 1, x["start"] - state["at"]), F.lit(mask))).otherwise(F.lit(""))
-            return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], F.array(piece)).alias("out"))
-
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(p["spans"], start, step, lambda e: F.concat(F.array_join(e["out"], ""), F.substring(p["text"], e["at"] + 1, F.length(p["text"]))))
-
-    clean = F.when(F.size("spans") == 0, F.col("text")).otherwise(let(F.struct("text", "spans"), rebuild))
-    out = s.select("doc_id", "text", spans.alias("spans"))
-    text = F.when(F.col("doc_id.text").isNull(), F.lit(None).cast("string")).otherwise(clean)
+    out = s.select("doc_id", masked(F.col("text"), spans, mask).alias("text"))
+    text = F.when(F.col("doc_id.text").isNull(), F.lit(None).cast("string")).otherwise(F.col("text"))
     return out.select(*((text if c == "text" else F.col("doc_id")[c]).alias(c) for c in docs.columns)) if keep else out.select(text.alias("text"))

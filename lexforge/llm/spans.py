@@ -1,39 +1,127 @@
 """Spans of regular expressions as native columns: offsets in code points, no Python on executors.
 
-``split`` and ``regexp_extract_all`` see the same leftmost, non-overlapping matches, so the lengths
-of gaps and matches, summed alternately, are the offsets.
+``split`` and ``regexp_extract_all`` see the same leftmost, non-overlapping matches, so the running
+sums of the lengths of gaps and matches are the offsets. Running values are taken block by block, so a
+text with many matches costs about BLOCK steps a match, not one for each match before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, settled
+
+SPAN = "struct<start:int,end:int,text:string,part:string,before:string,after:string>"
+BLOCK = 64
+PIECE = 4096
+
+
+def empty(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def running(values: Column, add: Callable[[Column, Column], Column], zero: Column, kind: str) -> Column:
+    """array<kind> of zero + v0, zero + v0 + v1, ... for an associative add of values of a kind."""
+
+    def scan(xs: Column, start: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            return let(add(s["v"], x), lambda v: F.struct(v.alias("v"), F.concat(s["out"], F.array(v)).cast(f"array<{kind}>").alias("out")))
 
-SPAN = "struct<start:int,end:int,text:string,part:string>"
+        return F.aggregate(xs, F.struct(start.cast(kind).alias("v"), empty(kind).alias("out")), step, lambda s: s["out"])
 
+    def over(v: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: F.slice(v, b * BLOCK + 1, F.lit(BLOCK)))
 
-def find_all(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, text, part>> of all matches; part is the text of the group."""
-    none = F.array().cast(f"array<{SPAN}>")
+        def joined(bs: Column) -> Column:
+            sums = scan(F.transform(bs, lambda xs: F.aggregate(xs, zero.cast(kind), add)), zero)
+            starts = F.concat(F.array(zero.cast(kind)), sums)
+            return let(starts, lambda st: F.flatten(F.transform(bs, lambda xs, b: scan(xs, st[b]))))
 
-    def offsets(m: Column) -> Column:
-        def step(state: Column, i: Column) -> Column:
-            start = state["at"] + F.length(m["gaps"][i])
-            end = start + F.length(m["hits"][i])
-            one = F.struct(start.alias("start"), end.alias("end"), m["hits"][i].alias("text"), m["parts"][i].alias("part"))
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(one).cast(f"array<{SPAN}>")).alias("out"))
+        return let(blocks, joined)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(m["hits"]) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
+    return let(values, lambda v: F.when(F.size(v) == 0, empty(kind)).otherwise(over(v)))
 
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+
+def find_all(text: Column, pattern: str, group: int = 0, context: int = 0) -> Column:
+    """array<struct<start, end, text, part, before, after>> of all matches; part is the text of the
+    group; before and after are up to `context` characters around, next to other matches fewer."""
+
+    def spans(m: Column) -> Column:
+        lengths = F.transform(m["hits"], lambda h, i: F.length(h) + F.length(m["gaps"][i]))
+
+        def placed(ends: Column) -> Column:
+            def one(h: Column, i: Column) -> Column:
+                before = F.right(F.concat(F.when(i > 0, F.right(m["hits"][F.greatest(i - 1, F.lit(0))], F.lit(context))).otherwise(""), m["gaps"][i]), F.lit(context)) if context else F.lit("")
+                after = F.left(m["gaps"][i + 1], F.lit(context)) if context else F.lit("")
+                return F.struct((ends[i] - F.length(h)).alias("start"), ends[i].alias("end"), h.alias("text"), m["parts"][i].alias("part"), before.alias("before"), after.alias("after"))
+
+            return F.transform(m["hits"], one).cast(f"array<{SPAN}>")
+
+        return let(running(lengths, lambda a, b: a + b, F.lit(0), "int"), placed)
 
     def some(h: Column) -> Column:
         parts = h if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        return F.when(F.size(h) == 0, none).otherwise(let(F.struct(h.alias("hits"), F.split(text, pattern, -1).alias("gaps"), parts.alias("parts")), offsets))
+        return F.when(F.size(h) == 0, empty(SPAN)).otherwise(let(F.struct(h.alias("hits"), F.split(text, pattern, -1).alias("gaps"), parts.alias("parts")), spans))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), some)
+
+
+_EDGE = "struct<start:int,other:int,end:int>"
+
+
+def reached(df: DataFrame, out: str, ones: Column, others: Column, reach: int) -> DataFrame:
+    """Adds array<boolean>, for each of ones (by rising start): whether one of others lies within
+    `reach` characters of it; -1: whether one overlaps it. One sort and two running values. Empty if
+    either is. Steps are columns of their own, as nested functions of this depth resolve slowly."""
+    edge = lambda kind: lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("other"), s["end"].alias("end"))
+    every = F.sort_array(F.concat(F.transform(ones, edge(0)), F.transform(others, edge(1))).cast(f"array<{_EDGE}>"))
+    df = df.withColumn("_edges", settled(F.when((F.size(ones) == 0) | (F.size(others) == 0), empty(_EDGE)).otherwise(every)))
+    ends = F.transform("_edges", lambda x: F.when(x["other"] == 1, x["end"]))
+    starts = F.transform(F.reverse("_edges"), lambda x: F.when(x["other"] == 1, x["start"]))
+    df = df.withColumn("_last", settled(running(ends, lambda a, b: F.greatest(a, b), F.lit(None), "int")))
+    df = df.withColumn("_first", settled(F.reverse(running(starts, lambda a, b: F.least(a, b), F.lit(None), "int"))))
+    last, first, no = F.col("_last"), F.col("_first"), F.lit(False)
+    flag = lambda x, i: F.when(x["other"] == 0, F.coalesce(last[i] >= x["start"] - reach, no) | F.coalesce(first[i] <= x["end"] + reach, no))
+    return df.withColumn(out, settled(F.filter(F.transform("_edges", flag), lambda x: x.isNotNull()))).drop("_edges", "_last", "_first")
+
+
+def near(df: DataFrame, out: str, ones: Column, others: Column, reach: int) -> DataFrame:
+    """Adds those of ones that one of others lies within reach of."""
+    df = reached(df, "_flags", ones, others, reach)
+    return df.withColumn(out, settled(F.filter(ones, lambda s, i: F.get(F.col("_flags"), i)))).drop("_flags")
+
+
+def apart(df: DataFrame, out: str, ones: Column, others: Column) -> DataFrame:
+    """Adds those of ones that none of others overlaps."""
+    df = reached(df, "_flags", ones, others, -1)
+    return df.withColumn(out, settled(F.filter(ones, lambda s, i: ~F.coalesce(F.get(F.col("_flags"), i), F.lit(False))))).drop("_flags")
+
+
+def masked(text: Column, spans: Column, mask: str) -> Column:
+    """The text with spans (by rising start) masked, overlapping ones together."""
+
+    def piece(p: Column, start: Column, length: Column) -> Column:
+        """substring, by way of fixed pieces of the text: a place far behind isn't counted up to anew."""
+        k = F.floor(start / PIECE).cast("int")
+        two = F.concat(F.get(p["pieces"], k), F.coalesce(F.get(p["pieces"], k + 1), F.lit("")))
+        return F.when(length <= 0, "").when(length <= PIECE, F.substring(two, start - k * PIECE + 1, length)).otherwise(F.substring(p["text"], start + 1, length))
+
+    def rebuild(p: Column) -> Column:
+        def out(last: Column) -> Column:
+            def one(s: Column, i: Column) -> Column:
+                at = F.when(i > 0, last[F.greatest(i - 1, F.lit(0))]).otherwise(0)
+                return F.when(s["start"] >= at, F.concat(piece(p, at, s["start"] - at), F.lit(mask))).otherwise("")
+
+            end = last[F.size(last) - 1]
+            return F.concat(F.array_join(F.transform(p["spans"], one), ""), F.substring(p["text"], end + 1, F.length(p["text"])))
+
+        return let(running(F.transform(p["spans"], lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0), "int"), out)
 
-    return let(hits, some)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda k: F.substring(text, k * PIECE + 1, F.lit(PIECE)))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(text.alias("text"), spans.alias("spans"), pieces.alias("pieces")), rebuild))
 
 
 def ranked(spans: Column, kind: int) -> Column:
