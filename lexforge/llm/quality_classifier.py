@@ -6,9 +6,13 @@ NeurIPS 2017)
 
     pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))
 
-with the sigmoid loss. The class prior pi is estimated as the share of quality 1 among all labelled
-training rows (counted over all of them; 0.5 without any). Features are shares of byte classes,
-word and line lengths and repetition, taken from whole texts.
+with the sigmoid loss. The class prior pi of the unlabelled set is estimated from positives and
+unlabelled rows alone, by best bin estimation (Garg et al., NeurIPS 2021): a classifier that tells
+the two samples apart is fitted on one half of each; on the other half, the smallest ratio of the
+unlabelled rows' share above a score to the positives' share above it, with its confidence margin,
+names the score; the ratio there is pi, as few negatives score higher than the best positives.
+Labelled negatives are used as unlabelled rows only. Features are shares of byte classes, word and
+line lengths and repetition, taken from whole texts.
 
 Bounds: the fit takes at most about `SAMPLE` rows a side, chosen by a hash of the doc_id, as rows
 of 16 floats; the model is a few KB. Scoring is one map over the texts, without a shuffle.
@@ -19,6 +23,8 @@ Null and empty texts get the score that their features give. Without positives e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,8 +62,9 @@ def _rows(batches):
         yield pa.record_batch([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], names=["doc_id", "x"])
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> dict:
-    """Weights of the network that minimises the non-negative risk, by full-batch Adam."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> dict:
+    """Weights of the network that minimises the non-negative risk, by full-batch Adam; a prior of
+    None: of the network that tells positives from unlabelled rows, by the logistic loss."""
     both = np.vstack([positive, unlabelled])
     mean, scale = both.mean(0), both.std(0) + 1e-6
     xp, xu = ((x - mean) / scale for x in (positive, unlabelled))
@@ -72,8 +79,10 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> dict:
     for step in range(1, STEPS + 1):
         (hp, sp), (hu, su) = forward(xp), forward(xu)
         # sigmoid loss: l(+) = 1 - s, l(-) = s
-        negative = su.mean() - prior * sp.mean()
-        if negative >= 0:  # the risk as it is
+        negative = 0.0 if prior is None else su.mean() - prior * sp.mean()
+        if prior is None:
+            gp, gu = (sp - 1) / len(sp), su / len(su)
+        elif negative >= 0:  # the risk as it is
             gp, gu = -2 * prior * sp * (1 - sp) / len(sp), su * (1 - su) / len(su)
         else:  # climb back from a negative estimate
             gp, gu = prior * sp * (1 - sp) / len(sp), -su * (1 - su) / len(su)
@@ -98,26 +107,39 @@ def predict(model: dict | None, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(h @ w[2] + w[3], -30, 30)))
 
 
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, margin: float = 0.01, doubt: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, by best bin estimation. Halves are by place, so
+    rows must come in an order that says nothing, as that of a hash."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    model = fit(positive[::2], unlabelled[::2], None)
+    p, u = (np.sort(predict(model, x[1::2])) for x in (positive, unlabelled))
+    at = np.unique(np.concatenate([p, u]))
+    above = lambda x: 1 - np.searchsorted(x, at, "left") / len(x)
+    share_p, share_u = above(p), above(u)
+    ok = share_p > 0
+    noise = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (p, u))
+    best = np.argmin((share_u[ok] + (1 + margin) * noise) / share_p[ok])
+    return float(np.clip(share_u[ok][best] / share_p[ok][best], 0.02, 0.98))
+
+
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, remainder: int = 0) -> dict | None:
     """The model, from rows that aren't held out."""
-    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality is not null").filter(~held_out(modulus, remainder)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality = 1").filter(~held_out(modulus, remainder)).select("doc_id").distinct()
     marks = cut(marks)
-    n, good = marks.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("int"))).first()
+    good = marks.count()
     if not good:
         return None
-    positive_ids = cut(bounded_sample(marks.filter("quality = 1"), "doc_id", SAMPLE, 1, good).select("doc_id"))
+    positive_ids = cut(bounded_sample(marks, "doc_id", SAMPLE, 1, good))
     trainable = docs.filter("doc_id is not null").filter(~held_out(modulus, remainder))
     # The ids of at most about SAMPLE positives; the unlabelled rows are picked by hash before any text moves.
     positive = trainable.join(F.broadcast(positive_ids), "doc_id", "left_semi")
-    total = trainable.count()
-    unlabelled = bounded_sample(trainable, "doc_id", SAMPLE, 2, total).join(marks.filter("quality = 1").select("doc_id"), "doc_id", "left_anti")
-    rows = [part.select("doc_id", F.col("text").cast("binary")).mapInArrow(_rows, "doc_id bigint, x array<double>").collect() for part in (positive, unlabelled)]
+    unlabelled = bounded_sample(trainable, "doc_id", SAMPLE, 2, trainable.count()).join(marks, "doc_id", "left_anti")
+    rows = [part.select(F.xxhash64(F.lit(9), "doc_id").alias("doc_id"), F.col("text").cast("binary")).mapInArrow(_rows, "doc_id bigint, x array<double>").collect() for part in (positive, unlabelled)]
     xp, xu = (np.array([r.x for r in sorted(part)]).reshape(-1, N_FEATURES) for part in rows)
     if not len(xp) or not len(xu):
         return None
-    # The known positives were set apart from the unlabelled rows, so their share leaves the prior there.
-    known = good / max(total, good + 1)
-    return fit(xp, xu, float(np.clip((good / n - known) / (1 - known), 0.05, 0.98)))
+    return fit(xp, xu, estimate_prior(xp, xu))
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -141,13 +163,14 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, with their columns, that the classifier doesn't reject; no row moves."""
+    """The documents, with their columns, that the classifier doesn't reject; no row moves, and only
+    texts go to Python."""
     small_batches(docs.sparkSession)
-    model, at = train(narrow(docs), labels), docs.columns.index("text")
+    model = train(narrow(docs), labels)
 
-    def run(batches):
-        for batch in batches:
-            x = np.array([features((t.as_py() or "").encode()) for t in batch.column(at)]).reshape(-1, N_FEATURES)
-            yield batch.filter(pa.array(predict(model, x) >= THRESHOLD))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            x = np.array([features((t.as_py() or "").encode()) for t in texts]).reshape(-1, N_FEATURES)
+            yield pa.array(predict(model, x) >= THRESHOLD)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(F.arrow_udf(run, "boolean")(docs["text"].cast("string")))
