@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +128,25 @@ def test_near_duplicates_lose_no_link(spark):
     assert {r.doc_id: r.component_id for r in got} == brute_groups(texts, 3, 85)
 
 
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    """Classes, buckets, centres and hubs are hot from a few rows on, blocks are small."""
+    for name, value in (("HOT_ROWS", 3), ("HOT_SHARE", 20), ("BLOCK", 4)):
+        monkeypatch.setattr(near_dedup, name, value)
+    texts = near_copies(4, 90) | {2000 + i: "the very same text of some words for many rows " * 3 for i in range(30)}
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), DOCS), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute_groups(texts, 3, 85)
+
+
+def test_null_and_repeated_ids(spark):
+    text, other = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen"
+    rows = [(1, text), (None, text), (None, text), (None, None), (2, text), (2, other), (2, other), (3, other), (4, None), (4, "")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85).collect())
+    d = spark.createDataFrame([(text,), (other,)], "text string").select("text", F.xxhash64("text").alias("h")).orderBy("h").first()
+    two = (2, 6, 1, False) if d.text == text else (2, 4, 2, True)
+    three = (3, 4, 3, True) if d.text == text else (3, 4, 2, False)
+    assert got == [(0, 0, None, True), (0, 6, None, True), (0, 6, None, True), (1, 6, 1, True), two, three, (4, 0, 4, True)]
+
+
 # --- op2 ---------------------------------------------------------------------------------------
 
 
@@ -311,15 +331,80 @@ def test_boosted_trees_separate():
     x = r.integers(0, 4, (300, 3))
     good = (x[:, 0] >= 2) & (x[:, 1] < 2)
     m = pii.boost(x, 5.0 * good, 5.0 * ~good)
-    f = np.full(300, m["start"])
-    for j, c, *sides in m["trees"]:
-        for row, (k, v) in enumerate(zip(x[:, j] >= c, x, strict=True)):
-            a, cut, lo, hi = sides[int(k)]
-            f[row] += lo if v[a] < cut else hi
-    chosen = f >= m["least"]
+    f = pii.scores(m, x)
+    chosen = f >= pii.calibrated(f, 5.0 * good, np.full(300, 5.0))
     assert chosen[good].all() and good[chosen].mean() >= pii.PRECISION
 
 
+def spelled(r):
+    """Personal data that no base pattern matches, one of each spelling."""
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(3, 9)))
+    card = d(15)
+    card += next(c for c in "0123456789" if luhn(card + c))
+    octets = [str(r.randrange(1, 256)) for _ in range(4)]
+    return [f"{name()}.{name()} [at] {name()}.com", f"{name()}(at){name()}.org", f"{name()} [at] {name()} [dot] net", f"{name()}{d(2)} @ {name()}.co.uk", f"({d(3)}) {d(3)}-{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"00{r.randrange(20, 60)} {d(2)} {d(4)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", ".".join(card[k : k + 4] for k in range(0, 16, 4)), "[.]".join(octets), " . ".join(octets)]
+
+
+def test_personal_data_that_base_misses(spark):
+    """Recall of planted spellings, and clean documents left alone."""
+    r = random.Random(7)
+    plain = [(x.doc_id, x.text or "") for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rows, planted = [], {}
+    for i, t in plain:
+        w = " ".join(t.split()[:200])
+        rows.append((2 * i, w))
+        for k, x in enumerate(spelled(r)):
+            before = f"{w[:60]} {r.choice(['call', 'mail', 'and', 'reach me at', 'the', 'from'])} "
+            planted[1_000_000 + 100 * i + k] = (len(before), len(before) + len(x), x)
+            rows.append((1_000_000 + 100 * i + k, f"{before}{x} {r.choice(['or', 'and', 'then'])} {w[60:120]}"))
+    model = pii.fit(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    got = {x.doc_id: x for x in pii.pii_spans(spark.createDataFrame(rows, DOCS), model).select("doc_id", "base", "extra").collect()}
+    met = {i: any(s.start < b and s.end > a for s in [*got[i].extra, *got[i].base]) for i, (a, b, _) in planted.items()}
+    by = [np.mean([met[i] for i in planted if i % 100 == k]) for k in range(11)]
+    assert np.mean(by) >= 0.9 and min(by) >= 0.8, " ".join(f"{x:.2f}" for x in by)
+    assert np.mean([len(got[2 * i].extra) > 0 for i, _ in plain]) <= 0.02
+
+
+def test_trees_and_candidates_equal_columns(spark):
+    texts_ = [f"so {x} it" for seed in range(8) for x in spelled(random.Random(seed))] + pii.OTHERS + TRICKY
+    d = spark.createDataFrame(list(enumerate(texts_)), DOCS)
+    model = pii.fit(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    c = pii.with_candidates(pii.base_spans(d)).select("doc_id", F.explode(F.concat("c0", "c1")).alias("c")).select("doc_id", "c.*", pii.compiled(model, F.col("c.f")).alias("score")).collect()
+    assert np.allclose([x.score for x in c], pii.scores(model, np.array([x.f for x in c])))
+    for gen, pattern in enumerate((pii.EMAIL_LIKE.replace(r"\G|", "").replace(r"(?<!(?i:dot)\x20?[\])}]\x20?)", ""), pii.NUMBER_LIKE)):
+        for i, t in enumerate(texts_):
+            assert [(x.start, x.end) for x in c if x.doc_id == i and x.kind == 4 + gen] == [m.span() for m in re.finditer(pattern, t)], t
+    chosen = {(x.doc_id, x.start) for x in c if not x.hit and x.score >= model["least"][x.kind - 4]}
+    extra = {(x.doc_id, s.start) for x in pii.pii_spans(d, model).collect() for s in x.extra}
+    assert extra <= chosen and len(extra) > 20
+
+
+@pytest.mark.parametrize("one", ["deadbeefdeadbeef ", "a@b.cd ", "+1 (017) 555-7713 ", "user: bob password=hunter22 https://h.example.com "])
+def test_texts_of_many_matches(spark, one):
+    """A fifth of a megabyte of matches takes seconds: offsets grow no square."""
+    import time
+
+    n = 200_000 // len(one)
+    d, began = spark.createDataFrame([(1, one * n)], DOCS), time.time()
+    spans = (pii.find_pii if "@" in one or "+" in one else secret_scan.scan_secrets)(d).first().spans
+    masked = secret_scan.redact_secrets(d).first().text
+    assert spans.count(",") >= n - 1 and time.time() - began < 60
+    if "dead" in one or "pass" in one:
+        assert masked.count("[SECRET]") == n and masked.endswith("[SECRET] " if "dead" in one else "example.com ")
+
+
+def test_linked_parts_of_real_shapes(spark):
+    """Weak parts in configuration texts are linked; the same parts alone are not."""
+    shapes = [
+        'DB_USER=app\nDB_HOST=x\nDB_PASSWORD="s3cr3t!1"', "username: admin\npwd: changeme9\n", "client_id = 8841\nclient_secret = a1b2c3d4", '{"login": "svc", "credential": "p@ss-w0rd"}', "jdbc:mysql://db.example.com:3306/x\npassword=tiger12 ", "account_key: Zm9vYmFy\nhttps://store.example.com/blob",
+    ]
+    alone = ["the password: changeme9 was weak", "see https://store.example.com/blob for it", "user: bob went home", "token = short7", "client_id = 8841"]
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(shapes + alone)), DOCS)).collect()}
+    assert all("weak_secret" in got[i].spans or "assign" in got[i].spans for i in range(len(shapes))), [got[i].spans for i in range(len(shapes))]
+    assert all(got[len(shapes) + i].n_linked == 0 for i in range(len(alone)))
+
+
 # --- op6 ---------------------------------------------------------------------------------------
 
 
@@ -334,15 +419,16 @@ def test_contamination(spark):
         assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(d, items, limit).collect()) == [(1, 7), (2, 7)]
 
 
+def held(index, *texts):
+    return [m[:2] for m in index.matches(pa.array(texts))]
+
+
 def test_slots_must_be_consistent():
     item = "swap 11 with 22 now please then swap 11 with 22 again my dear friend and 11 beats 22 in this odd little game"
     index = decontaminate.Index([(1, item)])
-    canon = decontaminate.Canon()
-    same = item.replace("11", "71").replace("22", "72")
-    assert [m[0] for m in index.matches(*decontaminate.canonical(canon, same))] == [1]
     numbers = iter("31 32 33 34 35 36".split())
     loose = re.sub(r"\d\d", lambda _: next(numbers), item)
-    assert not list(index.matches(*decontaminate.canonical(canon, loose)))
+    assert held(index, "", item.replace("11", "71").replace("22", "72"), loose, item) == [(1, 1), (3, 1)]
 
 
 def test_decontamination_finds_exact_copies(spark):
@@ -353,6 +439,81 @@ def test_decontamination_finds_exact_copies(spark):
         assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b, limit).collect()) == [(k, k) for k in (1, 2, 3, 4)]
 
 
+def test_one_item_id_may_have_several_texts(spark):
+    a, b = "the first question asks who built the tall tower of the town", "a second text under the same id asks about a river and its bridges"
+    items = spark.createDataFrame([(1, a), (1, b), (1, b), (2, b)], "item_id long, text string")
+    d = spark.createDataFrame([(1, f"so {a}"), (2, f"so {b}"), (3, f"{a}. {b}"), (3, f"{b} again"), (4, "nothing of the kind")], DOCS)
+    want = [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2)]
+    got = [sorted(tuple(r) for r in decontaminate.contaminated(d, items, limit).collect()) for limit in (decontaminate.BROADCAST_ROWS, 0)]
+    assert [r[:2] for r in got[0]] == want and got[0] == got[1]
+
+
+def canonical_by_hand(text):
+    """(codes, exact words): placeholders as N, C, U, else the lower-cased word."""
+    codes, exact, start = [], [], True
+    for line in text.split("\n"):
+        start = True
+        for w in line.split():
+            core, ends = w.strip(decontaminate._EDGE), w.rstrip("\"'”’)»")[-1:] in (".", "!", "?", ":")
+            if not core:
+                start = start or ends
+                continue
+            if re.fullmatch(r"[+-]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?", core):
+                codes.append("N")
+            elif core.lower() in decontaminate.UNITS and len(core) > 1:
+                codes.append("U")
+            else:
+                codes.append("C" if not start and core[0].isupper() and core[1:].islower() and core.isalpha() else core.lower())
+            exact.append(core.lower())
+            start = ends
+    return codes, exact
+
+
+def brute_matches(docs, items):
+    """(text's number, item) pairs: every window of every item looked for in every text."""
+    out = set()
+    forms = {i: canonical_by_hand(t) for i, t in items}
+    for d, t in enumerate(docs):
+        mine = canonical_by_hand(t)
+        for i, other in forms.items():
+            for form in (0, 1):
+                w = 5 if not form else min(5, len(other[1]))
+                cut = lambda x, w=w, form=form: {tuple(x[k : k + w]): k for k in range(len(x) - w + 1) if form or sum(c not in "NCU" for c in x[k : k + w]) >= 3}
+                want, have = cut(other[form]), cut(mine[form])
+                if w and want and len(want.keys() & have.keys()) >= 0.8 * len(want):
+                    shift = [k - want[x] for x in want for k in range(len(mine[form]) - w + 1) if tuple(mine[form][k : k + w]) == x]
+                    s = max(set(shift), key=shift.count)
+                    pairs = {}
+                    for x in want:
+                        if tuple(mine[form][want[x] + s : want[x] + s + w]) == x and want[x] + s >= 0:
+                            for p in range(want[x], want[x] + w):
+                                if other[0][p] in "NCU":
+                                    pairs.setdefault(p, (other[1][p], mine[1][p + s]))
+                    by = {}
+                    for a, b in pairs.values():
+                        by.setdefault(a, []).append(b)
+                    same = sum(max(v.count(x) for x in v) for v in by.values())
+                    if form or not pairs or same >= 0.8 * len(pairs):
+                        out.add((d, i))
+    return out
+
+
+def test_contamination_equals_brute_force():
+    r = random.Random(11)
+    words = "the a Town river House 12 7.5 km Anna Peter runs over under and. bridge? old new USD kg tower stands there: where".split()
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(i, say(r.choice([1, 3, 4, 6, 12, 25]))) for i in range(30)]
+    docs = []
+    for _ in range(150):
+        t = r.choice(items)[1].split()
+        for _ in range(r.choice([0, 0, 1, 2])):
+            t[r.randrange(len(t))] = r.choice(words)
+        docs.append(say(r.randrange(30)) + r.choice([" ", "\n", " -- "]) + " ".join(t) + r.choice([" ", ". "]) + say(r.randrange(20)))
+    got = set(held(decontaminate.Index(items), *docs))
+    want = brute_matches(docs, items)
+    assert len(want) > 100 and got == want
+
+
 # --- op9 ---------------------------------------------------------------------------------------
 
 
@@ -403,6 +564,44 @@ def test_pack_balances_cost():
     assert np.std(whole) / np.mean(whole) < 0.15
 
 
+def naive_pack(lengths, capacity):
+    """Each step looks at every queued piece and every sequence."""
+    whole, rest = divmod(sum(lengths), capacity)
+    caps = [capacity] * whole + [1 << b for b in reversed(range(12)) if rest >> b & 1]
+    left, cost, queue, out = list(caps), [0.0] * len(caps), [(n, d, 0) for d, n in enumerate(lengths) if n], []
+    while queue:
+        n, d, start = max(queue, key=lambda q: (q[0], -q[1], -q[2]))
+        queue.remove((n, d, start))
+        room = [k for k in range(len(caps)) if left[k] >= min(n, capacity)] or [k for k in range(len(caps)) if left[k]]
+        k = min(room, key=lambda k: (cost[k], k))
+        take = min(n, left[k])
+        out.append((d, start, take, k, caps[k] - left[k]))
+        left[k] -= take
+        cost[k] += packing.LINEAR * take + packing.QUADRATIC * take * take
+        if take < n:
+            queue.append((n - take, d, start + take))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_pack_takes_the_lowest_cost(seed):
+    r = random.Random(seed)
+    lengths = [r.choice([1, 1, r.randrange(1, 60), r.randrange(1, 400)]) for _ in range(r.choice([0, 1, 40, 150]))]
+    assert packing.pack(lengths, 128) == naive_pack(lengths, 128)
+
+
+def test_other_tokenizers_get_whole_texts(spark):
+    import pathlib
+
+    from tokenizers import Tokenizer
+
+    path = str(pathlib.Path(packing.tokenizer_path()).with_name("byte_bpe_50k.json"))
+    t, rows = Tokenizer.from_file(path), [(1, "Two  Words\n here"), (2, None), (3, "x" * 3000)]
+    got = packing.pack_documents(spark.createDataFrame(rows, DOCS), path).collect()
+    want = {i: len(t.encode(x or "", add_special_tokens=False).ids) + 1 for i, x in rows}
+    assert {i: sum(r.length for r in got if r.doc_id == i) for i in want} == want == {r.doc_id: r.doc_tokens for r in got}
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 
@@ -426,3 +625,38 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     packed = pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+STAGE_ROWS = [(1, None, "a"), (2, "", "b"), (3, "same words of a text " * 9, None), (3, "same words of a text " * 9, "c"), (4, "same words of a text " * 9, "d"), (None, "same words of a text " * 9, "e"), (None, None, "f"), (5, LONG, "g"), (6, 'key token = "abcdefghijklmnop" \x00 é😀', "h")]
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_take_awkward_rows(spark, tmp_path, k):
+    """Nulls, empties, repeats, long texts, clashing columns and empty tables, stage by stage."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(1, 1, 0), (4, None, None), (None, 1, 1)], LABELS).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "x"), (2, "key token of a benchmark item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = [F.lit(c).alias(c) for c in ("_gone", "_row", "_id", "_tk", "tk", "kept", "score", "spans", "a", "b", "rep", "n")]
+    docs = spark.createDataFrame(STAGE_ROWS, "doc_id long, text string, source string").select("doc_id", "text", "source", *extra)
+    name, stage = pipeline.STAGES[k]
+    for d in (docs, docs.limit(0)):
+        out = stage(spark, d, str(tmp_path))
+        rows, full = out.collect(), d.limit(1).count()
+        if not full:
+            assert rows == []
+        elif name == "packing":
+            assert sorted({r.doc_id or 0 for r in rows}) == [0, 1, 2, 3, 4, 5, 6]
+        else:
+            assert out.columns == d.columns
+            ids = sorted(r.doc_id or 0 for r in rows)
+            assert ids == ([0, 0, 1, 2, 3, 5, 6] if name == "MinHash near-dedup" else sorted(r[0] or 0 for r in STAGE_ROWS) if name != "quality classifier" else ids)
+            by = {(r[0], r[2]): r[1] for r in STAGE_ROWS}
+            assert all(r.text == by[r.doc_id, r.source] or (name == "secret scans" and r.doc_id == 6 and "[SECRET]" in r.text) for r in rows)
+
+
+def test_prior_is_that_of_the_unlabelled():
+    r = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.8):
+        rows = lambda n, good: r.normal(np.where(np.arange(16) < 4, 3.0 * good, 0.0), 1, (n, 16))
+        u = np.vstack([rows(int(6000 * share), 1), rows(6000 - int(6000 * share), 0)])
+        assert abs(quality_classifier.estimate_prior(rows(3000, 1), r.permutation(u)) - share) < 0.06
