@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm.common import cut, table, written
+from lexforge.llm.common import cut, drop_written, narrow, table, tables_written, written
 from lexforge.llm.decontaminate import contaminated
-from lexforge.llm.near_dedup import BROADCAST_IDS, near_duplicates
+from lexforge.llm.near_dedup import BROADCAST_IDS, near_duplicates, one_text_each, text_key
 from lexforge.llm.packing import pack_documents
 from lexforge.llm.quality_classifier import keep_quality
 from lexforge.llm.secret_scan import redact_secrets
@@ -32,9 +32,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest doc_id stays."""
+    """Of each group of near copies the document of the smallest doc_id stays; of rows under one id,
+    one with the text that stands for it. Rows without an id stay."""
     groups = near_duplicates(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    return without(docs, groups.filter(~F.col("kept")))
+    kept = without(docs, groups.filter(~F.col("kept")))
+    again = one_text_each(text_key(narrow(docs)).select("doc_id", "tk"))
+    if again is None:
+        return kept
+    keyed = kept.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_tk"))
+    one = keyed.join(again.toDF("_id", "_tk"), ["_id", "_tk"], "left_semi").dropDuplicates(["_id"])
+    return keyed.join(again.select(F.col("doc_id").alias("_id")), "_id", "left_anti").select("_row.*").unionByName(one.select("_row.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,9 +73,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), tables_written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs)
+            drop_written(before, last=False)  # what the stages so far wrote isn't read again
     return docs
