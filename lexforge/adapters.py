@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .operators.index import Index, stored
+from .storage import kept
+
 CHUNK = 6000
 
 DOCS_SQL = """docs AS (
@@ -60,6 +63,18 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("document_id", F.col("i").cast("bigint").alias("chunk_index"), F.concat_ws(":", F.col("document_id").cast("string"), F.col("i").cast("string")).alias("chunk_id"), F.substring("body", F.col("i") * CHUNK + 1, F.lit(CHUNK)).alias("body"))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the chunks."""
+    d = docs(spark, sf_dir).select("document_id", "kind", "source", "lang", "valid_from", "valid_to")
+    return stored(chunks(spark, sf_dir).join(d, "document_id"), sf_dir)
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks in order of their documents, so that a few are read without the rest."""
+    c = chunks(spark, sf_dir)
+    return kept(c.repartitionByRange("document_id").sortWithinPartitions("document_id", "chunk_index"), "chunks", sf_dir)
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("family"), F.col("o_orderkey").alias("version_id"), F.col("o_orderdate").cast("date").alias("valid_from"), F.col("o_totalprice").alias("amount"), F.col("o_orderpriority").alias("label"))
     return o.withColumn("valid_to", F.lead("valid_from").over(W.partitionBy("family").orderBy("valid_from", "version_id")))

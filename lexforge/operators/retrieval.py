@@ -1,22 +1,25 @@
 """Lexical, dense and hybrid retrieval: top-k engines over chunk tables.
 
-Scale. Only the query's terms survive the tokeniser's explode, so the shuffle of BM25 carries one
-row per (chunk, query term) instead of the whole inverted index; its collection statistics are one
-partially aggregated row. Dense retrieval is a scan with a top-k per task. A global rank is taken
-after the limit, so no window sees more than k rows.
+Scale. BM25 reads the stored index's buckets of the query's terms (`index`), filters postings by the
+columns that stand in them, and shuffles one row per (chunk, query term); `bm25_scores` states the
+formula over a chunk table. Dense retrieval is a scan with a top-k per task, or of the stored cells
+nearest to the query. A global rank is taken after the limit, so no window sees more than k rows.
 """
 
 from __future__ import annotations
 
+import json
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions.text import TOKEN, snippet, tokens
+from .index import K1, B, Index
 
-K1, B = 1.5, 0.75
 RRF_K, LEXICAL_WEIGHT, DENSE_WEIGHT = 60, 1.0, 0.3
 POOL_FACTOR = 4
 
@@ -56,12 +59,10 @@ def bm25_scores(chunks: DataFrame, terms: list[str], folded: bool = False) -> Da
     return x.groupBy("chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def lexical_topk(chunks: DataFrame, documents: DataFrame, terms: list[str], limit: int, keep: Column | None = None) -> DataFrame:
+def lexical_topk(index: Index, terms: list[str], limit: int, keep: Column | None = None) -> DataFrame:
     """chunk_id, document_id, score, rank: filters first, then the best `limit`."""
-    d = documents if keep is None else documents.filter(keep)
-    scored = bm25_scores(chunks, terms).join(chunks.select("chunk_id", "document_id"), "chunk_id").join(d.select("document_id"), "document_id", "left_semi")
     order = [F.desc("score"), F.asc("chunk_id")]
-    return numbered(scored.orderBy(*order).limit(limit), order).select("chunk_id", "document_id", "score", "rank")
+    return numbered(index.scores(terms, keep).orderBy(*order).limit(limit), order).select("chunk_id", "document_id", "score", "rank")
 
 
 def distance(embedding: Column, query: list[float]) -> Column:
@@ -93,10 +94,18 @@ def rrf_fuse(lexical: DataFrame, dense: DataFrame, weights: tuple[float, float]
 
 
 def rrf_weights(lexical: float | None = None, dense: float | None = None) -> tuple[float, float]:
-    """Given weights or the defaults; they must be finite and not negative."""
+    """Given weights, else those of the environment, else the defaults; they must be finite and not negative."""
     import math
 
-    out = (LEXICAL_WEIGHT if lexical is None else lexical, DENSE_WEIGHT if dense is None else dense)
+    def level(given: float | None, name: str, default: float) -> float:
+        if given is not None:
+            return given
+        try:
+            return float(os.environ.get(name, default))
+        except ValueError as e:
+            raise ValueError(f"bad_input: {name} is no number") from e
+
+    out = (level(lexical, "LEXFORGE_RRF_LEXICAL_WEIGHT", LEXICAL_WEIGHT), level(dense, "LEXFORGE_RRF_DENSE_WEIGHT", DENSE_WEIGHT))
     if not all(math.isfinite(w) and w >= 0 for w in out):
         raise ValueError("bad_input: a fusion weight must be finite and at least 0")
     return out
@@ -159,6 +168,11 @@ def implied_rank(score: float) -> int:
     return max(0, round(1 / score) - RRF_K) if score > 0 else 0
 
 
+def fanout_depth(cursor_score: float | None, page: int) -> int:
+    """Rows that each arm of a fan-out needs for the page after a cursor, and one to tell of more."""
+    return (implied_rank(cursor_score) if cursor_score is not None else 0) + page + 1
+
+
 def authority_tier(source: Column, publication: Column) -> tuple[Column, Column]:
     """(tier, whether the publication marker is missing where one is expected)."""
     p = F.lower(publication)
@@ -202,20 +216,40 @@ def ivfflat_probes(lists: int, asked: int | None = None) -> int:
     return asked or min(4096, max(1, int(lists**0.5)))
 
 
-def ivf_build(vectors: DataFrame, lists: int, seed: int = 1) -> tuple[DataFrame, list]:
-    """Vectors with the cell of their nearest centroid, and the centroids (lists * dimensions floats)."""
+def ivf_build(vectors: DataFrame, expected: DataFrame, path: str, lists: int, fingerprint: str, seed: int = 1) -> dict:
+    """Stores vectors (document_id, embedding, ...) by the cell of their nearest centroid, a folder a
+    cell, and a manifest of the centroids and stamps. expected(document_id): what must have a vector;
+    a missing one fails the build. The manifest comes last, so a broken build has none."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    spark = vectors.sparkSession
+    missing = expected.select("document_id").join(vectors, "document_id", "left_anti").count()
+    if missing:
+        raise ValueError(f"dense_rebuild: {missing} embeddings are missing")
     v = vectors.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
     model = KMeans(k=lists, seed=seed, maxIter=10).fit(v)
-    return model.transform(v).withColumnRenamed("prediction", "cell").drop("features"), [list(map(float, c)) for c in model.clusterCenters()]
-
-
-def ivf_search(cells: DataFrame, centroids: list, query: list[float], limit: int, probes: int) -> DataFrame:
-    """dense_topk over the cells of the nearest centroids."""
-    by = sorted(range(len(centroids)), key=lambda k: sum((a - b) ** 2 for a, b in zip(centroids[k], query, strict=True)))
-    return dense_topk(cells.filter(F.col("cell").isin(by[:probes])), query, limit, pool=1)
+    model.transform(v).withColumnRenamed("prediction", "cell").drop("features").repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+    centres = [list(map(float, c)) for c in model.clusterCenters()]
+    manifest = {"lists": len(centres), "probes": ivfflat_probes(len(centres)), "fingerprint": fingerprint, "dimension": len(centres[0]), "rows": vectors.count(), "centroids": centres}
+    storage.swap_text(spark, f"{path}/MANIFEST.json", json.dumps(manifest))
+    return manifest
+
+
+def ivf_manifest(spark, path: str) -> dict | None:
+    text = storage.read_text(spark, f"{path}/MANIFEST.json")
+    return None if text is None else json.loads(text)
+
+
+def ivf_search(spark, path: str, query: list[float], limit: int, probes: int | None = None, fingerprint: str | None = None) -> DataFrame:
+    """dense_topk over the stored cells of the nearest centroids: other cells' folders aren't read.
+    probes: of the request, else of the manifest."""
+    m = ivf_manifest(spark, path)
+    if m is None or (fingerprint is not None and m["fingerprint"] != fingerprint):
+        raise ValueError("fingerprint_mismatch: no cells of this fingerprint are stored")
+    by = sorted(range(m["lists"]), key=lambda k: sum((a - b) ** 2 for a, b in zip(m["centroids"][k], query, strict=True)))
+    cells = spark.read.parquet(f"{path}/cells").filter(F.col("cell").isin(by[: probes or m["probes"]]))
+    return dense_topk(cells, query, limit, pool=1)
 
 
 def with_snippet(df: DataFrame) -> DataFrame:

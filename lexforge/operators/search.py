@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import retrieval as R
+from .index import Index
 
 _INTENT = re.compile(r"(?i)^(?P<prefix>.*)\barticle\s+(?P<number>(?:[LRD][.\s]*)?\d[\w.-]*)(?P<rest>.*)$", re.S)
 _DATE = re.compile(r"en vigueur au (\d{4}-\d{2}-\d{2})")
@@ -56,7 +57,7 @@ def validate(r: Request, fingerprint: str | None) -> None:
     R.rrf_weights(*r.weights)
 
 
-def search(r: Request, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, fingerprint: str | None = None) -> Response:
+def search(r: Request, documents: DataFrame, index: Index, vectors: DataFrame, fingerprint: str | None = None) -> Response:
     """Routes citation-shaped hybrid queries to the exact resolver, others to retrieval; one row more
     than a page tells whether a next page exists."""
     validate(r, fingerprint)
@@ -71,11 +72,11 @@ def search(r: Request, documents: DataFrame, chunks: DataFrame, vectors: DataFra
     limit, key = r.top_k * (4 if r.group_by == "chunk" else 20), "document_id" if r.group_by == "document" else "chunk_id"
     arms = []
     if r.mode != "dense":
-        arms.append(R.lexical_topk(chunks, documents, R.query_terms(r.query), limit, R.asof(r.as_of)).select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(0)))
+        arms.append(R.lexical_topk(index, R.query_terms(r.query), limit, R.asof(r.as_of)).select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(0)))
     if r.mode != "bm25":
         d = R.dense_topk(vectors, r.embedding, limit, documents, R.asof(r.as_of))
-        first = chunks.groupBy("document_id").agg(F.min("chunk_id").alias("chunk_id"))
-        arms.append(d.join(first, "document_id").select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(1)))
+        first = index.chunks.join(F.broadcast(d.select("document_id")), "document_id", "left_semi").groupBy("document_id").agg(F.min("chunk_id").alias("chunk_id"))
+        arms.append(d.join(F.broadcast(first), "document_id").select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(1)))
     ranks = arms[0] if len(arms) == 1 else arms[0].unionByName(arms[1])
     weights = r.weights if r.mode == "hybrid" else (1.0, 1.0)
     part = lambda arm: F.coalesce(R.rrf(F.min(F.when(F.col("arm") == arm, F.col("rank"))), weights[arm]), F.lit(0.0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import chunks, docs, read
+from ..adapters import docs, indexed, read
 from ..functions import text as T
 from ..operators import derive as D
 from ..operators import enrich as E
@@ -163,7 +163,7 @@ def sink_upsert_documents(spark, sf_dir):
 @query()
 def search(spark, sf_dir):
     """The whole request, paged twice; the second page starts at the first one's cursor."""
-    d, c, v = docs(spark, sf_dir), chunks(spark, sf_dir), vectors(spark, sf_dir)
+    d, c, v = docs(spark, sf_dir), indexed(spark, sf_dir), vectors(spark, sf_dir)
     ask = lambda cursor: S.search(S.Request("the mit license", DAY, top_k=5, cursor=cursor, embedding=query_vector(spark, sf_dir), fingerprint="fp"), d, c, v, "fp")
     first = ask(None)
     rows = first.rows + (ask(first.next_cursor).rows if first.next_cursor else [])
@@ -172,7 +172,7 @@ def search(spark, sf_dir):
 
 @query()
 def search_citation(spark, sf_dir):
-    d, c, v = docs(spark, sf_dir), chunks(spark, sf_dir), vectors(spark, sf_dir)
+    d, c, v = docs(spark, sf_dir), indexed(spark, sf_dir), vectors(spark, sf_dir)
     out = S.search(S.Request("code civil article 33", DAY, embedding=[0.0] * 64, fingerprint="fp"), d, c, v, "fp")
     return spark.createDataFrame([(r["document_id"], out.routing["route"]) for r in out.rows], "document_id long, route string")
 

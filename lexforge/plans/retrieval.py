@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..adapters import CHUNKS_SQL, DOCS_SQL, chunks, docs, read
+from .. import storage
+from ..adapters import CHUNKS_SQL, DOCS_SQL, chunks, docs, indexed, read, stored_chunks
 from ..operators import retrieval as R
 from .registry import query
 
@@ -40,7 +41,7 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
 
 
 def lexical(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
-    return R.lexical_topk(chunks(spark, sf_dir), docs(spark, sf_dir), TERMS, limit, R.asof(DAY))
+    return R.lexical_topk(indexed(spark, sf_dir), TERMS, limit, R.asof(DAY))
 
 
 def dense(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
@@ -58,7 +59,10 @@ def lexical_topk(spark, sf_dir):
 
 @query("SELECT chunk_id, document_id, round(1.0::DOUBLE / (60 + rank), 8) AS rrf_score, score, rank, substr(regexp_replace(body, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), 1, 280) AS snippet FROM lex JOIN chunks USING (chunk_id, document_id) WHERE rank <= 20", *LEX)
 def bm25_only(spark, sf_dir):
-    top = lexical(spark, sf_dir, 20).join(chunks(spark, sf_dir).select("chunk_id", "body"), "chunk_id")
+    page = lexical(spark, sf_dir, 20)
+    rows = page.collect()  # a page; its chunks alone are read
+    bodies = stored_chunks(spark, sf_dir).filter(F.col("document_id").isin([r.document_id for r in rows])).select("chunk_id", "body")
+    top = spark.createDataFrame(rows, page.schema).join(F.broadcast(bodies), "chunk_id")
     return R.with_snippet(top).select("chunk_id", "document_id", F.round(R.rrf(F.col("rank")), 8).alias("rrf_score"), "score", "rank", "snippet")
 
 
@@ -94,13 +98,13 @@ def group_chunk(spark, sf_dir):
 
 @query("SELECT document_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) AS n FROM bm) WHERE n = 1 ORDER BY score DESC, document_id LIMIT 25", *LEX)
 def group_document(spark, sf_dir):
-    s = R.bm25_scores(chunks(spark, sf_dir), TERMS).join(chunks(spark, sf_dir).select("chunk_id", "document_id"), "chunk_id")
+    s = indexed(spark, sf_dir).scores(TERMS)
     return R.best_per(s, "document_id", [F.desc("score"), F.asc("chunk_id")]).orderBy(F.desc("score"), "document_id").limit(25).select("document_id", "chunk_id", "score")
 
 
 @query("SELECT chunk_id, score FROM bm WHERE score < 3.0 OR (score = 3.0 AND chunk_id > '5') ORDER BY score DESC, chunk_id LIMIT 20", *LEX)
 def keyset_chunk(spark, sf_dir):
-    return R.after_cursor(R.bm25_scores(chunks(spark, sf_dir), TERMS), 3.0, "5").orderBy(F.desc("score"), "chunk_id").limit(20)
+    return R.after_cursor(indexed(spark, sf_dir).scores(TERMS), 3.0, "5").orderBy(F.desc("score"), "chunk_id").limit(20).select("chunk_id", "score")
 
 
 @query("SELECT document_id, score FROM fused WHERE score < 0.012 OR (score = 0.012 AND document_id > 40) ORDER BY score DESC, document_id LIMIT 15", *LEX, *DEN, *FUSE)
@@ -120,8 +124,7 @@ def keyset_tuple(spark, sf_dir):
     *LEX,
 )
 def fanout_rrf(spark, sf_dir):
-    c = chunks(spark, sf_dir).select("chunk_id", "document_id")
-    per = R.bm25_scores(chunks(spark, sf_dir), TERMS).join(c, "chunk_id").groupBy("document_id").agg(F.max("score").alias("score")).join(docs(spark, sf_dir).select("document_id", F.col("lang").alias("corpus")), "document_id")
+    per = indexed(spark, sf_dir).scores(TERMS).groupBy("document_id").agg(F.max("score").alias("score"), F.first("lang").alias("corpus"))
     return R.fanout_rrf(per, "corpus", 20)
 
 
@@ -137,8 +140,7 @@ def fanout_rrf(spark, sf_dir):
 def zone_search(spark, sf_dir):
     """Filters inside both arms, before their limits; one fragment per decision."""
     keep = docs(spark, sf_dir).filter("kind = 'decision'").select("document_id")
-    c = chunks(spark, sf_dir).select("chunk_id", "document_id")
-    best = R.bm25_scores(chunks(spark, sf_dir), TERMS).join(c, "chunk_id").join(keep, "document_id", "left_semi").groupBy("document_id").agg(F.max("score").alias("score"))
+    best = indexed(spark, sf_dir).scores(TERMS, F.col("kind") == "decision").groupBy("document_id").agg(F.max("score").alias("score"))
     order = [F.desc("score"), F.asc("document_id")]
     lex = R.numbered(best.orderBy(*order).limit(30), order)
     den = R.dense_topk(vectors(spark, sf_dir).join(keep, "document_id", "left_semi"), query_vector(spark, sf_dir), 30, pool=1)
@@ -167,12 +169,29 @@ def mode_overlap(spark, sf_dir):
     return n(a.intersect(d), "bm25_dense").join(n(a.intersect(h), "bm25_hybrid"))
 
 
+def cells(spark, sf_dir) -> tuple[str, dict]:
+    """The stored cells of the vectors, built where they aren't yet, and their manifest."""
+    path = storage.place(spark, "cells", sf_dir)
+    m = R.ivf_manifest(spark, path)
+    if m is None:
+        v = vectors(spark, sf_dir)
+        m = R.ivf_build(v, v.select("document_id"), path, max(4, R.ivfflat_lists(v.count())), "fp")
+    return path, m
+
+
 @query()
 def ivfflat_search(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    lists = max(4, R.ivfflat_lists(v.count()))
-    cells, centres = R.ivf_build(v, lists)
-    return R.ivf_search(cells, centres, query_vector(spark, sf_dir), 20, R.ivfflat_probes(lists, max(1, lists // 2)))
+    """Half of the cells; tests hold its recall against the exact order."""
+    path, m = cells(spark, sf_dir)
+    return R.ivf_search(spark, path, query_vector(spark, sf_dir), 20, max(1, m["lists"] // 2), "fp")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS \"rows\", CAST(64 AS BIGINT) AS dimension, 'fp' AS fingerprint, CAST(0 AS BIGINT) AS missing FROM embeddings")
+def ivfflat_build(spark, sf_dir):
+    """The manifest of the stored cells, and whether any vector is missing in them."""
+    path, m = cells(spark, sf_dir)
+    lost = vectors(spark, sf_dir).join(spark.read.parquet(f"{path}/cells"), "document_id", "left_anti").agg(F.count("*").alias("missing"))
+    return lost.select(F.lit(m["rows"]).cast("bigint").alias("rows"), F.lit(m["dimension"]).cast("bigint").alias("dimension"), F.lit(m["fingerprint"]).alias("fingerprint"), "missing")
 
 
 @query(
