@@ -41,7 +41,10 @@ def accent_fold(spark, sf_dir):
     return docs(spark, sf_dir).select("document_id", F.md5(T.fold(F.col("body"))).alias("folded"))
 
 
-@query(f"SELECT document_id, md5(trim(regexp_replace({FOLD_SQL}, '[^a-z0-9-]+', ' ', 'g'))) AS folded FROM docs", DOCS_SQL)
+CITATION_FOLD_SQL = f"replace(replace(translate(lower(body), '{T.CITATION_ACCENTED}', '{T.CITATION_FOLDED}'), 'œ', 'oe'), 'æ', 'ae')"
+
+
+@query(f"SELECT document_id, md5(trim(regexp_replace({CITATION_FOLD_SQL}, '[^a-z0-9-]+', ' ', 'g'))) AS folded FROM docs", DOCS_SQL)
 def citation_fold(spark, sf_dir):
     return docs(spark, sf_dir).select("document_id", F.md5(T.fold_citation(F.col("body"))).alias("folded"))
 
@@ -58,78 +61,6 @@ def fr_analyzer(spark, sf_dir):
     return docs(spark, sf_dir).filter("lang = 'fr'").select("document_id", stem(w).alias("w")).select("document_id", F.size(F.array_distinct("w")).cast("bigint").alias("n_stems"))
 
 
-CITES_SQL = """cits AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'legi:LEGIARTI' || lpad(CAST(doc_id AS VARCHAR), 12, '0') || '@2001-02-03' WHEN 1 THEN 'cass:JURITEXT' || lpad(CAST(doc_id AS VARCHAR), 12, '0')
-  WHEN 2 THEN 'voir LEGIARTI' || lpad(CAST(doc_id AS VARCHAR), 12, '0') WHEN 3 THEN 'article ' || (doc_id % 400) || ' du code civil' WHEN 4 THEN 'pourvoi 21-' || (10000 + doc_id % 80000)
-  WHEN 5 THEN 'ECLI:FR:CCASS:2021:C' || (100000 + doc_id) WHEN 6 THEN 'LEGITEXT' || lpad(CAST(doc_id AS VARCHAR), 12, '0') ELSE 'rien ici' END AS cite FROM documents)"""
-
-
-def citations(spark, sf_dir):
-    k = F.col("doc_id")
-    pad = F.lpad(k.cast("string"), 12, "0")
-    s = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in x))
-    forms = [s("legi:LEGIARTI", pad, "@2001-02-03"), s("cass:JURITEXT", pad), s("voir LEGIARTI", pad), s("article ", k % 400, " du code civil"), s("pourvoi 21-", 10000 + k % 80000), s("ECLI:FR:CCASS:2021:C", 100000 + k), s("LEGITEXT", pad), F.lit("rien ici")]
-    return read(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*forms), (k % 8 + 1).cast("int")).alias("cite"))
-
-
-PARSE_SQL = """CASE doc_id % 8 WHEN 0 THEN 'document_id' WHEN 1 THEN 'decision_id' WHEN 2 THEN 'article_id' WHEN 3 THEN 'article' WHEN 4 THEN 'case_number' WHEN 5 THEN 'ecli' WHEN 6 THEN 'text_id' ELSE 'malformed' END"""
-
-
-@query(f"SELECT doc_id, {PARSE_SQL} AS class, CASE doc_id % 8 WHEN 2 THEN substr(cite, 6) WHEN 3 THEN CAST(doc_id % 400 AS VARCHAR) WHEN 4 THEN substr(cite, 9) WHEN 7 THEN '' ELSE cite END AS value FROM cits", CITES_SQL)
-def parse_citation(spark, sf_dir):
-    kind, value = T.parse_citation(F.col("cite"))
-    return citations(spark, sf_dir).select("doc_id", kind.alias("class"), value.alias("value"))
-
-
-@query("SELECT doc_id, CASE WHEN contains(cite, 'code civil') THEN 'code civil' END AS code FROM cits", CITES_SQL)
-def code_hint(spark, sf_dir):
-    return citations(spark, sf_dir).select("doc_id", T.code_hint(F.col("cite")).alias("code"))
-
-
-@query("SELECT doc_id, nullif(regexp_extract(upper(cite), 'LEGIARTI[0-9]{12}'), '') AS uid FROM cits", CITES_SQL)
-def uid_extraction(spark, sf_dir):
-    return citations(spark, sf_dir).select("doc_id", T.uid(F.col("cite"), "LEGIARTI").alias("uid"))
-
-
-@query("SELECT document_id, title, contains(title, 'Article 33') AS by_substring FROM docs WHERE contains(title, 'Article 33') ORDER BY title = 'Article 33' DESC, valid_from DESC NULLS LAST, document_id LIMIT 20", DOCS_SQL)
-def cite_freetext(spark, sf_dir):
-    """Substring match: 33 also finds 330."""
-    d = docs(spark, sf_dir).filter(F.contains("title", F.lit("Article 33")))
-    return d.orderBy(F.desc(F.col("title") == "Article 33"), F.desc_nulls_last("valid_from"), "document_id").limit(20).select("document_id", "title", F.lit(True).alias("by_substring"))
-
-
-@query("SELECT document_id, title FROM docs WHERE source_uid IN ('doc:5', 'doc:77') ORDER BY valid_from DESC NULLS LAST, document_id", DOCS_SQL)
-def cite_lookup(spark, sf_dir):
-    return docs(spark, sf_dir).filter(F.col("source_uid").isin("doc:5", "doc:77")).select("document_id", "title")
-
-
-LIVE = "(valid_from IS NULL OR valid_from <= DATE '2008-06-01') AND (valid_to IS NULL OR valid_to > DATE '2008-06-01')"
-
-
-@query(f"SELECT document_id, valid_from FROM docs WHERE lower(trim(title)) = 'article 33' AND {LIVE} ORDER BY valid_from DESC NULLS LAST, document_id LIMIT 10", DOCS_SQL)
-def resolve_citation(spark, sf_dir):
-    """Exact title, as of a date."""
-    from ..operators.retrieval import asof
-
-    return docs(spark, sf_dir).filter((F.lower(F.trim("title")) == "article 33") & asof("2008-06-01")).orderBy(F.desc_nulls_last("valid_from"), "document_id").limit(10).select("document_id", "valid_from")
-
-
-@query(f"""SELECT title, count(*) AS n_matches, count(*) FILTER (WHERE {LIVE}) AS n_valid,
-  CASE WHEN count(*) FILTER (WHERE {LIVE}) = 1 THEN 'exact' WHEN count(*) FILTER (WHERE {LIVE}) > 1 THEN 'ambiguous' ELSE 'stale_version' END AS state FROM docs WHERE kind = 'article' GROUP BY title""", DOCS_SQL)
-def cite_state(spark, sf_dir):
-    from ..operators.retrieval import asof
-
-    valid = F.count_if(asof("2008-06-01"))
-    g = docs(spark, sf_dir).filter("kind = 'article'").groupBy("title").agg(F.count("*").alias("n_matches"), valid.alias("n_valid"))
-    return g.withColumn("state", F.when(F.col("n_valid") == 1, "exact").when(F.col("n_valid") > 1, "ambiguous").otherwise("stale_version"))
-
-
-@query(f"SELECT document_id, {LIVE} AS valid_on_as_of FROM docs", DOCS_SQL)
-def validity_annotation(spark, sf_dir):
-    from ..operators.retrieval import asof
-
-    return docs(spark, sf_dir).select("document_id", asof("2008-06-01").alias("valid_on_as_of"))
-
-
 @query("""SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?i)</?(p|br|li|div|blockquote|tr|td|th|table)([ \\t\\n\\r\\f\\v][^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)),
   lambda x: trim(regexp_replace(x, '[ \\t\\r\\f]+', ' ', 'g'))), lambda x: x <> ''), chr(10))) AS text FROM pages""")
 def xml_text_norm(spark, sf_dir):
