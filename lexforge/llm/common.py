@@ -19,6 +19,7 @@ from collections.abc import Iterable
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +132,11 @@ def split_words(texts: pa.Array, unicode: bool = False) -> tuple[pa.Array, np.nd
     return words.dictionary, words.indices.to_numpy(), offsets
 
 
+def hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of strings."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+
+
 def bounded_sample(rows: DataFrame, key: str, bound: int, salt: int, total: int | None = None) -> DataFrame:
     """At most about `bound` rows (its square root more, at most, in all but freak cases), chosen by
     a hash of the key: the same rows whatever the partitions are."""

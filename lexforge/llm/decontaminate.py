@@ -38,13 +38,12 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_chunks, narrow, small_batches, split_words
+from .common import cut, hashes, in_chunks, narrow, small_batches, split_words
 
 WINDOW, COVERAGE, CONSISTENT = 5, 0.8, 0.8
 BROADCAST_ROWS, FILTER_HASHES, SALTS = 500_000, 16_000_000, 16
@@ -60,11 +59,6 @@ _LINE = "\x02"
 OUT = "doc_id bigint, item_id bigint, coverage double, n_windows bigint, n_slots bigint, consistency double"
 
 
-def hashes(words: pa.Array) -> np.ndarray:
-    """64-bit hashes of strings, none below ORDINARY."""
-    return pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) | np.uint64(ORDINARY)
-
-
 class Canonical:
     """The canonical words of a batch of texts, one after the other: codes, codes of the exact form,
     where each text begins; words that are punctuation only are left out."""
@@ -80,7 +74,7 @@ class Canonical:
         unit = told(pc.is_in(low, pa.array(sorted(UNITS)))) & (told(pc.utf8_length(core)) > 1)
         named = told(pc.match_substring_regex(core, _NAMED))
         ends = told(pc.match_substring_regex(words, _ENDS)) | line
-        plain = hashes(low)
+        plain = hashes(low) | np.uint64(ORDINARY)
         first = np.select([number, unit], [np.uint64(NUMBER), np.uint64(UNIT)], plain)
         inner = np.where(named & ~number & ~unit, np.uint64(NAME), first)
 

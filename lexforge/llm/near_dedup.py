@@ -38,13 +38,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, narrow, small_batches, split_words, written
+from .common import cut, hashes, narrow, small_batches, split_words, written
 
 T, R = 96, 4
 SKETCH = "doc_id bigint, tk bigint, n_shingles bigint, set_key binary, bands array<bigint>"
@@ -65,7 +64,7 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Of each text the sorted distinct 64-bit shingle hashes; one for a shorter text's whole sequence;
     none without words. Words are hashed per distinct word of the batch."""
     words, index, offsets = split_words(texts)
-    hashed = pd.util.hash_array(pc.ascii_lower(words).cast(pa.binary()).to_numpy(zero_copy_only=False), categorize=False)
+    hashed = hashes(pc.ascii_lower(words))
     at = np.flatnonzero(~pc.equal(words, "").to_numpy(zero_copy_only=False)[index])
     begin, h = np.searchsorted(at, offsets).tolist(), hashed[index[at]]
     n = max(len(h) - width + 1, 0)

@@ -25,7 +25,7 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Weak parts.
 WEAK = r"""(?i:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|private|access|account|storage|shared|client)_?key|credential)s?(?i:[_-]?(?:access|value))?(?i:[_-]?key)?["']?\x20*[:=]\x20*["']?([^\s"'<>,;]{6,})"""
-IDENTIFIER = r"""(?i:\b(?:user(?:name)?|login|account|client_?id|app_?id|tenant_?id|key_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})"""
+IDENTIFIER = r"""(?i:(?<![A-Za-z])(?:user(?:name)?|login|account|client_?id|app_?id|tenant_?id|key_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{3,})"""
 ENDPOINT = r"""(?i:\b(?:https?|ftps?|ssh|amqps?|redis|mongodb|postgres(?:ql)?|mysql|jdbc:[a-z]+))://[A-Za-z0-9.-]+(?::[0-9]{1,5})?"""
 KINDS = ["assign", "access", "hex", "weak_secret", "identifier", "endpoint"]
 SCOPE = 200
@@ -46,17 +46,17 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     found = docs.select(
         "doc_id",
         "text",
-        F.when(any_of("passw", "secret", "token", "apikey", "api_key"), find_all(text, ASSIGN, 2)).otherwise(none).alias("assigned"),
-        F.when(text.contains("AKIA"), find_all(text, ACCESS)).otherwise(none).alias("access"),
-        find_all(text, HEX).alias("hex"),
-        F.when(any_of("pass", "pwd", "secret", "token", "key", "credential"), find_all(text, WEAK, 1)).otherwise(none).alias("weak"),
-        F.when(any_of("user", "login", "account", "client", "_id", "keyid", "appid", "tenantid"), find_all(text, IDENTIFIER, 1)).otherwise(none).alias("ids"),
-        F.when(text.contains("://"), find_all(text, ENDPOINT)).otherwise(none).alias("ends"),
+        settled(F.when(any_of("passw", "secret", "token", "apikey", "api_key"), F.filter(find_all(text, ASSIGN, 2), lambda s: F.length(s["part"]) >= 12)).otherwise(none)).alias("assign"),
+        settled(F.when(text.contains("AKIA"), find_all(text, ACCESS)).otherwise(none)).alias("access"),
+        settled(find_all(text, HEX)).alias("hex"),
+        settled(F.when(text.rlike("[:=]") & any_of("user", "login", "account", "client", "_id", "keyid", "appid", "tenantid"), find_all(text, IDENTIFIER, 1)).otherwise(none)).alias("ids"),
+        settled(F.when(text.contains("://"), find_all(text, ENDPOINT)).otherwise(none)).alias("ends"),
     )
-    found = found.withColumn("assign", settled(F.filter("assigned", lambda s: F.length(s["part"]) >= 12)))
+    # Without keys or endpoints there is nothing to link, so most texts end here.
     lonely = (F.size("ids") + F.size("ends") + F.size("access")) == 0
-    for part in ("weak", "ids", "ends"):  # nothing to link without keys or endpoints
-        found = found.withColumn(part, settled(F.when(lonely, none).otherwise(F.col(part))))
+    found = found.withColumn("weak", settled(F.when(~lonely & text.rlike("[:=]"), find_all(text, WEAK, 1)).otherwise(none)))
+    for part in ("ids", "ends"):
+        found = found.withColumn(part, F.when((F.size("weak") + F.size("assign") + F.size("access")) == 0, none).otherwise(F.col(part)))
     found = apart(found, "weak", F.col("weak"), F.concat("assign", "access", "hex"))
     secrets, keys = F.concat("assign", "access", "weak"), F.concat("ids", "access")
     found = near(found, "secrets", F.col("weak"), F.concat("ids", "access", "ends"), SCOPE)
