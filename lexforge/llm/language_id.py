@@ -1,16 +1,20 @@
 """Operator 3: language identification by prediction by partial matching (PPM).
 
-Each language has a variable-order byte context tree: counts of a byte after its last 2, 1 and 0
-bytes. An unseen byte escapes to the shorter context by method C (Cleary, Witten, Moffat): with n
-counts of d distinct bytes, P(escape) = d / (n + d); order -1 is uniform. The statistics are frozen
-after the fit, so the exact code length of a byte depends on the last three bytes alone, and the
-escape chains of all of them fold into one table of code lengths per language (bytes that training
-never saw share one symbol; ASCII letters fold to lower case, other ASCII to one symbol). A text's
-code length is a sum of table look-ups over every byte; the shortest code wins, ties go to the
-first language by name.
+Each language has a variable-order byte context tree: counts of a byte after its last 4, 3, 2, 1 and
+0 bytes; contexts of the two longest orders that were met but once, in all languages together, are
+cut off. A byte that a context didn't see escapes to the next shorter one by method C (Cleary, Witten,
+Moffat): with n counts of d distinct bytes, P(byte) = count / (n + d), P(escape) = d / (n + d); contexts
+never seen cost nothing; order -1 is uniform over 256 bytes. The statistics are frozen after the fit,
+so the exact code length of a byte depends on the last five bytes alone. The trees of all languages
+are merged: a node has the code lengths of its byte in every language, its escapes worked in, so
+that one look-up in a hash table settles most bytes, and others go on from the escape costs of their
+context in the shorter order's table. A text's code length is the sum over all of its bytes; the
+shortest code wins, ties go to the first language by name.
 
 Fit: training rows with a language, at most about `SAMPLE` of them, chosen by hash, counted in one
-map and one small aggregation (at most symbols³ rows a language). Scoring is one map, no shuffle.
+map and one aggregation; the driver gets a row per language and distinct five bytes. The merged trees
+have at most `NODES` nodes an order, the most frequent ones, so they are broadcast at any size (about
+20 MB with 4 languages, 4 more bytes a node with each). Scoring is one map, no shuffle.
 
 `und` with score 0 for null texts, texts without a letter, and if nothing could be learned.
 Otherwise score is the winner's posterior at `TEMPER` bits weight a byte. Repeated rows are alike.
@@ -23,80 +27,174 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, held_out, in_chunks, narrow, small_batches
+from .common import bounded_sample, held_out, in_chunks, narrow, small_batches
 
-SAMPLE, MAX_SYMBOLS, TEMPER = 6000, 128, 0.5
+SAMPLE, NODES, TEMPER = 6000, 400_000, 0.5
+ORDER, GROUP = 4, 1 << 18
+_U = np.uint64
+#: What stands before a text.
+START = b"\n" * ORDER
 
-_FOLD = np.zeros(256, np.uint8)
-for _c in range(26):
-    _FOLD[65 + _c] = _FOLD[97 + _c] = 97 + _c
-_FOLD[128:] = np.arange(128, 256)
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """Codes of the five bytes that end at each byte but the first four."""
+    code = data[: len(data) - ORDER].astype(_U)
+    for k in range(1, ORDER + 1):
+        code = (code << _U(8)) | data[k : len(data) - ORDER + k]
+    return code
 
 
 def _count(batches):
-    """Trigrams of folded bytes per language: (lang, trigram code, n)."""
-    total: dict[str, np.ndarray] = {}
+    """Five-byte strings per language: (lang, code, n)."""
+    held: dict[str, list] = {}
+    size = 0
+
+    def flush():
+        for lang, codes in held.items():
+            code, n = np.unique(np.concatenate(codes), return_counts=True)
+            yield pa.record_batch([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+        held.clear()
+
     for batch in batches:
         for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-            b = _FOLD[np.frombuffer(b"\n\n" + text.as_py() + b"\n", np.uint8)].astype(np.int64)
-            code, n = np.unique((b[:-2] << 16) | (b[1:-1] << 8) | b[2:], return_counts=True)
-            acc = total.setdefault(lang.as_py(), {})
-            for c, k in zip(code.tolist(), n.tolist(), strict=True):
-                acc[c] = acc.get(c, 0) + k
-    for lang, acc in total.items():
-        yield pa.record_batch([pa.array([lang] * len(acc), pa.string()), pa.array(list(acc), pa.int64()), pa.array(list(acc.values()), pa.int64())], names=["lang", "code", "n"])
-
-
-def code_lengths(rows: list[tuple[str, int, int]], max_symbols: int = MAX_SYMBOLS) -> dict | None:
-    """The table of code lengths in bits, [symbol³, languages], of (language, trigram, n) counts."""
-    langs = sorted({r[0] for r in rows})
-    if not langs:
-        return None
-    seen = np.zeros(256)
-    for _, code, n in rows:
-        seen[code & 255] += n
-    used = [int(b) for b in np.argsort(-seen, kind="stable") if seen[b]][: max_symbols - 1]
-    symbol = np.full(256, len(used), np.int64)
-    symbol[used] = np.arange(len(used))
-    s = len(used) + 1
-    table = np.empty((s**3, len(langs)), np.float32)
-    for k, lang in enumerate(langs):
-        c3 = np.zeros((s, s, s))
-        mine = np.array([(c, n) for x, c, n in rows if x == lang])
-        np.add.at(c3, (symbol[mine[:, 0] >> 16], symbol[mine[:, 0] >> 8 & 255], symbol[mine[:, 0] & 255]), mine[:, 1])
-        p = np.full(s, 1 / s)
-        for counts in (c3.sum((0, 1)), c3.sum(0), c3):  # orders 0, 1, 2: seen bytes, or escape and the shorter context
-            n, d = counts.sum(-1, keepdims=True), (counts > 0).sum(-1, keepdims=True)
-            lower = np.broadcast_to(p, counts.shape)
-            escape = np.where(n > 0, d / np.maximum(n + d, 1), 1.0)
-            # exclusion: bytes seen in the longer context can't be meant after an escape
-            open_ = np.where(counts > 0, 0.0, lower)
-            room = open_.sum(-1, keepdims=True)
-            p = np.where(counts > 0, counts / np.maximum(n + d, 1), escape * open_ / np.maximum(room, 1e-12))
-            p = np.where(room > 0, p, counts / np.maximum(n, 1))
-        table[:, k] = -np.log2(np.maximum(p, 1e-9)).reshape(-1)
-    return {"langs": langs, "symbol": symbol, "s": s, "table": table}
+            held.setdefault(lang.as_py(), []).append(grams(np.frombuffer(START + text.as_py(), np.uint8)))
+            size += 8 * len(held[lang.as_py()][-1])
+            if size > 64 << 20:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
+class Table:
+    """Open-addressing hash table of codes to rows of a matrix."""
+
+    def __init__(self, codes: np.ndarray, rows: np.ndarray) -> None:
+        self.rows = rows.astype(np.float32)
+        self.bits = max(4, int(4 * len(codes)).bit_length())
+        self.keys, self.at = np.full(1 << self.bits, ~_U(0), _U), np.zeros(1 << self.bits, np.int32)
+        slot, todo = self._slot(codes), np.arange(len(codes))
+        while len(todo):
+            free = self.keys[slot[todo]] == ~_U(0)
+            self.keys[slot[todo[free]]] = codes[todo[free]]  # of codes for one slot the last one stays
+            self.at[slot[todo[free]]] = todo[free]
+            todo = todo[self.keys[slot[todo]] != codes[todo]]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Row numbers, -1 for codes that aren't in the table."""
+        slot = self._slot(codes)
+        key = self.keys[slot]
+        out = np.where(key == codes, self.at[slot], -1)
+        todo = np.flatnonzero((key != codes) & (key != ~_U(0)))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            key = self.keys[slot[todo]]
+            hit = key == codes[todo]
+            out[todo[hit]] = self.at[slot[todo[hit]]]
+            todo = todo[~hit & (key != ~_U(0))]
+        return out
+
+
+class Model:
+    """The merged, frozen context trees of languages, of (language, code of five bytes, n) counts."""
+
+    def __init__(self, lang: np.ndarray, code: np.ndarray, n: np.ndarray, nodes: int = NODES) -> None:
+        self.langs = sorted(set(lang.tolist()))
+        which = np.searchsorted(np.array(self.langs), lang)
+        self.nodes, self.escapes = [], []
+        for k in range(ORDER + 1):
+            mask = _U((1 << 8 * (k + 1)) - 1)
+            keys, at = np.unique(code & mask, return_inverse=True)
+            count = np.zeros((len(keys), len(self.langs)))
+            np.add.at(count, (at, which), n)
+            total = np.add.reduceat(count.sum(1), begin := np.flatnonzero(np.diff(keys >> _U(8), prepend=~_U(0)))) if k else np.array([np.inf])
+            if k >= ORDER - 1:  # contexts met but once go
+                keep = np.repeat(total >= 2, np.diff(np.append(begin, len(keys))))
+                keys, count = keys[keep], count[keep]
+            if len(keys) > nodes:  # whole contexts go, the rarest first
+                context = keys >> _U(8)
+                by = np.unique(context, return_inverse=True)[1]
+                weight, size = np.bincount(by, count.sum(1)), np.bincount(by)
+                order = np.argsort(-weight, kind="stable")
+                chosen = np.zeros(len(weight), bool)
+                chosen[order[np.cumsum(size[order]) <= nodes]] = True
+                keys, count = keys[chosen[by]], count[chosen[by]]
+            if not len(keys):
+                break
+            begin = np.flatnonzero(np.diff(keys >> _U(8), prepend=~_U(0))) if k else np.zeros(1, np.int64)
+            sizes = np.diff(np.append(begin, len(keys)))
+            total, distinct = np.add.reduceat(count, begin), np.add.reduceat((count > 0).astype(float), begin)
+            both = np.maximum(total + distinct, 1)
+            escape = np.where(total > 0, -np.log2(np.maximum(distinct, 1) / both), 0.0)
+            bits = np.where(count > 0, -np.log2(np.maximum(count, 1) / np.repeat(both, sizes, 0)), np.repeat(escape, sizes, 0) + self.bits(keys))  # these are of the shorter orders
+            self.nodes.append(Table(keys, bits))
+            self.escapes.append(Table(keys[begin] >> _U(8), escape))
+
+    def bits(self, code: np.ndarray) -> np.ndarray:
+        """Code lengths of the last of each five bytes, by language."""
+        out = np.zeros((len(code), len(self.langs)), np.float32)
+        todo = np.arange(len(code))
+        for k in range(len(self.nodes) - 1, -1, -1):
+            gram = code[todo] & _U((1 << 8 * (k + 1)) - 1)
+            row = self.nodes[k].find(gram)
+            hit = row >= 0
+            out[todo[hit]] += self.nodes[k].rows[row[hit]]
+            todo, gram = todo[~hit], gram[~hit]
+            if not len(todo):
+                return out
+            row = self.escapes[k].find(gram >> _U(8))
+            out[todo[row >= 0]] += self.escapes[k].rows[row[row >= 0]]
+        out[todo] += 8.0
+        return out
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Code lengths of whole texts, by language; short ones together, long ones piece by piece."""
+        out = np.zeros((len(texts), len(self.langs)))
+        held: list[int] = []
+        size = 0
+
+        def flush():
+            data = np.frombuffer(b"".join(START + texts[k] for k in held), np.uint8)
+            sizes = np.array([len(texts[k]) for k in held])
+            ends = np.cumsum(sizes + ORDER)
+            code = grams(data)
+            own = np.ones(len(code), bool)  # not what ends within the next text's START
+            for e in ends[:-1].tolist():
+                own[e - ORDER : e] = False
+            bits = self.bits(code[own])
+            some = sizes > 0
+            out[np.array(held)[some]] = np.add.reduceat(bits, (np.cumsum(sizes) - sizes)[some], dtype=np.float64)
+
+        for k, t in enumerate(texts):
+            if len(t) > GROUP:
+                data = np.frombuffer(START + t, np.uint8)
+                for at in range(0, len(t), GROUP):
+                    out[k] += self.bits(grams(data[at : at + GROUP + ORDER])).sum(0, dtype=np.float64)
+                continue
+            held.append(k)
+            size += len(t)
+            if size > GROUP:
+                flush()
+                held, size = [], 0
+        if held and size:
+            flush()
+        return out
 
 
 def _identify(model):
     def run(batches):
         m = model.value
-        symbol, s, table, langs = m["symbol"][_FOLD].astype(np.int32), m["s"], m["table"], m["langs"]
         for batch in in_chunks(batches, 8 << 20):
-            pred, conf = [], []
-            for known, text in zip(batch.column(1), batch.column(2), strict=True):
-                if not known.as_py():
-                    pred.append("und"), conf.append(0.0)
-                    continue
-                b = symbol[np.frombuffer(b"\n\n" + text.as_py(), np.uint8)]
-                code = (b[:-2] * s + b[1:-1]) * s + b[2:]
-                bits = np.zeros(len(langs))
-                for at in range(0, len(code), 1 << 16):
-                    bits += table[code[at : at + (1 << 16)]].sum(0, dtype=np.float64)
-                best = int(np.argmin(bits))
-                odds = np.exp2(-np.minimum(TEMPER * (bits - bits[best]), 1000))
-                pred.append(langs[best]), conf.append(float(1 / odds.sum()))
-            yield pa.record_batch([batch.column(0), pa.array(pred, pa.string()), pa.array(conf, pa.float64())], names=["doc_id", "lang_pred", "score"])
+            known = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            texts = [t.as_py() if k else b"" for k, t in zip(known, batch.column(2), strict=True)]
+            bits = m.lengths(texts)
+            best = bits.argmin(1)
+            odds = np.exp2(-np.minimum(TEMPER * (bits - bits.min(1, keepdims=True)), 1000)).sum(1)
+            pred = np.where(known, np.array(m.langs, object)[best], "und")
+            yield pa.record_batch([batch.column(0), pa.array(pred, pa.string()), pa.array(np.where(known, 1 / odds, 0.0))], names=["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -105,12 +203,12 @@ def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, lang_pred, score of documents (doc_id, text, lang)."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text is not null and lang is not null").filter(~held_out(3, 1))
+    known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text <> '' and lang is not null").filter(~held_out(3, 1))
     picked = bounded_sample(known, "doc_id", sample, 4)
-    rows = picked.select("lang", F.col("text").cast("binary")).mapInArrow(_count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).collect()
-    model = code_lengths([tuple(r) for r in rows])
+    rows = picked.select("lang", F.col("text").cast("binary")).mapInArrow(_count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     plain = narrow(docs)
-    if model is None:
+    if not rows.num_rows:
         return plain.select("doc_id", held_out(3, 1).alias("held_out"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    model = Model(np.array(rows.column("lang").to_pylist()), rows.column("code").to_numpy().view(_U), rows.column("n").to_numpy())
     out = plain.select("doc_id", F.col("text").rlike(r"\p{L}").alias("known"), F.col("text").cast("binary")).mapInArrow(_identify(spark.sparkContext.broadcast(model)), "doc_id bigint, lang_pred string, score double")
     return out.select("doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")

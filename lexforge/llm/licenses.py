@@ -45,6 +45,15 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under cc by sa 4 0 creative commons attribution sharealike", ["cc by sa"]),
     ("cc0", "dedicated to the public domain under the cc0 1 0 universal public domain dedication", ["cc0 1 0"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["use copy modify and or distribute"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied", ["substantial portions of the software"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["general public license"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications", ["permission is granted to anyone to use this software"]),
+    ("bsl", "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["boost software license"]),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ["eclipse public license"]),
+    ("eupl", "licensed under the eupl european union public licence version 1 2 you may not use this work except in compliance with the licence", ["european union public licence"]),
+    ("wtfpl", "do what the fuck you want to public license terms and conditions for copying distribution and modification", ["do what the fuck you want"]),
+    ("cc-by-nd", "licensed under cc by nd 4 0 creative commons attribution noderivatives", ["cc by nd"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
 ]
 #: Words too common to index.
@@ -90,9 +99,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     total, df = frequencies(docs, list(post))
     idf = {w: math.log(1 + (total + 0.5) / (df.get(w, 0) + 0.5)) for w in post}
     order = sorted(post, key=lambda w: (-idf[w], w))  # the vocabulary by falling IDF
-    low = F.lower("text")
+    low = F.lower("text")  # beyond A-Z it changes neither where words end nor any letter into one of a phrase
     stem = F.lit(False)
-    for s in ("licen", "cc", "gnu", "redistribut", "permission", "public domain", "unencumbered", "mozilla", "commons", "apache", "mit"):
+    for s in ("licen", "cc", "gnu", "redistribut", "permission", "public domain", "unencumbered", "mozilla", "commons", "apache", "mit", "warranty", "eclipse", "boost", "eupl", "fuck"):
         stem = stem | low.contains(s)
     none, ints = F.array().cast("array<string>"), F.array().cast("array<int>")
     seen = docs.select("doc_id", F.regexp_extract_all(low, F.lit(WORDS), F.lit(0)).alias("words"), stem.alias("likely"))

@@ -1,11 +1,12 @@
 """Operator 2: toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
-Fit (training rows only, at most about `SAMPLE` labelled rows chosen by hash, in one map and two
-small aggregations): words whose share among toxic documents is far above that among others make
-the lexicon (`LEXICON` words at most). Words have 1 to 40 letters; a term must stand in 0.4 % of the
-sample's toxic documents (`LEAST_DOCS` at least), so rarer terms are not learned, however many labels
-there are. Terms under 5 letters match exactly only. The automata of all strings within one edit of a term (two
-from 9 letters on) are intersected with the trie of the lexicon and made deterministic step by
+Fit (training rows only, at most about `SAMPLE` labelled rows chosen by hash, written once): words
+whose share among toxic documents is far above that among others make the lexicon. Words have 1 to
+40 letters; a term must stand in 0.4 % of the sample's toxic documents (`LEAST_DOCS` at least), so
+rarer terms are not learned, and the lexicon has at most 250 times as many words as a toxic document
+has distinct ones on average. Terms under 5 letters match exactly only. The automata of all strings
+within one edit of a term (two from 9 letters on; a letter too many, too few, another, or two swapped,
+the first letter too) are intersected with the trie of the lexicon and made deterministic step by
 step. So misspelled terms are caught, after undoing look-alike digits and stretched letters. Each
 distinct word is looked up once a task, in a bounded memo.
 
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, cut, held_out, narrow, small_batches
+from .common import bounded_sample, cut, held_out, narrow, small_batches, written
 
-SAMPLE, LEXICON, CONTEXT, THRESHOLD = 20_000, 1500, 8, 0.3
+SAMPLE, CONTEXT, THRESHOLD = 20_000, 8, 0.3
 LEAST_DOCS, LEAST_ODDS = 5, 3.0
 #: Words that report speech, and words that address someone.
 REPORT = set("said says quote quoted quoting called wrote writes reported allegedly so-called dit dijo sagte".split())
@@ -54,8 +55,8 @@ def limit(term: str) -> int:
 
 class Automaton:
     """The Levenshtein automata of all terms, intersected with their trie and made deterministic as
-    far as words need it. A state is a set of (trie node, edits used, letter owed by a swap); the
-    first letter must be right. Steps are remembered, so a word costs one look-up a letter."""
+    far as words need it. A state is a set of (trie node, edits used, letter owed by a swap). Steps
+    are remembered, so a word costs one look-up a letter until no term is near."""
 
     STATES = 50_000
 
@@ -77,6 +78,7 @@ class Automaton:
         self.sets: list[frozenset] = []
         self.steps: dict[tuple[int, str], int] = {}
         self.ends: list[bool] = []
+        self.longest = max((len(t) + limit(t) for t in terms), default=0)
 
     def _state(self, found) -> int:
         """The number of a set, closed under letters left out; -1 for the empty set."""
@@ -117,14 +119,14 @@ class Automaton:
         return self._state(out)
 
     def accepts(self, word: str) -> bool:
-        if not word or word[0] not in self.kids[0]:
+        if not word or len(word) > self.longest:
             return False
         if len(self.sets) > self.STATES:
             self.ids, self.sets, self.steps, self.ends = {}, [], {}, []
-        state = self.steps.get((-1, word[0]))
-        if state is None:
-            state = self.steps[-1, word[0]] = self._state([(self.kids[0][word[0]], 0, "")])
-        for ch in word[1:]:
+        if not self.sets:
+            self._state([(0, 0, "")])  # the first state is number 0
+        state = 0
+        for ch in word:
             nxt = self.steps.get((state, ch))
             if nxt is None:
                 nxt = self.steps[state, ch] = self._step(state, ch)
@@ -148,7 +150,7 @@ class Lookup(dict):
         out, w = 0, plain(raw)
         if w in self.lexicon:
             out = 2
-        elif 4 <= len(w) <= 40:
+        elif 4 <= len(w) <= 42:
             if not w.isalpha() or _STRETCH.search(w):
                 w = _STRETCH.sub(r"\1", w.translate(LOOKALIKE))
             out = int(self.automaton.accepts(w))
@@ -210,7 +212,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("b") + 0.5) / (bad + 1)) - F.log((F.col("g") + 0.5) / (good + 1))
     # A word must mark a good part of toxic documents, else chance co-occurrence on few pages passes.
     least = max(LEAST_DOCS, 0.004 * bad)
-    top = c.filter(F.col("b") >= least).select("word", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "word").limit(LEXICON)
+    top = c.filter(F.col("b") >= least).select("word", odds.alias("odds")).filter(F.col("odds") >= LEAST_ODDS)
     return {r.word: r.odds for r in top.collect()}
 
 
@@ -233,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
     """Lexicon and weights, from labelled rows that aren't held out."""
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(~held_out(modulus, remainder)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = cut(bounded_sample(marks, "doc_id", SAMPLE, 3))
-    rows = docs.join(F.broadcast(marks), "doc_id").select("doc_id", "toxic", "text")
+    rows = written(docs.join(F.broadcast(marks), "doc_id").select("toxic", "text"))
     lexicon = learn_lexicon(rows)
     empty = {"lexicon": lexicon, "w": np.zeros(N_FEATURES), "b": -5.0}
     if not lexicon:
