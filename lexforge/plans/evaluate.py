@@ -1,14 +1,11 @@
-"""Queries of evaluation and of delta replication."""
+"""Queries of evaluation."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..adapters import CHANGES_SQL, DOCS_SQL, changes, docs, read
-from ..operators import delta as D
+from ..adapters import read
 from ..operators import evaluation as E
 from .registry import query
 
@@ -95,120 +92,3 @@ def bootstrap_ci(spark, sf_dir):
     values = [r.ndcg for r in rows]
     low, high = E.bootstrap_ci(values, E.fnv1a("ndcg"))
     return spark.createDataFrame([(low, high)], "low double, high double")
-
-
-# --- delta -------------------------------------------------------------------------------------
-
-
-@query("SELECT change_seq, scope, op FROM changes WHERE corpus = 'c1' AND change_seq > 100 AND change_seq <= 5000 ORDER BY change_seq", CHANGES_SQL)
-def changed_scopes(spark, sf_dir):
-    return D.changed_scopes(changes(spark, sf_dir), "c1", 100, 5000).select("change_seq", "scope", "op")
-
-
-@query("SELECT corpus, coalesce(max(change_seq), 0) AS high FROM changes GROUP BY corpus", CHANGES_SQL)
-def high_water(spark, sf_dir):
-    return D.high_water(changes(spark, sf_dir))
-
-
-COALESCE_SQL = """co AS (SELECT corpus, scope, max(change_seq) AS last_seq, CASE WHEN bool_or(op = 'replace_set') THEN 'replace_set' ELSE 'rows' END AS mode, bool_or(relation IN ('documents', 'chunks')) AS chunks_wide,
-  bool_or(relation = 'chunk_embeddings') AND NOT bool_or(relation IN ('documents', 'chunks')) AS embeddings_only FROM changes WHERE change_seq <= 300 GROUP BY corpus, scope)"""
-
-
-@query("SELECT corpus, scope, last_seq, mode, chunks_wide, embeddings_only FROM co", CHANGES_SQL, COALESCE_SQL)
-def coalesce_scopes(spark, sf_dir):
-    return D.coalesce_scopes(changes(spark, sf_dir).filter("change_seq <= 300"))
-
-
-@query("SELECT scope FROM changes WHERE relation = 'chunk_embeddings' AND change_seq <= 300 EXCEPT (SELECT scope FROM changes WHERE relation IN ('chunks', 'documents') AND change_seq <= 300)", CHANGES_SQL)
-def scope_union_difference(spark, sf_dir):
-    c = changes(spark, sf_dir).filter("change_seq <= 300")
-    wide = c.filter("relation = 'chunks'").select("scope").union(c.filter("relation = 'documents'").select("scope")).distinct()
-    return c.filter("relation = 'chunk_embeddings'").select("scope").distinct().join(wide, "scope", "left_anti")
-
-
-@query("SELECT DISTINCT c.scope, CASE WHEN cu.c_custkey IS NULL THEN 'delete' ELSE 'upsert' END AS op FROM changes c LEFT JOIN customer cu ON cu.c_custkey = c.scope AND cu.c_acctbal > 0", CHANGES_SQL)
-def diff_rows(spark, sf_dir):
-    here = read(spark, sf_dir, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("scope"))
-    return D.diff_rows(changes(spark, sf_dir), here)
-
-
-@query("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE source END AS source FROM documents UNION ALL SELECT doc_id + 100000000, 'added' FROM documents WHERE doc_id % 10 = 0")
-def apply_upserts(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", "source")
-    rows = d.filter("doc_id % 4 = 0").select("doc_id", F.lit("new").alias("source")).unionByName(d.filter("doc_id % 10 = 0").select((F.col("doc_id") + 100000000).alias("doc_id"), F.lit("added").alias("source")))
-    return D.apply_upserts(d, rows, "doc_id")
-
-
-@query("SELECT l_orderkey, l_partkey, CAST(l_linenumber AS BIGINT) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
-def apply_deletes(spark, sf_dir):
-    """Children of deleted parents go too."""
-    gone = read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
-    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("bigint").alias("n"))
-    return D.apply_deletes(rows, gone, "o_orderkey", "l_orderkey")
-
-
-@query("SELECT conv_id, turn, role FROM conversations WHERE conv_id % 5 <> 0 UNION ALL SELECT conv_id, turn + 100, 'new' FROM conversations WHERE conv_id % 10 = 0")
-def apply_replace_set(spark, sf_dir):
-    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    scopes = c.filter("conv_id % 5 = 0").select("conv_id")
-    rows = c.filter("conv_id % 10 = 0").select("conv_id", (F.col("turn") + 100).alias("turn"), F.lit("new").alias("role"))
-    return D.apply_replace_set(c, rows, scopes, "conv_id")
-
-
-@query("SELECT conv_id, count(*) AS n, sha256(string_agg(md5(turn || '|' || role), '|' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
-def set_digest(spark, sf_dir):
-    return D.set_digests(read(spark, sf_dir, "conversations"), "conv_id", "turn", ["turn", "role"])
-
-
-@query("""SELECT scope, CASE WHEN op = 'delete' THEN 'retry' WHEN value > 50 THEN 'blocked_incompatible' ELSE 'skip' END AS decision FROM
-  (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY change_seq DESC) AS k FROM changes) WHERE k = 1""", CHANGES_SQL)
-def resume_decision(spark, sf_dir):
-    last = changes(spark, sf_dir).groupBy("scope").agg(F.max_by(F.struct("op", "value"), "change_seq").alias("x"))
-    return last.select("scope", F.when(F.col("x.op") == "delete", "retry").when(F.col("x.value") > 50, "blocked_incompatible").otherwise("skip").alias("decision"))
-
-
-@query("SELECT max(change_seq) AS cursor FROM changes WHERE op <> 'delete'", CHANGES_SQL)
-def ingest_cursor(spark, sf_dir):
-    return changes(spark, sf_dir).filter("op <> 'delete'").agg(F.max("change_seq").alias("cursor"))
-
-
-@query("SELECT corpus, CASE WHEN count(*) FILTER (WHERE op = 'replace_set') = 0 THEN 'none' WHEN arg_max(op, change_seq) = 'replace_set' THEN 'rebaseline_pending' ELSE 'current' END AS decision FROM changes GROUP BY corpus", CHANGES_SQL)
-def baseline_decision(spark, sf_dir):
-    g = changes(spark, sf_dir).groupBy("corpus").agg(F.count_if(F.col("op") == "replace_set").alias("k"), F.max_by("op", "change_seq").alias("last"))
-    return g.select("corpus", F.when(F.col("k") == 0, "none").when(F.col("last") == "replace_set", "rebaseline_pending").otherwise("current").alias("decision"))
-
-
-@query("SELECT corpus, max(change_seq) AS package, arg_max(scope, change_seq) AS scope FROM changes GROUP BY corpus", CHANGES_SQL)
-def catalog_latest(spark, sf_dir):
-    return changes(spark, sf_dir).groupBy("corpus").agg(F.max("change_seq").alias("package"), F.max_by("scope", "change_seq").alias("scope"))
-
-
-@query("SELECT corpus, count(*) FILTER (WHERE change_seq - prev > 5) AS n_gaps FROM (SELECT *, lag(change_seq) OVER (PARTITION BY corpus ORDER BY change_seq) AS prev FROM changes) GROUP BY corpus", CHANGES_SQL)
-def manifest_build(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    gap = F.col("change_seq") - F.lag("change_seq").over(W.partitionBy("corpus").orderBy("change_seq"))
-    return changes(spark, sf_dir).select("corpus", gap.alias("gap")).groupBy("corpus").agg(F.count_if(F.col("gap") > 5).alias("n_gaps"))
-
-
-@query("SELECT scope, CASE WHEN count(*) FILTER (WHERE op = 'delete') * 2 > count(*) THEN 'broken' WHEN max(change_seq) < 9000 THEN 'stale' ELSE 'current' END AS status FROM changes GROUP BY scope", CHANGES_SQL)
-def producer_status(spark, sf_dir):
-    g = changes(spark, sf_dir).groupBy("scope").agg(F.count_if(F.col("op") == "delete").alias("bad"), F.count("*").alias("n"), F.max("change_seq").alias("last"))
-    return g.select("scope", F.when(F.col("bad") * 2 > F.col("n"), "broken").when(F.col("last") < 9000, "stale").otherwise("current").alias("status"))
-
-
-@query()
-def plan_catchup(spark, sf_dir):
-    """Plans of a few positions over a manifest made of the newest changes per corpus."""
-    tops = [r.high for r in high_water(spark, sf_dir).orderBy("corpus").limit(100).collect()]
-    chain = [D.Package(f"p{i}", a, b, 10) for i, (a, b) in enumerate(zip([0, *sorted(tops)][:-1], sorted(tops), strict=True))]
-    rows = [(p, *((s, ",".join(ids)) for s, ids in [D.plan_catchup(p, D.Media("base", sorted(tops)[0], 1000), chain)])) for p in (0, sorted(tops)[0], max(tops), 7)]
-    return spark.createDataFrame([(p, s, ids) for p, (s, ids) in rows], "position long, plan string, packages string")
-
-
-@query()
-def changelog_stream(spark, sf_dir):
-    """The batch twin's result, computed by a bounded Structured Streaming run."""
-    from ..streaming.changelog import coalesce_stream_once
-
-    return coalesce_stream_once(spark, f"{sf_dir}/events.parquet")

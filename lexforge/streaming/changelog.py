@@ -1,14 +1,25 @@
-"""The change log as a stream: windowed op counts under a watermark, coalescing per scope, and an
-idempotent applier for micro-batches."""
+"""The change log as a stream: windowed op counts under a watermark, coalescing per scope, an
+idempotent applier with a gap quarantine, cache rows that expire, and a bounded polling loop.
+
+The applier writes each micro-batch's coalesced scopes as its own part of a table, then moves a
+pointer (batch, high sequence) in one step, all in the folder that executors share; the query keeps
+its offsets in a checkpoint folder beside them. A batch that is run again after a failure overwrites its
+own part or is skipped, so nothing is applied twice, whoever restarts it.
+"""
 
 from __future__ import annotations
 
-import uuid
+import json
+import time
 from collections.abc import Callable
+from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+from ..operators.delta import NEGATIVE_TTL, TTL, Rejected
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -26,9 +37,9 @@ def op_counts(stream: DataFrame, late: str = "1 hour", size: str = "1 day") -> D
     return stream.withWatermark("ts", late).groupBy(F.window("ts", size), "op").agg(F.count("*").alias("n"))
 
 
-def coalesced(stream: DataFrame) -> DataFrame:
-    """A row per scope: its last sequence and whether a set was replaced (update mode)."""
-    return stream.groupBy("scope").agg(F.max("change_seq").alias("last_seq"), F.bool_or(F.col("op") == "replace_set").alias("replaced"), F.count("*").alias("n"))
+def coalesced(rows: DataFrame) -> DataFrame:
+    """A row per scope: its last sequence, whether a set was replaced, and how many changes."""
+    return rows.groupBy("scope").agg(F.max("change_seq").alias("last_seq"), F.bool_or(F.col("op") == "replace_set").alias("replaced"), F.count("*").alias("n"))
 
 
 def deduplicated(stream: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -36,21 +47,93 @@ def deduplicated(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["change_seq"])
 
 
-def applier(apply: Callable[[DataFrame, int], None], done: set[int] | None = None) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: a batch id that was applied is skipped."""
-    seen = set() if done is None else done
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        if batch_id not in seen:
-            apply(batch, batch_id)
-            seen.add(batch_id)
-
-    return run
+def while_cached(stream: DataFrame) -> DataFrame:
+    """Of look-ups (document_id, status, fetched_at), those that find no living cache row of their
+    status: a repeat within the status's lifetime is dropped, a later one passes."""
+    classes = [(F.col("status") == s, ttl) for s, ttl in TTL.items()] + [(~F.col("status").isin(*TTL), NEGATIVE_TTL)]
+    parts = [stream.filter(which).withWatermark("fetched_at", f"{ttl} seconds").dropDuplicatesWithinWatermark(["document_id", "status"]) for which, ttl in classes]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+class Applier:
+    """For foreachBatch: applies micro-batches of changes under a shared folder. With `first`, the log
+    must go on without a gap from that sequence: what follows a gap is set aside under `quarantine`,
+    and what was applied before is skipped."""
+
+    def __init__(self, spark: SparkSession, root: str, first: int | None = None) -> None:
+        self.spark, self.root, self.first = spark, root, first
+
+    def state(self) -> dict:
+        text = storage.read_text(self.spark, f"{self.root}/APPLIED")
+        return json.loads(text) if text else {"batch": -1, "high": (self.first or 0) - 1}
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        now = self.state()
+        if batch_id <= now["batch"]:
+            return
+        rows, high = batch, now["high"]
+        if self.first is not None:
+            rows = batch.filter(F.col("change_seq") > high).dropDuplicates(["change_seq"])
+            top = rows.agg(F.max("change_seq")).first()[0]
+            if top is not None:
+                wanted = self.spark.range(high + 1, top + 1).toDF("change_seq")
+                gap = wanted.join(rows.select("change_seq"), "change_seq", "left_anti").agg(F.min("change_seq")).first()[0]
+                if gap is not None:
+                    rows.filter(F.col("change_seq") > gap).withColumn("reason", F.lit("sequence_gap")).write.mode("overwrite").parquet(f"{self.root}/quarantine/batch={batch_id}")
+                    rows, top = rows.filter(F.col("change_seq") < gap), gap - 1
+                high = top
+        else:
+            high = max(high, batch.agg(F.coalesce(F.max("change_seq"), F.lit(high))).first()[0])
+        coalesced(rows).write.mode("overwrite").parquet(f"{self.root}/scopes/batch={batch_id}")
+        storage.swap_text(self.spark, f"{self.root}/APPLIED", json.dumps({"batch": batch_id, "high": high}))
+
+    def scopes(self) -> DataFrame:
+        """What all applied batches come to, a row per scope."""
+        parts = self.spark.read.schema("scope long, last_seq long, replaced boolean, n long, batch int").parquet(f"{self.root}/scopes").filter(F.col("batch") <= self.state()["batch"])
+        return parts.groupBy("scope").agg(F.max("last_seq").alias("last_seq"), F.bool_or("replaced").alias("replaced"), F.sum("n").alias("n"))
+
+
+def run_available(stream: DataFrame, applier: Applier) -> None:
+    """Applies what is there now, from the offsets of the last run on."""
+    q = stream.writeStream.foreachBatch(applier).option("checkpointLocation", f"{applier.root}/offsets").trigger(availableNow=True).start()
+    q.awaitTermination()
 
 
 def coalesce_stream_once(spark: SparkSession, path: str) -> DataFrame:
-    """Runs coalescing over what is there now and returns the final rows."""
-    name = f"changes_{uuid.uuid4().hex}"
-    q = coalesced(change_stream(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Coalesces what is there now; run again, it goes on from there."""
+    applier = Applier(spark, storage.place(spark, "changelog", path))
+    run_available(change_stream(spark, path), applier)
+    return applier.scopes()
+
+
+class Cycle(Enum):
+    UP_TO_DATE = "up_to_date"
+    PROGRESS = "progress"
+    RETRYABLE = "retryable"
+    REJECTED = "rejected"
+
+
+def poll(cycle: Callable[[], bool], rounds: int, interval: float, backoff: tuple[float, float], burst: int = 8, stop: Callable[[], bool] = lambda: False, sleep: Callable[[float], None] = time.sleep) -> list[tuple[Cycle, float]]:
+    """Runs cycles (true: something was applied) for a number of rounds and tells each one's class and
+    the pause after it. After progress the next one follows at once, `burst` times at most; a refusal
+    waits the interval, as it won't mend itself; any other error is tried again after a pause that
+    doubles between the bounds. Asked to stop, it does so before the next cycle."""
+    done: list[tuple[Cycle, float]] = []
+    faults = progress = 0
+    while len(done) < rounds and not stop():
+        try:
+            kind = Cycle.PROGRESS if cycle() else Cycle.UP_TO_DATE
+        except Rejected:
+            kind = Cycle.REJECTED
+        except Exception:  # a fault of the data plane must not end the loop
+            kind = Cycle.RETRYABLE
+        faults = faults + 1 if kind is Cycle.RETRYABLE else 0
+        progress = progress + 1 if kind is Cycle.PROGRESS else 0
+        pause = min(backoff[1], backoff[0] * 2 ** (faults - 1)) if faults else 0.0 if 0 < progress <= burst else interval
+        done.append((kind, pause))
+        if pause:
+            sleep(pause)
+    return done

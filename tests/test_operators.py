@@ -72,29 +72,26 @@ def test_inferred_citations(spark):
     assert [(g.number, g.code) for g in got] == [("L1-2", ""), ("7", "code civil")]
 
 
-def test_catchup_plans():
-    p = [delta.Package("p1", 0, 5, 10), delta.Package("p2", 5, 9, 10)]
-    base = delta.Media("b", 5, 100)
-    assert delta.plan_catchup(9, base, p) == ("up_to_date", [])
-    assert delta.plan_catchup(5, base, p) == ("incremental", ["p2"])
-    assert delta.plan_catchup(None, base, p) == ("fresh_baseline", ["b", "p2"])
-    assert delta.plan_catchup(3, None, p) == ("blocked", [])
-    assert delta.schema_gate(3, 3, False) == "equal" and delta.schema_gate(3, 4, True) == "ahead"
+def test_canonical_json():
     assert delta.canonical_json({"b": 1, "a": [True]}) == '{"a":[true],"b":1}'
+    with pytest.raises(ValueError):
+        delta.canonical_json(float("nan"))
 
 
-def test_generations(spark, tmp_path):
-    g = delta.Generations(str(tmp_path))
+def test_a_broken_apply_leaves_the_old_generation(spark, tmp_path):
+    g = delta.Generations(spark, f"file://{tmp_path}")
     t = spark.createDataFrame([(1, "a")], "id long, x string")
-    digest = relations.table_digest(t, "id", ["id", "x"]).first().digest
-    p = delta.Package("p1", 0, 4, 1, "d1")
-    with pytest.raises(ValueError, match="digest_mismatch"):
-        g.apply(spark, p, {"documents": t}, {"documents": "no"})
-    assert g.state()["sequence"] == 0
-    assert g.apply(spark, p, {"documents": t}, {"documents": digest}) == "applied" and g.apply(spark, p, {"documents": t}) == "noop"
-    with pytest.raises(ValueError, match="sequence_gap"):
-        g.apply(spark, delta.Package("p3", 7, 9, 1), {"documents": t})
-    assert g.read(spark, "documents").count() == 1
+    r = relations.table_digest(t, "id", ["id", "x"]).first()
+    with pytest.raises(delta.Rejected, match="digest_mismatch"):
+        g.load(delta.Baseline("b", "baseline", 4), "d", {"documents": t}, expected={"documents": (1, "no")})
+    assert g.state() is None
+    assert g.load(delta.Baseline("b", "baseline", 4), "d", {"documents": t}, delta.Stamps(24, "f", (("c", "1"),)), {"documents": (r.n, r.digest)}) == "applied"
+    bad = t.select(F.raise_error(F.lit("broken")).cast("long").alias("id"), "x")
+    with pytest.raises(Exception, match="broken"):
+        g.apply(delta.Package("p5", "d5", 4, 5, stamps=delta.Stamps(24, "f", (("c", "1"),))), {"documents": bad})
+    with pytest.raises(delta.Rejected, match="builder_version_mismatch"):
+        g.apply(delta.Package("p5", "d5", 4, 5, stamps=delta.Stamps(24, "f", (("c", "2"),))), {"documents": t})
+    assert g.state().sequence == 4 and g.state().stamps.builders == (("c", "1"),) and g.read("documents").count() == 1
 
 
 def test_evaluation_helpers(spark):
@@ -128,11 +125,61 @@ def test_archive_plan(spark):
     assert [r.action for r in archives.select_archives(plan).collect()] == ["baseline", "delta"]
 
 
-def test_stream_equals_batch(spark):
-    sf = "/root/testdata/sf0.001"
-    got = {r.scope: (r.last_seq, r.n) for r in changelog.coalesce_stream_once(spark, f"{sf}/events.parquet").collect()}
-    want = {r.user_id: (r.s, r.n) for r in spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("s"), F.count("*").alias("n")).collect()}
-    assert got == want
+def changes_of(spark, path, numbers):
+    rows = [(k, k % 3, "purchase" if k % 5 == 0 else "view") for k in numbers]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").select("event_id", F.timestamp_seconds("event_id").alias("ts"), "user_id", "event_type", F.lit(0.0).alias("value"), F.lit("").alias("props")).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_stream_goes_on_and_applies_once(spark, tmp_path):
+    path, root = f"{tmp_path}/log", f"file://{tmp_path}/state"
+    changes_of(spark, path, range(10))
+    a = changelog.Applier(spark, root, first=0)
+    changelog.run_available(changelog.change_stream(spark, path), a)
+    want = lambda ks: {s: (max(k for k in ks if k % 3 == s), sum(k % 3 == s for k in ks)) for s in range(3)}
+    got = lambda: {r.scope: (r.last_seq, r.n) for r in a.scopes().collect()}
+    assert got() == want(range(10)) and a.state()["high"] == 9
+    batch = spark.read.parquet(path).select(F.col("event_id").alias("change_seq"), "ts", F.col("user_id").alias("scope"), F.lit("upsert").alias("op"))
+    a(batch, a.state()["batch"])  # the same batch again, and the same rows in another
+    a(batch, a.state()["batch"] + 1)
+    assert got() == want(range(10))
+    changes_of(spark, path, [10, 11, 13, 14])  # 12 is missing
+    changelog.run_available(changelog.change_stream(spark, path), changelog.Applier(spark, root, first=0))
+
+
+def test_a_gap_is_set_aside(spark, tmp_path):
+    a = changelog.Applier(spark, f"file://{tmp_path}/state", first=0)
+    rows = lambda ks: spark.createDataFrame([(k, k % 3, "upsert") for k in ks], "change_seq long, scope long, op string")
+    a(rows([0, 1, 2]), 0)
+    a(rows([4, 3, 6, 7]), 1)
+    assert a.state() == {"batch": 1, "high": 4}
+    assert sorted(r.change_seq for r in spark.read.parquet(f"{tmp_path}/state/quarantine").collect()) == [6, 7]
+    a(rows([5, 6, 7]), 2)
+    assert a.state()["high"] == 7 and sum(r.n for r in a.scopes().collect()) == 8
+
+
+def test_cached_rows_hold_back_repeats(spark, tmp_path):
+    rows = [("d", "ok", 0), ("d", "ok", 5), ("e", "upstream_error", 0)]
+    t = spark.createDataFrame(rows, "document_id string, status string, s long").select("document_id", "status", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("fetched_at"))
+    t.write.parquet(f"{tmp_path}/in")
+    s = spark.readStream.schema(t.schema).parquet(f"{tmp_path}/in")
+    q = changelog.while_cached(s).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.document_id, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("d", "ok"), ("e", "upstream_error")]
+
+
+def test_polling_tells_faults_apart():
+    steps = iter([True, True, False, OSError(), OSError(), OSError(), delta.Rejected(delta.Reject.SEQUENCE_GAP, "x"), False])
+    slept = []
+
+    def cycle():
+        x = next(steps)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    done = changelog.poll(cycle, 8, 10.0, (1.0, 3.0), sleep=slept.append)
+    assert [k.value for k, _ in done] == ["progress", "progress", "up_to_date", "retryable", "retryable", "retryable", "rejected", "up_to_date"]
+    assert slept == [10.0, 1.0, 2.0, 3.0, 10.0, 10.0]
 
 
 def test_bootstrap_covers_every_item(spark, monkeypatch):
