@@ -67,17 +67,6 @@ def xml_text_norm(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("text"))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
-def src_apache_listing(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
-
-
-@query("SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
-def fetch_plan(spark, sf_dir):
-    p = read(spark, sf_dir, "pages")
-    return p.select("url").distinct().join(p.filter("page_id % 3 = 0").select("url"), "url", "left_anti")
-
-
 @query("SELECT document_id, CAST(i AS BIGINT) AS chunk_index, md5(substr(body, CAST(i * 6000 + 1 AS BIGINT), 6000)) AS body FROM (SELECT document_id, body, unnest(range(0, greatest(1, CAST(ceil(length(body) / 6000.0) AS BIGINT)))) AS i FROM docs)", DOCS_SQL)
 def chunk_hard_split(spark, sf_dir):
     d = docs(spark, sf_dir).select("document_id", F.explode(D.hard_split(F.col("body"))).alias("c"))

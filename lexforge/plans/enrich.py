@@ -153,13 +153,6 @@ def valid_dates(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.valid_date(text).alias("day"))
 
 
-@query("SELECT document_id, body FROM (SELECT doc_id AS document_id, text AS body, doc_id % 4 AS r FROM documents WHERE doc_id % 4 < 2) WHERE r = 0 UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 4 = 1")
-def sink_upsert_documents(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").filter("doc_id % 4 < 2").select(F.col("doc_id").alias("document_id"), F.col("text").alias("body"), F.lit(0).alias("seq"))
-    new = d.filter("document_id % 4 = 1").select("document_id", F.lit("new").alias("body"), F.lit(2).alias("seq")).unionByName(d.filter("document_id % 4 = 1").select("document_id", F.lit("older").alias("body"), F.lit(1).alias("seq")))
-    return A.upsert(d, new, "document_id", "seq").select("document_id", "body")
-
-
 @query()
 def search(spark, sf_dir):
     """The whole request, paged twice; the second page starts at the first one's cursor."""

@@ -105,7 +105,7 @@ def test_evaluation_helpers(spark):
 def test_archives(spark, tmp_path):
     data = io.BytesIO()
     with tarfile.open(fileobj=data, mode="w:gz") as tar:
-        x = b"<ARTICLE><ID>LEGIARTI000000000001</ID><DATE_DEBUT>2000-01-01</DATE_DEBUT><DATE_FIN>2999-01-01</DATE_FIN><CONTENU><p>Un  texte</p><p>deux</p></CONTENU><LIENS><LIEN id='LEGIARTI000000000002'>x</LIEN></LIENS></ARTICLE>"
+        x = b"<ARTICLE><META><META_COMMUN><ID>LEGIARTI000000000001</ID><NATURE>Article</NATURE></META_COMMUN><META_ARTICLE><DATE_DEBUT>2000-01-01</DATE_DEBUT><DATE_FIN>2999-01-01</DATE_FIN></META_ARTICLE></META><BLOC_TEXTUEL><CONTENU><p>Un  <i>texte</i></p><p>deux</p></CONTENU></BLOC_TEXTUEL><LIENS><LIEN id='LEGIARTI000000000002'>x</LIEN></LIENS></ARTICLE>"
         info = tarfile.TarInfo("a/b.xml")
         info.size = len(x)
         tar.addfile(info, io.BytesIO(x))
@@ -116,6 +116,19 @@ def test_archives(spark, tmp_path):
     r = xml.parse_members(rows, "legi").first()
     assert (r.document_id, r.body, r.valid_to, r.links[0].target, r.error) == ("legi:LEGIARTI000000000001@2000-01-01", "Un texte\ndeux", None, "LEGIARTI000000000002", None)
     assert xml.parse(b"<OTHER/>", "legi")["error"].startswith("unsupported root")
+    assert xml.parse(b"<ARTICLE>", "legi")["error"].startswith("malformed")
+    whole = archives.members_of(spark.read.format("binaryFile").load(str(tmp_path))).drop("archive").collect()
+    assert sorted(map(str, whole)) == sorted(map(str, rows.drop("archive").collect()))
+    small = archives.read_archives(spark, str(tmp_path), limit=10)
+    assert all("more than 10" in r.error or "Error" in r.error for r in small.collect())
+
+
+def test_embeddings_are_guarded(spark):
+    c = spark.createDataFrame([(1, "fp"), (2, "other")], "chunk_id long, embedding_fingerprint string")
+    for bad in (2, 3):
+        rows = spark.createDataFrame([(1, "fp", 1), (bad, "fp", 1)], "chunk_id long, embedding_fingerprint string, seq int")
+        with pytest.raises(Exception, match=f"fingerprint for chunk {bad}"):
+            archives.upsert_embeddings(rows.limit(0), rows, c, "seq").collect()
 
 
 def test_archive_plan(spark):
