@@ -45,6 +45,11 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(fold(c), F.lit(TOKEN), F.lit(0))
 
 
+def query_text(c: Column) -> Column:
+    """A query's letters and digits, one space between their runs."""
+    return F.array_join(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), " ")
+
+
 def squash(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

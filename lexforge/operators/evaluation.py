@@ -24,6 +24,36 @@ def metrics(ranking: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
     return j.select("query_id", F.round(F.coalesce("hits", F.lit(0.0)) / k, 6).alias("precision"), share("hits", "relevant").alias("recall"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("mrr"), F.coalesce(share("dcg", "idcg"), F.lit(0.0)).alias("ndcg"))
 
 
+def score_known_item(answers: DataFrame) -> DataFrame:
+    """backend, scored, hits, metric by backend and over all of answers (backend, document_id, label: of
+    the gold document, null if it isn't judged); those without a gold document aren't scored."""
+    hit = F.coalesce(F.col("label") > 0, F.lit(False))
+    g = answers.filter("document_id is not null").rollup("backend").agg(F.count("*").alias("scored"), F.count_if(hit).alias("hits"), F.round(F.avg(hit.cast("double")), 6).alias("metric"))
+    return g.withColumn("backend", F.coalesce("backend", F.lit("all")))
+
+
+def tune_sweep(runs: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """weight, score (precision at k), best of runs (weight, document_id, score); the last of equal ones
+    is best. Runs are fused pages, so a weight's rows are few."""
+    top = runs.withColumn("rank", F.row_number().over(W.partitionBy("weight").orderBy(F.desc("score"), "document_id"))).filter(F.col("rank") <= k)
+    hit = top.join(relevant.select("document_id", F.lit(1.0).alias("hit")), "document_id", "left")
+    s = hit.groupBy("weight").agg(F.round(F.sum(F.coalesce("hit", F.lit(0.0))) / k, 6).alias("score"))
+    return s.join(s.agg(F.max_by("weight", F.struct("score", "weight")).alias("top"))).select("weight", "score", (F.col("weight") == F.col("top")).alias("best"))
+
+
+#: What would identify a decision in its own text.
+IDENTIFIERS = r"ECLI:[A-Z]{2}:[A-Za-z0-9.:_-]+|JURITEXT[0-9]+|CETATEXT[0-9]+|[0-9]{2}-[0-9]{1,3}\.[0-9]{3}|[0-9]{2}-[0-9]{4,6}"
+
+
+def gold_zone(units: DataFrame, limit: int) -> DataFrame:
+    """zone, document_id, source, query: per zone the first `limit` decisions, each with its first
+    fragment of 120 characters or more, cleaned of identifiers and cut at 500; it must keep 60."""
+    first = units.filter(F.length("body") >= 120).groupBy("zone", "document_id").agg(F.min_by(F.struct("source", "body"), "fragment_index").alias("u"))
+    query = F.substring(F.trim(F.regexp_replace(F.regexp_replace("u.body", IDENTIFIERS, " "), r"\s+", " ")), 1, 500)
+    q = first.select("zone", "document_id", "u.source", query.alias("query")).filter(F.length(F.trim("query")) >= 60)
+    return q.withColumn("k", F.row_number().over(W.partitionBy("zone").orderBy("document_id"))).filter(F.col("k") <= limit).drop("k")
+
+
 MASK = (1 << 64) - 1
 
 
@@ -36,8 +66,8 @@ def fnv1a(text: str) -> int:
 
 
 def xorshift64(seed: int):
-    """Marsaglia's xorshift64 with shifts 13, 7, 17."""
-    x = seed or 1
+    """Marsaglia's xorshift64 with shifts 13, 7, 17; the seed is made odd."""
+    x = seed | 1
     while True:
         x ^= x << 13 & MASK
         x ^= x >> 7
@@ -45,13 +75,30 @@ def xorshift64(seed: int):
         yield x
 
 
-def bootstrap_ci(values: list[float], seed: int, rounds: int = 1000) -> tuple[float, float]:
-    """The 2.5 and 97.5 percentiles, by index, of resampled means."""
-    if not values:
-        return (0.0, 0.0)
-    rng, n = xorshift64(seed), len(values)
-    means = sorted(sum(values[next(rng) % n] for _ in range(n)) / n for _ in range(rounds))
-    return means[int(rounds * 0.025)], means[min(rounds - 1, int(rounds * 0.975))]
+#: Fixed value: what the bootstrap's seed is made of, with the number of questions.
+BOOTSTRAP_SEED = 0x6A75726973656172
+
+
+def bootstrap_ci(a: list[float | None], b: list[float | None], rounds: int = 1000) -> tuple[float, float, float]:
+    """The difference of the means of two systems over the same questions, and its 2.5 and 97.5
+    percentiles, by index, when questions are drawn with replacement. A question without a value
+    doesn't count in a mean; a draw without any is left out."""
+    n, nan = len(a), math.nan
+
+    def delta(draw) -> float:
+        means = []
+        for values in (a, b):
+            have = [v for i in draw if (v := values[i]) is not None]
+            means.append(sum(have) / len(have) if have else nan)
+        return means[0] - means[1]
+
+    rng = xorshift64(BOOTSTRAP_SEED ^ n)
+    draws = (delta([next(rng) % n for _ in range(n)]) for _ in range(rounds)) if n else ()
+    found = sorted(d for d in draws if not math.isnan(d))
+    if not found:
+        return delta(range(n)), nan, nan
+    at = lambda share: found[min(len(found) - 1, int(share * len(found)))]
+    return delta(range(n)), at(0.025), at(0.975)
 
 
 def blind_pool(ids: list, question: str) -> list:
@@ -92,3 +139,27 @@ def authority_lift(pairs: DataFrame, off: DataFrame, on: DataFrame) -> DataFrame
 def gates(values: dict[str, float], floors: dict[str, float]) -> dict[str, str]:
     """passed or failed per floor; a missing or non-finite value fails."""
     return {k: "passed" if np.isfinite(values.get(k, np.nan)) and values[k] >= f else "failed" for k, f in floors.items()}
+
+
+def release_gate(health: dict, floors: dict[str, float]) -> list[tuple[str, str, bool]]:
+    """(check, status, whether it gates) of a release: pass, pending or fail. health: query_ready,
+    available, completed_run, failed_members, projection and embedding (covered, total), snapshot, model,
+    and values for the floors."""
+    there = bool(health.get("available"))
+    covered = lambda c: "pending" if not c or not c[1] else "pass" if c[0] == c[1] else "fail"
+    failed = health.get("failed_members")
+    checks = [
+        ("index_query_ready", "pass" if health.get("query_ready") else "pending", True),
+        ("latest_completed_ingest_run", "pass" if there and health.get("completed_run") else "pending", True),
+        ("failed_members", "pending" if not there else "pass" if failed == 0 else "fail", True),
+        ("projection_coverage", covered(health.get("projection")), True),
+        ("embedding_coverage", covered(health.get("embedding")), True),
+        ("replay_snapshot", "pass" if there and health.get("snapshot") else "pending", True),
+        ("embedding_model", "pass" if health.get("model") else "fail", True),
+    ]
+    bench = gates(health.get("values", {}), floors)
+    return [*checks, *((k, "pass" if v == "passed" else "fail", not k.startswith("advisory")) for k, v in bench.items())]
+
+
+def claim_allowed(checks: list[tuple[str, str, bool]]) -> bool:
+    return all(status == "pass" for _, status, gating in checks if gating)

@@ -63,17 +63,18 @@ def padded(prefix: str, n) -> F.Column:
     return F.concat(F.lit(prefix), F.lpad(n.cast("string"), 12, "0"))
 
 
-def legal(spark, sf_dir) -> DataFrame:
+def legal(spark, sf_dir, number: str | None = None) -> DataFrame:
+    """The corpus; with a name, also the number that a row was made of."""
     k, article = F.col("doc_id"), F.col("doc_id") % 2 == 0
     starts, ends = day(k % 6000, "2000-01-01"), F.when(k % 3 == 0, day(k % 6000 + k % 2000 + 1, "2000-01-01"))
     uid = F.when(article, padded("LEGIARTI", k - k % 8)).when(k % 4 == 1, padded("JURITEXT", k)).otherwise(padded("CETATEXT", k))
     source = F.when(article, "legi").when(k % 4 == 1, "cass").otherwise("jade")
-    number = F.concat((10 + k % 80).cast("string"), F.lit("-"), (10 + k % 90).cast("string"), F.lit("."), (100 + k % 900).cast("string"))
+    case = F.concat((10 + k % 80).cast("string"), F.lit("-"), (10 + k % 90).cast("string"), F.lit("."), (100 + k % 900).cast("string"))
     return read(spark, sf_dir, "documents").select(
-        F.when(article, F.concat(F.lit("legi:"), uid, F.lit("@"), starts.cast("string"))).otherwise(F.concat(source, F.lit(":"), uid)).alias("document_id"),
+        *([k.alias(number)] if number else []), F.when(article, F.concat(F.lit("legi:"), uid, F.lit("@"), starts.cast("string"))).otherwise(F.concat(source, F.lit(":"), uid)).alias("document_id"),
         source.alias("source"), F.when(article, "article").otherwise("decision").alias("kind"), uid.alias("source_uid"), F.when(k % 3 == 0, "Code civil").otherwise("Code du travail").alias("citation"),
         F.concat(F.lit("Article "), (k % 400).cast("string")).alias("title"), starts.alias("valid_from"), ends.alias("valid_to"),
-        F.when(~article, F.concat(F.lit("ECLI:FR:CCASS:2021:C"), (100000 + F.floor(k / 12)).cast("string"))).alias("ecli"), F.when(~article, F.array(number)).alias("case_numbers"),
+        F.when(~article, F.concat(F.lit("ECLI:FR:CCASS:2021:C"), (100000 + F.floor(k / 12)).cast("string"))).alias("ecli"), F.when(~article, F.array(case)).alias("case_numbers"),
     )
 
 
