@@ -2,15 +2,18 @@
 
 import gzip
 import io
+import random
 import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexforge import adapters
 from lexforge.functions import text as T
 from lexforge.functions.stem import stem_word
-from lexforge.operators import delta, derive, evaluation, relations, retrieval
+from lexforge.operators import citations, delta, derive, evaluation, index, relations, retrieval
 from lexforge.plans import evaluate
+from lexforge.plans import retrieval as retrieval_plans
 from lexforge.sources import archives, xml
 from lexforge.streaming import changelog
 
@@ -62,14 +65,78 @@ def test_chunks_and_hierarchy(spark):
     assert one(spark, derive.toc_stack(links)) == ["Livre II", "Titre II"]
     a = lambda *x: F.array(*map(F.lit, x))
     assert one(spark, derive.overlap_merge(a("x", "y"), a("y", "z"))) == ["x", "y", "z"]
-    assert one(spark, derive.decision_part(F.lit("a PAR CES MOTIFS b PAR CES MOTIFS : casse"), "dispositif")).startswith("PAR CES MOTIFS : casse")
-    assert derive.expand_terms("Responsabilité du fait d'autrui", {"responsabilite": ["faute", "dommage"]}) == ["faute", "dommage"]
+    assert one(spark, derive.decision_part("dispositif", F.lit("a PAR CES MOTIFS b PAR CES MOTIFS : casse"), F.lit(None).cast("string"))).startswith("PAR CES MOTIFS : casse")
+    assert derive.pack_lines(["aaaa", "bb", "c"], 4) == ["aaaa", "bb\nc"]
 
 
 def test_inferred_citations(spark):
-    d = spark.createDataFrame([("d", "article L. 1-2 puis article 7 du code civil, article 9 seul")], "id string, body string")
+    d = spark.createDataFrame([("d", "article L. 1-2 puis article 7 du code civil, article 9 seul, articles R1\u20112 et é" + "é" * 60 + " du code x")], "id string, body string")
     got = d.select(derive.inferred_citations(F.col("id"), F.col("body")).alias("x")).first().x
-    assert [(g.number, g.code) for g in got] == [("L1-2", ""), ("7", "code civil")]
+    assert [(g.number, g.code) for g in got] == [("L1-2", ""), ("7", "code civil"), ("R1-2", "")]  # the window is of 80 bytes
+
+
+def test_embeddings_are_checked(spark):
+    c = spark.createDataFrame([(k, "x" * k) for k in range(70)], "chunk_id long, body string")
+
+    def flaky():
+        calls = []
+
+        def provider(texts):
+            calls.append(1)
+            if len(calls) % 3:
+                raise OSError("busy")
+            assert len(texts) <= 32 and all(len(t) <= 50 for t in texts)
+            return [[1.0, 0.0] for _ in texts]
+
+        return provider
+
+    def down(texts):
+        raise OSError("down")
+
+    assert derive.embed(c.coalesce(1), flaky(), 2, 50).count() == 70
+    for bad, message in ((lambda ts: [[1.0] for _ in ts], "dimension"), (lambda ts: [[1.0, 1.0] for _ in ts], "normalised"), (down, "down")):
+        with pytest.raises(Exception, match=message):
+            derive.embed(c, bad, 2, 50).collect()
+
+
+def test_strict_citations_and_readiness_fail(spark):
+    s = spark.createDataFrame([("x", "exact"), ("y", "ambiguous")], "cite string, state string")
+    assert citations.cite_strict(s.filter("state = 'exact'")).count() == 1
+    with pytest.raises(Exception, match="failed for `y` with state `ambiguous`"):
+        citations.cite_strict(s).collect()
+    c = spark.createDataFrame([("a", 5, 5, 5, 4)], "corpus string, documents long, projected long, chunks long, embedded long")
+    with pytest.raises(Exception, match="corpus a is incomplete"):
+        relations.readiness_stamp(c, True).collect()
+    with pytest.raises(Exception, match="no compact timestamp"):
+        delta.ingest_cursor(spark.createDataFrame([("s", "completed", "2024", None)], "source string, status string, stamp string, member_limited boolean")).collect()
+
+
+def test_stored_index_and_cells(spark, tmp_path):
+    """Scores of the stored index are those of the formula; half of the cells find nearly all neighbours."""
+    sf = "/root/testdata/sf0.001"
+    terms, chunks = ["the", "mit", "de"], adapters.chunks(spark, sf)
+    d = adapters.docs(spark, sf).select("document_id", "kind", "source", "lang", "valid_from", "valid_to")
+    want = {r.chunk_id: r.score for r in retrieval.bm25_scores(chunks, terms).collect()}
+    for buckets in (1, 8):
+        path = f"{tmp_path}/index{buckets}"
+        index.build(chunks.join(d, "document_id"), path, buckets, 3)
+        i = index.open_index(spark, path)
+        got = {r.chunk_id: r.score for r in i.scores(terms).collect()}
+        assert got == want and i.scores(["nosuchword"]).count() == 0
+    plan = spark._sc._jvm.PythonSQLUtils.explainString(i.scores(terms)._jdf.queryExecution(), "formatted")
+    assert any("PartitionFilters: [" in x and "bucket" in x for x in plan.split("\n")) and any("PushedFilters: [" in x and "In(term" in x for x in plan.split("\n"))
+    v = retrieval_plans.vectors(spark, sf)
+    m = retrieval.ivf_build(v, v.select("document_id"), f"file://{tmp_path}/cells", 8, "fp")
+    hits = []
+    for q in v.limit(12).collect():
+        exact = {r.document_id for r in retrieval.dense_topk(v, list(q.embedding), 10, pool=1).collect()}
+        assert exact == {r.document_id for r in retrieval.ivf_search(spark, f"file://{tmp_path}/cells", list(q.embedding), 10, m["lists"]).collect()}
+        hits.append(len(exact & {r.document_id for r in retrieval.ivf_search(spark, f"file://{tmp_path}/cells", list(q.embedding), 10, 4, "fp").collect()}) / 10)
+    assert sum(hits) / len(hits) >= 0.9
+    with pytest.raises(ValueError, match="missing"):
+        retrieval.ivf_build(v, spark.range(10**6, 10**6 + 1).toDF("document_id"), f"file://{tmp_path}/other", 2, "fp")
+    with pytest.raises(ValueError, match="fingerprint_mismatch"):
+        retrieval.ivf_search(spark, f"file://{tmp_path}/cells", [0.0] * 64, 5, fingerprint="other")
 
 
 def test_canonical_json():
@@ -94,12 +161,20 @@ def test_a_broken_apply_leaves_the_old_generation(spark, tmp_path):
     assert g.state().sequence == 4 and g.state().stamps.builders == (("c", "1"),) and g.read("documents").count() == 1
 
 
-def test_evaluation_helpers(spark):
-    low, high = evaluation.bootstrap_ci([0.0, 1.0, 1.0, 1.0], 7)
-    assert 0 <= low <= 0.75 <= high <= 1
+def test_evaluation_helpers():
+    a, b = [0.0, 1.0, None, 1.0, 0.5], [0.0, 0.5, 1.0, None, 0.25]
+    point, low, high = evaluation.bootstrap_ci(a, b, 200)
+    assert point == pytest.approx(2.5 / 4 - 1.75 / 4) and low <= point <= high
+    rng, draws = evaluation.xorshift64(0x6A75726973656172 ^ 5), []
+    for _ in range(200):  # the same by hand
+        pick = [next(rng) % 5 for _ in range(5)]
+        means = [[x[i] for i in pick if x[i] is not None] for x in (a, b)]
+        if all(means):
+            draws.append(sum(means[0]) / len(means[0]) - sum(means[1]) / len(means[1]))
+    draws.sort()
+    assert (low, high) == (draws[int(0.025 * len(draws))], draws[int(0.975 * len(draws))])
     assert sorted(evaluation.blind_pool([1, 2, 3], "q")) == [1, 2, 3] and evaluation.blind_pool([1, 2, 3], "q") == evaluation.blind_pool([1, 2, 3], "q")
     assert evaluation.sign_test([1, 1, 1], [0, 0, 0]) == (3, 0, 0.25)
-    assert evaluation.gates({"a": 1.0}, {"a": 0.5, "b": 0.1}) == {"a": "passed", "b": "failed"}
 
 
 def test_archives(spark, tmp_path):
@@ -197,10 +272,32 @@ def test_polling_tells_faults_apart():
 
 def test_bootstrap_covers_every_item(spark, monkeypatch):
     values = [0.0] * 1000 + [1.0] * 500
-    rows = spark.createDataFrame(list(enumerate(values)), "query_id long, ndcg double")
+    rows = spark.createDataFrame([(i, v, 0.25) for i, v in enumerate(values)], "query_id long, ndcg double, mrr double")
     monkeypatch.setattr(evaluate, "measured", lambda s, d: rows)
     got = evaluate.bootstrap_ci(spark, "").first()
-    assert (got.low, got.high) == evaluation.bootstrap_ci(values, evaluation.fnv1a("ndcg")) and got.low > 0
+    assert tuple(got) == evaluation.bootstrap_ci(values, [0.25] * 1500) and got.low > 0
     monkeypatch.setattr(evaluate, "BOOTSTRAP_ITEMS", 1499)
     with pytest.raises(ValueError):
         evaluate.bootstrap_ci(spark, "")
+
+
+def test_authority_rerank_equals_a_plain_loop(spark):
+    r = random.Random(2)
+    rows = [(q, i, r.choice("ab"), r.randrange(4), round(r.random(), 3)) for q in range(12) for i in range(15)]
+    got = {}
+    for x in retrieval.authority_rerank(spark.createDataFrame(rows, "query_id long, id long, order_key string, tier long, score double"), 0.4, 0.2).collect():
+        got.setdefault(x.query_id, {})[x.position] = x.id
+    for q in range(12):
+        left, want = sorted((x for x in rows if x[0] == q), key=lambda x: (-x[4], x[1])), []
+        while left:
+            band = [x for x in left if x[4] >= left[0][4] * 0.8]
+            queues = {o: sorted((x for x in band if x[2] == o), key=lambda x: -x[4] * (1 + 0.4 * x[3] / 3)) for o in "ab"}
+            want += [queues[x[2]].pop(0)[1] for x in band]
+            left = left[len(band) :]
+        assert [got[q][k + 1] for k in range(15)] == want
+
+
+def test_an_authority_lift_is_the_share_of_pairs(spark):
+    pairs = spark.createDataFrame([(1, 1, 2), (1, 3, 2)], "query_id long, high_id long, low_id long")
+    order = lambda ids: spark.createDataFrame([(1, i, k) for k, i in enumerate(ids)], "query_id long, id long, position long")
+    assert tuple(evaluation.authority_lift(pairs, order([2, 1, 3]), order([1, 2, 3])).first()) == (0.0, 0.5)
