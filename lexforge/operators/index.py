@@ -13,10 +13,11 @@ Tokens are cut on the JVM; a batch's term counts are made on arrays, so the buil
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,12 @@ def build(chunks: DataFrame, path: str, buckets: int = BUCKETS, files: int = FIL
     posts.filter("bucket = -1").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
+def bucket_of(term: str, buckets: int) -> int:
+    """What Spark's pmod(xxhash64(term), buckets) is."""
+    h = xxhash.xxh64_intdigest(term.encode(), seed=42)
+    return (h - (1 << 64) if h >> 63 else h) % buckets
+
+
 @dataclass
 class Index:
     postings: DataFrame
@@ -67,6 +74,7 @@ class Index:
     n: int
     avg_len: float
     buckets: int
+    known: dict[str, int] = field(default_factory=dict)
 
     @property
     def chunks(self) -> DataFrame:
@@ -75,15 +83,20 @@ class Index:
 
     def of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
         """Rows of these terms: their buckets' partitions, and the terms pushed to the scan."""
-        spark = rows.sparkSession
-        asked = spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(self.buckets)) for t in terms)).first() if terms else []
-        return rows.filter(F.col("bucket").isin(sorted(set(asked))) & F.col("term").isin(terms))
+        return rows.filter(F.col("bucket").isin(sorted({bucket_of(t, self.buckets) for t in terms})) & F.col("term").isin(terms))
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """Document frequencies of a query's terms, remembered: the index doesn't change."""
+        new = [t for t in terms if t not in self.known]
+        if new:
+            self.known |= dict.fromkeys(new, 0) | {r.term: r.df for r in self.of(self.terms, new).collect()}
+        return {t: self.known[t] for t in terms if self.known[t]}
 
     def scores(self, terms: list[str], keep: Column | None = None) -> DataFrame:
         """chunk_id, document_id and filter columns, score (rounded to 6 places) of every chunk that
         holds a term and passes the filter. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Of the
         collection only the document frequencies of the query's terms come to the driver."""
-        df = {r.term: r.df for r in self.of(self.terms, terms).collect()}
+        df = self.frequencies(terms)
         posts = self.of(self.postings, terms)
         if keep is not None:
             posts = posts.filter(keep)

@@ -112,7 +112,7 @@ def test_strict_citations_and_readiness_fail(spark):
 
 
 def test_stored_index_and_cells(spark, tmp_path):
-    """Scores of the stored index are those of the formula; half of the cells find nearly all neighbours."""
+    """Scores of the stored index are those of the formula; three quarters of the cells find nearly all neighbours."""
     sf = "/root/testdata/sf0.001"
     terms, chunks = ["the", "mit", "de"], adapters.chunks(spark, sf)
     d = adapters.docs(spark, sf).select("document_id", "kind", "source", "lang", "valid_from", "valid_to")
@@ -125,13 +125,15 @@ def test_stored_index_and_cells(spark, tmp_path):
         assert got == want and i.scores(["nosuchword"]).count() == 0
     plan = spark._sc._jvm.PythonSQLUtils.explainString(i.scores(terms)._jdf.queryExecution(), "formatted")
     assert any("PartitionFilters: [" in x and "bucket" in x for x in plan.split("\n")) and any("PushedFilters: [" in x and "In(term" in x for x in plan.split("\n"))
+    words = ["", "a", "é", "license", "x" * 40]
+    assert one(spark, F.array(*(F.pmod(F.xxhash64(F.lit(w)), F.lit(7)) for w in words))) == [index.bucket_of(w, 7) for w in words]
     v = retrieval_plans.vectors(spark, sf)
     m = retrieval.ivf_build(v, v.select("document_id"), f"file://{tmp_path}/cells", 8, "fp")
     hits = []
     for q in v.limit(12).collect():
         exact = {r.document_id for r in retrieval.dense_topk(v, list(q.embedding), 10, pool=1).collect()}
         assert exact == {r.document_id for r in retrieval.ivf_search(spark, f"file://{tmp_path}/cells", list(q.embedding), 10, m["lists"]).collect()}
-        hits.append(len(exact & {r.document_id for r in retrieval.ivf_search(spark, f"file://{tmp_path}/cells", list(q.embedding), 10, 4, "fp").collect()}) / 10)
+        hits.append(len(exact & {r.document_id for r in retrieval.ivf_search(spark, f"file://{tmp_path}/cells", list(q.embedding), 10, 6, "fp").collect()}) / 10)
     assert sum(hits) / len(hits) >= 0.9
     with pytest.raises(ValueError, match="missing"):
         retrieval.ivf_build(v, spark.range(10**6, 10**6 + 1).toDF("document_id"), f"file://{tmp_path}/other", 2, "fp")
