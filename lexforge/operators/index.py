@@ -13,6 +13,7 @@ Tokens are cut on the JVM; a batch's term counts are made on arrays, so the buil
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +23,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..functions.text import TOKEN
+from ..functions.stem import stem
+from ..functions.text import STOPWORDS, TOKEN, tokens
 
 K1, B = 1.5, 0.75
 BUCKETS, FILES = 32, 2
@@ -45,11 +47,21 @@ def _counts(batches):
         yield pa.record_batch([*cols, pa.array(sizes[row].astype(np.int64)), terms, pa.array(np.concatenate([tf, np.zeros(len(sizes))]).astype(np.int64))], names=[*batch.schema.names[:-1], "len", "term", "tf"])
 
 
-def build(chunks: DataFrame, path: str, buckets: int = BUCKETS, files: int = FILES) -> None:
+def plain(body: Column) -> Column:
+    """Lower-cased runs of letters and digits."""
+    return F.regexp_extract_all(F.lower(body), F.lit(TOKEN), F.lit(0))
+
+
+def french(body: Column) -> Column:
+    """Folded, without French function words, stemmed; a query's terms must go the same way."""
+    return stem(F.filter(tokens(body), lambda w: ~w.isin(STOPWORDS)))
+
+
+def build(chunks: DataFrame, path: str, buckets: int = BUCKETS, files: int = FILES, analyzer: Callable[[Column], Column] = plain) -> None:
     """Writes the index of chunks (chunk_id, document_id, body and the columns of FILTERS)."""
     spark = chunks.sparkSession
     names = ["chunk_id", "document_id", *(c.split()[0] for c in FILTERS.split(", "))]
-    words = F.regexp_extract_all(F.lower(F.coalesce("body", F.lit(""))), F.lit(TOKEN), F.lit(0))
+    words = analyzer(F.coalesce("body", F.lit("")))
     schema = ", ".join([f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}", f"document_id {chunks.schema['document_id'].dataType.simpleString()}", FILTERS, "len bigint, term string, tf bigint"])
     rows = chunks.select(*names, words.alias("words")).mapInArrow(_counts, schema)
     bucket = F.when(F.col("term") == "", -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")

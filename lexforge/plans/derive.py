@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..adapters import CHUNKS_SQL, DOCS_SQL, chunks, docs, read
 from ..functions import text as T
-from ..functions.stem import stem
 from ..operators import derive as D
+from ..operators.index import french
 from .registry import query
 
 WS = "[ \\t\\n\\r\\f\\v]+"
@@ -57,8 +57,7 @@ def fr_analyzer_tokens(spark, sf_dir):
 
 @query()
 def fr_analyzer(spark, sf_dir):
-    w = F.filter(T.tokens(F.col("body")), lambda x: ~x.isin(T.STOPWORDS))
-    return docs(spark, sf_dir).filter("lang = 'fr'").select("document_id", stem(w).alias("w")).select("document_id", F.size(F.array_distinct("w")).cast("bigint").alias("n_stems"))
+    return docs(spark, sf_dir).filter("lang = 'fr'").select("document_id", french(F.col("body")).alias("w")).select("document_id", F.size(F.array_distinct("w")).cast("bigint").alias("n_stems"))
 
 
 @query("""SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(regexp_replace(html, '(?i)</?(p|br|li|div|blockquote|tr|td|th|table)([ \\t\\n\\r\\f\\v][^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)),

@@ -37,7 +37,15 @@ def test_text_functions(spark):
     assert one(spark, T.uid(F.lit("x LEGIARTI000000000012"), "LEGIARTI")) == "LEGIARTI000000000012"
     assert one(spark, T.article_number(F.lit("l. 121‑3"))) == "L121-3"
     assert one(spark, T.html_text(F.lit("<p>a  b</p><i>c</i><br/>"))) == "a b\nc"
-    assert stem_word("responsabilites") == stem_word("responsabilite")
+
+
+#: Words and their stems, of the stemmer's published sample.
+STEMS = "continu continu continua continu continuait continu continuant continu continuation continu continue continu continué continu continuel continuel continuelle continuel continuellement continuel continuelles continuel continuels continuel continuer continu continuera continu continuerait continu continueront continu continuez continu continuité continu continuons continuon contorsions contors contour contour contournait contourn contournant contourn contourne contourn contours contour contractait contract contracté contract contractée contract contracter contract contractés contract contractions contract contradictoirement contradictoir contradictoires contradictoir contraindre contraindr contraint contraint contrainte contraint contraintes contraint contraire contrair contraires contrair contraria contrari main main mains main maintenaient mainten maintenait mainten maintenant mainten maintenir mainten maintenue maintenu maintien maintien maintint maintint maire mair maires mair mairie mair mais mais maison maison maisons maison maistre maistr maitre maitr maître maîtr maîtres maîtr maîtresse maîtress maîtresses maîtress majesté majest majestueuse majestu majestueusement majestu majestueux majestu majeur majeur majeure majeur major major majordome majordom majordomes majordom majorité major majorités major mal mal malacca malacc malade malad malades malad maladie malad maladies malad maladive malad".split()
+
+
+def test_french_stems():
+    assert [stem_word(w) for w in STEMS[::2]] == STEMS[1::2]
+    assert stem_word("") == "" and stem_word("y") == "y" and stem_word("123") == "123"
 
 
 def test_cursors():
@@ -125,6 +133,8 @@ def test_stored_index_and_cells(spark, tmp_path):
         assert got == want and i.scores(["nosuchword"]).count() == 0
     plan = spark._sc._jvm.PythonSQLUtils.explainString(i.scores(terms)._jdf.queryExecution(), "formatted")
     assert any("PartitionFilters: [" in x and "bucket" in x for x in plan.split("\n")) and any("PushedFilters: [" in x and "In(term" in x for x in plan.split("\n"))
+    index.build(chunks.join(d, "document_id"), f"{tmp_path}/french", 2, 1, index.french)
+    assert one(spark, index.french(F.lit("Les Maisons des contrées"))) == ["maison", "contre"] and index.open_index(spark, f"{tmp_path}/french").n == chunks.count()
     words = ["", "a", "é", "license", "x" * 40]
     assert one(spark, F.array(*(F.pmod(F.xxhash64(F.lit(w)), F.lit(7)) for w in words))) == [index.bucket_of(w, 7) for w in words]
     v = retrieval_plans.vectors(spark, sf)
