@@ -519,13 +519,15 @@ def brute_matches(docs, items):
     """(text's number, item) pairs: every window of every item looked for in every text."""
     out = set()
     forms = {i: canonical_by_hand(t) for i, t in items}
+    cut = lambda x, w, form: {tuple(x[k : k + w]): k for k in range(len(x) - w + 1) if form or sum(c not in "NCU" for c in x[k : k + w]) >= 3}
+    wanted = {(i, form): (w, cut(other[form], w, form)) for i, other in forms.items() for form in (0, 1) for w in [min(5, len(other[1])) if form else 5]}
     for d, t in enumerate(docs):
         mine = canonical_by_hand(t)
+        held_ = {(w, form): cut(mine[form], w, form) for w, form in {(w, form) for (_, form), (w, _) in wanted.items()}}
         for i, other in forms.items():
             for form in (0, 1):
-                w = 5 if not form else min(5, len(other[1]))
-                cut = lambda x, w=w, form=form: {tuple(x[k : k + w]): k for k in range(len(x) - w + 1) if form or sum(c not in "NCU" for c in x[k : k + w]) >= 3}
-                want, have = cut(other[form]), cut(mine[form])
+                w, want = wanted[i, form]
+                have = held_[w, form]
                 if w and want and len(want.keys() & have.keys()) >= 0.8 * len(want):
                     shift = [k - want[x] for x in want for k in range(len(mine[form]) - w + 1) if tuple(mine[form][k : k + w]) == x]
                     s = max(set(shift), key=shift.count)
@@ -663,14 +665,25 @@ def test_pipeline_stages(spark):
         if name == "MinHash near-dedup":
             groups = brute_groups(before, 5, 80)
             assert set(after) == {i for i in before if groups[i] == i}
+        if name == "quality classifier":
+            got = quality_classifier.classify_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+            assert set(after) == {r.doc_id for r in got if r.predicted}
+        if name == "benchmark decontamination":
+            ids, items = sorted(before), [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+            assert set(after) == set(ids) - {ids[d] for d, _ in brute_matches([before[i] for i in ids], items)}
         if name == "secret scans":
             assert set(after) == set(before)
             assert not any(base_secrets(t) for t in after.values())
         else:
             assert all(after[i] == before[i] for i in after)
         docs = spark.createDataFrame(out.collect(), docs.schema)
-    packed = pipeline.STAGES[-1][1](spark, docs, SF)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+    from tokenizers import Tokenizer
+
+    t, done = Tokenizer.from_file(packing.tokenizer_path()), {}
+    for r in sorted(pipeline.STAGES[-1][1](spark, docs, SF).collect(), key=lambda r: (r.doc_id, r.start)):
+        assert r.start == done.get(r.doc_id, 0)
+        done[r.doc_id] = r.start + r.length
+    assert done == {r.doc_id: len(t.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect()}
 
 
 STAGE_ROWS = [(1, None, "a"), (2, "", "b"), (3, "same words of a text " * 9, None), (3, "same words of a text " * 9, "c"), (4, "same words of a text " * 9, "d"), (None, "same words of a text " * 9, "e"), (None, None, "f"), (5, LONG, "g"), (6, 'key token = "abcdefghijklmnop" \x00 é😀', "h")]
