@@ -129,6 +129,17 @@ def fanout_rrf(ranked: DataFrame, corpus: str, page: int) -> DataFrame:
     return local.select(corpus, "document_id", F.col("score").alias("local_score"), F.round(rrf(F.col("r")), 8).alias("cross_score")).orderBy(F.desc("cross_score"), corpus, "document_id").limit(page)
 
 
+def fanout_page(ranked: DataFrame, corpus: str, key: str, depth: int, after: Cursor | None = None) -> DataFrame:
+    """Rows of per-corpus rankings (corpus, key, score), the best `depth` of each, with the score that
+    merges them and the local one, in order of (score descending, corpus, key); after a cursor, if given."""
+    local = ranked.withColumn("r", F.row_number().over(W.partitionBy(corpus).orderBy(F.desc("score"), key))).filter(F.col("r") <= depth)
+    out = local.withColumn("local_score", F.col("score")).withColumn("score", F.round(rrf(F.col("r")), 8)).drop("r")
+    if after is not None:
+        s, at = F.col("score"), F.struct(F.lit(after.corpus), F.lit(after.last_id).cast(ranked.schema[key].dataType))
+        out = out.filter((s < after.score) | ((s == after.score) & (F.struct(corpus, key) > at)))
+    return out.orderBy(F.desc("score"), corpus, key)
+
+
 @dataclass(frozen=True)
 class Cursor:
     group: str

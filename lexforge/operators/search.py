@@ -5,8 +5,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import retrieval as R
@@ -27,6 +28,11 @@ class Request:
     embedding: list[float] | None = None
     fingerprint: str | None = None
     weights: tuple[float, float] = (R.LEXICAL_WEIGHT, R.DENSE_WEIGHT)
+    kind: str | None = None
+    #: Corpora (values of the index's lang) that are searched apart and merged by rank.
+    corpora: tuple[str, ...] = ()
+    #: Weight of the authority of sources within bands of like score; 0: off. Its page is the first only.
+    authority: float = 0.0
 
 
 @dataclass(frozen=True)
@@ -57,37 +63,65 @@ def validate(r: Request, fingerprint: str | None) -> None:
     R.rrf_weights(*r.weights)
 
 
+#: Rows that authority may move, for each row of a page.
+WINDOW = 8
+
+
+def scored(r: Request, documents: DataFrame, index: Index, vectors: DataFrame, keep: Column, limit: int) -> DataFrame:
+    """chunk_id, document_id, score of both arms' best `limit` that pass the filter, fused; the best
+    chunk of each document if grouped so."""
+    arms = []
+    if r.mode != "dense":
+        arms.append(R.lexical_topk(index, R.query_terms(r.query), limit, keep).select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(0)))
+    if r.mode != "bm25":
+        d = R.dense_topk(vectors, r.embedding, limit, documents, keep)
+        first = index.chunks.join(F.broadcast(d.select("document_id")), "document_id", "left_semi").groupBy("document_id").agg(F.min("chunk_id").alias("chunk_id"))
+        arms.append(d.join(F.broadcast(first), "document_id").select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(1)))  # at most `limit` rows each
+    ranks = arms[0] if len(arms) == 1 else arms[0].unionByName(arms[1])
+    weights = r.weights if r.mode == "hybrid" else (1.0, 1.0)
+    part = lambda arm: F.coalesce(R.rrf(F.min(F.when(F.col("arm") == arm, F.col("rank"))), weights[arm]), F.lit(0.0))
+    out = ranks.groupBy("chunk_id", "document_id").agg(F.round(part(0) + part(1), 8).alias("score"))
+    return R.best_per(out, "document_id", [F.desc("score"), F.asc("chunk_id")]) if r.group_by == "document" else out
+
+
 def search(r: Request, documents: DataFrame, index: Index, vectors: DataFrame, fingerprint: str | None = None) -> Response:
     """Routes citation-shaped hybrid queries to the exact resolver, others to retrieval; one row more
     than a page tells whether a next page exists."""
     validate(r, fingerprint)
-    intent = citation_intent(r.query, r.as_of) if r.mode == "hybrid" else None
-    audit = {"route": r.mode, "fallback": False}
+    intent = citation_intent(r.query, r.as_of) if r.mode == "hybrid" and not r.corpora else None
+    audit = {"route": "fanout" if r.corpora else r.mode, "fallback": False}
     if intent:
         exact = documents.filter((F.lower(F.trim("title")) == f"article {intent['number'].lower()}") & R.asof(intent["as_of"])).orderBy(F.desc_nulls_last("valid_from"), "document_id")
         rows = [x.asDict() for x in exact.select("document_id", "title").limit(r.top_k).collect()]
         if rows:
             return Response(rows, None, audit | {"route": "structured"})
         audit["fallback"] = True
-    limit, key = r.top_k * (4 if r.group_by == "chunk" else 20), "document_id" if r.group_by == "document" else "chunk_id"
-    arms = []
-    if r.mode != "dense":
-        arms.append(R.lexical_topk(index, R.query_terms(r.query), limit, R.asof(r.as_of)).select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(0)))
-    if r.mode != "bm25":
-        d = R.dense_topk(vectors, r.embedding, limit, documents, R.asof(r.as_of))
-        first = index.chunks.join(F.broadcast(d.select("document_id")), "document_id", "left_semi").groupBy("document_id").agg(F.min("chunk_id").alias("chunk_id"))
-        arms.append(d.join(F.broadcast(first), "document_id").select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(1)))
-    ranks = arms[0] if len(arms) == 1 else arms[0].unionByName(arms[1])
-    weights = r.weights if r.mode == "hybrid" else (1.0, 1.0)
-    part = lambda arm: F.coalesce(R.rrf(F.min(F.when(F.col("arm") == arm, F.col("rank"))), weights[arm]), F.lit(0.0))
-    scored = ranks.groupBy("chunk_id", "document_id").agg(F.round(part(0) + part(1), 8).alias("score"))
+    key, keep = "document_id" if r.group_by == "document" else "chunk_id", R.asof(r.as_of)
+    keep = keep if r.kind is None else keep & (F.col("kind") == r.kind)
+    cursor = R.parse_cursor(r.cursor, r.group_by) if r.cursor else None
+    each = 4 if r.group_by == "chunk" else 20
+    if r.corpora:
+        depth = R.fanout_depth(cursor and cursor.score, r.top_k)
+        arms = [scored(r, documents, index, vectors, keep & (F.col("lang") == c), each * depth).withColumn("corpus", F.lit(c)) for c in r.corpora]
+        rows = R.fanout_page(reduce(DataFrame.unionByName, arms), "corpus", key, depth, cursor).limit(r.top_k + 1).collect()
+    else:
+        found = scored(r, documents, index, vectors, keep, each * r.top_k)
+        if r.authority > 0:
+            return Response(by_authority(r, found, documents, key), None, audit | {"authority": r.authority})
+        found = found if cursor is None else R.after_cursor(found, cursor.score, cursor.last_id, id_col=key)
+        rows = found.orderBy(F.desc("score"), key).limit(r.top_k + 1).collect()
+    page = [x.asDict() for x in rows[: r.top_k]]
+    last = page[-1] if len(rows) > r.top_k else None
+    return Response(page, last and R.Cursor(r.group_by, last["score"], last.get("corpus"), str(last[key])).encode(), audit)
+
+
+def by_authority(r: Request, found: DataFrame, documents: DataFrame, key: str) -> list[dict]:
+    """The first page when sources of more authority may go before others of like score."""
     order = [F.desc("score"), F.asc(key)]
-    if r.group_by == "document":
-        scored = R.best_per(scored, "document_id", [F.desc("score"), F.asc("chunk_id")])
-    if r.cursor:
-        c = R.parse_cursor(r.cursor, r.group_by)
-        scored = R.after_cursor(scored, c.score, c.last_id, id_col=key)
-    rows = [x.asDict() for x in scored.orderBy(*order).limit(r.top_k + 1).collect()]
-    page = rows[: r.top_k]
-    more = R.Cursor(r.group_by, page[-1]["score"], None, str(page[-1][key])).encode() if len(rows) > r.top_k else None
-    return Response(page, more, audit)
+    window = R.numbered(found.orderBy(*order).limit(WINDOW * r.top_k), order, "id")
+    tier, _ = R.authority_tier(F.col("source"), F.col("publication") if "publication" in documents.columns else F.lit(None).cast("string"))
+    court = F.when(F.col("source") == "jade", "administrative").otherwise("judicial")
+    c = window.join(documents, "document_id").select(F.lit(0).cast("bigint").alias("query_id"), "id", court.alias("order_key"), tier.cast("bigint").alias("tier"), "score")
+    placed = R.authority_rerank(c, r.authority).filter(F.col("position") <= r.top_k).select("id", "position", "tier")
+    rows = window.join(placed, "id").orderBy("position").collect()
+    return [{k: v for k, v in x.asDict().items() if k not in ("id", "position")} for x in rows]

@@ -209,6 +209,21 @@ def search_citation(spark, sf_dir):
     return spark.createDataFrame([(r["document_id"], out.routing["route"]) for r in out.rows], "document_id long, route string")
 
 
+@query("""WITH l AS (SELECT chunk_id, document_id, lang AS corpus, row_number() OVER (PARTITION BY lang ORDER BY round(1.0::DOUBLE / (60 + rank), 8) DESC, chunk_id) AS n FROM (SELECT b.chunk_id, b.document_id, d.lang, row_number() OVER (PARTITION BY d.lang ORDER BY score DESC, chunk_id) AS rank FROM bm b JOIN docs d ON d.document_id = b.document_id WHERE d.document_id IN (SELECT document_id FROM live) AND lang IN ('en', 'de') AND kind = 'decision'))
+  SELECT row_number() OVER (ORDER BY round(1.0::DOUBLE / (60 + n), 8) DESC, corpus, chunk_id) - 1 AS position, corpus, chunk_id, document_id, round(1.0::DOUBLE / (60 + n), 8) AS score FROM l ORDER BY score DESC, corpus, chunk_id LIMIT 12""", DOCS_SQL, CHUNKS_SQL, SEARCH_TERMS)
+def search_fanout(spark, sf_dir):
+    """Two corpora apart, decisions only, three pages of four by the cursor."""
+    d, c, v = docs(spark, sf_dir), indexed(spark, sf_dir), vectors(spark, sf_dir)
+    rows, cursor = [], None
+    for _ in range(3):
+        out = S.search(S.Request("the mit license", DAY, mode="bm25", top_k=4, cursor=cursor, kind="decision", corpora=("en", "de")), d, c, v)
+        rows += out.rows
+        cursor = out.next_cursor
+        if cursor is None:
+            break
+    return spark.createDataFrame([(i, r["corpus"], r["chunk_id"], r["document_id"], r["score"]) for i, r in enumerate(rows)], "position long, corpus string, chunk_id string, document_id long, score double")
+
+
 EXPAND_SQL = """asked AS (SELECT doc_id, ['Responsabilité du fait des choses', 'un délai : action', 'rien', 'contrat; dommages-intérêts et force obligatoire'][1 + doc_id % 4] AS q FROM documents),
   given AS (SELECT * FROM (VALUES (0, 'civil-liability-fault-damage', ['responsabilite civile', 'fait quelconque', 'faute', 'dommage', 'prejudice', 'reparation du dommage', 'article 1240', 'article 1241']), (1, 'civil-prescription', ['prescription extinctive', 'delai de prescription', 'action personnelle', 'action mobiliere', 'article 2219', 'article 2224']),
   (3, 'contract-non-performance-damages', ['obligation contractuelle', 'inexecution du contrat', 'dommages et interets', 'article 1103', 'article 1231-1'])) t(r, seed, terms))"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexforge import adapters
 from lexforge.functions import text as T
 from lexforge.functions.stem import stem_word
-from lexforge.operators import citations, delta, derive, evaluation, index, relations, retrieval
+from lexforge.operators import citations, delta, derive, evaluation, index, relations, retrieval, search
 from lexforge.plans import evaluate
 from lexforge.plans import retrieval as retrieval_plans
 from lexforge.sources import archives, xml
@@ -309,6 +309,16 @@ def test_authority_rerank_equals_a_plain_loop(spark):
         assert [got[q][k + 1] for k in range(15)] == want
 
 
+def test_search_moves_rows_by_authority(spark):
+    sf = "/root/testdata/sf0.001"
+    d = adapters.docs(spark, sf).withColumn("source", F.when(F.col("document_id") % 7 == 0, "cass").otherwise("inca"))
+    ask = lambda w: search.search(search.Request("the mit license", "2008-06-01", mode="bm25", group_by="document", top_k=10, authority=w), d, adapters.indexed(spark, sf), None).rows
+    plain, moved = ask(0.0), ask(2.0)
+    assert len(plain) == len(moved) == 10 and plain != [{k: v for k, v in r.items() if k != "tier"} for r in moved]
+    lead = lambda rows: sum(r["document_id"] % 7 == 0 for r in rows[:3])
+    assert lead(moved) >= lead(plain) and {r["tier"] for r in moved} <= {1, 2}
+
+
 def test_an_authority_lift_is_the_share_of_pairs(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (1, 3, 2)], "query_id long, high_id long, low_id long")
     order = lambda ids: spark.createDataFrame([(1, i, k) for k, i in enumerate(ids)], "query_id long, id long, position long")
