@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..adapters import DOCS_SQL, docs, read
@@ -14,9 +15,11 @@ from .cite import LEGAL_SQL, legal
 from .registry import query
 from .retrieval import DEN, LEX, dense, lexical
 
-#: Rankings by a deterministic rule: each benchmark item asks, documents of its residue answer.
-RANK_SQL = """ranking AS (SELECT item_id AS query_id, doc_id AS document_id, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 7919 + item_id * 104729) % 1009, doc_id) AS rank FROM benchmark JOIN documents ON doc_id % 40 = item_id % 40),
-qrels AS (SELECT item_id AS query_id, doc_id AS document_id, CAST(quality + toxic AS BIGINT) AS label FROM labels JOIN benchmark ON doc_id % 40 = item_id % 40)"""
+#: Rankings by a deterministic rule: each benchmark item asks, documents of its residue answer, so a
+#: document stands in one ranking.
+RANK_SQL = """items AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS m, count(*) OVER () AS n FROM benchmark),
+ranking AS (SELECT item_id AS query_id, doc_id AS document_id, row_number() OVER (PARTITION BY item_id ORDER BY (doc_id * 7919 + item_id * 104729) % 1009, doc_id) AS rank FROM items JOIN documents ON doc_id % n = m),
+qrels AS (SELECT item_id AS query_id, doc_id AS document_id, CAST(quality + toxic AS BIGINT) AS label FROM labels JOIN items ON doc_id % n = m)"""
 METRIC_SQL = """t AS (SELECT r.query_id, rank, coalesce(label, 0) AS l FROM ranking r LEFT JOIN qrels q ON q.query_id = r.query_id AND q.document_id = r.document_id WHERE rank <= 10),
 got AS (SELECT query_id, sum(CASE WHEN l > 0 THEN 1.0::DOUBLE ELSE 0 END) AS hits, min(CASE WHEN l > 0 THEN rank END) AS first, sum((pow(2.0, l) - 1) / log2(rank + 1.0::DOUBLE)) AS dcg FROM t GROUP BY query_id),
 ideal AS (SELECT query_id, label, row_number() OVER (PARTITION BY query_id ORDER BY label DESC, document_id) AS r FROM qrels),
@@ -29,13 +32,12 @@ BOOTSTRAP_ITEMS = 200_000
 
 
 def ranking(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    from pyspark.sql import Window as W
-
-    b = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 40).alias("m"))
-    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 40).alias("m"))
+    ids = [r.item_id for r in read(spark, sf_dir, "benchmark").select("item_id").orderBy("item_id").collect()]  # the questions
+    b = F.broadcast(spark.createDataFrame(list(enumerate(ids)), "m long, query_id long"))
+    of = lambda name, *cols: read(spark, sf_dir, name).select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % max(len(ids), 1)).alias("m"), *cols).join(b, "m")
     key = (F.col("document_id") * 7919 + F.col("query_id") * 104729) % 1009
-    r = d.join(F.broadcast(b), "m").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(key, "document_id")).cast("bigint")).select("query_id", "document_id", "rank")
-    q = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 40).alias("m"), (F.col("quality") + F.col("toxic")).cast("bigint").alias("label")).join(F.broadcast(b), "m").select("query_id", "document_id", "label")
+    r = of("documents").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(key, "document_id")).cast("bigint")).select("query_id", "document_id", "rank")
+    q = of("labels", (F.col("quality") + F.col("toxic")).cast("bigint").alias("label")).select("query_id", "document_id", "label")
     return r, q
 
 
