@@ -20,7 +20,7 @@ def test_query(spark, duck, name):
     if name in ORACLES:
         assert_same(df, duck, ORACLES[name])
     else:
-        assert df.columns and df.count() >= 0
+        assert df.count() > 0
 
 
 def test_entry(spark):
