@@ -9,7 +9,7 @@ the words it could have had; from `LEAST` on, and only if its mandatory key phra
 file as well, the template's label is added to the base labels.
 
 Plan: one pass counts frequencies (an aggregation of one row per licence word and task), one pass
-scans; files that no licence word's stem occurs in skip the positional part. The index and the
+scans; a file skips the positional part of each template of whose key phrases a word is missing. The index and the
 frequencies are constants of the query, about 100 words, at any corpus size.
 
 Row by row: null text counts as empty (0 words, no labels, score 0), repeated rows stay. Ties
@@ -20,14 +20,15 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, narrow
+from .common import let, narrow, settled
 
-#: Words of the contract: digits, lower-case letters and all beyond ASCII.
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words of the contract: words are digits, lower-case letters and all beyond ASCII.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Licence notices: label, text, mandatory key phrases.
@@ -86,7 +87,7 @@ def at_phrase(words: Column, phrase: str) -> Column:
 
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
     """Number of documents, and of those that hold each licence word."""
-    words = F.array_intersect(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", -1), F.array(*map(F.lit, vocabulary)))
+    words = F.array_intersect(F.split(F.lower("text"), BETWEEN, -1), F.array(*map(F.lit, vocabulary)))
     held = docs.select(F.explode_outer(F.concat(words, F.array(F.lit("")))).alias("w")).groupBy("w").count().collect()
     n = {r.w: r["count"] for r in held}
     return n.pop("", 0), n
@@ -99,20 +100,29 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     total, df = frequencies(docs, list(post))
     idf = {w: math.log(1 + (total + 0.5) / (df.get(w, 0) + 0.5)) for w in post}
     order = sorted(post, key=lambda w: (-idf[w], w))  # the vocabulary by falling IDF
-    low = F.lower("text")  # beyond A-Z it changes neither where words end nor any letter into one of a phrase
-    stem = F.lit(False)
-    for s in ("licen", "cc", "gnu", "redistribut", "permission", "public domain", "unencumbered", "mozilla", "commons", "apache", "mit", "warranty", "eclipse", "boost", "eupl", "fuck"):
-        stem = stem | low.contains(s)
+    # A phrase can only stand where all of its words do: most texts end here.
+    phrases = [*BASE, *(" ".join(keys) for _, _, keys in TEMPLATES)]
+    vocabulary = sorted({*post, *" ".join(phrases).split()})
     none, ints = F.array().cast("array<string>"), F.array().cast("array<int>")
-    seen = docs.select("doc_id", F.regexp_extract_all(low, F.lit(WORDS), F.lit(0)).alias("words"), stem.alias("likely"))
-    seen = seen.select("doc_id", F.size("words").cast("bigint").alias("n_words"), F.when(F.col("likely"), F.col("words")).otherwise(none).alias("words"))
-    seen = seen.select("*", *(at_phrase(F.col("words"), p).alias(f"p{k}") for k, p in enumerate(BASE)))
+    # beyond A-Z, lower() changes neither where words end nor any letter into one of a phrase
+    seen = docs.select("doc_id", settled(F.split(F.lower("text"), BETWEEN, -1)).alias("words"))
+    # what stands before the first and behind the last separator may be empty
+    lead, size = (F.col("words")[0] == "").cast("int"), F.size("words")
+    trail = ((size > 1) & (F.col("words")[size - 1] == "")).cast("int")
+    seen = seen.select("doc_id", settled(F.slice("words", lead + 1, size - lead - trail)).alias("words"))
+    seen = seen.select("doc_id", "words", settled(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("held"))
+    can = F.array(*(reduce(Column.__and__, (F.array_contains("held", w) for w in dict.fromkeys(p.split()))) for p in phrases))
+    seen = seen.select("doc_id", "words", "held", settled(F.when(F.size("held") > 0, can).otherwise(F.array_repeat(F.lit(False), len(phrases)))).alias("can"))
+    seen = seen.select("doc_id", "can", "held", F.size("words").cast("bigint").alias("n_words"), settled(F.when(F.array_contains("can", True), F.col("words")).otherwise(none)).alias("words"))
+    starts_of = lambda k, p: F.when(F.col("can")[k], at_phrase(F.col("words"), p)).otherwise(ints)
+    seen = seen.select("*", *(settled(starts_of(k, p)).alias(f"p{k}") for k, p in enumerate(BASE)))
     # where licence words stand, and each template's rarest words in the file
     places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(order), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    seen = seen.select("*", places.alias("places"))
-    seen = seen.select("*", F.array_distinct(F.transform("places", lambda p: p["w"])).alias("held"))
+    some = F.exists(F.slice("can", len(BASE) + 1, len(TEMPLATES)), lambda c: c)
+    seen = seen.select("*", settled(F.when(some, places).otherwise(F.array().cast("array<struct<w:string,i:int>>"))).alias("places"))
     own = [[w for w in order if any(t == k for t, _ in post[w])] for k in range(len(TEMPLATES))]
-    seen = seen.select("*", *(F.slice(F.array_intersect(F.array(*map(F.lit, ws)), "held"), 1, RAREST).alias(f"r{k}") for k, ws in enumerate(own)))
+    rare = lambda k, ws: F.when(F.col("can")[len(BASE) + k], F.slice(F.array_intersect(F.array(*map(F.lit, ws)), "held"), 1, RAREST)).otherwise(none)
+    seen = seen.select("*", *(settled(rare(k, ws)).alias(f"r{k}") for k, ws in enumerate(own)))
     labels, scores = [], []
     for k, (label, text, keys) in enumerate(TEMPLATES):
         mine = {w: [i for t, i in ps if t == k] for w, ps in post.items() if any(t == k for t, _ in ps)}
@@ -136,11 +146,12 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
         # The words that a whole notice would vote with.
         could = F.aggregate(f"r{k}", F.lit(0), lambda a, w: a + F.coalesce(F.size(F.try_element_at(table, w)), F.lit(0)))
+        possible = F.col("can")[len(BASE) + k]
         share = F.when(F.size("places") == 0, 0.0).otherwise(F.coalesce(F.try_divide(let(table, votes).cast("double"), F.greatest(could, F.lit(min(2, len(mine))))), F.lit(0.0)))
         ok = F.lit(True)
         for key in keys:
             ok = ok & (F.size(at_phrase(F.col("words"), key)) > 0)
-        score = F.when(F.size("places") == 0, 0.0).otherwise(F.when((share >= LEAST) & ok, F.least(share, F.lit(1.0))).otherwise(0.0))
+        score = F.when(~possible | (F.size("places") == 0), 0.0).otherwise(F.when((share >= LEAST) & ok, F.least(share, F.lit(1.0))).otherwise(0.0))
         scores.append(score.alias(f"s{k}"))
         labels.append((label, f"s{k}"))
     scored = seen.select("doc_id", "n_words", *(f"p{k}" for k in range(len(BASE))), *scores)
