@@ -150,8 +150,8 @@ def _confirm(width: int, percent: int):
     return run
 
 
-#: Ids of documents in buckets that may be broadcast to pick their texts (32 MB); beyond, a shuffled semi-join.
-BROADCAST_IDS = 2_000_000
+#: Ids that may be broadcast (about 75 MB as a hash table); beyond, a shuffled join.
+BROADCAST_IDS = 500_000
 
 
 def hot_limit(rows: int) -> int:
