@@ -65,9 +65,9 @@ def offered(documents: DataFrame, roots: DataFrame) -> DataFrame:
 def cite_lookup(citations: DataFrame, documents: DataFrame, roots: DataFrame, limit: int = 20) -> DataFrame:
     """cite_id, rank, exact and the matches, the best `limit` of each citation. An id that holds a
     publisher id also finds the documents of that one."""
-    c = parsed(citations)
-    ids = c.filter("lookup = 'id'").select("cite_id", "hint", F.explode(F.filter(F.array(F.struct(F.lit("id").alias("lookup"), F.col("value").alias("key")), F.struct(F.lit("uid").alias("lookup"), F.col("uid").alias("key"))), lambda x: x["key"].isNotNull())).alias("k")).select("cite_id", "hint", "k.*")
-    asked = ids.unionByName(c.filter("lookup <> 'id'").select("cite_id", "hint", "lookup", "key"))
+    one = lambda lookup, key: F.struct(lookup.alias("lookup"), key.alias("key"))
+    keys = F.when(F.col("lookup") == "id", F.filter(F.array(one(F.lit("id"), F.col("value")), one(F.lit("uid"), F.col("uid"))), lambda x: x["key"].isNotNull())).otherwise(F.array(one(F.col("lookup"), F.col("key"))))
+    asked = parsed(citations).filter("lookup is not null").select("cite_id", "hint", F.explode(keys).alias("k")).select("cite_id", "hint", "k.*")
     coded = F.col("hint").isNull() | (F.col("lookup") != "free_text_article") | F.contains("text", "hint")
     found = asked.join(offered(documents, roots), ["lookup", "key"]).filter(coded)
     found = found.groupBy("cite_id", *MATCH).agg(F.bool_or("exact").alias("exact"))  # an id may be found both ways

@@ -36,8 +36,15 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding", F.col("label").cast("bigint").alias("label"))
 
 
+_asked: dict[tuple[str, str], list[float]] = {}
+
+
 def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
-    return list(vectors(spark, sf_dir).filter("document_id = 7").first().embedding)
+    """What an embedder gives for the query, once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _asked:
+        _asked[key] = list(vectors(spark, sf_dir).filter("document_id = 7").first().embedding)
+    return _asked[key]
 
 
 def lexical(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
@@ -62,7 +69,7 @@ def bm25_only(spark, sf_dir):
     page = lexical(spark, sf_dir, 20)
     rows = page.collect()  # a page; its chunks alone are read
     bodies = stored_chunks(spark, sf_dir).filter(F.col("document_id").isin([r.document_id for r in rows])).select("chunk_id", "body")
-    top = spark.createDataFrame(rows, page.schema).join(F.broadcast(bodies), "chunk_id")
+    top = bodies.join(F.broadcast(spark.createDataFrame(rows, page.schema)), "chunk_id")
     return R.with_snippet(top).select("chunk_id", "document_id", F.round(R.rrf(F.col("rank")), 8).alias("rrf_score"), "score", "rank", "snippet")
 
 
