@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contaminated
+from .filter_audit import filter_audit
 from .language_id import identify_language
 from .licenses import scan_licenses
+from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pii import find_pii
 from .quality_classifier import classify_quality
 from .quality_rules import quality_rules
 from .secret_scan import scan_secrets
+from .survivorship import golden_records
 from .toxicity import score_toxicity
 
 
@@ -57,4 +61,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_golden_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden_records(table(spark, sf_dir, "clients"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op") and name[2:3].isdigit()}
