@@ -9,8 +9,8 @@ travel and lie compressed), and the smallest ids remain. Rows emitted before go
 so no partition gets a group's members. combineByKey merges vectors of counts by mask of failed
 filters, one vector a part; all 120 orders are read off a part's vector.
 
-Memory: a task's chains are flushed at `FLUSH` bytes; a partition of fingerprints holds about half an
-input split's distinct texts, compressed.
+Memory: a task's chains are flushed at `FLUSH` bytes; the number of partitions of fingerprints follows
+the bytes of all texts, so that each holds about `PARTITION` of them, compressed.
 
 Rows: a null text counts as empty, and empty texts are copies of each other. A null doc_id is larger
 than none and smaller than none: its row never fails as a duplicate and makes no other fail. Rows of one
@@ -47,8 +47,9 @@ FILTERS: list[Filter] = [
     ("D", lambda text, words: _SYMBOLS.search(text) is not None),
 ]
 DUPLICATE = "E"
-#: Compressed bytes of chains that a task keeps before it passes them on.
-FLUSH = 32 << 20
+#: Compressed bytes of chains that a task keeps before it passes them on; bytes of text, packed then, that
+#: a partition of fingerprints gets at about.
+FLUSH, PARTITION = 32 << 20, 128 << 20
 
 
 class Chains:
@@ -112,9 +113,10 @@ def masks(docs: DataFrame, part: str, filters: list[Filter]) -> DataFrame:
             yield from ((doc, p, mask, n) for p, n in parts.items())
 
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col(part).cast("string"), F.lit(""))).rdd
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * rows.getNumPartitions())
-    routed = rows.mapPartitions(local).partitionBy(n, lambda key: key).mapPartitions(meet)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("bigint"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION))
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col(part).cast("string"), F.lit("")))
+    routed = rows.rdd.mapPartitions(local).partitionBy(n, lambda key: key).mapPartitions(meet)
     return spark.createDataFrame(routed, "doc_id long, part string, mask int, n long", verifySchema=False)
 
 
