@@ -38,8 +38,8 @@ _LEAST = -(1 << 63)
 
 def micros(t: Column) -> Column:
     """A time's microseconds since 1970 by its own clock, whatever the session's zone."""
-    day = F.unix_date(t.cast("date")) * F.lit(86_400_000_000)
-    return day + F.hour(t) * F.lit(3_600_000_000) + F.minute(t) * F.lit(60_000_000) + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+    minutes = (F.unix_date(t.cast("date")).cast("bigint") * 24 + F.hour(t)) * 60 + F.minute(t)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
 
 
 def told(c: str) -> Column:
