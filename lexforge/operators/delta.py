@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .. import storage
+from .segments import Delta, Store, Table
 
+#: The order in which a package's relations are applied.
 APPLY_ORDER = ["documents", "chunks", "chunk_embeddings", "graph_edges", "zone_units", "zone_unit_embeddings", "decision_zones", "citations", "citation_resolutions", "metadata_roots"]
 #: Relations whose rows are never deleted by a diff.
 KEPT = {"citations"}
@@ -99,6 +100,7 @@ def canonical_json(value) -> str:
 
 # --- accounting --------------------------------------------------------------------------------
 
+#: What a member's earlier run must share with the present one.
 STAMPS = ["parser_version", "schema_version", "code_version", "source_payload_hash"]
 
 
@@ -383,57 +385,55 @@ class Package:
 
 
 class Generations:
-    """Tables of one corpus by generation under a shared folder, and a pointer to the active one. A new
-    generation is written aside, verified, then the pointer is swapped by a rename in one step; until
-    then readers see the old one, and a broken apply leaves nothing active."""
+    """A corpus's tables as segments under a shared folder, and what it is at, in one versioned
+    manifest. A baseline writes bases, an increment deltas; what is written is verified by the tables' Merkle
+    roots and then published in one step; until then readers see the version before, and a broken
+    apply leaves nothing visible."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root
+        self.spark, self.store = spark, Store(spark, root)
 
     def state(self) -> State | None:
-        text = storage.read_text(self.spark, f"{self.root}/ACTIVE")
-        if text is None:
+        raw = self.store.manifest()["state"]
+        if raw is None:
             return None
-        raw = json.loads(text)
-        s = raw.pop("stamps")
-        return State(**raw, stamps=Stamps(s["schema_version"], s["fingerprint"], tuple(map(tuple, s["builders"]))))
+        s = raw["stamps"]
+        return State(**{**raw, "stamps": Stamps(s["schema_version"], s["fingerprint"], tuple(map(tuple, s["builders"])))})
 
-    def read(self, name: str) -> DataFrame:
-        now = self.state()
-        if now is None:
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        if self.state() is None:
             raise Rejected(Reject.BASELINE_REQUIRED, "no generation is active")
-        return self.spark.read.parquet(f"{self.root}/gen={now.generation}/{name}")
+        return self.store.read(name, version)
 
-    def _activate(self, tables: dict[str, DataFrame], expected: dict[str, tuple[int, str]], state: Callable[[int], State], guard: tuple, key: str) -> None:
-        from .relations import table_digest
+    def _verified(self, expected: dict[str, tuple[int, str]], guard: tuple) -> Callable[[dict], None]:
+        def check(made: dict) -> None:
+            for name, want in expected.items():
+                if (got := self.store.digest(made[name])) != want:
+                    raise Rejected(Reject.DIGEST_MISMATCH, f"{name} has {got[0]} rows of {got[1]}")
+            activation_guard(self.state(), *guard)
 
-        now = self.state()
-        new = 1 + (now.generation if now else 0)
-        for name in sorted(tables, key=lambda t: APPLY_ORDER.index(t) if t in APPLY_ORDER else len(APPLY_ORDER)):
-            tables[name].write.mode("overwrite").parquet(f"{self.root}/gen={new}/{name}")
-        for name, (rows, digest) in expected.items():
-            got = self.spark.read.parquet(f"{self.root}/gen={new}/{name}")
-            r = table_digest(got, key, got.columns).first()
-            if ((r.n or 0), r.digest) != (rows, digest):
-                raise Rejected(Reject.DIGEST_MISMATCH, f"{name} has {r.n} rows of {r.digest}")
-        activation_guard(self.state(), *guard)
-        s = state(new)
-        storage.swap_text(self.spark, f"{self.root}/ACTIVE", canonical_json({**s.__dict__, "stamps": {**s.stamps.__dict__, "builders": [list(b) for b in s.stamps.builders]}}))
-
-    def load(self, baseline: Baseline, digest: str, tables: dict[str, DataFrame], stamps: Stamps = Stamps(), expected: dict[str, tuple[int, str]] | None = None, key: str = "id") -> str:
-        """applied or noop, for a baseline or rebaseline."""
+        return check
+
+    @staticmethod
+    def _told(s: State) -> dict:
+        return {**s.__dict__, "stamps": {**s.stamps.__dict__, "builders": [list(b) for b in s.stamps.builders]}}
+
+    def load(self, baseline: Baseline, digest: str, tables: dict[str, Table], stamps: Stamps = Stamps(), expected: dict[str, tuple[int, str]] | None = None) -> str:
+        """applied or noop, for a baseline or rebaseline: the corpus is the given tables and no others."""
         forward = baseline.kind == "rebaseline"
         if client_below(baseline.minimum_client):
             raise Rejected(Reject.CLIENT_TOO_OLD, f"{baseline.baseline_id} needs {baseline.minimum_client}")
-        if media_idempotency(self.state(), baseline.sequence, baseline.baseline_id, digest, forward) == "noop":
+        now = self.state()
+        if media_idempotency(now, baseline.sequence, baseline.baseline_id, digest, forward) == "noop":
             return "noop"
         guard = ("forward", baseline.sequence) if forward else ("first",)
-        self._activate(tables, expected or {}, lambda g: State(baseline.sequence, baseline.baseline_id, digest, g, baseline.baseline_id, stamps), guard, key)
+        state = State(baseline.sequence, baseline.baseline_id, digest, 1 + (now.generation if now else 0), baseline.baseline_id, stamps)
+        self.store.create(in_order(tables), self._told(state), self._verified(expected or {}, guard))
         return "applied"
 
-    def apply(self, package: Package, tables: dict[str, DataFrame], key: str = "id") -> str:
+    def apply(self, package: Package, deltas: dict[str, Delta]) -> str:
         """applied or noop; the gates in order: client, schema, installed, same package, order, chain,
-        expected state, content stamps. All or nothing."""
+        expected state, content stamps. All or nothing; what is written is in proportion to the deltas."""
         now = self.state()
         if client_below(package.minimum_client):
             raise Rejected(Reject.CLIENT_TOO_OLD, f"{package.package_id} needs {package.minimum_client}")
@@ -451,10 +451,16 @@ class Generations:
         if package.baseline_id not in (None, now.baseline_id) or package.generation not in (None, now.generation):
             raise Rejected(Reject.WRONG_GENERATION, f"the corpus is on {now.baseline_id}, generation {now.generation}")
         compat_check(package.stamps, now.stamps)
-        self._activate(tables, package.expected, lambda g: State(package.to_sequence, package.package_id, package.digest, g, now.baseline_id, package.stamps), ("exact", package.from_sequence), key)
+        state = State(package.to_sequence, package.package_id, package.digest, now.generation, now.baseline_id, package.stamps)
+        self.store.apply(in_order(deltas), self._told(state), self._verified(package.expected, ("exact", package.from_sequence)))
         return "applied"
 
 
+def in_order(tables: dict) -> dict:
+    """Tables in the order in which they are applied."""
+    return dict(sorted(tables.items(), key=lambda t: APPLY_ORDER.index(t[0]) if t[0] in APPLY_ORDER else len(APPLY_ORDER)))
+
+
 def client_below(minimum: Version, client: Version = CLIENT_VERSION) -> bool:
     return client < minimum
 

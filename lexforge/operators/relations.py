@@ -187,12 +187,3 @@ def union_views(spark, parts: list[DataFrame], schema: str) -> DataFrame:
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key by the order."""
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).filter("_n = 1").drop("_n")
-
-
-def table_digest(df: DataFrame, key: str, columns: list[str], buckets: int = 256) -> DataFrame:
-    """(n, digest) of a table: rows are hashed, hashes are joined in key order within key-hash buckets,
-    and bucket digests in bucket order, so that no task holds more than a bucket."""
-    row = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns)))
-    b = df.select(F.pmod(F.col(key), F.lit(buckets)).alias("b"), F.struct(F.col(key).alias("k"), row.alias("h")).alias("x"))
-    part = b.groupBy("b").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["h"]), "|")).alias("d"))
-    return part.agg(F.sum("n").alias("n"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), "|")).alias("digest"))

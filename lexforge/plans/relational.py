@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..adapters import CHUNKS_SQL, DOCS_SQL, EDGES_SQL, VERSIONS_SQL, chunks, docs, edges, read, versions
+from ..operators import merkle
 from ..operators import relations as X
 from ..operators.retrieval import asof
 from .cite import LEGAL_SQL, legal
-from .registry import query
+from .registry import merkle_sql, query
 
 big = lambda c: F.col(c).cast("bigint") if isinstance(c, str) else c.cast("bigint")
 n = lambda: F.count("*")
@@ -385,28 +386,20 @@ def valid_families(spark, sf_dir):
     return versions(spark, sf_dir).groupBy("family").agg(F.countDistinct("version_id").alias("n"), F.bool_or(F.col("label") == "1-URGENT").alias("ok")).filter("n >= 2 AND ok").drop("ok")
 
 
-@query(
-    """WITH r AS (SELECT document_id, document_id % 256 AS b, md5(document_id || '|' || kind || '|' || source || '|' || coalesce(CAST(valid_to AS VARCHAR), '\\N')) AS h FROM docs),
-    p AS (SELECT b, count(*) AS n, md5(string_agg(h, '|' ORDER BY document_id)) AS d FROM r GROUP BY b) SELECT CAST(sum(n) AS BIGINT) AS n, md5(string_agg(d, '|' ORDER BY b)) AS digest FROM p""",
-    DOCS_SQL,
-)
+@query(f"WITH x AS {merkle_sql('docs', 'document_id', 'document_id, kind, source, valid_to')} SELECT n, digest FROM x", DOCS_SQL)
 def table_digest(spark, sf_dir):
-    return X.table_digest(docs(spark, sf_dir), "document_id", ["document_id", "kind", "source", "valid_to"])
-
-
-def signature_sql(table: str, key: str, fields: str) -> str:
-    return f"(SELECT md5(coalesce(string_agg(d, '|' ORDER BY b), '')) FROM (SELECT b, md5(string_agg(h, '|' ORDER BY k, h)) AS d FROM (SELECT {key} AS k, {key} % 256 AS b, md5(concat_ws('|', {fields})) AS h FROM {table}) GROUP BY b))"
+    return merkle.table_digest(docs(spark, sf_dir), ["document_id"], ["document_id", "kind", "source", "valid_to"])
 
 
 SNAPSHOT = {"documents": ("docs", "document_id", ["document_id", "kind", "source"]), "chunks": ("(SELECT document_id * 1000 + chunk_index AS id, * FROM chunks)", "id", ["id", "chunk_id"]), "edges": ("(SELECT from_id * 100 + position AS id, * FROM edges)", "id", ["id", "to_id"]), "embeddings": ("embeddings", "vec_id", ["vec_id", "label"]), "metadata": ("pages", "page_id", ["page_id", "url"])}
 
 
-@query("WITH s AS (" + " UNION ALL ".join(f"SELECT '{name}' AS part, {signature_sql(t, k, ', '.join(f'CAST({c} AS VARCHAR)' for c in cols))} AS signature" for name, (t, k, cols) in SNAPSHOT.items()) + ") SELECT part, signature FROM s UNION ALL SELECT 'root', md5(string_agg(signature, chr(10) ORDER BY part)) FROM s", DOCS_SQL, CHUNKS_SQL, EDGES_SQL)
+@query("WITH s AS (" + " UNION ALL ".join(f"SELECT '{name}' AS part, digest AS signature FROM {merkle_sql(t, k, ', '.join(cols))}" for name, (t, k, cols) in SNAPSHOT.items()) + ") SELECT part, signature FROM s UNION ALL SELECT 'root', md5(string_agg(signature, chr(10) ORDER BY part)) FROM s", DOCS_SQL, CHUNKS_SQL, EDGES_SQL)
 def replay_snapshot(spark, sf_dir):
-    """Signatures of five tables, each by key buckets, and the root over them."""
+    """Signatures of five tables, the roots of their trees, and the root over them."""
     key = lambda a, m, b: (F.col(a) * m + F.col(b)).alias("id")
     tables = {"documents": docs(spark, sf_dir), "chunks": chunks(spark, sf_dir).select("*", key("document_id", 1000, "chunk_index")), "edges": edges(spark, sf_dir).select("*", key("from_id", 100, "position")), "embeddings": read(spark, sf_dir, "embeddings"), "metadata": read(spark, sf_dir, "pages")}
-    parts = reduce(DataFrame.unionByName, (X.table_digest(tables[name], k, cols).select(F.lit(name).alias("part"), F.col("digest").alias("signature")) for name, (_, k, cols) in SNAPSHOT.items()))
+    parts = reduce(DataFrame.unionByName, (merkle.table_digest(tables[name], [k], cols).select(F.lit(name).alias("part"), F.col("digest").alias("signature")) for name, (_, k, cols) in SNAPSHOT.items()))
     root = parts.agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "signature"))), lambda x: x["signature"]), "\n")).alias("signature"))  # five rows
     return parts.unionByName(root.select(F.lit("root").alias("part"), "signature"))
 

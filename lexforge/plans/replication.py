@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..adapters import CHANGES_SQL, changes, read
 from ..operators import delta as D
-from ..operators.relations import table_digest
-from .registry import query
+from ..operators import merkle
+from ..operators.segments import Delta, Store, Table
+from .registry import merkle_sql, query
 
 
 @query("SELECT change_seq, scope, op FROM changes WHERE corpus = 'c1' AND change_seq > 100 AND change_seq <= 5000 ORDER BY change_seq", CHANGES_SQL)
@@ -257,8 +258,9 @@ def apply_incremental(spark, sf_dir):
     """A corpus's life: refusals move nothing, what is applied twice moves once."""
     g = D.Generations(spark, storage.place(spark, "generations", sf_dir, uuid.uuid4().hex))
     d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
-    more = d.unionByName(d.filter("id % 10 = 0").select((F.col("id") + 100000000).alias("id"), F.lit("added").alias("source")))
-    r = table_digest(more, "id", more.columns).first()
+    more = d.filter("id % 10 = 0").select((F.col("id") + 100000000).alias("id"), F.lit("added").alias("source"))
+    whole, delta = {"documents": Table(d, ["id"])}, {"documents": Delta(more)}
+    r = merkle.table_digest(d.unionByName(more), ["id"], d.columns).first()
     step = lambda **x: D.Package(**{"package_id": "p2", "digest": "d2", "from_sequence": 1, "to_sequence": 2, "previous_id": "b1", "expected": {"documents": (r.n, r.digest)}, **x})
     base, again = D.Baseline("b1", "baseline", 1), D.Baseline("b9", "rebaseline", 9)
     rows = []
@@ -268,18 +270,105 @@ def apply_incremental(spark, sf_dir):
         now = g.state()
         rows.append((name, what, now and now.sequence, g.read("documents").count() if now else 0))
 
-    take("no baseline", g.apply, step(), {"documents": more})
-    take("baseline", g.load, base, "d1", {"documents": d})
-    take("baseline again", g.load, base, "d1", {"documents": d})
-    take("gap", g.apply, step(from_sequence=4, to_sequence=5), {"documents": more})
-    take("other chain", g.apply, step(previous_id="b0"), {"documents": more})
-    take("wrong digest", g.apply, step(expected={"documents": (r.n, "x")}), {"documents": more})
-    take("increment", g.apply, step(), {"documents": more})
-    take("increment again", g.apply, step(), {"documents": more})
-    take("rebaseline", g.load, again, "d9", {"documents": d})
+    take("no baseline", g.apply, step(), delta)
+    take("baseline", g.load, base, "d1", whole)
+    take("baseline again", g.load, base, "d1", whole)
+    take("gap", g.apply, step(from_sequence=4, to_sequence=5), delta)
+    take("other chain", g.apply, step(previous_id="b0"), delta)
+    take("wrong digest", g.apply, step(expected={"documents": (r.n, "x")}), delta)
+    take("increment", g.apply, step(), delta)
+    take("increment again", g.apply, step(), delta)
+    take("rebaseline", g.load, again, "d9", whole)
     return spark.createDataFrame(rows, "step string, outcome string, sequence long, n long")
 
 
+@query("SELECT 'before' AS version, doc_id AS id, source FROM documents UNION ALL SELECT 'active', doc_id, CASE WHEN doc_id % 50 = 0 THEN 'changed' ELSE source END FROM documents WHERE doc_id % 50 <> 1")
+def activate_generation(spark, sf_dir):
+    """A reader keeps the version that it opened, while the next one, applied and compacted, is active."""
+    g = D.Generations(spark, storage.place(spark, "generations", sf_dir, uuid.uuid4().hex))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    g.load(D.Baseline("b1", "baseline", 1), "d1", {"documents": Table(d, ["id"])})
+    opened, at = g.read("documents"), g.store.version()
+    g.apply(D.Package("p2", "d2", 1, 2), {"documents": Delta(d.filter("id % 50 = 0").withColumn("source", F.lit("changed")), d.filter("id % 50 = 1").select("id"))})
+    g.store.settle(g.store.prepare("documents", "base"))
+    assert g.store.version() == at + 2
+    return opened.select(F.lit("before").alias("version"), "*").unionByName(g.read("documents").select(F.lit("active").alias("version"), "*"))
+
+
+#: Increments over the documents, as a chain of segments: what changes, what goes.
+LIFE_SQL = """life AS (SELECT doc_id AS id, doc_id % 100 AS k, doc_id % 200 = 1 AS back, doc_id % 3 = 0 AS large, source FROM documents),
+  ended AS (SELECT id, CASE WHEN large THEN 'large' WHEN k = 0 THEN 'again' WHEN back THEN 'back' ELSE source END AS source FROM life WHERE k <> 1 OR back OR large UNION ALL SELECT id + 100000000, 'new' FROM life WHERE k = 2)"""
+
+
+_LIVES: dict[tuple[str, str], tuple[Store, list]] = {}
+
+
+def life(spark, sf_dir):
+    """(store, steps): the steps with the rows they wrote, the rows visible and the table's segments after
+    them; gone through once a session and input."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _LIVES:
+        _LIVES[at] = live(spark, sf_dir)
+    return _LIVES[at]
+
+
+def live(spark, sf_dir):
+    s = Store(spark, storage.place(spark, "segments", sf_dir, uuid.uuid4().hex))
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    named = lambda rows, x: rows.withColumn("source", F.lit(x))
+    steps = []
+
+    def tell(step: str) -> None:
+        segments = s.manifest()["tables"]["documents"]["segments"]
+        steps.append((step, segments[0 if step in ("create", "compact to base") else -1]["rows"], s.read("documents").count(), len(segments)))
+
+    s.create({"documents": Table(d, ["id"])})
+    tell("create")
+    changes = [("upsert", Delta(named(d.filter("id % 100 = 0"), "first"))), ("delete", Delta(d.limit(0), d.filter("id % 100 = 1").select("id"))), ("upsert and insert", Delta(named(d.filter("id % 100 = 0"), "again").unionByName(named(d.filter("id % 100 = 2").withColumn("id", F.col("id") + 100000000), "new")))), ("insert deleted", Delta(named(d.filter("id % 200 = 1"), "back")))]
+    for name, delta in changes:
+        s.apply({"documents": delta})
+        tell(name)
+    tell(f"compact to {s.compact('documents')}")
+    s.apply({"documents": Delta(named(d.filter("id % 3 = 0"), "large"))})
+    tell("large upsert")
+    tell(f"compact to {s.compact('documents')}")
+    return s, steps
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (k = 0) AS n0, count(*) FILTER (k = 1) AS n1, count(*) FILTER (k = 2) AS n2, count(*) FILTER (back) AS nb, count(*) FILTER (large) AS nl, count(*) FILTER (k = 1 AND NOT back AND large) AS again FROM life)
+  SELECT unnest(['create', 'upsert', 'delete', 'upsert and insert', 'insert deleted', 'compact to deltas', 'large upsert', 'compact to base']) AS step, unnest([n, n0, n1, n0 + n2, nb, n0 + n1 + n2, nl, n - n1 + n2 + nb + again]) AS written,
+    unnest([n, n, n - n1, n - n1 + n2, n - n1 + n2 + nb, n - n1 + n2 + nb, n - n1 + n2 + nb + again, n - n1 + n2 + nb + again]) AS visible, unnest(CAST([1, 2, 3, 4, 5, 2, 3, 1] AS BIGINT[])) AS segments FROM n""", LIFE_SQL)
+def segment_writes(spark, sf_dir):
+    """An increment writes its own rows; so does a compaction of deltas; only a large one rewrites the base."""
+    return spark.createDataFrame(life(spark, sf_dir)[1], "step string, written long, visible long, segments long")
+
+
+@query("SELECT id, source FROM ended", LIFE_SQL)
+def segment_merge(spark, sf_dir):
+    return life(spark, sf_dir)[0].read("documents")
+
+
+@query(f"WITH x AS {merkle_sql('ended', 'id', 'id, source')} SELECT n, digest FROM x", LIFE_SQL)
+def digest_after_apply(spark, sf_dir):
+    """The root of leaves that deltas updated equals the one from scratch."""
+    s = life(spark, sf_dir)[0]
+    return merkle.root(s.leaves("documents"), merkle.DEPTH)
+
+
+@query(f"SELECT DISTINCT substr(md5(CAST(doc_id AS VARCHAR)), 1, {merkle.DEPTH}) AS node FROM documents WHERE doc_id % 97 = 3")
+def digest_locate(spark, sf_dir):
+    """The leaves in which two copies of a table differ, found from the root down over stored trees."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    other = d.withColumn("text", F.when(F.col("doc_id") % 97 == 3, F.concat("text", F.lit("."))).otherwise(F.col("text")))
+    stored = []
+    for rows in (d, other):
+        path = storage.place(spark, "tree", sf_dir, uuid.uuid4().hex)
+        leaf = merkle.leaves(rows.withColumn("_hash", merkle.row_hash(rows.columns)), ["doc_id"], merkle.DEPTH)
+        merkle.tree(leaf, merkle.DEPTH).repartitionByRange("level", "node").sortWithinPartitions("level", "node").write.partitionBy("level").parquet(path)
+        stored.append(spark.read.parquet(path))
+    return merkle.differing(*stored, merkle.DEPTH)[-1]
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..adapters import CHUNKS_SQL, DOCS_SQL, EDGES_SQL, chunks, docs, edges, read
-from ..operators import delta as D
+from ..operators.segments import Delta, Store, Table
 from ..sources import archives as A
 from ..sources import xml as X
 from .cite import LEGAL_SQL, ROOTS_SQL, legal, roots
@@ -153,7 +153,32 @@ def src_jsonl_batched(spark, sf_dir):
 # --- sinks -------------------------------------------------------------------------------------
 
 
-def batch(spark, sf_dir):
+def upserted(spark, sf_dir, table, rows, key):
+    """A table after a batch, through a store's segments."""
+    s = Store(spark, storage.place(spark, "sink", sf_dir, uuid.uuid4().hex))
+    s.create({"rows": Table(table, [key])})
+    A.upsert(s, "rows", rows, key, "seq")
+    return s.read("rows")
+
+
+_STORES: dict[tuple, Store] = {}
+
+
+def kept_store(kind: str, build):
+    """The store of a kind, filled once a session and input."""
+
+    def of(spark, sf_dir) -> Store:
+        at = (spark.sparkContext.applicationId, kind, sf_dir)
+        if at not in _STORES:
+            s = Store(spark, storage.place(spark, kind, sf_dir, uuid.uuid4().hex))
+            build(spark, sf_dir, s)
+            _STORES[at] = s
+        return _STORES[at]
+
+    return of
+
+
+def fill(spark, sf_dir, s: Store) -> None:
     """A batch over the documents: a quarter changes (each twice, the older row second), a fiftieth is new."""
     d = docs(spark, sf_dir).select("document_id", "body")
     old = d.withColumn("seq", F.lit(0))
@@ -164,25 +189,29 @@ def batch(spark, sf_dir):
     touched = F.col("document_id") % 4 == 1
     new_chunks = c.filter(touched).select("chunk_id", "document_id", F.when(k % 8 == 1, F.concat("body", F.lit("!"))).otherwise(F.col("body")).alias("body"), F.when(k % 16 == 13, "new").alias("fingerprint"))
     e = edges(spark, sf_dir).select(F.col("from_id").alias("document_id"), "to_id")
-    return A.upsert_documents(old, c, e, (rows, new_chunks, e.filter(touched).select("document_id", F.lit(0).cast("bigint").alias("to_id"))))
+    s.create({"documents": Table(old, ["document_id"]), "chunks": Table(c, ["document_id"]), "edges": Table(e, ["document_id"])})
+    A.upsert_documents(s, (rows, new_chunks, e.filter(touched).select("document_id", F.lit(0).cast("bigint").alias("to_id"))))
+
+
+batch = kept_store("batch", fill)
 
 
 @query("SELECT document_id, md5(CASE WHEN document_id % 4 = 1 THEN body || '!' ELSE body END) AS body FROM docs UNION ALL SELECT document_id + 100000000, md5('added') FROM docs WHERE document_id % 50 = 0", DOCS_SQL)
 def sink_upsert_documents(spark, sf_dir):
-    return batch(spark, sf_dir)[0].select("document_id", F.md5("body").alias("body"))
+    return batch(spark, sf_dir).read("documents").select("document_id", F.md5("body").alias("body"))
 
 
 @query("SELECT chunk_id, CASE WHEN document_id % 16 = 13 THEN 'new' WHEN document_id % 8 = 1 THEN NULL ELSE 'old' END AS fingerprint FROM chunks", DOCS_SQL, CHUNKS_SQL)
 def sink_upsert_chunks(spark, sf_dir):
     """A changed text loses its fingerprint, a new fingerprint wins, others stay."""
-    return batch(spark, sf_dir)[1].select("chunk_id", "fingerprint")
+    return batch(spark, sf_dir).read("chunks").select("chunk_id", "fingerprint")
 
 
 @query("""SELECT from_id AS document_id, CASE WHEN from_id % 4 = 1 AND from_id IN (SELECT doc_id FROM documents) THEN 0 ELSE to_id END AS to_id FROM edges WHERE NOT (from_id % 4 = 1 AND from_id NOT IN (SELECT doc_id FROM documents))
   UNION ALL SELECT from_id, to_id FROM edges WHERE from_id % 4 = 1 AND from_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT from_id, 0 FROM edges WHERE from_id % 4 = 1 AND from_id NOT IN (SELECT doc_id FROM documents)""", EDGES_SQL)
 def sink_upsert_edges(spark, sf_dir):
     """Edges of documents of the batch are replaced; the batch brings edges of others, too."""
-    return batch(spark, sf_dir)[2]
+    return batch(spark, sf_dir).read("edges")
 
 
 @query("SELECT document_id, source_uid, CASE WHEN doc_id % 6 = 1 THEN 'Revised ' || doc_id ELSE title END AS title FROM (SELECT *, uid AS source_uid FROM legal) WHERE kind = 'decision'", LEGAL_SQL)
@@ -190,7 +219,7 @@ def sink_upsert_decisions(spark, sf_dir):
     d = legal(spark, sf_dir).filter("kind = 'decision'").select("document_id", "source_uid", "title", F.lit(0).alias("seq"))
     n = F.substring("source_uid", 9, 12).cast("bigint")
     rows = d.filter(n % 6 == 1).select("document_id", "source_uid", F.concat(F.lit("Revised "), n.cast("string")).alias("title"), F.lit(1).alias("seq"))
-    return A.upsert(d, rows, "document_id", "seq").select("document_id", "source_uid", "title")
+    return upserted(spark, sf_dir, d, rows, "document_id").select("document_id", "source_uid", "title")
 
 
 @query("SELECT metadata_key, root_kind, CASE WHEN page_id % 4 = 0 THEN 'renamed' ELSE title END AS title FROM roots UNION ALL SELECT 'new:' || page_id, root_kind, title FROM roots WHERE page_id % 10 = 0", ROOTS_SQL)
@@ -198,7 +227,7 @@ def sink_upsert_metadata(spark, sf_dir):
     r = roots(spark, sf_dir).select("metadata_key", "root_kind", "title", F.lit(0).alias("seq"))
     k = F.regexp_extract("metadata_key", "([0-9]+)$", 1).cast("bigint")
     rows = r.filter(k % 4 == 0).withColumn("title", F.lit("renamed")).unionByName(r.filter(k % 10 == 0).withColumn("metadata_key", F.concat(F.lit("new:"), k.cast("string")))).withColumn("seq", F.lit(1))
-    return A.upsert(r, rows, "metadata_key", "seq").select("metadata_key", "root_kind", "title")
+    return upserted(spark, sf_dir, r, rows, "metadata_key").select("metadata_key", "root_kind", "title")
 
 
 @query("SELECT vec_id AS chunk_id, CASE WHEN vec_id % 3 = 0 THEN 99 ELSE CAST(label AS BIGINT) END AS label FROM embeddings")
@@ -206,7 +235,10 @@ def sink_upsert_embeddings(spark, sf_dir):
     """A guarded batch; tests hold that a missing or conflicting fingerprint fails it."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("bigint").alias("label"), F.lit("fp").alias("embedding_fingerprint"), F.lit(0).alias("seq"))
     rows = e.filter("chunk_id % 3 = 0").withColumns({"label": F.lit(99).cast("bigint"), "seq": F.lit(1)})
-    return A.upsert_embeddings(e, rows, e.select("chunk_id", "embedding_fingerprint"), "seq").select("chunk_id", "label")
+    s = Store(spark, storage.place(spark, "sink", sf_dir, uuid.uuid4().hex))
+    s.create({"rows": Table(e, ["chunk_id"])})
+    A.upsert_embeddings(s, "rows", rows, e.select("chunk_id", "embedding_fingerprint"), "seq")
+    return s.read("rows").select("chunk_id", "label")
 
 
 @query("SELECT conv_id AS document_id, turn AS fragment_index, md5(text) AS body FROM conversations WHERE conv_id % 3 <> 0 UNION ALL SELECT conv_id, 0, md5('whole') FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 6 = 0")
@@ -215,7 +247,10 @@ def sink_replace_zone_units(spark, sf_dir):
     u = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("fragment_index"), F.md5("text").alias("body"))
     scopes = u.filter("document_id % 3 = 0").select("document_id").distinct()
     rows = scopes.filter("document_id % 6 = 0").select("document_id", F.lit(0).cast("bigint").alias("fragment_index"), F.md5(F.lit("whole")).alias("body"))
-    return D.apply_replace_set(u, rows, scopes, "document_id")
+    s = Store(spark, storage.place(spark, "sink", sf_dir, uuid.uuid4().hex))
+    s.create({"rows": Table(u, ["document_id"])})
+    s.apply({"rows": Delta(rows, scopes)})
+    return s.read("rows")
 
 
 @query("SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n FROM pages")

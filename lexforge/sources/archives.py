@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.segments import Delta, Store
+
 SOURCES = ["legi", "cass", "capp", "inca", "jade"]
 NAME = r"^(?:Freemium_([a-z]+)_global_|([A-Z]+)_)([0-9]{8})-([0-9]{6})\.tar\.gz$"
 MEMBERS = "archive string, member string, size long, sha256 string, xml binary, error string"
@@ -158,25 +160,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def upsert(target: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The newest of each key's rows in `rows`, and the target's other rows."""
+def upsert(store: Store, table: str, rows: DataFrame, key: str, order: str) -> int:
+    """The newest of each key's rows in `rows` stands in the store's table; its other rows stay."""
     from ..operators.relations import latest
 
-    new = latest(rows, [key], [F.desc(order)])
-    return target.join(new.select(key), key, "left_anti").unionByName(new)
+    return store.apply({table: Delta(latest(rows, [key], [F.desc(order)]))})
+
 
+def upsert_documents(store: Store, new: tuple[DataFrame, DataFrame, DataFrame]) -> int:
+    """One version of documents, chunks and edges (keyed by document_id) after a batch: a document's newest
+    row (by seq) stands, its chunks and edges give way to the batch's; a chunk whose body stays keeps its
+    fingerprint, unless a new one came, and one whose body changed loses it. Edges of documents that
+    aren't in the batch are added."""
+    from ..operators.relations import latest
 
-def upsert_documents(documents: DataFrame, chunks: DataFrame, edges: DataFrame, new: tuple[DataFrame, DataFrame, DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents, chunks and edges after an upsert of a batch: a document's newest row (by seq) stands,
-    its chunks and edges give way to the batch's; a chunk whose body stays keeps its fingerprint, unless
-    a new one came, and one whose body changed loses it."""
     rows, new_chunks, new_edges = new
     touched = rows.select("document_id").distinct()
-    old = chunks.select("chunk_id", F.col("body").alias("_body"), F.col("fingerprint").alias("_fp"))
-    j = new_chunks.join(old, "chunk_id", "left")
+    old = store.read("chunks").join(touched, "document_id", "left_semi").select("chunk_id", F.col("body").alias("_body"), F.col("fingerprint").alias("_fp"))
     fp = F.when(F.col("fingerprint").isNotNull(), F.col("fingerprint")).when(F.col("_body").eqNullSafe(F.col("body")), F.col("_fp"))
-    fresh = j.select("chunk_id", "document_id", "body", fp.alias("fingerprint"))
-    return upsert(documents, rows, "document_id", "seq"), chunks.join(touched, "document_id", "left_anti").unionByName(fresh), edges.join(touched, "document_id", "left_anti").unionByName(new_edges)
+    fresh = new_chunks.join(old, "chunk_id", "left").select("chunk_id", "document_id", "body", fp.alias("fingerprint"))
+    others = new_edges.select("document_id").distinct().join(touched, "document_id", "left_anti")
+    kept = store.read("edges").join(others, "document_id", "left_semi")
+    return store.apply({"documents": Delta(latest(rows, ["document_id"], [F.desc("seq")])), "chunks": Delta(fresh, touched), "edges": Delta(new_edges.unionByName(kept), touched)})
 
 
 def guarded_embeddings(rows: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -188,9 +193,9 @@ def guarded_embeddings(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return j.select(checked.cast(rows.schema["chunk_id"].dataType).alias("chunk_id"), *(c for c in rows.columns if c != "chunk_id"))
 
 
-def upsert_embeddings(target: DataFrame, rows: DataFrame, chunks: DataFrame, order: str) -> DataFrame:
-    """The target after a guarded batch: a chunk's newest vector stands."""
-    return upsert(target, guarded_embeddings(rows, chunks), "chunk_id", order)
+def upsert_embeddings(store: Store, table: str, rows: DataFrame, chunks: DataFrame, order: str) -> int:
+    """A guarded batch: a chunk's newest vector stands; a batch that isn't in order leaves no version."""
+    return upsert(store, table, guarded_embeddings(rows, chunks), "chunk_id", order)
 
 
 def baseline_copy(df: DataFrame, key: str, path: str, corpus: str | None = None, generated: tuple[str, ...] = ()) -> None:

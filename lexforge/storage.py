@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import hashlib
 import tempfile
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _kept: dict[str, SparkSession] = {}
@@ -85,6 +87,49 @@ def swap_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(new, old, rename)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file aside and renames it to a place that must be free; False if it is taken."""
+    jvm = spark._jvm
+    new, fs = _file(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(new, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(new, _file(spark, path)[0], spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        fs.delete(new, False)
+        return False
+    return True
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Of the files and folders in a folder, but hidden and unfinished ones; none if it isn't there."""
+    p, fs = _file(spark, path)
+    found = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return [n for n in found if not n.startswith((".", "_")) and not n.endswith(".tmp")]
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes under a path."""
+    p, fs = _file(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _file(spark, path)
+    fs.delete(p, True)
+
+
 def _sweep() -> None:
     for path, spark in _kept.items():
         try:

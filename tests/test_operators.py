@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexforge import adapters
 from lexforge.functions import text as T
 from lexforge.functions.stem import stem_word
-from lexforge.operators import citations, delta, derive, evaluation, index, relations, retrieval, search
+from lexforge.operators import citations, delta, derive, evaluation, index, merkle, relations, retrieval, search, segments
 from lexforge.plans import evaluate
 from lexforge.plans import retrieval as retrieval_plans
 from lexforge.sources import archives, xml
@@ -160,16 +160,17 @@ def test_canonical_json():
 def test_a_broken_apply_leaves_the_old_generation(spark, tmp_path):
     g = delta.Generations(spark, f"file://{tmp_path}")
     t = spark.createDataFrame([(1, "a")], "id long, x string")
-    r = relations.table_digest(t, "id", ["id", "x"]).first()
+    whole = {"documents": segments.Table(t, ["id"])}
+    r = merkle.table_digest(t, ["id"], ["id", "x"]).first()
     with pytest.raises(delta.Rejected, match="digest_mismatch"):
-        g.load(delta.Baseline("b", "baseline", 4), "d", {"documents": t}, expected={"documents": (1, "no")})
+        g.load(delta.Baseline("b", "baseline", 4), "d", whole, expected={"documents": (1, "no")})
     assert g.state() is None
-    assert g.load(delta.Baseline("b", "baseline", 4), "d", {"documents": t}, delta.Stamps(24, "f", (("c", "1"),)), {"documents": (r.n, r.digest)}) == "applied"
+    assert g.load(delta.Baseline("b", "baseline", 4), "d", whole, delta.Stamps(24, "f", (("c", "1"),)), {"documents": (r.n, r.digest)}) == "applied"
     bad = t.select(F.raise_error(F.lit("broken")).cast("long").alias("id"), "x")
     with pytest.raises(Exception, match="broken"):
-        g.apply(delta.Package("p5", "d5", 4, 5, stamps=delta.Stamps(24, "f", (("c", "1"),))), {"documents": bad})
+        g.apply(delta.Package("p5", "d5", 4, 5, stamps=delta.Stamps(24, "f", (("c", "1"),))), {"documents": segments.Delta(bad)})
     with pytest.raises(delta.Rejected, match="builder_version_mismatch"):
-        g.apply(delta.Package("p5", "d5", 4, 5, stamps=delta.Stamps(24, "f", (("c", "2"),))), {"documents": t})
+        g.apply(delta.Package("p5", "d5", 4, 5, stamps=delta.Stamps(24, "f", (("c", "2"),))), {"documents": segments.Delta(t)})
     assert g.state().sequence == 4 and g.state().stamps.builders == (("c", "1"),) and g.read("documents").count() == 1
 
 
@@ -210,12 +211,15 @@ def test_archives(spark, tmp_path):
     assert all("more than 10" in r.error or "Error" in r.error for r in small.collect())
 
 
-def test_embeddings_are_guarded(spark):
+def test_embeddings_are_guarded(spark, tmp_path):
+    s = segments.Store(spark, f"file://{tmp_path}")
+    s.create({"e": segments.Table(spark.createDataFrame([], "chunk_id long, embedding_fingerprint string, seq int"), ["chunk_id"])})
     c = spark.createDataFrame([(1, "fp"), (2, "other")], "chunk_id long, embedding_fingerprint string")
     for bad in (2, 3):
         rows = spark.createDataFrame([(1, "fp", 1), (bad, "fp", 1)], "chunk_id long, embedding_fingerprint string, seq int")
         with pytest.raises(Exception, match=f"fingerprint for chunk {bad}"):
-            archives.upsert_embeddings(rows.limit(0), rows, c, "seq").collect()
+            archives.upsert_embeddings(s, "e", rows, c, "seq")
+        assert s.version() == 1 and s.read("e").count() == 0
 
 
 def test_archive_plan(spark):
