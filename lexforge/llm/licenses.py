@@ -1,42 +1,47 @@
 """Operator 4: licence scan by a positional rare-token index. Native: DataFrame functions only.
 
 The index holds the words of licence templates (function words left out) with their postings
-(template, position). Document frequencies of these words are counted over the whole corpus; a
-file's rarest words of each template by IDF (`RAREST` a template, so that no notice takes the votes
-of another) are looked up, and each place where such a word stands votes for the template, at the
-relative position place - posting. The template's score is the longest run of votes on one relative position (give or take `SLACK`) over
-the words it could have had; from `LEAST` on, and only if its mandatory key phrases stand in the
-file as well, the template's label is added to the base labels.
+(template, position). Document frequencies of these words are counted over the whole corpus. Each
+place where such a word stands in a file votes for the templates that have it, at the relative position
+place - posting, with the weight of its IDF, so that rare words decide and common ones alone can't. The
+share of a template is the heaviest run of votes on one relative position (give or take `SLACK`) over
+the weight of all of its words; from `LEAST` on, and only if its mandatory key phrases stand in the
+file as well, the template's label is added to the base labels. Key phrases hold the words that tell a
+licence from its kin: a notice of the lesser licence has no key phrase of the general one.
+
+Score: the largest share of the added labels; a base label's is half, and half its templates' share.
 
 Plan: one pass counts frequencies (an aggregation of one row per licence word and task), one pass
 scans; a file skips the positional part of each template of whose key phrases a word is missing. The index and the
-frequencies are constants of the query, about 100 words, at any corpus size.
+frequencies are constants of the query, about 150 words, at any corpus size. A text's work is its
+words times the few templates that it can hold; very long ones are one task's row, as any.
 
-Row by row: null text counts as empty (0 words, no labels, score 0), repeated rows stay. Ties
-between rare words: by name.
+Row by row: null text counts as empty (0 words, no labels, score 0), repeated rows stay. Templates that
+tie don't exclude each other.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
-from functools import reduce
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, narrow, settled
+from .common import narrow
+from .spans import empty, let, literal, with_settled
 
 #: What parts words of the contract: words are digits, lower-case letters and all beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Licence notices: label, text, mandatory key phrases.
-TEMPLATES = [
+TEMPLATES: list[tuple[str, str, list[str]]] = [
     ("apache", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license you may obtain a copy of the license", ["apache license"]),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["hereby granted free of charge"]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["person obtaining a copy of this software"]),
     ("mit", "released under the mit license", ["mit license"]),
-    ("gpl", "this work is licensed under the gnu general public license version 3 you can redistribute it and or modify it under the terms as published by the free software foundation", ["general public license"]),
+    ("gpl", "this work is licensed under the gnu general public license version 3 you can redistribute it and or modify it under the terms as published by the free software foundation", ["gnu general public license"]),
     ("lgpl", "gnu lesser general public license as published by the free software foundation", ["lesser general public license"]),
     ("agpl", "gnu affero general public license as published by the free software foundation", ["affero general public license"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms"]),
@@ -48,7 +53,7 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["use copy modify and or distribute"]),
     ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied", ["substantial portions of the software"]),
     ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["general public license"]),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ["gnu general public license"]),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications", ["permission is granted to anyone to use this software"]),
     ("bsl", "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ["boost software license"]),
     ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", ["eclipse public license"]),
@@ -57,9 +62,14 @@ TEMPLATES = [
     ("cc-by-nd", "licensed under cc by nd 4 0 creative commons attribution noderivatives", ["cc by nd"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["unencumbered software released into the public domain"]),
 ]
+#: Labels and their identifiers in a file's licence tag; more templates, by a rule.
+TAGS = {"apache": "apache 2 0", "mit": "mit", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "bsd": "bsd", "mpl": "mpl 2 0", "isc": "isc", "zlib": "zlib", "bsl": "bsl 1 0", "epl": "epl", "eupl": "eupl", "cc0": "cc0 1 0", "wtfpl": "wtfpl", "unlicense": "unlicense"}
+TEMPLATES += [(label, f"spdx license identifier {tag}", [f"spdx license identifier {tag}"]) for label, tag in TAGS.items()]
+SHORT = {"cc-by-nc": "cc by nc", "cc-by-sa": "cc by sa", "cc-by-nd": "cc by nd"}
+TEMPLATES += [(label, words, [words]) for label, words in SHORT.items()]
 #: Words too common to index.
 COMMON = set("a an and any are as by for in into is it of on or that the this to use with without you may can not no be been at from 0 1 2 3 4 v".split())
-RAREST, SLACK, LEAST = 8, 2, 0.6
+SLACK, LEAST = 2, 0.6
 
 
 def index() -> dict[str, list[tuple[int, int]]]:
@@ -72,19 +82,6 @@ def index() -> dict[str, list[tuple[int, int]]]:
     return dict(sorted(out.items()))
 
 
-def at_phrase(words: Column, phrase: str) -> Column:
-    """Starts of the phrase, in order."""
-    p = phrase.split()
-
-    def here(w: Column, i: Column) -> Column:
-        ok = w == p[0]
-        for k, x in enumerate(p[1:], 1):
-            ok = ok & (F.get(words, i + k) == x)
-        return F.when(F.coalesce(ok, F.lit(False)), i)
-
-    return F.filter(F.transform(words, here), lambda i: i.isNotNull())
-
-
 def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
     """Number of documents, and of those that hold each licence word."""
     words = F.array_intersect(F.split(F.lower("text"), BETWEEN, -1), F.array(*map(F.lit, vocabulary)))
@@ -93,79 +90,63 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str,
     return n.pop("", 0), n
 
 
+def strings(words: Iterable[str]) -> str:
+    """A constant array of plain words."""
+    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     docs = narrow(docs)
     post = index()
     total, df = frequencies(docs, list(post))
     idf = {w: math.log(1 + (total + 0.5) / (df.get(w, 0) + 0.5)) for w in post}
-    order = sorted(post, key=lambda w: (-idf[w], w))  # the vocabulary by falling IDF
-    # A phrase can only stand where all of its words do: most texts end here.
-    phrases = [*BASE, *(" ".join(keys) for _, _, keys in TEMPLATES)]
+    # base phrases first, then the key phrases of every template
+    phrases, of = list(BASE), []
+    for _, _, keys in TEMPLATES:
+        of.append(range(len(phrases), len(phrases) + len(keys)))
+        phrases += keys
+    texts = f"array({', '.join(strings(p.split()) for p in phrases)})"
     vocabulary = sorted({*post, *" ".join(phrases).split()})
-    none, ints = F.array().cast("array<string>"), F.array().cast("array<int>")
     # beyond A-Z, lower() changes neither where words end nor any letter into one of a phrase
-    seen = docs.select("doc_id", settled(F.split(F.lower("text"), BETWEEN, -1)).alias("words"))
+    seen = with_settled(docs, words=f"split(lower(text), {literal(BETWEEN)}, -1)").drop("text")
     # what stands before the first and behind the last separator may be empty
-    lead, size = (F.col("words")[0] == "").cast("int"), F.size("words")
-    trail = ((size > 1) & (F.col("words")[size - 1] == "")).cast("int")
-    seen = seen.select("doc_id", settled(F.slice("words", lead + 1, size - lead - trail)).alias("words"))
-    seen = seen.select("doc_id", "words", settled(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("held"))
-    can = F.array(*(reduce(Column.__and__, (F.array_contains("held", w) for w in dict.fromkeys(p.split()))) for p in phrases))
-    seen = seen.select("doc_id", "words", "held", settled(F.when(F.size("held") > 0, can).otherwise(F.array_repeat(F.lit(False), len(phrases)))).alias("can"))
-    seen = seen.select("doc_id", "can", "held", F.size("words").cast("bigint").alias("n_words"), settled(F.when(F.array_contains("can", True), F.col("words")).otherwise(none)).alias("words"))
-    starts_of = lambda k, p: F.when(F.col("can")[k], at_phrase(F.col("words"), p)).otherwise(ints)
-    seen = seen.select("*", *(settled(starts_of(k, p)).alias(f"p{k}") for k, p in enumerate(BASE)))
-    # where licence words stand, and each template's rarest words in the file
-    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(order), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
-    some = F.exists(F.slice("can", len(BASE) + 1, len(TEMPLATES)), lambda c: c)
-    seen = seen.select("*", settled(F.when(some, places).otherwise(F.array().cast("array<struct<w:string,i:int>>"))).alias("places"))
-    own = [[w for w in order if any(t == k for t, _ in post[w])] for k in range(len(TEMPLATES))]
-    rare = lambda k, ws: F.when(F.col("can")[len(BASE) + k], F.slice(F.array_intersect(F.array(*map(F.lit, ws)), "held"), 1, RAREST)).otherwise(none)
-    seen = seen.select("*", *(settled(rare(k, ws)).alias(f"r{k}") for k, ws in enumerate(own)))
-    labels, scores = [], []
-    for k, (label, text, keys) in enumerate(TEMPLATES):
+    lead, trail = "CAST(words[0] = '' AS int)", "CAST(size(words) > 1 AND words[size(words) - 1] = '' AS int)"
+    seen = with_settled(seen, words=f"slice(words, {lead} + 1, size(words) - {lead} - {trail})")
+    # a phrase can only stand where all of its words do: most texts end here
+    seen = with_settled(seen, n_words="CAST(size(words) AS bigint)", held=f"array_intersect(words, {strings(vocabulary)})")
+    start = "filter(transform(words, (w, i) -> CASE WHEN w = p[0] AND slice(words, i + 1, size(p)) = p THEN i END), i -> i IS NOT NULL)"
+    starts = f"transform({texts}, p -> CASE WHEN forall(p, x -> array_contains(held, x)) THEN {start} ELSE {empty('int')} END)"
+    nothing = f"array_repeat({empty('int')}, {len(phrases)})"
+    seen = with_settled(seen, starts=f"CASE WHEN size(held) > 0 THEN {starts} ELSE {nothing} END")
+    seen = with_settled(seen, found="exists(starts, s -> size(s) > 0)")
+    # where licence words stand, if any phrase does
+    place = f"filter(transform(words, (w, i) -> CASE WHEN array_contains({strings(post)}, w) THEN struct(w AS w, i AS i) END), x -> x IS NOT NULL)"
+    seen = with_settled(seen, places=f"CASE WHEN found THEN {place} ELSE {empty('struct<w:string,i:int>')} END").drop("words", "held")
+    # each template's postings with weights, their sum, and which phrases it needs
+    templates = []
+    for k in range(len(TEMPLATES)):
         mine = {w: [i for t, i in ps if t == k] for w, ps in post.items() if any(t == k for t, _ in ps)}
-        table = F.create_map(*(x for w, at in mine.items() for x in (F.lit(w), F.array(*map(F.lit, at)))))
-
-        def votes(m: Column) -> Column:
-            at = lambda p: F.when(F.array_contains(f"r{k}", p["w"]), F.try_element_at(m, p["w"]))
-            shifts = F.flatten(F.transform("places", lambda p: F.coalesce(F.transform(at(p), lambda i: p["i"] - i), ints)))
-
-            def longest(s: Column) -> Column:
-                """The longest run of sorted shifts in which neighbours are within the slack."""
-                zero = F.struct(F.lit(-1_000_000).alias("at"), F.lit(0).alias("run"), F.lit(0).alias("best"))
-
-                def step(a: Column, x: Column) -> Column:
-                    run = F.when(x - a["at"] <= SLACK, a["run"] + 1).otherwise(1)
-                    return F.struct(x.alias("at"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
-
-                return F.aggregate(s, zero, step, lambda a: a["best"])
-
-            return longest(F.sort_array(shifts))
-
-        # The words that a whole notice would vote with.
-        could = F.aggregate(f"r{k}", F.lit(0), lambda a, w: a + F.coalesce(F.size(F.try_element_at(table, w)), F.lit(0)))
-        possible = F.col("can")[len(BASE) + k]
-        share = F.when(F.size("places") == 0, 0.0).otherwise(F.coalesce(F.try_divide(let(table, votes).cast("double"), F.greatest(could, F.lit(min(2, len(mine))))), F.lit(0.0)))
-        ok = F.lit(True)
-        for key in keys:
-            ok = ok & (F.size(at_phrase(F.col("words"), key)) > 0)
-        score = F.when(~possible | (F.size("places") == 0), 0.0).otherwise(F.when((share >= LEAST) & ok, F.least(share, F.lit(1.0))).otherwise(0.0))
-        scores.append(score.alias(f"s{k}"))
-        labels.append((label, f"s{k}"))
-    scored = seen.select("doc_id", "n_words", *(f"p{k}" for k in range(len(BASE))), *scores)
-    base = F.filter(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(v)) for k, v in enumerate(BASE.values()))), lambda x: x.isNotNull())
-    more = F.filter(F.array(*(F.when(F.col(c) > 0, F.lit(v)) for v, c in labels)), lambda x: x.isNotNull())
-    starts = F.concat(*(f"p{k}" for k in range(len(BASE))))
-    best = F.greatest(*(c for _, c in labels))
-    return scored.select(
+        table = ", ".join(f"'{w}', array({', '.join(f'struct({i} AS p, {idf[w]!r}D AS x)' for i in at)})" for w, at in mine.items())
+        whole = sum(idf[w] * len(at) for w, at in mine.items())
+        templates.append(f"struct(map({table}) AS postings, {whole!r}D AS whole, array({', '.join(map(str, of[k]))}) AS keys)")
+    votes = "array_sort(flatten(transform(places, q -> coalesce(transform(try_element_at(t.postings, q.w), v -> struct(q.i - v.p AS s, v.x AS x)), array()))))"
+    # the heaviest run of sorted shifts in which neighbours are within the slack
+    step = let(f"CASE WHEN v.s - a.at <= {SLACK} THEN a.run ELSE 0D END + v.x", "r", "struct(v.s AS at, r AS run, greatest(a.best, r) AS best)")
+    best = f"aggregate({votes}, struct(-1000000 AS at, 0D AS run, 0D AS best), (a, v) -> {step}, a -> a.best)"
+    share = f"CASE WHEN forall(t.keys, k -> size(starts[k]) > 0) THEN least(1D, {best} / t.whole) ELSE 0D END"
+    seen = with_settled(seen, shares=f"CASE WHEN found THEN transform(array({', '.join(templates)}), t -> {share}) ELSE array_repeat(0D, {len(TEMPLATES)}) END")
+    names = strings(label for label, _, _ in TEMPLATES)
+    base = f"filter(transform({strings(BASE.values())}, (b, k) -> CASE WHEN size(starts[k]) > 0 THEN b END), b -> b IS NOT NULL)"
+    seen = with_settled(seen, base=base, more=f"filter(transform({names}, (n, k) -> CASE WHEN shares[k] >= {LEAST}D THEN n END), n -> n IS NOT NULL)", at=f"flatten(slice(starts, 1, {len(BASE)}))")
+    stated = f"transform(base, b -> 0.5D + 0.5D * array_max(transform({names}, (n, k) -> CASE WHEN n = b THEN shares[k] ELSE 0D END)))"
+    return seen.selectExpr(
         "doc_id",
         "n_words",
-        F.size(starts).cast("bigint").alias("n_base"),
-        F.array_min(starts).cast("bigint").alias("first_word"),
-        F.array_max(starts).cast("bigint").alias("last_word"),
-        F.array_join(F.sort_array(F.array_distinct(base)), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
-        F.when(F.size(base) > 0, 1.0).otherwise(best).cast("double").alias("score"),
+        "CAST(size(at) AS bigint) AS n_base",
+        "CAST(array_min(at) AS bigint) AS first_word",
+        "CAST(array_max(at) AS bigint) AS last_word",
+        "array_join(sort_array(array_distinct(base)), ',') AS base_labels",
+        "array_join(sort_array(array_distinct(concat(base, more))), ',') AS labels",
+        f"array_max(concat(array(0D), filter(shares, s -> s >= {LEAST}D), {stated})) AS score",
     )

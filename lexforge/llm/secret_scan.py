@@ -13,11 +13,11 @@ Row by row: null text counts as empty, empty text has no spans, rows and their r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, settled
-from .spans import SPAN, apart, empty, find_all, listed, masked, near, ranked
+from .common import narrow
+from .spans import SPAN, apart, empty, find_all, hashed, listed, masked, near, ranked, with_settled
 
 #: The patterns of the base kinds, in order; hex and access as maximal runs.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -34,48 +34,41 @@ SCOPE = 200
 def secret_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text, assign, access, hex (base spans), extra (linked weak spans as (start, kind, end))."""
     none = empty(SPAN)
-    low = F.lower("text")
-
-    def any_of(*words: str) -> Column:
-        out = F.lit(False)
-        for word in words:
-            out = out | low.contains(word)
-        return out
-
-    text = F.col("text")
-    found = docs.select(
-        "doc_id",
-        "text",
-        settled(F.when(any_of("passw", "secret", "token", "apikey", "api_key"), F.filter(find_all(text, ASSIGN, 2), lambda s: F.length(s["part"]) >= 12)).otherwise(none)).alias("assign"),
-        settled(F.when(text.contains("AKIA"), find_all(text, ACCESS)).otherwise(none)).alias("access"),
-        settled(find_all(text, HEX)).alias("hex"),
-        settled(F.when(text.rlike("[:=]") & any_of("user", "login", "account", "client", "_id", "keyid", "appid", "tenantid"), find_all(text, IDENTIFIER, 1)).otherwise(none)).alias("ids"),
-        settled(F.when(text.contains("://"), find_all(text, ENDPOINT)).otherwise(none)).alias("ends"),
+    any_of = lambda *words: "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+    only = lambda condition, found: f"CASE WHEN {condition} THEN {found} ELSE {none} END"
+    assigned = f"filter({find_all('text', ASSIGN, 2)}, s -> length(s.part) >= 12)"
+    found = with_settled(
+        docs.select("doc_id", "text"),
+        assign=only(any_of("passw", "secret", "token", "apikey", "api_key"), assigned),
+        access=only("contains(text, 'AKIA')", find_all("text", ACCESS)),
+        hex=find_all("text", HEX),
+        ids=only("text RLIKE '[:=]' AND " + any_of("user", "login", "account", "client", "_id", "keyid", "appid", "tenantid"), find_all("text", IDENTIFIER, 1)),
+        ends=only("contains(text, '://')", find_all("text", ENDPOINT)),
     )
     # Without keys or endpoints there is nothing to link, so most texts end here.
-    lonely = (F.size("ids") + F.size("ends") + F.size("access")) == 0
-    found = found.withColumn("weak", settled(F.when(~lonely & text.rlike("[:=]"), find_all(text, WEAK, 1)).otherwise(none)))
-    for part in ("ids", "ends"):
-        found = found.withColumn(part, F.when((F.size("weak") + F.size("assign") + F.size("access")) == 0, none).otherwise(F.col(part)))
-    found = apart(found, "weak", F.col("weak"), F.concat("assign", "access", "hex"))
-    secrets, keys = F.concat("assign", "access", "weak"), F.concat("ids", "access")
-    found = near(found, "secrets", F.col("weak"), F.concat("ids", "access", "ends"), SCOPE)
-    found = near(found, "names", F.col("ids"), secrets, SCOPE)
-    found = near(found, "served", F.col("ends"), keys, SCOPE)
-    found = near(found, "places", F.col("served"), secrets, SCOPE)
-    extra = F.concat(ranked(F.col("secrets"), 3), ranked(F.col("names"), 4), ranked(F.col("places"), 5))
-    return found.select("doc_id", "text", "assign", "access", "hex", extra.alias("extra"))
+    found = with_settled(found, weak=only("size(ids) + size(ends) + size(access) > 0 AND text RLIKE '[:=]'", find_all("text", WEAK, 1)))
+    linked = "size(weak) + size(assign) + size(access) > 0"
+    found = with_settled(found, ids=only(linked, "ids"), ends=only(linked, "ends"))
+    found = apart(found, "weak", "weak", "concat(assign, access, hex)")
+    secrets, keys = "concat(assign, access, weak)", "concat(ids, access)"
+    found = near(found, "secrets", "weak", "concat(ids, access, ends)", SCOPE)
+    found = near(found, "names", "ids", secrets, SCOPE)
+    found = near(found, "served", "ends", keys, SCOPE)
+    found = near(found, "places", "served", secrets, SCOPE)
+    return found.selectExpr("doc_id", "text", "assign", "access", "hex", f"concat({ranked('secrets', 3)}, {ranked('names', 4)}, {ranked('places', 5)}) AS extra")
+
+
+BASE = f"concat({ranked('assign', 0)}, {ranked('access', 1)}, {ranked('hex', 2)})"
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_linked."""
     s = secret_spans(narrow(docs))
-    base = F.concat(ranked(F.col("assign"), 0), ranked(F.col("access"), 1), ranked(F.col("hex"), 2))
     return s.select(
         "doc_id",
         *(F.size(k).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]),
-        F.sha2(listed(base, KINDS), 256).alias("base_sha256"),
-        listed(F.concat(base, F.col("extra")), KINDS).alias("spans"),
+        hashed(BASE, KINDS).alias("base_sha256"),
+        F.expr(listed(f"concat({BASE}, extra)", KINDS)).alias("spans"),
         F.size("extra").cast("bigint").alias("n_linked"),
     )
 
@@ -85,8 +78,7 @@ def redact_secrets(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     identifiers gives way to the mask. Overlapping spans are masked together."""
     keep = [c for c in docs.columns if c != "text"]
     src = docs.select(F.struct(*docs.columns).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    s = secret_spans(src)
-    spans = F.sort_array(F.concat(ranked(F.col("assign"), 0), ranked(F.col("access"), 1), ranked(F.col("hex"), 2), F.filter("extra", lambda e: e["kind"] == 3)))
-    out = s.select("doc_id", masked(F.col("text"), spans, mask).alias("text"))
+    spans = with_settled(secret_spans(src), found=f"sort_array(concat({BASE}, filter(extra, e -> e.kind = 3)))")
+    out = spans.select("doc_id", F.expr(masked("text", "found", mask)).alias("text"))
     text = F.when(F.col("doc_id.text").isNull(), F.lit(None).cast("string")).otherwise(F.col("text"))
     return out.select(*((text if c == "text" else F.col("doc_id")[c]).alias(c) for c in docs.columns)) if keep else out.select(text.alias("text"))

@@ -390,11 +390,85 @@ def test_licenses(spark):
     assert "cc-by-nc" in got[10_005].labels
 
 
-def test_license_notices_do_not_silence_each_other(spark):
-    pick = [c for n in (2, 3, len(licenses.TEMPLATES)) for c in itertools.combinations(licenses.TEMPLATES, n)]
-    d = spark.createDataFrame([(i, " some words between ".join(t for _, t, _ in c)) for i, c in enumerate(pick)], DOCS)
-    for r in licenses.scan_licenses(d).collect():
-        assert {x for x, _, _ in pick[r.doc_id]} <= set(r.labels.split(",")), pick[r.doc_id]
+def words_of(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(TR))
+
+
+def holds(w, phrase):
+    p = phrase.split()
+    return any(w[k : k + len(p)] == p for k in range(len(w)))
+
+
+def brute_licenses(texts_):
+    """Labels and score by votes of each place with each posting."""
+    import math
+
+    index, n = licenses.index(), len(texts_)
+    df = {w: sum(w in set(words_of(t.lower())) for t in texts_) for w in index}
+    idf = {w: math.log(1 + (n + 0.5) / (df[w] + 0.5)) for w in index}
+    out = []
+    for t in texts_:
+        w = words_of(t)
+        base = {label for phrase, label in licenses.BASE.items() if holds(w, phrase)}
+        share, added = {}, {}
+        for k, (label, _, keys) in enumerate(licenses.TEMPLATES):
+            if not all(holds(w, x) for x in keys):
+                continue
+            votes = sorted((i - at, idf[x]) for i, x in enumerate(w) for tmpl, at in index.get(x, []) if tmpl == k)
+            best = run = 0.0
+            for j, (s, x) in enumerate(votes):
+                run = x + (run if j and s - votes[j - 1][0] <= licenses.SLACK else 0.0)
+                best = max(best, run)
+            share[k] = min(1.0, best / sum(idf[x] for x, ps in index.items() for tmpl, _ in ps if tmpl == k))
+            if share[k] >= licenses.LEAST:
+                added[label] = max(added.get(label, 0), share[k])
+        stated = [0.5 + max([0.0, *(x for k, x in share.items() if licenses.TEMPLATES[k][0] == b)]) / 2 for b in base]
+        out.append((base | set(added), max([0.0, *added.values(), *stated])))
+    return out
+
+
+def test_license_votes_equal_brute_force(spark):
+    r = random.Random(3)
+    pool = [t for _, t, _ in licenses.TEMPLATES]
+    texts_ = []
+    for _ in range(150):  # notices with words left out, put in, and cut off, two in a text
+        w = []
+        for _ in range(r.randrange(1, 3)):
+            one = [x for x in r.choice(pool).split() if r.random() > 0.12]
+            for _ in range(r.randrange(3)):
+                one.insert(r.randrange(len(one) + 1), r.choice(["the", "noise", "license", "software"]))
+            w += one[: r.choice([len(one), max(3, len(one) // 2)])]
+        texts_.append(" ".join(w))
+    got = {x.doc_id: x for x in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts_)), DOCS)).collect()}
+    for i, (labels_, score) in enumerate(brute_licenses(texts_)):
+        assert set(filter(None, got[i].labels.split(","))) == labels_ and abs(got[i].score - score) < 1e-9, (texts_[i], got[i], labels_, score)
+
+
+LONGER = {
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "lgpl",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": "agpl",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Boost Software License - Version 1.0).": "bsl",
+    "Boost Software License - Version 1.0 - August 17th, 2003. Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "bsl",
+    "We discuss whether the Apache License or the general public license as published by the free software foundation suits you can redistribute": "apache",
+    "Permission to use was hereby granted free of charge to the club, and the software is provided as is by our friends": "",
+    "The GNU General Public License is older than most of its readers": "gpl",
+    "SPDX-License-Identifier: MIT": "mit",
+    "// SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl",
+}
+
+
+def test_license_labels_are_exact(spark):
+    """Every notice has its own label and none of its kin; prose about licences has none beyond base."""
+    base = lambda t: {v for p, v in licenses.BASE.items() if holds(words_of(t), p)}
+    notices = [(t, {label} | base(t)) for label, t, _ in licenses.TEMPLATES]
+    pairs_ = [(a + " some words between " + b, x | y | base(a + " some words between " + b)) for (a, x), (b, y) in itertools.combinations(notices, 2)]
+    all_ = (" and so on ".join(t for t, _ in notices), set().union(*(x for _, x in notices)))
+    cases = [*notices, *pairs_, all_, *((t, set(filter(None, x.split(",")))) for t, x in LONGER.items())]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], DOCS)).collect()}
+    for i, (t, want) in enumerate(cases):
+        assert set(filter(None, got[i].labels.split(","))) == want, t
+    evidence = {t: r.score for (t, _), r in zip(cases, (got[i] for i in range(len(cases))), strict=True)}
+    assert evidence["The GNU General Public License is older than most of its readers"] < 0.8 < evidence[licenses.TEMPLATES[3][1]]
 
 
 def test_license_template_without_base_phrase(spark):
@@ -423,7 +497,7 @@ def spelled(r):
     return [f"{name()}.{name()} [at] {name()}.com", f"{name()}(at){name()}.org", f"{name()} [at] {name()} [dot] net", f"{name()}{d(2)} @ {name()}.co.uk", f"({d(3)}) {d(3)}-{d(4)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"00{r.randrange(20, 60)} {d(2)} {d(4)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", ".".join(card[k : k + 4] for k in range(0, 16, 4)), "[.]".join(octets), " . ".join(octets)]
 
 
-def test_personal_data_that_base_misses(spark):
+def test_personal_data_that_base_misses(spark, personal):
     """Recall of planted spellings, and clean documents left alone."""
     r = random.Random(7)
     plain = [(x.doc_id, x.text or "") for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
@@ -435,7 +509,7 @@ def test_personal_data_that_base_misses(spark):
             before = f"{w[:60]} {r.choice(['call', 'mail', 'and', 'reach me at', 'the', 'from'])} "
             planted[1_000_000 + 100 * i + k] = (len(before), len(before) + len(x), x)
             rows.append((1_000_000 + 100 * i + k, f"{before}{x} {r.choice(['or', 'and', 'then'])} {w[60:120]}"))
-    model = pii.fit(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    model = personal
     got = {x.doc_id: x for x in pii.pii_spans(spark.createDataFrame(rows, DOCS), model).select("doc_id", "base", "extra").collect()}
     met = {i: any(s.start < b and s.end > a for s in [*got[i].extra, *got[i].base]) for i, (a, b, _) in planted.items()}
     by = [np.mean([met[i] for i in planted if i % 100 == k]) for k in range(11)]
@@ -443,11 +517,11 @@ def test_personal_data_that_base_misses(spark):
     assert np.mean([len(got[2 * i].extra) > 0 for i, _ in plain]) <= 0.02
 
 
-def test_trees_and_candidates_equal_columns(spark):
+def test_trees_and_candidates_equal_columns(spark, personal):
     texts_ = [f"so {x} it" for seed in range(8) for x in spelled(random.Random(seed))] + pii.OTHERS + TRICKY
     d = spark.createDataFrame(list(enumerate(texts_)), DOCS)
-    model = pii.fit(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
-    c = pii.with_candidates(pii.base_spans(d)).select("doc_id", F.explode(F.concat("c0", "c1")).alias("c")).select("doc_id", "c.*", pii.compiled(model, F.col("c.f")).alias("score")).collect()
+    model = personal
+    c = pii.with_candidates(pii.base_spans(d)).select("doc_id", F.explode(F.concat("c0", "c1")).alias("c")).select("doc_id", "c.*", F.expr(pii.compiled(model, "c.f")).alias("score")).collect()
     assert np.allclose([x.score for x in c], pii.scores(model, np.array([x.f for x in c])))
     for gen, pattern in enumerate((pii.EMAIL_LIKE.replace(r"\G|", "").replace(r"(?<!(?i:dot)\x20?[\])}]\x20?)", ""), pii.NUMBER_LIKE)):
         for i, t in enumerate(texts_):
@@ -457,18 +531,37 @@ def test_trees_and_candidates_equal_columns(spark):
     assert extra <= chosen and len(extra) > 20
 
 
+@pytest.fixture(scope="module")
+def personal(spark):
+    """A model fitted once."""
+    return pii.fit(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+
+
 @pytest.mark.parametrize("one", ["deadbeefdeadbeef ", "a@b.cd ", "+1 (017) 555-7713 ", "user: bob password=hunter22 https://h.example.com "])
-def test_texts_of_many_matches(spark, one):
-    """A fifth of a megabyte of matches takes seconds: offsets grow no square."""
+def test_texts_of_many_matches(spark, personal, one):
+    """Four times the matches in a text take no sixteen times the time; all are found and masked."""
     import time
 
-    n = 200_000 // len(one)
-    d, began = spark.createDataFrame([(1, one * n)], DOCS), time.time()
-    spans = (pii.find_pii if "@" in one or "+" in one else secret_scan.scan_secrets)(d).first().spans
-    masked = secret_scan.redact_secrets(d).first().text
-    assert spans.count(",") >= n - 1 and time.time() - began < 60
-    if "dead" in one or "pass" in one:
-        assert masked.count("[SECRET]") == n and masked.endswith("[SECRET] " if "dead" in one else "example.com ")
+    took = []
+    for size in (50_000, 200_000):
+        n = size // len(one)
+        d, began = spark.createDataFrame([(1, one * n)], DOCS), time.time()
+        if "@" in one or "+" in one:
+            r = pii.pii_spans(d, personal).first()
+            assert len(r.base) >= n - 1
+        else:
+            assert secret_scan.scan_secrets(d).first().spans.count(",") >= n - 1
+        masked = secret_scan.redact_secrets(d).first().text
+        took.append(time.time() - began)
+        if "dead" in one or "pass" in one:
+            assert masked.count("[SECRET]") == n and masked.endswith("[SECRET] " if "dead" in one else "example.com ")
+    assert took[1] < 8 * took[0], took
+
+
+def test_a_keyword_may_stand_some_words_before(spark, personal):
+    texts_ = ["please call me 0171 2345678 then", "his phone number is 020 7946 0958 now", "in all 0171 2345678 of them", "ring 0171 555666 after the table", "a total of 1234 567890123 rows"]
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.extra] for r in pii.pii_spans(spark.createDataFrame(list(enumerate(texts_)), DOCS), personal).collect()}
+    assert got == {0: ["0171 2345678"], 1: ["020 7946 0958"], 2: [], 3: ["0171 555666"], 4: []}
 
 
 def brute_linked(t):
