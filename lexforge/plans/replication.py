@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import storage
@@ -378,3 +379,51 @@ def changelog_stream(spark, sf_dir):
     from ..streaming.changelog import coalesce_stream_once
 
     return coalesce_stream_once(spark, f"{sf_dir}/events.parquet")
+
+
+#: The log's lanes: each has its own sequence; a quarter of it is a block.
+LANES_SQL = """lanes AS (SELECT event_id % 16 AS corpus, event_id // 16 AS change_seq, ts, user_id AS scope, event_type, 4 * (event_id // 16) // (1 + (SELECT max(event_id) // 16 FROM events)) AS block FROM events)"""
+
+
+def lanes(spark, sf_dir):
+    e, k = read(spark, sf_dir, "events"), F.col("event_id")
+    seq = F.floor(k / 16).cast("bigint")
+    top = e.agg(F.max(seq)).first()[0] or 0
+    op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "purchase", "replace_set").otherwise("upsert")
+    return e.select((k % 16).cast("string").alias("corpus"), seq.alias("change_seq"), "ts", F.col("user_id").alias("scope"), op.alias("op"), F.floor(4 * seq / (top + 1)).alias("block"))
+
+
+@query("SELECT corpus::BIGINT AS corpus, change_seq, CASE event_type WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'replace_set' ELSE 'upsert' END AS op, scope, CAST(CASE WHEN block = 0 THEN 1 ELSE 2 END AS BIGINT) AS released FROM lanes", LANES_SQL)
+def ordered_stream(spark, sf_dir):
+    """The log's quarters come third, first (twice), fourth and second, in files of their own, with a restart between:
+    what is released, and by which of the releasing batches."""
+    from ..streaming import changelog as C
+
+    root = storage.place(spark, "ordered", sf_dir, uuid.uuid4().hex)
+    rows = lanes(spark, sf_dir)
+    keep = lambda batch, k: batch.select("*", F.lit(k).alias("batch")).write.mode("overwrite").parquet(f"{root}/out/{k}")
+    for part in ([[2], [0]], [[3, 0], [1]]):
+        for blocks in part:
+            rows.filter(F.col("block").isin(blocks)).drop("block").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        s = spark.readStream.schema("corpus string, change_seq long, ts timestamp, scope long, op string").option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        C.run_available(C.in_order(s), keep, root)
+    out = spark.read.parquet(f"{root}/out/*")
+    nth = out.select("batch").distinct().select("batch", F.rank().over(W.orderBy("batch")).cast("bigint").alias("released"))  # as many rows as batches
+    return out.join(F.broadcast(nth), "batch").select(F.col("corpus").cast("bigint").alias("corpus"), "change_seq", "op", "scope", "released")
+
+
+@query("""WITH RECURSIVE looked AS (SELECT DISTINCT user_id AS document_id, CASE event_type WHEN 'view' THEN 'ok' WHEN 'click' THEN 'not_found' WHEN 'error' THEN 'upstream_error' WHEN 'signup' THEN 'unsupported' ELSE 'invalid_offsets' END AS status, epoch_us(ts) // 1000 AS ms FROM events),
+  timed AS (SELECT *, CASE status WHEN 'ok' THEN 2592000000 WHEN 'invalid_offsets' THEN 2592000000 WHEN 'upstream_error' THEN 3600000 ELSE 604800000 END AS ttl FROM looked),
+  passed AS (SELECT document_id, status, min(ms) AS ms, ttl FROM timed GROUP BY ALL UNION ALL SELECT p.document_id, p.status, min(t.ms), p.ttl FROM passed p JOIN timed t ON t.document_id = p.document_id AND t.status = p.status AND t.ms >= p.ms + p.ttl GROUP BY p.document_id, p.status, p.ms, p.ttl)
+  SELECT document_id, status, ms FROM passed""")
+def ttl_stream(spark, sf_dir):
+    """Look-ups as a stream: those that no living cache row answers."""
+    from ..streaming import changelog as C
+
+    root = storage.place(spark, "ttl", sf_dir, uuid.uuid4().hex)
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "ok").when(kind == "click", "not_found").when(kind == "error", "upstream_error").when(kind == "signup", "unsupported").otherwise("invalid_offsets")
+    read(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), status.alias("status"), F.date_trunc("millisecond", "ts").alias("fetched_at")).write.parquet(f"{root}/in")
+    s = spark.readStream.schema("document_id long, status string, fetched_at timestamp").parquet(f"{root}/in")
+    C.run_available(C.while_cached(s), lambda batch, k: batch.write.mode("overwrite").parquet(f"{root}/out/{k}"), root)
+    return spark.read.parquet(f"{root}/out/*").select("document_id", "status", F.unix_millis("fetched_at").alias("ms"))

@@ -237,38 +237,59 @@ def changes_of(spark, path, numbers):
 def test_stream_goes_on_and_applies_once(spark, tmp_path):
     path, root = f"{tmp_path}/log", f"file://{tmp_path}/state"
     changes_of(spark, path, range(10))
-    a = changelog.Applier(spark, root, first=0)
+    a = changelog.Applier(spark, root)
     changelog.run_available(changelog.change_stream(spark, path), a)
     want = lambda ks: {s: (max(k for k in ks if k % 3 == s), sum(k % 3 == s for k in ks)) for s in range(3)}
     got = lambda: {r.scope: (r.last_seq, r.n) for r in a.scopes().collect()}
     assert got() == want(range(10)) and a.state()["high"] == 9
     batch = spark.read.parquet(path).select(F.col("event_id").alias("change_seq"), "ts", F.col("user_id").alias("scope"), F.lit("upsert").alias("op"))
-    a(batch, a.state()["batch"])  # the same batch again, and the same rows in another
-    a(batch, a.state()["batch"] + 1)
+    a(batch, a.state()["batch"])  # the same batch again
     assert got() == want(range(10))
-    changes_of(spark, path, [10, 11, 13, 14])  # 12 is missing
-    changelog.run_available(changelog.change_stream(spark, path), changelog.Applier(spark, root, first=0))
-
-
-def test_a_gap_is_set_aside(spark, tmp_path):
-    a = changelog.Applier(spark, f"file://{tmp_path}/state", first=0)
-    rows = lambda ks: spark.createDataFrame([(k, k % 3, "upsert") for k in ks], "change_seq long, scope long, op string")
-    a(rows([0, 1, 2]), 0)
-    a(rows([4, 3, 6, 7]), 1)
-    assert a.state() == {"batch": 1, "high": 4}
-    assert sorted(r.change_seq for r in spark.read.parquet(f"{tmp_path}/state/quarantine").collect()) == [6, 7]
-    a(rows([5, 6, 7]), 2)
-    assert a.state()["high"] == 7 and sum(r.n for r in a.scopes().collect()) == 8
+    changes_of(spark, path, [10, 11])
+    changelog.run_available(changelog.change_stream(spark, path), changelog.Applier(spark, root))
+    assert got() == want(range(12))
+
+
+def test_a_gap_is_held_and_released(spark, tmp_path, monkeypatch):
+    """Batches 1, 2, 4, 5, then 3, 6 and 4 again, then 8, 7: nothing is lost or comes twice, also after a restart."""
+    monkeypatch.setattr(changelog, "RUN", 2)
+    root, path = f"file://{tmp_path}/state", f"{tmp_path}/log"
+    kind = "corpus string, change_seq long, ts timestamp, scope long, op string"
+    out = []
+
+    def come(*seqs):
+        rows = [(c, k, k % 3, "upsert") for c in ("a", "b") for k in seqs if (c, k) != ("b", 3)]
+        spark.createDataFrame(rows, "corpus string, change_seq long, scope long, op string").select("corpus", "change_seq", F.timestamp_seconds("change_seq").alias("ts"), "scope", "op").coalesce(1).write.mode("append").parquet(path)
+        s = changelog.in_order(spark.readStream.schema(kind).parquet(path), first=1)
+        changelog.run_available(s, lambda batch, _: out.extend((r.corpus, r.change_seq, r.scope, int(r.ts.timestamp())) for r in batch.collect()), root)
+        return [k for c, k, *_ in out if c == "a"]
+
+    assert come(5, 2, 4, 1) == [1, 2]
+    assert [tuple(r) for r in changelog.held_back(spark, root).orderBy("corpus").collect()] == [("a", 3, 4, 1), ("b", 3, 4, 1)]
+    assert come(3, 4, 6) == [1, 2, 3, 4, 5, 6]
+    assert come(8, 7, 2) == list(range(1, 9))
+    assert all(scope == k % 3 and ts == k for _, k, scope, ts in out)
+    assert [k for c, k, *_ in out if c == "b"] == [1, 2]  # b's third never came
+    assert [r.corpus for r in changelog.held_back(spark, root).collect()] == ["b"]
 
 
 def test_cached_rows_hold_back_repeats(spark, tmp_path):
-    rows = [("d", "ok", 0), ("d", "ok", 5), ("e", "upstream_error", 0)]
-    t = spark.createDataFrame(rows, "document_id string, status string, s long").select("document_id", "status", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("fetched_at"))
-    t.write.parquet(f"{tmp_path}/in")
-    s = spark.readStream.schema(t.schema).parquet(f"{tmp_path}/in")
-    q = changelog.while_cached(s).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted((r.document_id, r.status) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [("d", "ok"), ("e", "upstream_error")]
+    """Within a status's lifetime a repeat is dropped; at its end the timer lets the next one pass."""
+    day, path, root = 86_400, f"{tmp_path}/in", f"file://{tmp_path}/state"
+    out = []
+
+    def come(*rows):
+        spark.createDataFrame(rows, "document_id string, status string, s long").select("document_id", "status", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("fetched_at")).coalesce(1).write.mode("append").parquet(path)
+        s = changelog.while_cached(spark.readStream.schema("document_id string, status string, fetched_at timestamp").parquet(path))
+        changelog.run_available(s, lambda batch, _: out.extend((r.document_id, r.status, int(r.fetched_at.timestamp()) - 1_700_000_000) for r in batch.collect()), root)
+        return sorted(out)
+
+    first = [("d", "ok", 0), ("e", "upstream_error", 0), ("e", "upstream_error", 3600)]
+    assert come(("d", "ok", 5), ("d", "ok", 0), ("e", "upstream_error", 0), ("e", "upstream_error", 3600)) == first
+    assert come(("d", "ok", 29 * day), ("f", "not_found", 40 * day)) == sorted([*first, ("f", "not_found", 40 * day)])
+    assert come(("d", "ok", 41 * day)) == sorted([*first, ("f", "not_found", 40 * day), ("d", "ok", 41 * day)])
+    state = spark.read.format("statestore").option("path", f"{root}/offsets").option("stateVarName", "until").load()
+    assert {r.k for r in state.filter("value.ms is not null").select(F.col("key.document_id").alias("k")).collect()} == {"d", "f"}
 
 
 def test_polling_tells_faults_apart():
