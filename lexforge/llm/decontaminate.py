@@ -22,7 +22,7 @@ Plan at scale. The benchmark's windows of both forms are broadcast as sorted arr
 of their size (`BROADCAST_ROWS`; about 50 bytes each); documents are then scanned once, no text
 moves. Beyond that size the same scan emits only windows that pass a filter of the benchmark's
 hashes (two bits each of a table of at most 32 MB; beyond `FILTER_HASHES` hashes all windows), and a
-shuffled join, with each benchmark window dealt to `SALTS` partitions, so that a window of every
+shuffled join, with each benchmark window dealt to `SALTS` partitions or more, as documents are many, so that a window of every
 document is no hot key, finds the candidates; they are confirmed on their texts by the same code.
 
 Rows: one per (doc_id, item_id) reported, whatever rows repeat: of several texts under one id that
@@ -46,7 +46,9 @@ from pyspark.sql import functions as F
 from .common import cut, hashes, in_chunks, narrow, small_batches, split_words
 
 WINDOW, COVERAGE, CONSISTENT = 5, 0.8, 0.8
-BROADCAST_ROWS, FILTER_HASHES, SALTS = 500_000, 16_000_000, 16
+BROADCAST_ROWS, FILTER_HASHES, BROADCAST_PAIRS = 500_000, 16_000_000, 500_000
+#: Partitions that each benchmark window is dealt to at least, and documents a partition of one window has at about.
+SALTS, SALT_ROWS = 16, 2_000_000
 #: Units of measure.
 UNITS = set("mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr hrs hours minutes seconds days weeks months years usd eur gbp dollars euros cents percent pct meters metres kilometers kilometres miles feet inches grams kilograms pounds liters litres gallons degrees celsius fahrenheit mph kmh watts volts".split())
 _EDGE = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])) + "«»„“”‘’…–—¿¡"
@@ -288,13 +290,18 @@ def docs_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     distinct, table = mine.select("h").distinct(), None
     if distinct.count() <= FILTER_HASHES:
         table = spark.sparkContext.broadcast(bit_table(distinct.toArrow().column("h").to_numpy().view(np.uint64)))
+    # more partitions for more documents, but no more copies of windows than a quarter of these
+    n_docs, n_windows = docs.count(), max(1, mine.count())
+    salts = max(SALTS, min(n_docs // SALT_ROWS, n_docs // (4 * n_windows)))
     size = mine.groupBy("row", "form").agg(F.count("*").alias("n"))
     keyed = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")  # one id may have several texts
-    seen = keyed.mapInArrow(_hashed(widths, table), "doc_id bigint, tk bigint, h bigint").withColumn("salt", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(SALTS)))
-    dealt = mine.select("row", "form", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    seen = keyed.mapInArrow(_hashed(widths, table), "doc_id bigint, tk bigint, h bigint").withColumn("salt", F.pmod(F.xxhash64("doc_id", "tk"), F.lit(salts)))
+    dealt = mine.select("row", "form", "h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
     hit = seen.join(dealt, ["h", "salt"]).groupBy("doc_id", "tk", "row", "form").agg(F.count_distinct("h").alias("k"))
     full = hit.join(size, ["row", "form"]).filter(F.col("k") >= COVERAGE * F.col("n")).select("doc_id", "tk", "row").distinct()
-    # Few pairs are left: their texts come together for the slots.
+    # Few pairs are left: their texts come together for the slots; where they are few indeed, no other text moves.
+    full = cut(full)
+    full = F.broadcast(full) if full.count() <= BROADCAST_PAIRS else full
     pair = full.join(keyed.withColumnRenamed("text", "text_d"), ["doc_id", "tk"]).join(items.withColumnRenamed("text", "text_i"), "row").select("doc_id", "item_id", "text_i", "text_d")
 
     def verify(batches):

@@ -11,10 +11,11 @@ that one look-up in a hash table settles most bytes, and others go on from the e
 context in the shorter order's table. A text's code length is the sum over all of its bytes; the
 shortest code wins, ties go to the first language by name.
 
-Fit: training rows with a language, at most about `SAMPLE` of them, chosen by hash, counted in one
-map and one aggregation; the driver gets a row per language and distinct five bytes. The merged trees
-have at most `NODES` nodes an order, the most frequent ones, so they are broadcast at any size (about
-20 MB with 4 languages, 4 more bytes a node with each). Scoring is one map, no shuffle.
+Fit: training rows with a language, at most about `SAMPLE` of them with about `CHARS` characters, chosen
+by hash, counted in one map and one aggregation; the driver gets a row per language and distinct five
+bytes of these, some hundred thousand, and no node of their trees is left out but contexts met once. So
+the trees are broadcast at any size of the corpus (about 30 MB with 4 languages, 4 more bytes a node
+with each). Scoring is one map, no shuffle.
 
 `und` with score 0 for null texts, texts without a letter, and if nothing could be learned.
 Otherwise score is the winner's posterior at `TEMPER` bits weight a byte. Repeated rows are alike.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, held_out, in_chunks, narrow, small_batches
 
-SAMPLE, NODES, TEMPER = 6000, 400_000, 0.5
+SAMPLE, CHARS, TEMPER = 6000, 16_000_000, 0.5
 ORDER, GROUP = 4, 1 << 18
 _U = np.uint64
 #: What stands before a text.
@@ -101,27 +102,19 @@ class Table:
 class Model:
     """The merged, frozen context trees of languages, of (language, code of five bytes, n) counts."""
 
-    def __init__(self, lang: np.ndarray, code: np.ndarray, n: np.ndarray, nodes: int = NODES) -> None:
+    def __init__(self, lang: np.ndarray, code: np.ndarray, n: np.ndarray) -> None:
         self.langs = sorted(set(lang.tolist()))
         which = np.searchsorted(np.array(self.langs), lang)
         self.nodes, self.escapes = [], []
         for k in range(ORDER + 1):
             mask = _U((1 << 8 * (k + 1)) - 1)
             keys, at = np.unique(code & mask, return_inverse=True)
-            count = np.zeros((len(keys), len(self.langs)))
+            count = np.zeros((len(keys), len(self.langs)), np.float32)
             np.add.at(count, (at, which), n)
             total = np.add.reduceat(count.sum(1), begin := np.flatnonzero(np.diff(keys >> _U(8), prepend=~_U(0)))) if k else np.array([np.inf])
             if k >= ORDER - 1:  # contexts met but once go
                 keep = np.repeat(total >= 2, np.diff(np.append(begin, len(keys))))
                 keys, count = keys[keep], count[keep]
-            if len(keys) > nodes:  # whole contexts go, the rarest first
-                context = keys >> _U(8)
-                by = np.unique(context, return_inverse=True)[1]
-                weight, size = np.bincount(by, count.sum(1)), np.bincount(by)
-                order = np.argsort(-weight, kind="stable")
-                chosen = np.zeros(len(weight), bool)
-                chosen[order[np.cumsum(size[order]) <= nodes]] = True
-                keys, count = keys[chosen[by]], count[chosen[by]]
             if not len(keys):
                 break
             begin = np.flatnonzero(np.diff(keys >> _U(8), prepend=~_U(0))) if k else np.zeros(1, np.int64)
@@ -204,7 +197,9 @@ def identify_language(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("doc_id is not null and text <> '' and lang is not null").filter(~held_out(3, 1))
-    picked = bounded_sample(known, "doc_id", sample, 4)
+    seen = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    rows_, chars = seen.n, seen.chars or 0
+    picked = bounded_sample(known, "doc_id", min(sample, int(rows_ * CHARS / chars)) if chars > CHARS else sample, 4, rows_)
     rows = picked.select("lang", F.col("text").cast("binary")).mapInArrow(_count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     plain = narrow(docs)
     if not rows.num_rows:

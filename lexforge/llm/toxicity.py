@@ -7,7 +7,8 @@ rarer terms are not learned, and the lexicon has at most 250 times as many words
 has distinct ones on average. Terms under 5 letters match exactly only. The automata of all strings
 within one edit of a term (two from 9 letters on; a letter too many, too few, another, or two swapped,
 the first letter too) are intersected with the trie of the lexicon and made deterministic step by
-step. So misspelled terms are caught, after undoing look-alike digits and stretched letters. Each
+step. So misspelled terms are caught, after undoing look-alikes, stretched letters of any length,
+letters spelled one by one and a possessive. Each
 distinct word is looked up once a task, in a bounded memo.
 
 A hit counts by its context: the window of `CONTEXT` words around it holds quotation marks around
@@ -41,6 +42,7 @@ LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 QUOTES = "\"'“”„«»‘’"
 _EDGE = re.compile(r"^[^\w@$!]+|[^\w]+$")
 _STRETCH = re.compile(r"(.)\1{2,}")
+_POSSESSIVE, _SPELLED, _START = re.compile(r"['’]s$"), re.compile(r"\w(?:[-._*]\w){2,}"), re.compile(r"^[^\w@$!]+")
 N_FEATURES = 7
 
 
@@ -48,6 +50,19 @@ def plain(word: str) -> str:
     return _EDGE.sub("", word).lower()
 
 
+def undisguised(raw: str, w: str) -> str:
+    """The word, plain as w, without what hides it: letters spelled one by one, a possessive, look-alikes
+    (also at its end) and stretches, whatever its length."""
+    if raw[-1:] in ("@", "$"):
+        w = _START.sub("", raw).lower()
+    elif w.isalpha() and not _STRETCH.search(w):
+        return w
+    w = _POSSESSIVE.sub("", w)
+    if _SPELLED.fullmatch(w):
+        w = w[::2]
+    return _STRETCH.sub(r"\1", w if w.isalpha() else w.translate(LOOKALIKE))
+
+
 def limit(term: str) -> int:
     """Edits allowed from a term: short ones have many lawful neighbours and must match exactly."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
@@ -150,10 +165,9 @@ class Lookup(dict):
         out, w = 0, plain(raw)
         if w in self.lexicon:
             out = 2
-        elif 4 <= len(w) <= 42:
-            if not w.isalpha() or _STRETCH.search(w):
-                w = _STRETCH.sub(r"\1", w.translate(LOOKALIKE))
-            out = int(self.automaton.accepts(w))
+        else:
+            w = undisguised(raw, w)
+            out = int(w in self.lexicon or len(w) >= 4 and self.automaton.accepts(w))
         if len(raw) < 100:
             self[raw] = out
         return out

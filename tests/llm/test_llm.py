@@ -296,11 +296,20 @@ def test_code_lengths_equal_a_plain_coder():
     assert np.allclose(m.lengths([long])[0], m.bits(language_id.grams(np.frombuffer(language_id.START + long, np.uint8))).sum(0, dtype=float), rtol=1e-6)
 
 
-def test_language_nodes_are_bounded():
-    r = np.random.default_rng(5)
-    code = np.unique(r.integers(0, 1 << 40, 5000).astype(np.uint64))
-    m = language_id.Model(np.array(["x"] * len(code)), code, np.full(len(code), 3), nodes=300)
-    assert all(len(t.rows) <= 300 for t in m.nodes) and np.isfinite(m.bits(code)).all()
+def test_language_sample_is_bounded_in_characters(spark, monkeypatch):
+    """A smaller sample still tells languages apart; no node of its trees is left out."""
+    monkeypatch.setattr(language_id, "CHARS", 40_000)
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r for r in language_id.identify_language(d).collect()}
+    right = [got[r.doc_id].lang_pred == r.lang for r in d.collect() if r.lang and got[r.doc_id].held_out and got[r.doc_id].lang_pred != "und"]
+    assert len(right) > 30 and np.mean(right) > 0.95
+
+
+def test_disguised_terms(spark):
+    look = toxicity.Lookup({"stupid": 1.0, "ass": 1.0, "vermin": 1.0})
+    hit = ["stu" + "u" * 50 + "pid", "s-t-u-p-i-d", "S.T.U.P.I.D", "stupid's", "st*pid", "a$$", "stup1d!!", "stuppid", "vermin’s", "STUPID,"]
+    assert [w for w in hit if not look[w]] == []
+    assert [w for w in ["student", "a-b-c", "its", "as", "studio's", "x" * 200, "e.g.", "u.s.a", "$$$"] if look[w]] == []
 
 
 def test_language_undetermined(spark):
