@@ -1,13 +1,15 @@
-"""The stored inverted index: built once, read by term.
-
-Layout under one folder: `postings` (term, chunk_id, document_id, tf, len and the columns that
-searches filter by), partitioned by a hash bucket of the term and sorted by term within files, so that
-a query reads its terms' buckets, and in them the row groups of its terms; `terms` (term, df) likewise;
-`lengths`, a row per chunk. A bucket is dealt over several files by chunk, so that a term of every
-chunk makes no hot task.
-
-Tokens are cut on the JVM; a batch's term counts are made on arrays, so the build shuffles a row per
-(chunk, distinct term) and no text.
+"""The stored inverted index: built once, read by term, best postings first.
+
+Layout under one folder: `postings` (term, chunk_id, document_id, tf, len, part and the columns that
+searches filter by), partitioned by a hash bucket of the term and, within files, sorted by term and
+falling impact. A posting's impact is `part`, its share of a BM25 score without the term's weight; impacts
+are cut into levels, and a term's postings of a level are a block. `heads` has each block's number of
+postings and its largest impact; `forward` a row per chunk with its terms, sorted by chunk; `terms` (term, df).
+So a search reads the blocks that can still reach the best k, and the rows of its candidates.
+
+Files are ranges of (bucket, term, level, chunk), as many as the rows ask for, so a term of every chunk
+is dealt over many. Tokens are cut on the JVM; a batch's term counts are made on arrays, so the build
+shuffles a row per (chunk, distinct term) and no text.
 """
 
 from __future__ import annotations
@@ -27,24 +29,23 @@ from ..functions.stem import stem
 from ..functions.text import STOPWORDS, TOKEN, tokens
 
 K1, B = 1.5, 0.75
-BUCKETS, FILES = 32, 2
+#: Buckets at least and at most, postings a bucket and a file have at about, levels of an impact of one.
+BUCKETS, MOST_BUCKETS, BUCKET_ROWS, FILE_ROWS, LEVELS = 32, 4096, 50_000_000, 4_000_000, 64
 #: Columns by which searches filter; they stand in each posting, where they take next to no room.
 FILTERS = "kind string, source string, lang string, valid_from date, valid_to date"
 
 
 def _counts(batches):
-    """(chunk's columns, len, term, tf) for each distinct term; and one row of the empty term."""
+    """(chunk's columns, len, terms, tfs): a chunk's distinct terms with their counts."""
     for batch in batches:
         words = batch.column(batch.num_columns - 1)
         sizes = words.value_lengths().to_numpy()
         code = words.flatten().dictionary_encode()
-        key = np.repeat(np.arange(len(sizes)), sizes) * max(len(code.dictionary), 1) + code.indices.to_numpy()
-        pairs, tf = np.unique(key, return_counts=True)
-        row = np.concatenate([pairs // max(len(code.dictionary), 1), np.arange(len(sizes))]).astype(np.int64)
-        terms = pa.concat_arrays([code.dictionary.take(pa.array(pairs % max(len(code.dictionary), 1))).cast(pa.string()), pa.array([""] * len(sizes), pa.string())])
-        take = pa.array(row)
-        cols = [c.take(take) for c in batch.columns[:-1]]
-        yield pa.record_batch([*cols, pa.array(sizes[row].astype(np.int64)), terms, pa.array(np.concatenate([tf, np.zeros(len(sizes))]).astype(np.int64))], names=[*batch.schema.names[:-1], "len", "term", "tf"])
+        width = max(len(code.dictionary), 1)
+        pairs, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + code.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(pairs // width, minlength=len(sizes)))).astype(np.int32))
+        terms = code.dictionary.take(pa.array(pairs % width)).cast(pa.string())
+        yield pa.record_batch([*batch.columns[:-1], pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int64)))], names=[*batch.schema.names[:-1], "len", "terms", "tfs"])
 
 
 def plain(body: Column) -> Column:
@@ -57,20 +58,34 @@ def french(body: Column) -> Column:
     return stem(F.filter(tokens(body), lambda w: ~w.isin(STOPWORDS)))
 
 
-def build(chunks: DataFrame, path: str, buckets: int = BUCKETS, files: int = FILES, analyzer: Callable[[Column], Column] = plain) -> None:
+def part(tf: Column, length: Column, avg_len: float) -> Column:
+    """A posting's impact: its share of a score but for the term's weight; 2.5 at most."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
+
+
+def build(chunks: DataFrame, path: str, analyzer: Callable[[Column], Column] = plain) -> None:
     """Writes the index of chunks (chunk_id, document_id, body and the columns of FILTERS)."""
     spark = chunks.sparkSession
     names = ["chunk_id", "document_id", *(c.split()[0] for c in FILTERS.split(", "))]
     words = analyzer(F.coalesce("body", F.lit("")))
-    schema = ", ".join([f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}", f"document_id {chunks.schema['document_id'].dataType.simpleString()}", FILTERS, "len bigint, term string, tf bigint"])
+    schema = ", ".join([f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}", f"document_id {chunks.schema['document_id'].dataType.simpleString()}", FILTERS, "len bigint, terms array<string>, tfs array<bigint>"])
     rows = chunks.select(*names, words.alias("words")).mapInArrow(_counts, schema)
-    bucket = F.when(F.col("term") == "", -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(buckets))).cast("int")
-    rows = rows.withColumn("bucket", bucket).withColumn("file", F.pmod(F.xxhash64("chunk_id"), F.lit(files)))
-    rows.repartition("bucket", "file").drop("file").sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    posts = spark.read.parquet(f"{path}/postings")
-    df = posts.filter("bucket >= 0").groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/forward")
+    forward = spark.read.parquet(f"{path}/forward")
+    s = forward.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), F.sum(F.size("terms")).alias("postings")).first()
+    total, avg_len = s.postings or 0, s.avg_len or 1.0
+    buckets = min(MOST_BUCKETS, max(BUCKETS, total // BUCKET_ROWS))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_ROWS))
+    posts = forward.select(*names, "len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(*names, "len", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
+    impact = part(F.col("tf"), F.col("len"), avg_len)
+    posts = posts.select("*", impact.alias("part"), F.floor(impact * LEVELS).cast("int").alias("level"), F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
+    order = ["bucket", "term", F.desc("level"), "chunk_id"]
+    posts.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{path}/postings")
+    heads = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("top"))
+    heads.repartition("bucket").sortWithinPartitions("term", F.desc("level")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/heads")
+    df = spark.read.parquet(f"{path}/heads").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     df.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    posts.filter("bucket = -1").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/stats")
+    spark.createDataFrame([(s.n, avg_len, buckets)], "n long, avg_len double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
 def bucket_of(term: str, buckets: int) -> int:
@@ -82,47 +97,138 @@ def bucket_of(term: str, buckets: int) -> int:
 @dataclass
 class Index:
     postings: DataFrame
+    heads: DataFrame
+    forward: DataFrame
     terms: DataFrame
     n: int
     avg_len: float
     buckets: int
-    known: dict[str, int] = field(default_factory=dict)
+    known: dict[str, list[tuple[int, int, float]]] = field(default_factory=dict)
 
     @property
     def chunks(self) -> DataFrame:
         """chunk_id, document_id and the filter columns, a row per chunk."""
-        return self.postings.filter("bucket = -1").drop("term", "tf", "bucket")
+        return self.forward.drop("terms", "tfs")
 
     def of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
         """Rows of these terms: their buckets' partitions, and the terms pushed to the scan."""
         return rows.filter(F.col("bucket").isin(sorted({bucket_of(t, self.buckets) for t in terms})) & F.col("term").isin(terms))
 
-    def frequencies(self, terms: list[str]) -> dict[str, int]:
-        """Document frequencies of a query's terms, remembered: the index doesn't change."""
+    def blocks(self, terms: list[str]) -> dict[str, list[tuple[int, int, float]]]:
+        """(level, postings, largest impact) of the blocks of a query's terms, best first, remembered: the
+        index doesn't change. A term has 160 of them at most."""
         new = [t for t in terms if t not in self.known]
         if new:
-            self.known |= dict.fromkeys(new, 0) | {r.term: r.df for r in self.of(self.terms, new).collect()}
+            self.known |= {t: [] for t in new}
+            for r in self.of(self.heads, new).collect():
+                self.known[r.term].append((r.level, r.n, r.top))
+            for t in new:
+                self.known[t].sort(reverse=True)
         return {t: self.known[t] for t in terms if self.known[t]}
 
+    def weights(self, terms: list[str]) -> dict[str, float]:
+        """idf = ln(1 + (N - df + 0.5) / (df + 0.5)) of a query's terms that stand in the index."""
+        df = {t: sum(n for _, n, _ in bs) for t, bs in self.blocks(terms).items()}
+        return {t: math.log(1 + (self.n - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+
+    def weighted(self, idf: dict[str, float], term: str = "term") -> Column:
+        out = F.lit(0.0)
+        for t, x in idf.items():
+            out = F.when(F.col(term) == t, x).otherwise(out)
+        return out
+
     def scores(self, terms: list[str], keep: Column | None = None) -> DataFrame:
         """chunk_id, document_id and filter columns, score (rounded to 6 places) of every chunk that
-        holds a term and passes the filter. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Of the
-        collection only the document frequencies of the query's terms come to the driver."""
-        df = self.frequencies(terms)
+        holds a term and passes the filter. Of the collection only the blocks' counts of the query's
+        terms come to the driver."""
         posts = self.of(self.postings, terms)
         if keep is not None:
             posts = posts.filter(keep)
-        idf = F.lit(0.0)
-        for t, n in df.items():
-            idf = F.when(F.col("term") == t, math.log(1 + (self.n - n + 0.5) / (n + 0.5))).otherwise(idf)
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / self.avg_len))
-        first = [F.first(c).alias(c) for c in posts.columns if c not in ("term", "tf", "len", "bucket", "chunk_id", "document_id")]
-        return posts.groupBy("chunk_id", "document_id").agg(*first, F.round(F.sum(part), 6).alias("score"))
+        first = [F.first(c).alias(c) for c in posts.columns if c not in ("term", "tf", "len", "part", "level", "bucket", "chunk_id", "document_id")]
+        return posts.groupBy("chunk_id", "document_id").agg(*first, F.round(F.sum(self.weighted(self.weights(terms)) * F.col("part")), 6).alias("score"))
+
+    # --- best first
+
+    def cuts(self, terms: list[str], least: float) -> dict[str, tuple[int, float]]:
+        """By term, the level from which on blocks are read, and the largest impact of those below it, such that a
+        chunk with none of the read postings stays under `least`. The blocks with most postings for
+        the score that leaving them out may cost go first."""
+        idf, blocks = self.weights(terms), {t: list(reversed(b)) for t, b in self.blocks(terms).items()}
+        left, at = least, dict.fromkeys(blocks, 0)
+        while True:
+            gain = []
+            for t, b in blocks.items():
+                cut = b[at[t] - 1][2] if at[t] else 0.0
+                rows = 0
+                for k in range(at[t], len(b)):
+                    rows += b[k][1]
+                    cost = idf[t] * (b[k][2] - cut)
+                    if cost < left:
+                        gain.append((rows / (cost + 1e-12), t, k, cost))
+            if not gain:
+                return {t: (b[at[t]][0] if at[t] < len(b) else b[-1][0] + 1, b[at[t] - 1][2] if at[t] else 0.0) for t, b in blocks.items()}
+            _, t, k, cost = max(gain)
+            left, at[t] = left - cost, k + 1
+
+    def read(self, terms: list[str], levels: dict[str, int]) -> DataFrame:
+        """Postings of the terms from a level on each."""
+        some = F.lit(False)
+        for t, level in levels.items():
+            some = some | ((F.col("term") == t) & (F.col("level") >= level))
+        return self.of(self.postings, terms).filter(some)
+
+    def best(self, terms: list[str], limit: int, keep: Column | None = None, told: dict | None = None) -> DataFrame:
+        """chunk_id, document_id, filter columns and score of the best `limit` chunks (ties: smaller
+        chunk_id), equal to those of `scores`. First the best blocks give a bound that the result
+        reaches; then blocks that can't reach it aren't read, and candidates get their whole scores
+        from their own rows. told: gets the postings there are, and those read."""
+        order = [F.desc("score"), F.asc("chunk_id")]
+        idf, blocks = self.weights(terms), self.blocks(terms)
+        total = sum(n for b in blocks.values() for _, n, _ in b)
+        told = {} if told is None else told
+        told |= {"postings": total, "read": total}
+        if total <= SMALL:
+            return self.scores(terms, keep).orderBy(*order).limit(limit)
+        kept = (lambda df: df if keep is None else df.filter(keep))
+        worth = self.weighted(idf) * F.col("part")
+        first, seen = {}, 0
+        for t, b in blocks.items():
+            rows = 0
+            for level, n, _ in b:
+                rows += n
+                first[t] = level
+                if rows >= FIRST * limit:
+                    break
+            seen += rows
+        low = kept(self.read(terms, first)).groupBy("chunk_id").agg(F.sum(worth).alias("low")).orderBy(F.desc("low")).limit(limit).collect()
+        if len(low) < limit:
+            return self.scores(terms, keep).orderBy(*order).limit(limit)
+        least = low[-1].low - 1e-6
+        cut = self.cuts(terms, least)
+        told["read"] = seen + sum(n for t, b in blocks.items() for level, n, _ in b if level >= cut[t][0])
+        rest = sum(idf[t] * x for t, (_, x) in cut.items())
+        # what the terms not met in the read blocks can add at most
+        more = self.weighted({t: idf[t] * x for t, (_, x) in cut.items()})
+        found = kept(self.read(terms, {t: level for t, (level, _) in cut.items()})).groupBy("chunk_id").agg(F.sum(worth - more).alias("gain"))
+        ids = found.filter(F.col("gain") + rest >= least).select("chunk_id")
+        few = [r.chunk_id for r in ids.limit(CANDIDATES + 1).collect()]
+        rows = self.forward.filter(F.col("chunk_id").isin(few)) if len(few) <= CANDIDATES else self.forward.join(ids, "chunk_id", "left_semi")
+        tf = F.map_from_arrays("terms", "tfs")
+        score = F.lit(0.0)
+        for t, x in idf.items():
+            n = F.try_element_at(F.col("_tf"), F.lit(t))
+            score = score + F.when(n.isNotNull(), x * part(n, F.col("len"), self.avg_len)).otherwise(0.0)
+        return rows.withColumn("_tf", tf).withColumn("score", F.round(score, 6)).drop("_tf", "terms", "tfs", "len").orderBy(*order).limit(limit)
+
+
+#: Up to so many postings all are read at once; postings a term gives to the first bound, for each row asked for;
+#: candidates that are looked up by their ids.
+SMALL, FIRST, CANDIDATES = 20_000, 20, 2_000
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     s = spark.read.parquet(f"{path}/stats").first()
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), s.n, s.avg_len or 1.0, s.buckets)
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "heads", "forward", "terms")), s.n, s.avg_len, s.buckets)
 
 
 _open: dict[str, Index] = {}

@@ -62,7 +62,7 @@ def bm25_scores(chunks: DataFrame, terms: list[str], folded: bool = False) -> Da
 def lexical_topk(index: Index, terms: list[str], limit: int, keep: Column | None = None) -> DataFrame:
     """chunk_id, document_id, score, rank: filters first, then the best `limit`."""
     order = [F.desc("score"), F.asc("chunk_id")]
-    return numbered(index.scores(terms, keep).orderBy(*order).limit(limit), order).select("chunk_id", "document_id", "score", "rank")
+    return numbered(index.best(terms, limit, keep), order).select("chunk_id", "document_id", "score", "rank")
 
 
 def distance(embedding: Column, query: list[float]) -> Column:
@@ -227,41 +227,5 @@ def ivfflat_probes(lists: int, asked: int | None = None) -> int:
     return asked or min(4096, max(1, int(lists**0.5)))
 
 
-def ivf_build(vectors: DataFrame, expected: DataFrame, path: str, lists: int, fingerprint: str, seed: int = 1) -> dict:
-    """Stores vectors (document_id, embedding, ...) by the cell of their nearest centroid, a folder a
-    cell, and a manifest of the centroids and stamps. expected(document_id): what must have a vector;
-    a missing one fails the build. The manifest comes last, so a broken build has none."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    spark = vectors.sparkSession
-    missing = expected.select("document_id").join(vectors, "document_id", "left_anti").count()
-    if missing:
-        raise ValueError(f"dense_rebuild: {missing} embeddings are missing")
-    v = vectors.withColumn("features", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))))
-    model = KMeans(k=lists, seed=seed, maxIter=10).fit(v)
-    model.transform(v).withColumnRenamed("prediction", "cell").drop("features").repartition("cell").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-    centres = [list(map(float, c)) for c in model.clusterCenters()]
-    manifest = {"lists": len(centres), "probes": ivfflat_probes(len(centres)), "fingerprint": fingerprint, "dimension": len(centres[0]), "rows": vectors.count(), "centroids": centres}
-    storage.swap_text(spark, f"{path}/MANIFEST.json", json.dumps(manifest))
-    return manifest
-
-
-def ivf_manifest(spark, path: str) -> dict | None:
-    text = storage.read_text(spark, f"{path}/MANIFEST.json")
-    return None if text is None else json.loads(text)
-
-
-def ivf_search(spark, path: str, query: list[float], limit: int, probes: int | None = None, fingerprint: str | None = None) -> DataFrame:
-    """dense_topk over the stored cells of the nearest centroids: other cells' folders aren't read.
-    probes: of the request, else of the manifest."""
-    m = ivf_manifest(spark, path)
-    if m is None or (fingerprint is not None and m["fingerprint"] != fingerprint):
-        raise ValueError("fingerprint_mismatch: no cells of this fingerprint are stored")
-    by = sorted(range(m["lists"]), key=lambda k: sum((a - b) ** 2 for a, b in zip(m["centroids"][k], query, strict=True)))
-    cells = spark.read.parquet(f"{path}/cells").filter(F.col("cell").isin(by[: probes or m["probes"]]))
-    return dense_topk(cells, query, limit, pool=1)
-
-
 def with_snippet(df: DataFrame) -> DataFrame:
     return df.withColumn("snippet", snippet(F.col("body")))

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import cells
 from . import retrieval as R
 from .index import Index
 
@@ -33,6 +34,8 @@ class Request:
     corpora: tuple[str, ...] = ()
     #: Weight of the authority of sources within bands of like score; 0: off. Its page is the first only.
     authority: float = 0.0
+    #: Cells that the dense arm reads, where it has cells; None: as many as their manifest says.
+    probes: int | None = None
 
 
 @dataclass(frozen=True)
@@ -67,13 +70,17 @@ def validate(r: Request, fingerprint: str | None) -> None:
 WINDOW = 8
 
 
-def scored(r: Request, documents: DataFrame, index: Index, vectors: DataFrame, keep: Column, limit: int) -> DataFrame:
+def scored(r: Request, documents: DataFrame, index: Index, vectors: DataFrame | str, keep: Column, limit: int) -> DataFrame:
     """chunk_id, document_id, score of both arms' best `limit` that pass the filter, fused; the best
     chunk of each document if grouped so."""
     arms = []
     if r.mode != "dense":
         arms.append(R.lexical_topk(index, R.query_terms(r.query), limit, keep).select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(0)))
     if r.mode != "bm25":
+        if isinstance(vectors, str):  # stored cells, with the filters' columns and the first chunk beside each vector
+            d = cells.search(documents.sparkSession, vectors, r.embedding, limit, r.probes, r.fingerprint, keep, R.POOL_FACTOR)
+            arms.append(d.select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(1)))
+    if r.mode != "bm25" and not isinstance(vectors, str):
         d = R.dense_topk(vectors, r.embedding, limit, documents, keep)
         first = index.chunks.join(F.broadcast(d.select("document_id")), "document_id", "left_semi").groupBy("document_id").agg(F.min("chunk_id").alias("chunk_id"))
         arms.append(d.join(F.broadcast(first), "document_id").select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(1)))  # at most `limit` rows each
@@ -84,9 +91,9 @@ def scored(r: Request, documents: DataFrame, index: Index, vectors: DataFrame, k
     return R.best_per(out, "document_id", [F.desc("score"), F.asc("chunk_id")]) if r.group_by == "document" else out
 
 
-def search(r: Request, documents: DataFrame, index: Index, vectors: DataFrame, fingerprint: str | None = None) -> Response:
+def search(r: Request, documents: DataFrame, index: Index, vectors: DataFrame | str, fingerprint: str | None = None) -> Response:
     """Routes citation-shaped hybrid queries to the exact resolver, others to retrieval; one row more
-    than a page tells whether a next page exists."""
+    than a page tells whether a next page exists. vectors: a table, scanned whole, or the path of stored cells."""
     validate(r, fingerprint)
     intent = citation_intent(r.query, r.as_of) if r.mode == "hybrid" and not r.corpora else None
     audit = {"route": "fanout" if r.corpora else r.mode, "fallback": False}

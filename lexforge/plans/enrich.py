@@ -11,7 +11,7 @@ from ..operators import enrich as E
 from ..operators import search as S
 from ..sources import archives as A
 from .registry import query
-from .retrieval import BM25_SQL, DAY, DENSE_SQL, query_vector, vectors
+from .retrieval import BM25_SQL, DAY, DENSE_SQL, cells, query_vector, vectors
 
 #: Decisions over documents: two case numbers each, some of an invalid form.
 DEC_SQL = """decs AS (SELECT doc_id AS document_id, 'ECLI:FR:CCASS:2021:C' || (100000 + doc_id) AS ecli, CASE WHEN doc_id % 4 = 0 THEN ['bad'] ELSE ['x', (10 + doc_id % 80) || '-' || (10 + doc_id % 90) || '.' || (100 + doc_id % 900)] END AS nums FROM documents)"""
@@ -194,14 +194,23 @@ SEARCH_DENSE = DENSE_SQL.replace("LIMIT 200", "LIMIT 80").replace("QUALIFY rank
   s AS (SELECT chunk_id, document_id, round(coalesce(1.0::DOUBLE / (60 + min(l)), 0) + coalesce(0.3::DOUBLE / (60 + min(d)), 0), 8) AS score FROM arms GROUP BY chunk_id, document_id)
   SELECT row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS position, chunk_id, document_id, score FROM s ORDER BY score DESC, chunk_id LIMIT 10""", DOCS_SQL, CHUNKS_SQL, SEARCH_TERMS, SEARCH_DENSE)
 def search(spark, sf_dir):
-    """The whole request, paged twice; the second page starts at the first one's cursor."""
-    d, c, v = docs(spark, sf_dir), indexed(spark, sf_dir), vectors(spark, sf_dir)
-    ask = lambda cursor: S.search(S.Request("the mit license", DAY, top_k=5, cursor=cursor, embedding=query_vector(spark, sf_dir), fingerprint="fp"), d, c, v, "fp")
+    """The whole request, paged twice; the second page starts at the first one's cursor. The dense arm reads
+    stored cells: all of them here, so that the result is the exact one."""
+    d, c, (path, m) = docs(spark, sf_dir), indexed(spark, sf_dir), cells(spark, sf_dir)
+    ask = lambda cursor: S.search(S.Request("the mit license", DAY, top_k=5, cursor=cursor, embedding=query_vector(spark, sf_dir), fingerprint="fp", probes=m["lists"]), d, c, path, "fp")
     first = ask(None)
     rows = first.rows + (ask(first.next_cursor).rows if first.next_cursor else [])
     return spark.createDataFrame([(i, r["chunk_id"], r["document_id"], r["score"]) for i, r in enumerate(rows)], "position long, chunk_id string, document_id long, score double")
 
 
+@query()
+def search_probed(spark, sf_dir):
+    """The request as users send it: the manifest's probes; tests hold its page against the exact one."""
+    d, c, (path, _) = docs(spark, sf_dir), indexed(spark, sf_dir), cells(spark, sf_dir)
+    out = S.search(S.Request("the mit license", DAY, top_k=10, embedding=query_vector(spark, sf_dir), fingerprint="fp"), d, c, path, "fp")
+    return spark.createDataFrame([(i, r["chunk_id"], r["document_id"], r["score"]) for i, r in enumerate(out.rows)], "position long, chunk_id string, document_id long, score double")
+
+
 @query(f"SELECT document_id, 'structured' AS route FROM docs WHERE lower(trim(title)) = 'article 34' AND (valid_from IS NULL OR valid_from <= DATE '{DAY}') AND (valid_to IS NULL OR valid_to > DATE '{DAY}') ORDER BY valid_from DESC NULLS LAST, document_id LIMIT 10", DOCS_SQL)
 def search_citation(spark, sf_dir):
     d, c, v = docs(spark, sf_dir), indexed(spark, sf_dir), vectors(spark, sf_dir)

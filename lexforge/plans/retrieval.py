@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import storage
 from ..adapters import CHUNKS_SQL, DOCS_SQL, chunks, docs, indexed, read, stored_chunks
+from ..operators import cells as C
 from ..operators import retrieval as R
 from .registry import query
 
@@ -177,28 +178,32 @@ def mode_overlap(spark, sf_dir):
 
 
 def cells(spark, sf_dir) -> tuple[str, dict]:
-    """The stored cells of the vectors, built where they aren't yet, and their manifest."""
+    """The stored cells of the vectors, built where they aren't yet, and their manifest. Beside a vector stand
+    the columns that searches filter by and its document's first chunk."""
     path = storage.place(spark, "cells", sf_dir)
-    m = R.ivf_manifest(spark, path)
+    m = C.manifest(spark, path)
     if m is None:
         v = vectors(spark, sf_dir)
-        m = R.ivf_build(v, v.select("document_id"), path, max(4, R.ivfflat_lists(v.count())), "fp")
+        first = chunks(spark, sf_dir).groupBy("document_id").agg(F.min("chunk_id").alias("chunk_id"))
+        beside = docs(spark, sf_dir).select("document_id", "kind", "source", "lang", "valid_from", "valid_to").join(first, "document_id")
+        m = C.build(v.join(beside, "document_id", "left"), v.select("document_id"), path, max(16, R.ivfflat_lists(v.count())), "fp")
     return path, m
 
 
 @query()
 def ivfflat_search(spark, sf_dir):
-    """Three quarters of the cells; tests hold its recall against the exact order."""
-    path, m = cells(spark, sf_dir)
-    return R.ivf_search(spark, path, query_vector(spark, sf_dir), 20, max(1, -(-3 * m["lists"] // 4)), "fp")
+    """The manifest's probes; tests hold its recall against the exact order."""
+    path, _ = cells(spark, sf_dir)
+    return C.search(spark, path, query_vector(spark, sf_dir), 20, None, "fp").select("document_id", "distance", "rank")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS \"rows\", CAST(64 AS BIGINT) AS dimension, 'fp' AS fingerprint, CAST(0 AS BIGINT) AS missing FROM embeddings")
+@query("SELECT CAST(count(*) AS BIGINT) AS \"rows\", CAST(64 AS BIGINT) AS dimension, 'fp' AS fingerprint, CAST(0 AS BIGINT) AS missing, true AS recalled FROM embeddings")
 def ivfflat_build(spark, sf_dir):
-    """The manifest of the stored cells, and whether any vector is missing in them."""
+    """The manifest of the stored cells, whether any vector is missing in them, and whether the probes' recall is 0.9 or more."""
     path, m = cells(spark, sf_dir)
     lost = vectors(spark, sf_dir).join(spark.read.parquet(f"{path}/cells"), "document_id", "left_anti").agg(F.count("*").alias("missing"))
-    return lost.select(F.lit(m["rows"]).cast("bigint").alias("rows"), F.lit(m["dimension"]).cast("bigint").alias("dimension"), F.lit(m["fingerprint"]).alias("fingerprint"), "missing")
+    recalled = max((r for p, r in m["curve"] if p <= m["probes"]), default=0.0) >= 0.9
+    return lost.select(F.lit(m["rows"]).cast("bigint").alias("rows"), F.lit(m["dimension"]).cast("bigint").alias("dimension"), F.lit(m["fingerprint"]).alias("fingerprint"), "missing", F.lit(recalled).alias("recalled"))
 
 
 @query(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexforge import adapters
 from lexforge.functions import text as T
 from lexforge.functions.stem import stem_word
-from lexforge.operators import citations, delta, derive, evaluation, index, merkle, relations, retrieval, search, segments
+from lexforge.operators import cells, citations, delta, derive, evaluation, index, merkle, relations, retrieval, search, segments
 from lexforge.plans import evaluate
 from lexforge.plans import retrieval as retrieval_plans
 from lexforge.sources import archives, xml
@@ -120,35 +120,61 @@ def test_strict_citations_and_readiness_fail(spark):
 
 
 def test_stored_index_and_cells(spark, tmp_path):
-    """Scores of the stored index are those of the formula; three quarters of the cells find nearly all neighbours."""
+    """Scores of the stored index are those of the formula."""
     sf = "/root/testdata/sf0.001"
     terms, chunks = ["the", "mit", "de"], adapters.chunks(spark, sf)
     d = adapters.docs(spark, sf).select("document_id", "kind", "source", "lang", "valid_from", "valid_to")
     want = {r.chunk_id: r.score for r in retrieval.bm25_scores(chunks, terms).collect()}
     for buckets in (1, 8):
         path = f"{tmp_path}/index{buckets}"
-        index.build(chunks.join(d, "document_id"), path, buckets, 3)
+        index.build(chunks.join(d, "document_id"), path)
         i = index.open_index(spark, path)
         got = {r.chunk_id: r.score for r in i.scores(terms).collect()}
         assert got == want and i.scores(["nosuchword"]).count() == 0
     plan = spark._sc._jvm.PythonSQLUtils.explainString(i.scores(terms)._jdf.queryExecution(), "formatted")
     assert any("PartitionFilters: [" in x and "bucket" in x for x in plan.split("\n")) and any("PushedFilters: [" in x and "In(term" in x for x in plan.split("\n"))
-    index.build(chunks.join(d, "document_id"), f"{tmp_path}/french", 2, 1, index.french)
+    index.build(chunks.join(d, "document_id"), f"{tmp_path}/french", index.french)
     assert one(spark, index.french(F.lit("Les Maisons des contrées"))) == ["maison", "contre"] and index.open_index(spark, f"{tmp_path}/french").n == chunks.count()
     words = ["", "a", "é", "license", "x" * 40]
     assert one(spark, F.array(*(F.pmod(F.xxhash64(F.lit(w)), F.lit(7)) for w in words))) == [index.bucket_of(w, 7) for w in words]
-    v = retrieval_plans.vectors(spark, sf)
-    m = retrieval.ivf_build(v, v.select("document_id"), f"file://{tmp_path}/cells", 8, "fp")
+
+
+def test_cells_find_what_the_scan_finds(spark, tmp_path):
+    """All cells give the exact order; the manifest's probes, well under half of the cells, nine tenths of it."""
+    v = retrieval_plans.vectors(spark, "/root/testdata/sf0.01")
+    path = f"file://{tmp_path}/cells"
+    m = cells.build(v, v.select("document_id"), path, 64, "fp")
+    assert m["probes"] < m["lists"] / 2 and m["curve"][-1] == [m["lists"], 1.0] or m["curve"][-1] == (m["lists"], 1.0)
+    stored = spark.read.parquet(f"{tmp_path}/cells/cells")
+    assert stored.select("document_id").distinct().count() == v.count() and stored.groupBy("document_id").count().filter("count > 2").count() == 0
     hits = []
-    for q in v.limit(12).collect():
-        exact = {r.document_id for r in retrieval.dense_topk(v, list(q.embedding), 10, pool=1).collect()}
-        assert exact == {r.document_id for r in retrieval.ivf_search(spark, f"file://{tmp_path}/cells", list(q.embedding), 10, m["lists"]).collect()}
-        hits.append(len(exact & {r.document_id for r in retrieval.ivf_search(spark, f"file://{tmp_path}/cells", list(q.embedding), 10, 6, "fp").collect()}) / 10)
+    for q in v.filter("document_id % 50 = 1").collect():
+        top = [r.document_id for r in retrieval.dense_topk(v, list(q.embedding), 10, pool=1).orderBy("rank").collect()]
+        assert top == [r.document_id for r in cells.search(spark, path, list(q.embedding), 10, m["lists"]).orderBy("rank").collect()]
+        hits.append(len(set(top) & {r.document_id for r in cells.search(spark, path, list(q.embedding), 10, None, "fp").collect()}) / 10)
     assert sum(hits) / len(hits) >= 0.9
+    rare = cells.search(spark, path, list(q.embedding), 5, 1, "fp", F.col("document_id") % 97 == 0, 0).collect()
+    assert len(rare) == 5 and all(r.document_id % 97 == 0 for r in rare)
     with pytest.raises(ValueError, match="missing"):
-        retrieval.ivf_build(v, spark.range(10**6, 10**6 + 1).toDF("document_id"), f"file://{tmp_path}/other", 2, "fp")
+        cells.build(v, spark.range(10**6, 10**6 + 1).toDF("document_id"), f"file://{tmp_path}/other", 2, "fp")
     with pytest.raises(ValueError, match="fingerprint_mismatch"):
-        retrieval.ivf_search(spark, f"file://{tmp_path}/cells", [0.0] * 64, 5, fingerprint="other")
+        cells.search(spark, path, [0.0] * 64, 5, fingerprint="other")
+
+
+def test_best_blocks_give_the_full_order(spark, tmp_path, monkeypatch):
+    """Whatever the query and the filter, the pruned search is the full one, and mostly reads a part of it."""
+    monkeypatch.setattr(index, "SMALL", 0)
+    monkeypatch.setattr(index, "FIRST", 4)
+    i = adapters.indexed(spark, "/root/testdata/sf0.01")
+    keep, read = F.col("kind") == "decision", []
+    order = [F.desc("score"), F.asc("chunk_id")]
+    for terms in (["the", "mit", "license"], ["license"], ["the", "and", "of", "de", "la"], ["mit", "nosuchword"], ["der", "die", "das", "und"], ["license", "apache"]):
+        for k, where in ((3, None), (10, keep), (10, F.col("document_id") % 50 == 3)):
+            told = {}
+            got = [(r.chunk_id, r.score) for r in i.best(terms, k, where, told).orderBy(*order).collect()]
+            assert got == [(r.chunk_id, r.score) for r in i.scores(terms, where).orderBy(*order).limit(k).collect()], (terms, k)
+            read.append(told["read"] / max(told["postings"], 1))
+    assert min(read) < 0.5 and sum(x < 1 for x in read) >= len(read) / 3, read
 
 
 def test_canonical_json():
