@@ -4,10 +4,11 @@ the work is in the DataFrames of `retrieval`."""
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from . import cells
@@ -91,6 +92,37 @@ def scored(r: Request, documents: DataFrame, index: Index, vectors: DataFrame |
     return R.best_per(out, "document_id", [F.desc("score"), F.asc("chunk_id")]) if r.group_by == "document" else out
 
 
+def best_fragments(ask: Callable[[int], DataFrame], limit: int, score: str) -> list[Row]:
+    """The best row of each of the first `limit` documents of a ranking: more rows are asked for until so many
+    documents are met or there are no more rows."""
+    n = 4 * limit
+    while True:
+        rows = ask(n).collect()
+        first: dict = {}
+        for x in sorted(rows, key=lambda x: ((x[score] if score == "distance" else -x[score]), x["chunk_id"])):
+            first.setdefault(x["document_id"], x)
+        if len(first) >= limit or len(rows) < n:
+            return list(first.values())[:limit]
+        n *= 4
+
+
+def zone_search(units: Index, vectors: str, terms: list[str], embedding: list[float], zone: str, limit: int, keep: Column | None = None, probes: int | None = None, fingerprint: str | None = None) -> DataFrame:
+    """document_id, unit_id, score: decisions by one zone's units, a decision by its best one. Both arms filter
+    by zone (the index's kind) and `keep` (source, dates) before they rank: postings and vectors have
+    these columns beside them, and cells are probed until enough pass. The unit shown is the
+    lexical arm's, else the dense one's."""
+    spark = units.forward.sparkSession
+    inside = F.col("kind") == zone
+    inside = inside if keep is None else inside & keep
+    lex = best_fragments(lambda n: units.best(terms, n, inside), limit, "score")
+    near = lambda n: cells.search(spark, vectors, embedding, n, probes, fingerprint, inside, 0).withColumnsRenamed({"document_id": "chunk_id", "decision_id": "document_id"})
+    den = best_fragments(near, limit, "distance")
+    rows = [(x["document_id"], x["chunk_id"], arm, k) for arm, found in ((0, lex), (1, den)) for k, x in enumerate(found, 1)]
+    ranks = spark.createDataFrame(rows, "document_id long, unit_id string, arm int, rank long")
+    part = lambda arm, w: F.coalesce(R.rrf(F.min(F.when(F.col("arm") == arm, F.col("rank"))), w), F.lit(0.0))
+    return ranks.groupBy("document_id").agg(F.min_by("unit_id", "arm").alias("unit_id"), F.round(part(0, R.LEXICAL_WEIGHT) + part(1, R.DENSE_WEIGHT), 8).alias("score"))
+
+
 def search(r: Request, documents: DataFrame, index: Index, vectors: DataFrame | str, fingerprint: str | None = None) -> Response:
     """Routes citation-shaped hybrid queries to the exact resolver, others to retrieval; one row more
     than a page tells whether a next page exists. vectors: a table, scanned whole, or the path of stored cells."""

@@ -9,6 +9,8 @@ from .. import storage
 from ..adapters import CHUNKS_SQL, DOCS_SQL, chunks, docs, indexed, read, stored_chunks
 from ..operators import cells as C
 from ..operators import retrieval as R
+from ..operators import search as S
+from ..operators.index import stored
 from .registry import query
 
 TERMS = ["the", "mit", "license", "de", "er"]
@@ -136,23 +138,51 @@ def fanout_rrf(spark, sf_dir):
     return R.fanout_rrf(per, "corpus", 20)
 
 
-@query(
-    """WITH z AS (SELECT document_id, score FROM bm WHERE document_id IN (SELECT document_id FROM docs WHERE kind = 'decision')),
-    best AS (SELECT document_id, max(score) AS score FROM z GROUP BY document_id),
-    zl AS (SELECT document_id, row_number() OVER (ORDER BY score DESC, document_id) AS rank FROM best QUALIFY rank <= 30),
-    zd AS (SELECT document_id, row_number() OVER (ORDER BY distance, document_id) AS rank FROM dist WHERE document_id IN (SELECT document_id FROM docs WHERE kind = 'decision') QUALIFY rank <= 30)
-    SELECT document_id, round(coalesce(1.0::DOUBLE / (60 + min(l)), 0) + coalesce(0.3::DOUBLE / (60 + min(d)), 0), 8) AS score
-    FROM (SELECT document_id, rank AS l, NULL AS d FROM zl UNION ALL SELECT document_id, NULL, rank FROM zd) GROUP BY document_id""",
-    *LEX, *DEN,
-)
+ZONES = ["motivations", "moyens", "dispositif"]
+#: Units of decisions: their lines that aren't blank go round the zones; each has a vector.
+UNITS_SQL = """lines AS (SELECT document_id, source, valid_from, valid_to, x, row_number() OVER (PARTITION BY document_id ORDER BY i) - 1 AS k FROM
+    (SELECT *, unnest(range(0, len(string_split(body, chr(10))))) AS i, unnest(string_split(body, chr(10))) AS x FROM docs WHERE kind = 'decision') WHERE trim(x) <> ''),
+  units AS (SELECT document_id || ':' || ['motivations', 'moyens', 'dispositif'][1 + k % 3] || ':' || (k // 3) AS unit_id, document_id, ['motivations', 'moyens', 'dispositif'][1 + k % 3] AS zone, k // 3 AS fragment_index, source, valid_from, valid_to, x AS body,
+    (document_id * 3 + k) % (SELECT max(vec_id) + 1 FROM embeddings) AS vec_id FROM lines)"""
+ZONE_SQL = """ut AS (SELECT *, regexp_extract_all(lower(body), '[\\p{L}\\p{N}]+') AS w FROM units),
+  ust AS (SELECT count(*) AS total, avg(len(w)) AS avg_len FROM ut),
+  utf AS (SELECT unit_id, len(w) AS n, unnest(list_filter(w, lambda x: x IN ('the', 'mit', 'license', 'de', 'er'))) AS term FROM ut),
+  uc AS (SELECT unit_id, n, term, count(*) AS tf FROM utf GROUP BY ALL), ud AS (SELECT term, count(*) AS df FROM uc GROUP BY term),
+  ub AS (SELECT unit_id, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * n / avg_len))), 6) AS score FROM uc JOIN ud USING (term), ust GROUP BY unit_id),
+  inside AS (SELECT * FROM units WHERE zone = 'motivations' AND source <> 'src1' AND valid_from <= DATE '2008-06-01' AND (valid_to IS NULL OR valid_to > DATE '2008-06-01')),
+  ul AS (SELECT document_id, unit_id, row_number() OVER (ORDER BY score DESC, unit_id) AS rank FROM (SELECT document_id, unit_id, score FROM inside JOIN ub USING (unit_id) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY score DESC, unit_id) = 1) QUALIFY rank <= 30),
+  ue AS (SELECT document_id, unit_id, distance, row_number() OVER (ORDER BY distance, unit_id) AS rank FROM (SELECT i.document_id, i.unit_id, d.distance FROM inside i JOIN dist d ON d.document_id = i.vec_id QUALIFY row_number() OVER (PARTITION BY i.document_id ORDER BY distance, unit_id) = 1) QUALIFY rank <= 30)"""
+
+
+def units(spark, sf_dir):
+    """The zone units of decisions, as chunks whose kind is the zone, with their vectors' ids."""
+    d = docs(spark, sf_dir).filter("kind = 'decision'")
+    k = F.col("k")
+    zone = F.element_at(F.array(*map(F.lit, ZONES)), (k % 3 + 1).cast("int"))
+    n = read(spark, sf_dir, "embeddings").agg(F.max("vec_id") + 1).first()[0]
+    lines = d.select("document_id", "source", "lang", "valid_from", "valid_to", F.posexplode(F.filter(F.split("body", "\n"), lambda x: F.trim(x) != "")).alias("k", "body"))
+    fragment = F.floor(k / 3).cast("bigint")
+    return lines.select(F.concat_ws(":", F.col("document_id").cast("string"), zone, fragment.cast("string")).alias("chunk_id"), "document_id", zone.alias("kind"), "source", "lang", "valid_from", "valid_to", "body", ((F.col("document_id") * 3 + k) % n).alias("vec_id"))
+
+
+def zone_store(spark, sf_dir):
+    """The units' index and cells, built where they aren't yet."""
+    u = units(spark, sf_dir)
+    path = storage.place(spark, "unit-cells", sf_dir)
+    if C.manifest(spark, path) is None:
+        e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+        v = u.join(e, "vec_id").select(F.col("chunk_id").alias("document_id"), F.col("document_id").alias("decision_id"), "embedding", "kind", "source", "lang", "valid_from", "valid_to")
+        C.build(v, v.select("document_id"), path, max(16, R.ivfflat_lists(v.count())), "fp")
+    return stored(u.drop("vec_id"), "units", sf_dir), path
+
+
+@query("SELECT document_id, coalesce(min(CASE WHEN arm = 0 THEN unit_id END), min(unit_id)) AS unit_id, round(coalesce(1.0::DOUBLE / (60 + min(CASE WHEN arm = 0 THEN rank END)), 0) + coalesce(0.3::DOUBLE / (60 + min(CASE WHEN arm = 1 THEN rank END)), 0), 8) AS score FROM (SELECT document_id, unit_id, rank, 0 AS arm FROM ul UNION ALL SELECT document_id, unit_id, rank, 1 FROM ue) GROUP BY document_id", *LEX, *DEN, UNITS_SQL, ZONE_SQL)
 def zone_search(spark, sf_dir):
-    """Filters inside both arms, before their limits; one fragment per decision."""
-    keep = docs(spark, sf_dir).filter("kind = 'decision'").select("document_id")
-    best = indexed(spark, sf_dir).scores(TERMS, F.col("kind") == "decision").groupBy("document_id").agg(F.max("score").alias("score"))
-    order = [F.desc("score"), F.asc("document_id")]
-    lex = R.numbered(best.orderBy(*order).limit(30), order)
-    den = R.dense_topk(vectors(spark, sf_dir).join(keep, "document_id", "left_semi"), query_vector(spark, sf_dir), 30, pool=1)
-    return R.rrf_fuse(lex, den).select("document_id", "score")
+    """Decisions by their motivations, of all courts but one and in force on a day; all cells are probed here, so that
+    the result is the exact one."""
+    index, path = zone_store(spark, sf_dir)
+    keep = (F.col("source") != "src1") & R.asof(DAY)
+    return S.zone_search(index, path, TERMS, query_vector(spark, sf_dir), "motivations", 30, keep, C.manifest(spark, path)["lists"], "fp")
 
 
 @query(
