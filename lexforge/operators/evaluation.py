@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,17 +80,26 @@ def xorshift64(seed: int):
 BOOTSTRAP_SEED = 0x6A75726973656172
 
 
+def plain_sum(values) -> float:
+    """One addition after another: what draws on other machines give, to the bit."""
+    out = 0.0
+    for v in values:
+        out += v
+    return out
+
+
 def bootstrap_ci(a: list[float | None], b: list[float | None], rounds: int = 1000) -> tuple[float, float, float]:
     """The difference of the means of two systems over the same questions, and its 2.5 and 97.5
     percentiles, by index, when questions are drawn with replacement. A question without a value
-    doesn't count in a mean; a draw without any is left out."""
+    doesn't count in a mean; a draw without any is left out. In one process; `bootstrap_rounds` is the
+    same as a Spark job."""
     n, nan = len(a), math.nan
 
     def delta(draw) -> float:
         means = []
         for values in (a, b):
             have = [v for i in draw if (v := values[i]) is not None]
-            means.append(sum(have) / len(have) if have else nan)
+            means.append(plain_sum(have) / len(have) if have else nan)
         return means[0] - means[1]
 
     rng = xorshift64(BOOTSTRAP_SEED ^ n)
@@ -101,6 +111,83 @@ def bootstrap_ci(a: list[float | None], b: list[float | None], rounds: int = 100
     return delta(range(n)), at(0.025), at(0.975)
 
 
+def step_matrix() -> list[int]:
+    """xorshift64's step as a matrix over bits: the image of each single bit."""
+    out = []
+    for k in range(64):
+        x = 1 << k
+        x ^= x << 13 & MASK
+        x ^= x >> 7
+        x ^= x << 17 & MASK
+        out.append(x)
+    return out
+
+
+def apply_bits(matrix: list[int], x: int) -> int:
+    out = 0
+    for k in range(64):
+        if x >> k & 1:
+            out ^= matrix[k]
+    return out
+
+
+def jumped(x: int, steps: int) -> int:
+    """The generator's state after so many steps, by the powers of its matrix: 64 squarings at most."""
+    matrix = step_matrix()
+    while steps:
+        if steps & 1:
+            x = apply_bits(matrix, x)
+        steps >>= 1
+        if steps:
+            matrix = [apply_bits(matrix, row) for row in matrix]
+    return x
+
+
+#: Rounds that a task draws side by side.
+ROUNDS_A_TASK = 16
+
+
+def bootstrap_rounds(items: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(point, low, high) as bootstrap_ci gives them, to the bit. items: key (unique, gives the order), a, b.
+    The rounds are independent tasks: each jumps to its place in the one stream of draws. No question is left
+    out at any number; the values, 16 bytes a question, are sent to each machine once."""
+    spark = items.sparkSession
+    table = items.select("key", F.col("a").cast("double"), F.col("b").cast("double")).toArrow().sort_by("key")
+    n = table.num_rows
+    if not n:
+        return spark.createDataFrame([(math.nan,) * 3], "point double, low double, high double")
+    shared = spark.sparkContext.broadcast([table.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "ab"])
+    seed = BOOTSTRAP_SEED ^ n | 1
+
+    def draw(batches):
+        for batch in batches:
+            first = batch.column(0).to_pylist()
+            state = np.array([jumped(seed, r * n) for r in first], np.uint64)
+            sums = np.zeros((2, len(first)))
+            have = np.zeros((2, len(first)))
+            for _ in range(n):
+                state ^= state << np.uint64(13)
+                state ^= state >> np.uint64(7)
+                state ^= state << np.uint64(17)
+                at = (state % np.uint64(n)).astype(np.int64)
+                for k, values in enumerate(shared.value):
+                    x = values[at]
+                    there = ~np.isnan(x)
+                    sums[k] = np.where(there, sums[k] + x, sums[k])
+                    have[k] += there
+            with np.errstate(invalid="ignore"):
+                means = sums / np.where(have > 0, have, np.nan)
+            yield pa.record_batch([batch.column(0), pa.array(means[0] - means[1])], ["round", "delta"])
+
+    drawn = spark.range(0, rounds, 1, max(1, -(-rounds // ROUNDS_A_TASK))).toDF("round").mapInArrow(draw, "round long, delta double").filter(~F.isnan("delta"))
+    found = drawn.agg(F.sort_array(F.collect_list("delta")).alias("d"), F.count(F.lit(1)).alias("m"))  # a number a round
+    at = lambda share: F.get("d", F.least(F.col("m") - 1, F.floor(F.lit(share) * F.col("m"))).cast("int"))
+    mean = lambda values: plain_sum(v for v in values.tolist() if v == v) / m if (m := int((values == values).sum())) else math.nan
+    point = mean(shared.value[0]) - mean(shared.value[1])
+    nan = F.lit(math.nan)
+    return found.select(F.lit(point).alias("point"), F.coalesce(at(0.025), nan).alias("low"), F.coalesce(at(0.975), nan).alias("high"))
+
+
 def blind_pool(ids: list, question: str) -> list:
     """Fisher-Yates with a seed of the question."""
     out, rng = list(ids), xorshift64(fnv1a(question))

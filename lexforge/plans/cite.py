@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import DOCS_SQL, docs, read
+from ..functions import tables
 from ..functions import text as T
 from ..operators import citations as C
 from ..operators.retrieval import asof
@@ -156,3 +157,14 @@ def validity_annotation(spark, sf_dir):
 def resolve_citation(spark, sf_dir):
     """Exact title, as of a date."""
     return docs(spark, sf_dir).filter((F.lower(F.trim("title")) == "article 33") & asof(DAY)).orderBy(F.desc_nulls_last("valid_from"), "document_id").limit(10).select("document_id", "valid_from")
+
+
+_FOUND = " UNION ALL ".join(f"SELECT cite_id, '{kind}' AS kind, unnest(regexp_extract_all(cite, '{pattern}')) AS matched FROM cits" for kind, pattern in tables.IDENTIFIERS.items() if kind != "pourvoi")
+
+
+@query(f"SELECT cite_id, kind, upper(matched) AS value, count(*) AS n FROM ({_FOUND}) GROUP BY ALL", CITES_SQL)
+def sql_extract_citations(spark, sf_dir):
+    """Identifiers in citations by the table function, some kinds only, counted in SQL."""
+    tables.register(spark)
+    citations(spark, sf_dir).createOrReplaceTempView("lexforge_citations")
+    return spark.sql("SELECT c.cite_id, x.kind, x.value, count(*) AS n FROM lexforge_citations c, LATERAL extract_citations(c.cite, 'article_id,text_id,section_id,decision_id,ecli', true) x WHERE upper(x.matched) = x.value GROUP BY ALL")

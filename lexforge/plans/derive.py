@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..adapters import CHUNKS_SQL, DOCS_SQL, chunks, docs, read
+from ..functions import tables
 from ..functions import text as T
 from ..operators import derive as D
 from ..operators.index import french
@@ -199,3 +200,11 @@ def embed(spark, sf_dir):
     e = D.embed(chunks(spark, sf_dir), provider, 8, 1000)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
     return e.select("chunk_id", F.size("embedding").cast("bigint").alias("dimension"), (F.array_position("embedding", 1.0) - 1).alias("at"), norm.alias("norm"))
+
+
+@query("SELECT document_id, chunk_index, md5(body) AS body, length(body) AS chars FROM packed", RECURSIVE, LINES_SQL, pack_sql(CUT_SQL, "6000"))
+def sql_chunk_text(spark, sf_dir):
+    """The chunker as a table function in SQL, joined to each decision."""
+    tables.register(spark)
+    docs(spark, sf_dir).filter("kind = 'decision'").createOrReplaceTempView("lexforge_decisions")
+    return spark.sql("SELECT d.document_id, CAST(c.chunk_index AS BIGINT) AS chunk_index, md5(c.body) AS body, c.chars FROM lexforge_decisions d, LATERAL chunk_text(d.body, 6000, 'chunk_index,chars,body') c")

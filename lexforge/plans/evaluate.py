@@ -27,10 +27,6 @@ best AS (SELECT query_id, sum(CASE WHEN r <= 10 THEN (pow(2.0, label) - 1) / log
 m AS (SELECT query_id, round(coalesce(hits, 0) / 10, 6) AS precision, CASE WHEN relevant > 0 THEN round(coalesce(hits, 0) / relevant, 6) END AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr,
   coalesce(CASE WHEN idcg > 0 THEN round(coalesce(dcg, 0) / idcg, 6) END, 0) AS ndcg FROM (SELECT DISTINCT query_id FROM ranking) LEFT JOIN got USING (query_id) LEFT JOIN best USING (query_id))"""
 
-#: Values that bootstrap_ci resamples on the driver; a thousand rounds over as many take about a minute.
-BOOTSTRAP_ITEMS = 200_000
-
-
 def ranking(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     ids = [r.item_id for r in read(spark, sf_dir, "benchmark").select("item_id").orderBy("item_id").collect()]  # the questions
     b = F.broadcast(spark.createDataFrame(list(enumerate(ids)), "m long, query_id long"))
@@ -93,12 +89,8 @@ def authority_pairs(spark, sf_dir):
 
 @query()
 def bootstrap_ci(spark, sf_dir):
-    """nDCG against MRR over the same questions. Two doubles per benchmark item come to the driver; the
-    generator is bit-exact there. Beyond BOOTSTRAP_ITEMS items it fails rather than leave some out."""
-    rows = measured(spark, sf_dir).orderBy("query_id").select("ndcg", "mrr").limit(BOOTSTRAP_ITEMS + 1).collect()
-    if len(rows) > BOOTSTRAP_ITEMS:
-        raise ValueError(f"bootstrap_ci: more than {BOOTSTRAP_ITEMS} benchmark items")
-    return spark.createDataFrame([E.bootstrap_ci([r.ndcg for r in rows], [r.mrr for r in rows])], "point double, low double, high double")
+    """nDCG against MRR over the same questions, the rounds as tasks that jump to their draws."""
+    return E.bootstrap_rounds(measured(spark, sf_dir).select(F.col("query_id").alias("key"), F.col("ndcg").alias("a"), F.col("mrr").alias("b")))
 
 
 @query("""SELECT * FROM (VALUES ('settled', true, ''), ('no run', false, 'latest_completed_ingest_run'), ('a failed member', false, 'failed_members'), ('embedding missing', false, 'embedding_coverage'), ('nothing projected', false, 'projection_coverage'), ('below a floor', false, 'recall@10'),

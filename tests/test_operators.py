@@ -9,10 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge import adapters
+from lexforge.functions import tables
 from lexforge.functions import text as T
 from lexforge.functions.stem import stem_word
 from lexforge.operators import cells, citations, delta, derive, evaluation, index, merkle, relations, retrieval, search, segments
-from lexforge.plans import evaluate
 from lexforge.plans import retrieval as retrieval_plans
 from lexforge.sources import archives, xml
 from lexforge.streaming import changelog
@@ -333,15 +333,30 @@ def test_polling_tells_faults_apart():
     assert slept == [10.0, 1.0, 2.0, 3.0, 10.0, 10.0]
 
 
-def test_bootstrap_covers_every_item(spark, monkeypatch):
-    values = [0.0] * 1000 + [1.0] * 500
-    rows = spark.createDataFrame([(i, v, 0.25) for i, v in enumerate(values)], "query_id long, ndcg double, mrr double")
-    monkeypatch.setattr(evaluate, "measured", lambda s, d: rows)
-    got = evaluate.bootstrap_ci(spark, "").first()
-    assert tuple(got) == evaluation.bootstrap_ci(values, [0.25] * 1500) and got.low > 0
-    monkeypatch.setattr(evaluate, "BOOTSTRAP_ITEMS", 1499)
-    with pytest.raises(ValueError):
-        evaluate.bootstrap_ci(spark, "")
+def test_bootstrap_rounds_jump_to_their_draws(spark):
+    rng, draws = evaluation.xorshift64(99), []
+    for _ in range(1000):
+        draws.append(next(rng))
+    assert [evaluation.jumped(99, k) for k in (1, 7, 64, 1000)] == [draws[k - 1] for k in (1, 7, 64, 1000)]
+    r = random.Random(4)
+    for n in (1, 7, 400):
+        a, b = ([r.choice([None, r.random(), 0.5]) for _ in range(n)] for _ in range(2))
+        rows = [(i, x, y) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+        r.shuffle(rows)
+        got = tuple(evaluation.bootstrap_rounds(spark.createDataFrame(rows, "key long, a double, b double"), 90).first())
+        assert str(got) == str(tuple(map(float, evaluation.bootstrap_ci(a, b, 90))))
+
+
+def test_table_functions(spark):
+    tables.register(spark)
+    sql = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert sql("SELECT t, c.* FROM VALUES ('ab\n\ncd\nefgh'), (null) v(t), LATERAL chunk_text(t, 5) c") == [("ab\n\ncd\nefgh", 0, "ab\ncd", 5), ("ab\n\ncd\nefgh", 1, "efgh", 4)]
+    assert sql("SELECT * FROM chunk_text('xyz', columns => 'chars')") == [(3,)]
+    assert sql("SELECT * FROM extract_citations('voir Legiarti000000000012, 12-34.567 et ecli:fr:x:1', 'ecli,article_id', true)") == [("ecli", "ECLI:FR:X:1", 0, "ecli:fr:x:1"), ("article_id", "LEGIARTI000000000012", 0, "Legiarti000000000012")]
+    for bad in ("chunk_text('x', 0)", "chunk_text('x', 5, 'nothing')", "extract_citations('x', 'nothing')"):
+        with pytest.raises(Exception, match="must be 1 or more|is none of"):
+            sql(f"SELECT * FROM {bad}")
+
 
 
 def test_authority_rerank_equals_a_plain_loop(spark):
