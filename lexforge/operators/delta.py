@@ -8,6 +8,7 @@ only. Planning and gates run on manifests of a few rows.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from enum import Enum
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import storage
 from .segments import Delta, Store, Table
 
 #: The order in which a package's relations are applied.
@@ -330,6 +332,50 @@ def baseline_preferred(feed: Feed, cursor: Cursor, chain: list[Entry]) -> bool:
     )
 
 
+#: What a chain of increments comes to, and how two chains that meet are put together.
+CHAIN = {"packages": "a + b", "size": "a + b", "unpacked": "a + b", "seconds": "a + b", "reissue": "a OR b", "client": "greatest(a, b)", "schema": "greatest(a, b)", "least_stamp": "least(a, b)", "most_stamp": "greatest(a, b)"}
+
+
+def chains(increments: DataFrame) -> DataFrame:
+    """corpus, at, end and CHAIN: for each position with one step of one from it, how far steps go on without a
+    gap, and what they come to. By pointer doubling: each round joins every chain with the one that begins where
+    it ends, so a chain of any length takes the logarithm of it in rounds, for all corpora and
+    positions at once, and no task holds a corpus. increments: corpus, from_sequence, to_sequence,
+    size, unpacked, seconds, reissue (it needs a baseline), client (the least version), schema, stamp."""
+    spark = increments.sparkSession
+    storage.scratch_dir(spark)
+    one = increments.groupBy("corpus", F.col("from_sequence").alias("at")).agg(F.count(F.lit(1)).alias("packages"), *(F.max(c).alias(c) for c in ("to_sequence", "size", "unpacked", "seconds", "reissue", "client", "schema")), F.min("stamp").alias("least_stamp"), F.max("stamp").alias("most_stamp"))
+    now = one.filter("packages = 1 AND to_sequence = at + 1").withColumnRenamed("to_sequence", "end").checkpoint()
+    while True:
+        ahead = now.select(F.col("corpus").alias("_corpus"), F.col("at").alias("_at"), *(F.col(c).alias(f"_{c}") for c in ("end", *CHAIN)))
+        joined = now.join(ahead, F.expr("corpus = _corpus AND end = _at"), "left")
+        then = lambda c, both: F.expr(f"CASE WHEN _at IS NULL THEN {c} ELSE {both} END").alias(c)
+        new = joined.select("corpus", "at", then("end", "_end"), *(then(c, re.sub(r"\b[ab]\b", lambda m, c=c: c if m[0] == "a" else f"_{c}", rule)) for c, rule in CHAIN.items()), F.col("_at").isNotNull().alias("_moved")).checkpoint()
+        moved = not new.filter("_moved").isEmpty()
+        now = new.drop("_moved")
+        if not moved:
+            return now
+
+
+def plan_catchups(increments: DataFrame, feeds: DataFrame, cursors: DataFrame, policy: Policy = Policy(), client: int = 1, schema: int = SCHEMA_VERSION) -> DataFrame:
+    """client_id, corpus, plan, packages, baseline_id, code for all cursors (client_id, corpus, sequence, null
+    without the corpus; stamp) at once, by the rules of plan_catchup. feeds: corpus, head, min_available,
+    baseline_id, baseline_kind, baseline_sequence, base_size, base_unpacked, load_seconds, base_client, base_schema."""
+    feed = F.broadcast(feeds)  # a row per corpus
+    j = cursors.join(feed, "corpus").join(chains(increments).withColumnsRenamed({"at": "sequence"}), ["corpus", "sequence"], "left")
+    load = f"CASE WHEN {client} < base_client THEN 'client_too_old' WHEN base_schema > {schema} THEN 'schema_ahead' END"
+    ahead = "baseline_kind = 'rebaseline' AND baseline_sequence > sequence"
+    over = lambda diff, whole, permille: f"CASE WHEN {whole} = 0 THEN {diff} > 0 ELSE 1000 * {diff} > {permille} * {whole} END"
+    preferred = f"reissue OR least_stamp <> stamp OR most_stamp <> stamp OR packages > {policy.max_packages} OR {over('size', 'base_size', policy.size_permille)} OR {over('unpacked', 'base_unpacked', policy.unpacked_permille)} OR seconds > least({policy.apply_seconds}, load_seconds)"
+    route = f"""CASE WHEN baseline_sequence > head THEN 'wrong' WHEN sequence IS NULL THEN 'load' WHEN sequence = head THEN 'up_to_date' WHEN sequence > head THEN 'wrong' WHEN sequence < min_available OR end IS NULL OR end <> head THEN 'reload'
+      WHEN client > {client} THEN 'old' WHEN schema > {schema} THEN 'newer' WHEN {preferred} THEN 'reload' ELSE 'incremental' END"""
+    code = f"""CASE route WHEN 'wrong' THEN 'wrong_generation' WHEN 'old' THEN 'client_too_old' WHEN 'load' THEN {load} WHEN 'reload' THEN CASE WHEN {ahead} THEN {load} ELSE 'baseline_required' END
+      WHEN 'newer' THEN CASE WHEN {ahead} AND ({load}) IS NULL THEN NULL ELSE 'schema_ahead' END END"""
+    out = j.withColumn("route", F.expr(route)).withColumn("code", F.expr(code))
+    plan = "CASE WHEN code IS NOT NULL THEN 'blocked' WHEN route IN ('up_to_date', 'incremental') THEN route ELSE 'fresh_baseline' END"
+    return out.select("client_id", "corpus", F.expr(plan).alias("plan"), "route", "packages", "baseline_id", "code").select("client_id", "corpus", "plan", F.expr("CASE WHEN plan = 'incremental' THEN packages ELSE 0 END").alias("packages"), F.expr("CASE WHEN plan = 'fresh_baseline' THEN baseline_id END").alias("baseline_id"), "code")
+
+
 @dataclass(frozen=True)
 class State:
     """What a corpus is at: its row in the control table, or rather its pointer file."""

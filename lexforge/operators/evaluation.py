@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -204,6 +204,16 @@ def sign_test(a: list[float], b: list[float]) -> tuple[int, int, float]:
     return wins, losses, min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n) if n else 1.0
 
 
+def sign_probability(wins: Column, losses: Column) -> Column:
+    """The two-sided exact binomial probability of so many wins and losses, as a column: its terms follow from
+    one another, in logarithms, so that no number of questions is too many."""
+    n, k = wins + losses, F.least(wins, losses)
+    first = F.struct((-n * F.log(F.lit(2.0))).alias("t"), F.exp(-n * F.log(F.lit(2.0))).alias("s"))
+    term = lambda a, i: a["t"] + F.log((n - i + 1) / i)
+    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("bigint"), k)).otherwise(F.array().cast("array<bigint>")), first, lambda a, i: F.struct(term(a, i).alias("t"), (a["s"] + F.exp(term(a, i))).alias("s")), lambda a: a["s"])
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
+
+
 def authority_pairs(candidates: DataFrame, band: float = 0.05) -> DataFrame:
     """Pairs of one query and order, of different tier, without a missing marker, within the band:
     query_id, high_id, low_id. Candidates are a page a query, so the self-join is small."""

@@ -102,10 +102,12 @@ def gates(spark, sf_dir):
     return spark.createDataFrame([(name, E.claim_allowed(c), ",".join(k for k, status, _ in c if status != "pass")) for name, c in rows], "scenario string, claim_allowed boolean, not_passed string")
 
 
-@query("SELECT * FROM (VALUES ('all won', 3, 0, 0.25::DOUBLE), ('even', 1, 1, 1.0::DOUBLE), ('ties only', 0, 0, 1.0::DOUBLE), ('eight of ten', 8, 2, 0.109375::DOUBLE)) t(scenario, wins, losses, p)")
+@query("""WITH w AS (SELECT count(*) FILTER (ndcg > mrr) AS wins, count(*) FILTER (ndcg < mrr) AS losses FROM m), c AS (SELECT *, wins + losses AS n, least(wins, losses) AS k FROM w)
+  SELECT wins, losses, round(CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(n + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(n - i + 1.0::DOUBLE) - n * ln(2.0::DOUBLE))) FROM (SELECT unnest(range(0, k + 1)) AS i))) END, 6) AS p FROM c""", RANK_SQL, METRIC_SQL)
 def sign_test(spark, sf_dir):
-    cases = [("all won", [1, 1, 1], [0, 0, 0]), ("even", [1, 0], [0, 1]), ("ties only", [1, 2], [1, 2]), ("eight of ten", [1] * 8 + [0] * 2, [0] * 8 + [1] * 2)]
-    return spark.createDataFrame([(name, *E.sign_test(a, b)) for name, a, b in cases], "scenario string, wins int, losses int, p double")
+    """nDCG against MRR over the same questions: how many each wins, and how likely that is by chance."""
+    w = measured(spark, sf_dir).agg(F.count_if(F.col("ndcg") > F.col("mrr")).alias("wins"), F.count_if(F.col("ndcg") < F.col("mrr")).alias("losses"))
+    return w.select("wins", "losses", F.round(E.sign_probability(F.col("wins"), F.col("losses")), 6).alias("p"))
 
 
 @query("SELECT * FROM (VALUES ('fnv1a', '', '14695981039346656037'), ('fnv1a', 'a', '12638187200555641996'), ('fnv1a', 'foobar', '9625390261332436968'), ('xorshift64', '1', '1082269761'), ('xorshift64', '1,1', '1152992998833853505')) t(name, given, value)")

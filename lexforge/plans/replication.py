@@ -12,7 +12,7 @@ from ..adapters import CHANGES_SQL, changes, read
 from ..operators import delta as D
 from ..operators import merkle
 from ..operators.segments import Delta, Store, Table
-from .registry import merkle_sql, query
+from .registry import ORACLES, merkle_sql, query
 
 
 @query("SELECT change_seq, scope, op FROM changes WHERE corpus = 'c1' AND change_seq > 100 AND change_seq <= 5000 ORDER BY change_seq", CHANGES_SQL)
@@ -195,31 +195,55 @@ def zone_cache_read(spark, sf_dir):
     return D.zone_cache_read(rows, now).select("document_id", "status", F.unix_timestamp("expires_at").alias("expires"), "expired")
 
 
-# --- feeds, gates, generations -----------------------------------------------------------------
-
-E = D.Entry
-FEED = D.Feed("core", 6, 2, D.Baseline("base-1", "baseline", 0, 100, 100, 100), tuple(E(f"p{n}", n - 1, n, 10, 10, 5) for n in range(3, 7)))
-REBASED = D.Feed("core", 6, 2, D.Baseline("base-4", "rebaseline", 4, 100, 100, 100), FEED.packages)
+#: The catalog with what its packages cost and ask for, what each corpus publishes, and clients' positions.
+FEEDS_SQL = """priced AS (SELECT c.*, 10 + p_size AS size, 2 * p_size AS unpacked, p_size % 5 AS seconds, p_size = 50 AS reissue, CASE WHEN p_size = 49 THEN 2 ELSE 1 END AS client, CASE WHEN p_size = 48 THEN 25 ELSE 24 END AS schema, CASE WHEN p_size = 47 THEN 'other' ELSE 'fp' END AS stamp FROM catalog c JOIN part ON package_id = 'p' || p_partkey),
+  media AS (SELECT * FROM priced WHERE package_kind <> 'incremental' QUALIFY row_number() OVER (PARTITION BY corpus ORDER BY to_sequence DESC) = 1),
+  kept AS (SELECT p.* FROM priced p JOIN media m ON m.corpus = p.corpus WHERE p.package_kind = 'incremental' AND p.to_sequence > m.to_sequence QUALIFY row_number() OVER (PARTITION BY p.corpus ORDER BY p.to_sequence DESC) <= 30),
+  feeds AS (SELECT m.corpus, coalesce(k.head, m.to_sequence) AS head, coalesce(k.low, m.to_sequence) AS min_available, m.package_id AS baseline_id, m.package_kind AS baseline_kind, m.to_sequence AS baseline_sequence, 20 * m.size AS base_size, 20 * m.unpacked AS base_unpacked, 40 AS load_seconds, m.client AS base_client, m.schema AS base_schema
+    FROM media m LEFT JOIN (SELECT corpus, max(to_sequence) AS head, min(from_sequence) AS low FROM kept GROUP BY corpus) k ON k.corpus = m.corpus),
+  cursors AS (SELECT c_custkey AS client_id, f.corpus, CASE WHEN c_custkey % 11 <> 0 THEN head + 1 - c_custkey % 37 END AS sequence, CASE WHEN c_custkey % 13 = 0 THEN 'older' ELSE 'fp' END AS stamp FROM customer JOIN feeds f ON f.corpus = 'c' || (c_custkey % 5))"""
+
+
+def feeds(spark, sf_dir):
+    """(increments, feeds, cursors) as in FEEDS_SQL."""
+    k, z = F.col("p_partkey"), F.col("p_size")
+    cost = read(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("package_id"), (10 + z).alias("size"), (2 * z).alias("unpacked"), (z % 5).alias("seconds"), (z == 50).alias("reissue"), F.when(z == 49, 2).otherwise(1).alias("client"), F.when(z == 48, 25).otherwise(24).alias("schema"), F.when(z == 47, "other").otherwise("fp").alias("stamp"))
+    priced = catalog(spark, sf_dir).join(cost, "package_id")
+    m = D.manifest_build(catalog(spark, sf_dir), 30).select("corpus", "head", "min_available", F.col("media_id").alias("package_id"))
+    media = priced.drop("corpus").join(F.broadcast(m), "package_id")  # a row per corpus
+    feed = media.select("corpus", "head", "min_available", F.col("package_id").alias("baseline_id"), F.col("package_kind").alias("baseline_kind"), F.col("to_sequence").alias("baseline_sequence"), (20 * F.col("size")).alias("base_size"), (20 * F.col("unpacked")).alias("base_unpacked"), F.lit(40).alias("load_seconds"), F.col("client").alias("base_client"), F.col("schema").alias("base_schema"))
+    c = F.col("c_custkey")
+    cursors = read(spark, sf_dir, "customer").select(c.alias("client_id"), F.concat(F.lit("c"), (c % 5).cast("string")).alias("corpus")).join(F.broadcast(feed.select("corpus", "head")), "corpus")
+    k = F.col("client_id")
+    cursors = cursors.select("client_id", "corpus", F.when(k % 11 != 0, F.col("head") + 1 - k % 37).alias("sequence"), F.when(k % 13 == 0, "older").otherwise("fp").alias("stamp"))
+    return priced.filter("package_kind = 'incremental'"), feed, cursors
+
+
+_LOAD = "CASE WHEN 1 < base_client THEN 'client_too_old' WHEN base_schema > 24 THEN 'schema_ahead' END"
+
+
+@query(f"""WITH chain AS (SELECT c.client_id, count(*) AS packages, count(DISTINCT p.from_sequence) AS met, sum(p.size) AS size, sum(p.unpacked) AS unpacked, sum(p.seconds) AS seconds, bool_or(p.reissue OR p.stamp <> c.stamp) AS other, max(p.client) AS client, max(p.schema) AS schema
+    FROM cursors c JOIN feeds f ON f.corpus = c.corpus JOIN priced p ON p.corpus = c.corpus AND p.package_kind = 'incremental' AND p.from_sequence >= c.sequence AND p.to_sequence <= f.head AND p.to_sequence = p.from_sequence + 1 GROUP BY c.client_id),
+  r AS (SELECT c.client_id, c.corpus, c.sequence, f.*, h.packages, CASE WHEN baseline_sequence > head THEN 'wrong' WHEN c.sequence IS NULL THEN 'load' WHEN c.sequence = head THEN 'up_to_date' WHEN c.sequence > head THEN 'wrong' WHEN c.sequence < min_available OR h.packages IS NULL OR h.packages <> head - c.sequence OR met <> h.packages THEN 'reload'
+      WHEN h.client > 1 THEN 'old' WHEN h.schema > 24 THEN 'newer' WHEN other OR h.packages > 25 OR CASE WHEN base_size = 0 THEN h.size > 0 ELSE 1000 * h.size > 800 * base_size END OR CASE WHEN base_unpacked = 0 THEN h.unpacked > 0 ELSE 1000 * h.unpacked > 800 * base_unpacked END OR h.seconds > least(3600, load_seconds) THEN 'reload' ELSE 'incremental' END AS route
+    FROM cursors c JOIN feeds f ON f.corpus = c.corpus LEFT JOIN chain h ON h.client_id = c.client_id),
+  d AS (SELECT *, CASE route WHEN 'wrong' THEN 'wrong_generation' WHEN 'old' THEN 'client_too_old' WHEN 'load' THEN {_LOAD} WHEN 'reload' THEN CASE WHEN baseline_kind = 'rebaseline' AND baseline_sequence > sequence THEN {_LOAD} ELSE 'baseline_required' END
+      WHEN 'newer' THEN CASE WHEN baseline_kind = 'rebaseline' AND baseline_sequence > sequence AND ({_LOAD}) IS NULL THEN NULL ELSE 'schema_ahead' END END AS code FROM r)
+  SELECT client_id, corpus, CASE WHEN code IS NOT NULL THEN 'blocked' WHEN route IN ('up_to_date', 'incremental') THEN route ELSE 'fresh_baseline' END AS plan, CASE WHEN code IS NULL AND route = 'incremental' THEN packages ELSE 0 END AS packages, CASE WHEN code IS NULL AND route NOT IN ('up_to_date', 'incremental') THEN baseline_id END AS baseline_id, code FROM d""", CATALOG_SQL, FEEDS_SQL)
+def plan_catchup(spark, sf_dir):
+    """The plan of every client of a published catalog, chains by pointer doubling."""
+    return D.plan_catchups(*feeds(spark, sf_dir), D.Policy(max_packages=25))
 
 
-@query("""SELECT * FROM (VALUES ('head', 'up_to_date', '', NULL), ('chain', 'incremental', 'p4,p5,p6', NULL), ('fresh', 'fresh_baseline', 'base-1', NULL), ('ahead', 'blocked', '', 'wrong_generation'), ('too old', 'blocked', '', 'baseline_required'),
-  ('too old, rebased', 'fresh_baseline', 'base-4', NULL), ('gap', 'blocked', '', 'baseline_required'), ('other fingerprint', 'fresh_baseline', 'base-4', NULL), ('too large', 'fresh_baseline', 'base-4', NULL), ('routed', 'fresh_baseline', 'base-4', NULL), ('new client needed', 'blocked', '', 'client_too_old'),
-  ('schema ahead', 'blocked', '', 'schema_ahead'), ('rebased behind', 'blocked', '', 'baseline_required'), ('malformed', 'blocked', '', 'wrong_generation')) t(position, plan, packages, code)""")
-def plan_catchup(spark, sf_dir):
-    """The plan of each kind of position against a feed."""
-    from dataclasses import replace
+@query(f"SELECT code, count(*) AS n FROM ({ORACLES['plan_catchup']}) WHERE code IS NOT NULL GROUP BY code")
+def reject_codes(spark, sf_dir):
+    """The codes with which clients are stopped; all of the closed vocabulary."""
+    known = [c.value for c in D.Reject]
+    told = F.when(F.col("code").isin(known), F.col("code")).otherwise(F.raise_error(F.concat(F.lit("no such code: "), F.col("code"))).cast("string"))
+    return plan_catchup(spark, sf_dir).filter("code IS NOT NULL").groupBy(told.alias("code")).agg(F.count("*").alias("n"))
 
-    at, all_ = D.Cursor, FEED.packages
-    newer = tuple(replace(e, minimum_client=(9, 0, 0)) for e in all_)
-    ahead = tuple(replace(e, stamps=D.Stamps(D.SCHEMA_VERSION + 1)) for e in all_)
-    cases = [
-        ("head", FEED, at(6)), ("chain", FEED, at(3)), ("fresh", FEED, None), ("ahead", FEED, at(7)), ("too old", FEED, at(1)), ("too old, rebased", REBASED, at(1)), ("gap", replace(FEED, packages=all_[:2] + all_[3:]), at(3)),
-        ("other fingerprint", REBASED, at(3, D.Stamps(fingerprint="x"))), ("too large", replace(REBASED, policy=D.Policy(size_permille=200)), at(3)), ("routed", replace(REBASED, baseline_ranges=((0, 3), (5, None))), at(3)), ("new client needed", replace(FEED, packages=newer), at(3)),
-        ("schema ahead", replace(FEED, packages=ahead), at(3)), ("rebased behind", replace(REBASED, baseline_ranges=((5, 5),)), at(5)), ("malformed", replace(FEED, baseline=D.Baseline("x", "baseline", 9)), at(3)),
-    ]
-    rows = [(name, p.kind, ",".join(p.packages), p.code and p.code.value) for name, p in ((name, D.plan_catchup(feed, cursor)) for name, feed, cursor in cases)]
-    return spark.createDataFrame(rows, "position string, plan string, packages string, code string")
 
+# --- feeds, gates, generations -----------------------------------------------------------------
 
 def outcome(f, *args) -> str:
     try:
@@ -242,14 +266,12 @@ def apply_gates(spark, sf_dir):
     return spark.createDataFrame([(g, n, outcome(f, *x)) for g, n, f, x in cases], "gate string, given string, outcome string")
 
 
-@query("SELECT unnest(['client_too_old', 'schema_ahead', 'missing_entitlement', 'sequence_gap', 'wrong_generation', 'embedding_fingerprint_mismatch', 'builder_version_mismatch', 'signature_invalid', 'digest_mismatch', 'extension_missing', 'baseline_required']) AS code")
-def reject_codes(spark, sf_dir):
-    return spark.createDataFrame([(c.value,) for c in D.Reject], "code string")
-
-
-@query("SELECT unnest(['documents', 'chunks', 'chunk_embeddings', 'graph_edges', 'zone_units', 'zone_unit_embeddings', 'decision_zones', 'citations', 'citation_resolutions', 'metadata_roots']) AS relation, unnest(range(0, 10)) AS position")
+@query("SELECT relation, row_number() OVER (ORDER BY position) - 1 AS nth, n FROM (SELECT relation, count(*) AS n FROM changes GROUP BY relation) JOIN (SELECT unnest(['documents', 'chunks', 'chunk_embeddings', 'graph_edges', 'zone_units', 'zone_unit_embeddings', 'decision_zones', 'citations', 'citation_resolutions', 'metadata_roots']) AS relation, unnest(range(0, 10)) AS position) USING (relation)", CHANGES_SQL)
 def apply_order(spark, sf_dir):
-    return spark.createDataFrame([(r, i) for i, r in enumerate(D.APPLY_ORDER)], "relation string, position long")
+    """The relations that a log changes, in the order in which they are applied."""
+    g = changes(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("n"))
+    at = F.array_position(F.array(*map(F.lit, D.APPLY_ORDER)), F.col("relation"))
+    return g.select("relation", (F.row_number().over(W.orderBy(at)) - 1).cast("bigint").alias("nth"), "n")  # ten relations at most
 
 
 @query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (WHERE doc_id % 10 = 0) AS m FROM documents)

@@ -84,7 +84,10 @@ def fanout_depth(spark, sf_dir):
     return spark.createDataFrame(rows, "cursor_score double, page int, depth int")
 
 
-@query("SELECT * FROM (VALUES (0, 1, 1), (999, 1, 1), (50000, 50, 7), (1000000, 1000, 31), (1852745, 1361, 36), (100000000000, 316227, 562)) t(n, lists, probes)")
+@query("WITH s AS (SELECT source, count(*) * 2000 AS n FROM documents GROUP BY source UNION ALL SELECT 'all', count(*) * 100000 FROM documents), l AS (SELECT *, greatest(1, CASE WHEN n <= 1000000 THEN n // 1000 ELSE CAST(floor(sqrt(n)) AS BIGINT) END) AS lists FROM s) SELECT source, n, lists, CAST(least(4096, greatest(1, floor(sqrt(lists)))) AS BIGINT) AS probes FROM l")
 def ivfflat_lists(spark, sf_dir):
-    rows = [(n, R.ivfflat_lists(n), R.ivfflat_probes(R.ivfflat_lists(n))) for n in (0, 999, 50_000, 1_000_000, 1_852_745, 10**11)]
-    return spark.createDataFrame(rows, "n long, lists int, probes int")
+    """Lists and probes of each source's vectors and of all, if documents had some thousand vectors each."""
+    d = read(spark, sf_dir, "documents")
+    n = d.groupBy("source").agg((F.count("*") * 2000).alias("n")).unionByName(d.agg(F.lit("all").alias("source"), (F.count("*") * 100000).alias("n")))
+    lists = F.greatest(F.lit(1).cast("bigint"), F.when(F.col("n") <= 1_000_000, F.floor(F.col("n") / 1000)).otherwise(F.floor(F.sqrt("n"))))
+    return n.select("source", "n", lists.alias("lists")).select("*", F.least(F.lit(4096).cast("bigint"), F.greatest(F.lit(1).cast("bigint"), F.floor(F.sqrt("lists")))).alias("probes"))

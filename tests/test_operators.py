@@ -389,3 +389,24 @@ def test_an_authority_lift_is_the_share_of_pairs(spark):
     pairs = spark.createDataFrame([(1, 1, 2), (1, 3, 2)], "query_id long, high_id long, low_id long")
     order = lambda ids: spark.createDataFrame([(1, i, k) for k, i in enumerate(ids)], "query_id long, id long, position long")
     assert tuple(evaluation.authority_lift(pairs, order([2, 1, 3]), order([1, 2, 3])).first()) == (0.0, 0.5)
+
+
+FEED = delta.Feed("core", 6, 2, delta.Baseline("base-1", "baseline", 0, 100, 100, 100), tuple(delta.Entry(f"p{n}", n - 1, n, 10, 10, 5) for n in range(3, 7)))
+REBASED = delta.Feed("core", 6, 2, delta.Baseline("base-4", "rebaseline", 4, 100, 100, 100), FEED.packages)
+
+
+def test_catchup_plans():
+    """The plan of each kind of position against a feed."""
+    from dataclasses import replace
+
+    at, all_ = delta.Cursor, FEED.packages
+    newer = tuple(replace(e, minimum_client=(9, 0, 0)) for e in all_)
+    ahead = tuple(replace(e, stamps=delta.Stamps(delta.SCHEMA_VERSION + 1)) for e in all_)
+    cases = [
+        ("head", FEED, at(6)), ("chain", FEED, at(3)), ("fresh", FEED, None), ("ahead", FEED, at(7)), ("too old", FEED, at(1)), ("too old, rebased", REBASED, at(1)), ("gap", replace(FEED, packages=all_[:2] + all_[3:]), at(3)),
+        ("other fingerprint", REBASED, at(3, delta.Stamps(fingerprint="x"))), ("too large", replace(REBASED, policy=delta.Policy(size_permille=200)), at(3)), ("routed", replace(REBASED, baseline_ranges=((0, 3), (5, None))), at(3)), ("new client needed", replace(FEED, packages=newer), at(3)),
+        ("schema ahead", replace(FEED, packages=ahead), at(3)), ("rebased behind", replace(REBASED, baseline_ranges=((5, 5),)), at(5)), ("malformed", replace(FEED, baseline=delta.Baseline("x", "baseline", 9)), at(3)),
+    ]
+    want = {'head': ('up_to_date', (), None), 'chain': ('incremental', ('p4', 'p5', 'p6'), None), 'fresh': ('fresh_baseline', ('base-1',), None), 'ahead': ('blocked', (), 'wrong_generation'), 'too old': ('blocked', (), 'baseline_required'), 'too old, rebased': ('fresh_baseline', ('base-4',), None), 'gap': ('blocked', (), 'baseline_required'), 'other fingerprint': ('fresh_baseline', ('base-4',), None), 'too large': ('fresh_baseline', ('base-4',), None), 'routed': ('fresh_baseline', ('base-4',), None), 'new client needed': ('blocked', (), 'client_too_old'), 'schema ahead': ('blocked', (), 'schema_ahead'), 'rebased behind': ('blocked', (), 'baseline_required'), 'malformed': ('blocked', (), 'wrong_generation')}
+    got = {name: delta.plan_catchup(feed, cursor) for name, feed, cursor in cases}
+    assert {name: (p.kind, p.packages, p.code and p.code.value) for name, p in got.items()} == want
