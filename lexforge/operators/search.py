@@ -79,7 +79,8 @@ def scored(r: Request, documents: DataFrame, index: Index, vectors: DataFrame |
         arms.append(R.lexical_topk(index, R.query_terms(r.query), limit, keep).select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(0)))
     if r.mode != "bm25":
         if isinstance(vectors, str):  # stored cells, with the filters' columns and the first chunk beside each vector
-            d = cells.search(documents.sparkSession, vectors, r.embedding, limit, r.probes, r.fingerprint, keep, R.POOL_FACTOR)
+            known = keep & F.col("chunk_id").isNotNull()  # a vector without a document has no columns beside it
+            d = cells.search(documents.sparkSession, vectors, r.embedding, limit, r.probes, r.fingerprint, known, R.POOL_FACTOR)
             arms.append(d.select("chunk_id", "document_id", "rank").withColumn("arm", F.lit(1)))
     if r.mode != "bm25" and not isinstance(vectors, str):
         d = R.dense_topk(vectors, r.embedding, limit, documents, keep)
