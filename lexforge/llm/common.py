@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import small_batches  # noqa: F401  (operators take it from here)
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: White space of the word contracts, and its complement.
@@ -112,16 +114,6 @@ def drop_written(since: int = 0, last: bool = True) -> None:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = 4000, size: int = 4 << 20) -> None:
-    """Bounds the Arrow batches that go to Python by rows and, as texts can be long, by bytes. The
-    settings are the session's, are only lowered, and stay lowered: a plan reads them when it runs."""
-    for key, most, before in (("maxRecordsPerBatch", rows, "10000"), ("maxBytesPerBatch", size, str(64 << 20))):
-        key = f"spark.sql.execution.arrow.{key}"
-        now = spark.conf.get(key, before)
-        if not now.isdigit() or int(now) > most:
-            spark.conf.set(key, str(most))
-
-
 def split_words(texts: pa.Array, unicode: bool = False) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of texts, cut at ASCII (or all) white space; the place in them of each word, in
     order; where each text's words begin, and the end. A text may begin and end with an empty word."""

@@ -10,10 +10,11 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold
+from ..storage import small_batches
 
 MAX_CHARS = 6000
 PARTS = "array<struct<chunk_index:int,body:string>>"
@@ -66,11 +67,13 @@ def _article_chunks(body: pd.Series, context: pd.Series) -> pd.Series:
 
 def decision_chunks(body: Column, summary: Column) -> Column:
     """An optional summary chunk, then packed paragraphs."""
+    small_batches(SparkSession.active())
     return F.pandas_udf(_decision_chunks, PARTS)(body, summary)
 
 
 def article_chunks(body: Column, context: Column) -> Column:
     """The whole article if it fits with its context; else paragraphs packed into what room is left."""
+    small_batches(SparkSession.active())
     return F.pandas_udf(_article_chunks, PARTS)(body, context)
 
 
