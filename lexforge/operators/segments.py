@@ -31,8 +31,8 @@ from . import merkle
 
 #: Deltas of a table that are merged, and the share of the base's rows from which they become a new base.
 FANOUT, REBASE = 4, 0.25
-#: Rows a bucket has at about; a key is hot from HOT_ROWS rows and a HOT_SHARE-th of them on, and is dealt over SALTS.
-BUCKET_ROWS, HOT_ROWS, HOT_SHARE, SALTS = 1_000_000, 10_000, 200, 32
+#: Rows and bytes a bucket has at about; a key is hot from HOT_ROWS rows and a HOT_SHARE-th of them on, and is dealt over SALTS.
+BUCKET_ROWS, BUCKET_BYTES, HOT_ROWS, HOT_SHARE, SALTS = 1_000_000, 64 << 20, 10_000, 200, 32
 
 
 class Conflict(RuntimeError):
@@ -105,10 +105,12 @@ class Store:
     def _based(self, name: str, rows: DataFrame, key: list[str]) -> dict:
         """A table of one base segment, with the leaves of its tree."""
         columns = rows.columns
-        n = rows.count()
+        text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in rows.dtypes if kind in ("string", "binary")]
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(text, F.lit(8 * len(columns)).cast("bigint"))), F.lit(0)).alias("bytes")).first()
+        n = size.n
         hot = [[r[c] for c in key] for r in rows.groupBy(*(F.col(c).cast("string").alias(c) for c in key)).count().filter(F.col("count") >= max(HOT_ROWS, n // HOT_SHARE)).drop("count").collect()]  # HOT_SHARE of them at most
         hot = [h for h in hot if None not in h]
-        buckets = max(1, -(-n // BUCKET_ROWS))
+        buckets = max(1, -(-n // BUCKET_ROWS), -(-size.bytes // BUCKET_BYTES))
         folder = f"{name}/base-{uuid.uuid4().hex}"
         full = rows.select(*columns, self.salt(key, hot, columns).alias("_salt"), merkle.row_hash(columns).alias("_hash"))
         own = self._registered(folder)

@@ -176,8 +176,9 @@ def upsert_documents(store: Store, new: tuple[DataFrame, DataFrame, DataFrame])
 
     rows, new_chunks, new_edges = new
     touched = rows.select("document_id").distinct()
-    old = store.read("chunks").join(touched, "document_id", "left_semi").select("chunk_id", F.col("body").alias("_body"), F.col("fingerprint").alias("_fp"))
-    fp = F.when(F.col("fingerprint").isNotNull(), F.col("fingerprint")).when(F.col("_body").eqNullSafe(F.col("body")), F.col("_fp"))
+    # texts are compared by SHA-256, so that the old ones don't move
+    old = store.read("chunks").select("chunk_id", "document_id", F.sha2("body", 256).alias("_sha"), F.col("fingerprint").alias("_fp")).join(touched, "document_id", "left_semi").drop("document_id")
+    fp = F.when(F.col("fingerprint").isNotNull(), F.col("fingerprint")).when(F.col("_sha").eqNullSafe(F.sha2("body", 256)), F.col("_fp"))
     fresh = new_chunks.join(old, "chunk_id", "left").select("chunk_id", "document_id", "body", fp.alias("fingerprint"))
     others = new_edges.select("document_id").distinct().join(touched, "document_id", "left_anti")
     kept = store.read("edges").join(others, "document_id", "left_semi")

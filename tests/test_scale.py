@@ -24,6 +24,16 @@ def join_rows(plan):
     return own + [n for p in below for n in join_rows(p)]
 
 
+def test_a_table_of_long_texts_has_several_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "BUCKET_BYTES", 50_000, raising=False)
+    rows = spark.range(100).select(F.col("id"), F.repeat(F.lit("x"), 5000).alias("body"))
+    s = segments.Store(spark, f"file://{tmp_path}/store")
+    s.create({"t": segments.Table(rows, ["id"])})
+    assert s.manifest()["tables"]["t"]["buckets"] >= 10
+    s.apply({"t": segments.Delta(spark.createDataFrame([(5, "new")], "id long, body string"))})
+    assert s.read("t").count() == 100 and s.read("t").filter("id = 5").first().body == "new"
+
+
 def test_texts_go_to_python_in_small_batches(spark):
     keys = {f"spark.sql.execution.arrow.{k}": v for k, v in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", str(64 << 20)))}
     d = retrieval.docs(spark, SF)
