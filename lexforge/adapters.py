@@ -57,16 +57,16 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, *beside: str) -> DataFrame:
+    """The chunks; beside: columns of their documents."""
     n = F.greatest(F.lit(1), F.ceil(F.length("body") / CHUNK)).cast("int")
-    d = docs(spark, sf_dir).select("document_id", "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    return d.select("document_id", F.col("i").cast("bigint").alias("chunk_index"), F.concat_ws(":", F.col("document_id").cast("string"), F.col("i").cast("string")).alias("chunk_id"), F.substring("body", F.col("i") * CHUNK + 1, F.lit(CHUNK)).alias("body"))
+    d = docs(spark, sf_dir).select("document_id", *beside, "body", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    return d.select("document_id", F.col("i").cast("bigint").alias("chunk_index"), F.concat_ws(":", F.col("document_id").cast("string"), F.col("i").cast("string")).alias("chunk_id"), F.substring("body", F.col("i") * CHUNK + 1, F.lit(CHUNK)).alias("body"), *beside)
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> Index:
     """The stored index of the chunks."""
-    d = docs(spark, sf_dir).select("document_id", "kind", "source", "lang", "valid_from", "valid_to")
-    return stored(chunks(spark, sf_dir).join(d, "document_id"), sf_dir)
+    return stored(chunks(spark, sf_dir, "kind", "source", "lang", "valid_from", "valid_to"), sf_dir)
 
 
 def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

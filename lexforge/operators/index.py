@@ -1,21 +1,22 @@
 """The stored inverted index: built once, read by term, best postings first.
 
 Layout under one folder: `postings` (term, chunk_id, document_id, tf, len, part and the columns that
-searches filter by), partitioned by a hash bucket of the term and, within files, sorted by term and
-falling impact. A posting's impact is `part`, its share of a BM25 score without the term's weight; impacts
+searches filter by), sorted within each file by a hash bucket of the term, term and falling impact, in small
+row groups, of which a search reads those of its terms. A posting's impact is `part`, its share of a BM25 score without the term's weight; impacts
 are cut into levels, and a term's postings of a level are a block. `heads` has each block's number of
-postings and its largest impact; `forward` a row per chunk with its terms, sorted by chunk; `terms` (term, df).
-So a search reads the blocks that can still reach the best k, and the rows of its candidates.
+postings and its largest impact; `forward` a row per chunk with its terms; `terms` (term, df).
+So a search reads the blocks that can still reach the best k, and its candidates' postings.
 
-Files are ranges of (bucket, term, level, chunk), as many as the rows ask for, so a term of every chunk
-is dealt over many. Tokens are cut on the JVM; a batch's term counts are made on arrays, so the build
-shuffles a row per (chunk, distinct term) and no text.
+Files are segments of the collection, as search engines have them: each holds all postings of its chunks, so
+that a term of every chunk lies in all of them. Tokens are cut on the JVM; a batch's term counts are made on
+arrays. Neither texts nor postings are shuffled by the build, only a row per (segment, term, level).
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,8 +30,10 @@ from ..functions.stem import stem
 from ..functions.text import STOPWORDS, TOKEN, tokens
 
 K1, B = 1.5, 0.75
-#: Buckets at least and at most, postings a bucket and a file have at about, levels of an impact of one.
-BUCKETS, MOST_BUCKETS, BUCKET_ROWS, FILE_ROWS, LEVELS = 32, 4096, 50_000_000, 4_000_000, 64
+#: Buckets at least and at most, postings a bucket has at about, levels of an impact of one.
+BUCKETS, MOST_BUCKETS, BUCKET_ROWS, LEVELS = 32, 4096, 50_000_000, 64
+#: Bytes of chunks' rows that a segment of postings is made of, and of a row group.
+SEGMENT_BYTES, GROUP_BYTES = 16 << 20, 1 << 20
 #: Columns by which searches filter; they stand in each posting, where they take next to no room.
 FILTERS = "kind string, source string, lang string, valid_from date, valid_to date"
 
@@ -69,25 +72,37 @@ def build(chunks: DataFrame, path: str, analyzer: Callable[[Column], Column] = p
     names = ["chunk_id", "document_id", *(c.split()[0] for c in FILTERS.split(", "))]
     words = analyzer(F.coalesce("body", F.lit("")))
     schema = ", ".join([f"chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}", f"document_id {chunks.schema['document_id'].dataType.simpleString()}", FILTERS, "len bigint, terms array<string>, tfs array<bigint>"])
+    storage.small_batches(spark)
     rows = chunks.select(*names, words.alias("words")).mapInArrow(_counts, schema)
-    rows.repartitionByRange("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/forward")
+    rows.write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/forward")
     forward = spark.read.parquet(f"{path}/forward")
     s = forward.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"), F.sum(F.size("terms")).alias("postings")).first()
     total, avg_len = s.postings or 0, s.avg_len or 1.0
     buckets = min(MOST_BUCKETS, max(BUCKETS, total // BUCKET_ROWS))
-    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_ROWS))
     posts = forward.select(*names, "len", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select(*names, "len", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"))
     impact = part(F.col("tf"), F.col("len"), avg_len)
     posts = posts.select("*", impact.alias("part"), F.floor(impact * LEVELS).cast("int").alias("level"), F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
-    order = ["bucket", "term", F.desc("level"), "chunk_id"]
-    posts.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").option("parquet.block.size", 8 << 20).partitionBy("bucket").parquet(f"{path}/postings")
+    with in_splits(spark, SEGMENT_BYTES):  # a task sorts the postings of a split
+        posts.sortWithinPartitions("bucket", "term", F.desc("level"), "chunk_id").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
     heads = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("top"))
-    heads.repartition("bucket").sortWithinPartitions("term", F.desc("level")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/heads")
+    heads.sortWithinPartitions("bucket", "term", F.desc("level")).write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/heads")
     df = spark.read.parquet(f"{path}/heads").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
-    df.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    df.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/terms")
     spark.createDataFrame([(s.n, avg_len, buckets)], "n long, avg_len double, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
+@contextmanager
+def in_splits(spark: SparkSession, size: int):
+    """Files are read in splits of at most so many bytes meanwhile."""
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bucket_of(term: str, buckets: int) -> int:
     """What Spark's pmod(xxhash64(term), buckets) is."""
     h = xxhash.xxh64_intdigest(term.encode(), seed=42)
@@ -111,7 +126,7 @@ class Index:
         return self.forward.drop("terms", "tfs")
 
     def of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
-        """Rows of these terms: their buckets' partitions, and the terms pushed to the scan."""
+        """Rows of these terms; buckets and terms are pushed to the scan, which skips other row groups."""
         return rows.filter(F.col("bucket").isin(sorted({bucket_of(t, self.buckets) for t in terms})) & F.col("term").isin(terms))
 
     def blocks(self, terms: list[str]) -> dict[str, list[tuple[int, int, float]]]:
@@ -181,7 +196,7 @@ class Index:
         """chunk_id, document_id, filter columns and score of the best `limit` chunks (ties: smaller
         chunk_id), equal to those of `scores`. First the best blocks give a bound that the result
         reaches; then blocks that can't reach it aren't read, and candidates get their whole scores
-        from their own rows. told: gets the postings there are, and those read."""
+        from their own postings. told: gets the postings there are, and those read."""
         order = [F.desc("score"), F.asc("chunk_id")]
         idf, blocks = self.weights(terms), self.blocks(terms)
         total = sum(n for b in blocks.values() for _, n, _ in b)
@@ -212,13 +227,16 @@ class Index:
         found = kept(self.read(terms, {t: level for t, (level, _) in cut.items()})).groupBy("chunk_id").agg(F.sum(worth - more).alias("gain"))
         ids = found.filter(F.col("gain") + rest >= least).select("chunk_id")
         few = [r.chunk_id for r in ids.limit(CANDIDATES + 1).collect()]
-        rows = self.forward.filter(F.col("chunk_id").isin(few)) if len(few) <= CANDIDATES else self.forward.join(ids, "chunk_id", "left_semi")
-        tf = F.map_from_arrays("terms", "tfs")
+        posts = self.of(self.postings, terms)
+        posts = posts.filter(F.col("chunk_id").isin(few)) if len(few) <= CANDIDATES else posts.join(ids, "chunk_id", "left_semi")
+        names = [c for c in posts.columns if c not in ("term", "tf", "len", "part", "level", "bucket", "chunk_id", "document_id")]
+        # a term's share is one posting's; they are added in the query's order
+        shares = [F.max(F.when(F.col("term") == t, x * F.col("part"))).alias(f"_{i}") for i, (t, x) in enumerate(idf.items())]
+        whole = posts.groupBy("chunk_id", "document_id").agg(*(F.first(c).alias(c) for c in names), *shares)
         score = F.lit(0.0)
-        for t, x in idf.items():
-            n = F.try_element_at(F.col("_tf"), F.lit(t))
-            score = score + F.when(n.isNotNull(), x * part(n, F.col("len"), self.avg_len)).otherwise(0.0)
-        return rows.withColumn("_tf", tf).withColumn("score", F.round(score, 6)).drop("_tf", "terms", "tfs", "len").orderBy(*order).limit(limit)
+        for i in range(len(shares)):
+            score = score + F.coalesce(f"_{i}", F.lit(0.0))
+        return whole.select("chunk_id", "document_id", *names, F.round(score, 6).alias("score")).orderBy(*order).limit(limit)
 
 
 #: Up to so many postings all are read at once; postings a term gives to the first bound, for each row asked for;

@@ -34,6 +34,25 @@ def test_a_table_of_long_texts_has_several_buckets(spark, tmp_path, monkeypatch)
     assert s.read("t").count() == 100 and s.read("t").filter("id = 5").first().body == "new"
 
 
+def test_segments_of_the_index_hold_whole_chunks(spark, tmp_path):
+    d = spark.range(40).select(F.col("id").cast("string").alias("chunk_id"), F.col("id").alias("document_id"), F.lit("k").alias("kind"), F.lit("s").alias("source"), F.lit("en").alias("lang"), F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.concat(F.lit("the law of "), F.col("id").cast("string")).alias("body"))
+    index.build(d.repartition(4), str(tmp_path))
+    p = spark.read.parquet(f"{tmp_path}/postings").withColumn("file", F.input_file_name())
+    assert p.groupBy("chunk_id").agg(F.count_distinct("file").alias("n")).filter("n > 1").count() == 0
+    assert index.open_index(spark, str(tmp_path)).scores(["law"]).count() == 40
+
+
+def test_many_candidates_get_whole_scores_from_postings(spark, monkeypatch):
+    monkeypatch.setattr(index, "SMALL", 0)
+    monkeypatch.setattr(index, "CANDIDATES", 0)
+    i = retrieval.indexed(spark, SF)
+    best = i.best(retrieval.TERMS, 15)
+    assert "forward" not in best._jdf.queryExecution().optimizedPlan().toString()
+    want = i.scores(retrieval.TERMS).orderBy(F.desc("score"), "chunk_id").limit(15)
+    assert [(r.chunk_id, r.score) for r in best.collect()] == [(r.chunk_id, r.score) for r in want.collect()]
+    assert best.columns == want.columns
+
+
 def test_texts_go_to_python_in_small_batches(spark):
     keys = {f"spark.sql.execution.arrow.{k}": v for k, v in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", str(64 << 20)))}
     d = retrieval.docs(spark, SF)
