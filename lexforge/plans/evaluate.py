@@ -13,7 +13,7 @@ from ..operators import evaluation as E
 from ..operators import retrieval as R
 from .cite import LEGAL_SQL, legal
 from .registry import query
-from .retrieval import DEN, LEX, dense, lexical
+from .retrieval import DEN, LEX, dense, lexical, page
 
 #: Rankings by a deterministic rule: each benchmark item asks, documents of its residue answer, so a
 #: document stands in one ranking.
@@ -75,7 +75,7 @@ def score_known_item(spark, sf_dir):
   SELECT weight, score, weight = (SELECT max(weight) FROM s WHERE score = (SELECT max(score) FROM s)) AS best FROM s""", *LEX, *DEN)
 def tune_sweep(spark, sf_dir):
     """The weight of the dense arm over a grid, the fusion run anew for each; of equal scores the last wins."""
-    lex, den = lexical(spark, sf_dir), dense(spark, sf_dir)
+    lex, den = page(lexical(spark, sf_dir)), page(dense(spark, sf_dir))
     runs = [R.rrf_fuse(lex, den, (R.LEXICAL_WEIGHT, w)).select(F.lit(w).alias("weight"), "document_id", "score") for w in (0.0, 0.1, 0.3, 1.0)]
     good = read(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("document_id"))
     return E.tune_sweep(reduce(DataFrame.unionByName, runs), good, 20)

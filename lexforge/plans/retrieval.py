@@ -58,6 +58,11 @@ def dense(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
     return R.dense_topk(vectors(spark, sf_dir), query_vector(spark, sf_dir), limit, docs(spark, sf_dir), R.asof(DAY))
 
 
+def page(df: DataFrame) -> DataFrame:
+    """A ranking's page, computed once for all that is made of it."""
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.rrf_fuse(lexical(spark, sf_dir), dense(spark, sf_dir))
 
@@ -69,10 +74,10 @@ def lexical_topk(spark, sf_dir):
 
 @query("SELECT chunk_id, document_id, round(1.0::DOUBLE / (60 + rank), 8) AS rrf_score, score, rank, substr(regexp_replace(body, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), 1, 280) AS snippet FROM lex JOIN chunks USING (chunk_id, document_id) WHERE rank <= 20", *LEX)
 def bm25_only(spark, sf_dir):
-    page = lexical(spark, sf_dir, 20)
-    rows = page.collect()  # a page; its chunks alone are read
+    best = lexical(spark, sf_dir, 20)
+    rows = best.collect()  # a page; its chunks alone are read
     bodies = stored_chunks(spark, sf_dir).filter(F.col("document_id").isin([r.document_id for r in rows])).select("chunk_id", "body")
-    top = bodies.join(F.broadcast(spark.createDataFrame(rows, page.schema)), "chunk_id")
+    top = bodies.join(F.broadcast(spark.createDataFrame(rows, best.schema)), "chunk_id")
     return R.with_snippet(top).select("chunk_id", "document_id", F.round(R.rrf(F.col("rank")), 8).alias("rrf_score"), "score", "rank", "snippet")
 
 
@@ -193,16 +198,18 @@ def zone_search(spark, sf_dir):
 )
 def compare(spark, sf_dir):
     order = [F.desc("score"), F.asc("document_id")]
-    a = lexical(spark, sf_dir).groupBy("document_id").agg(F.min("rank").alias("bm25"))
-    d = dense(spark, sf_dir).select("document_id", F.col("rank").alias("dense"))
-    h = R.numbered(fused(spark, sf_dir), order, "hybrid").select("document_id", "hybrid")
+    lex, den = page(lexical(spark, sf_dir)), page(dense(spark, sf_dir))
+    a = lex.groupBy("document_id").agg(F.min("rank").alias("bm25"))
+    d = den.select("document_id", F.col("rank").alias("dense"))
+    h = R.numbered(R.rrf_fuse(lex, den), order, "hybrid").select("document_id", "hybrid")
     x = a.join(d, "document_id", "full").join(h, "document_id", "full")
     return x.select("document_id", "bm25", "dense", "hybrid", F.least(*(F.coalesce(c, F.lit(1000000).cast("bigint")) for c in ("bm25", "dense", "hybrid"))).alias("best"))
 
 
 @query("SELECT (SELECT count(*) FROM (SELECT document_id FROM lex INTERSECT SELECT document_id FROM den)) AS bm25_dense, (SELECT count(*) FROM (SELECT document_id FROM lex INTERSECT SELECT document_id FROM fused)) AS bm25_hybrid", *LEX, *DEN, *FUSE)
 def mode_overlap(spark, sf_dir):
-    a, d, h = (f(spark, sf_dir).select("document_id") for f in (lexical, dense, fused))
+    lex, den = page(lexical(spark, sf_dir)), page(dense(spark, sf_dir))
+    a, d, h = (x.select("document_id") for x in (lex, den, R.rrf_fuse(lex, den)))
     n = lambda x, name: x.agg(F.count("*").alias(name))
     return n(a.intersect(d), "bm25_dense").join(n(a.intersect(h), "bm25_hybrid"))
 

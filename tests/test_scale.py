@@ -53,6 +53,12 @@ def test_many_candidates_get_whole_scores_from_postings(spark, monkeypatch):
     assert best.columns == want.columns
 
 
+@pytest.mark.parametrize("name", ["tune_sweep", "compare", "mode_overlap"])
+def test_rankings_are_read_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "part#" not in plan and "embedding" not in plan  # neither postings nor vectors again
+
+
 def test_texts_go_to_python_in_small_batches(spark):
     keys = {f"spark.sql.execution.arrow.{k}": v for k, v in (("maxRecordsPerBatch", "10000"), ("maxBytesPerBatch", str(64 << 20)))}
     d = retrieval.docs(spark, SF)
