@@ -124,9 +124,10 @@ def zone_search(units: Index, vectors: str, terms: list[str], embedding: list[fl
     return ranks.groupBy("document_id").agg(F.min_by("unit_id", "arm").alias("unit_id"), F.round(part(0, R.LEXICAL_WEIGHT) + part(1, R.DENSE_WEIGHT), 8).alias("score"))
 
 
-def search(r: Request, documents: DataFrame, index: Index, vectors: DataFrame | str, fingerprint: str | None = None) -> Response:
+def search(r: Request, documents: DataFrame, index: Index | Callable[[], Index], vectors: DataFrame | str, fingerprint: str | None = None) -> Response:
     """Routes citation-shaped hybrid queries to the exact resolver, others to retrieval; one row more
-    than a page tells whether a next page exists. vectors: a table, scanned whole, or the path of stored cells."""
+    than a page tells whether a next page exists. index: one, or what opens it, called by retrieval alone.
+    vectors: a table, scanned whole, or the path of stored cells."""
     validate(r, fingerprint)
     intent = citation_intent(r.query, r.as_of) if r.mode == "hybrid" and not r.corpora else None
     audit = {"route": "fanout" if r.corpora else r.mode, "fallback": False}
@@ -136,6 +137,7 @@ def search(r: Request, documents: DataFrame, index: Index, vectors: DataFrame |
         if rows:
             return Response(rows, None, audit | {"route": "structured"})
         audit["fallback"] = True
+    index = index() if callable(index) else index
     key, keep = "document_id" if r.group_by == "document" else "chunk_id", R.asof(r.as_of)
     keep = keep if r.kind is None else keep & (F.col("kind") == r.kind)
     cursor = R.parse_cursor(r.cursor, r.group_by) if r.cursor else None

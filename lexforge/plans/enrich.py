@@ -213,8 +213,8 @@ def search_probed(spark, sf_dir):
 
 @query(f"SELECT document_id, 'structured' AS route FROM docs WHERE lower(trim(title)) = 'article 34' AND (valid_from IS NULL OR valid_from <= DATE '{DAY}') AND (valid_to IS NULL OR valid_to > DATE '{DAY}') ORDER BY valid_from DESC NULLS LAST, document_id LIMIT 10", DOCS_SQL)
 def search_citation(spark, sf_dir):
-    d, c, v = docs(spark, sf_dir), indexed(spark, sf_dir), vectors(spark, sf_dir)
-    out = S.search(S.Request("code civil article 34", DAY, embedding=[0.0] * 64, fingerprint="fp"), d, c, v, "fp")
+    d, v = docs(spark, sf_dir), vectors(spark, sf_dir)
+    out = S.search(S.Request("code civil article 34", DAY, embedding=[0.0] * 64, fingerprint="fp"), d, lambda: indexed(spark, sf_dir), v, "fp")
     return spark.createDataFrame([(r["document_id"], out.routing["route"]) for r in out.rows], "document_id long, route string")
 
 

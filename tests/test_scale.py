@@ -53,6 +53,14 @@ def test_many_candidates_get_whole_scores_from_postings(spark, monkeypatch):
     assert best.columns == want.columns
 
 
+def test_a_citation_is_resolved_without_the_index(spark):
+    def opened():
+        raise AssertionError("the index isn't needed")
+
+    out = search.search(search.Request("code civil article 34", "2008-06-01", embedding=[0.0] * 64, fingerprint="fp"), retrieval.docs(spark, SF), opened, retrieval.vectors(spark, SF), "fp")
+    assert out.routing["route"] == "structured" and out.rows
+
+
 @pytest.mark.parametrize("name", ["tune_sweep", "compare", "mode_overlap"])
 def test_rankings_are_read_once(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
