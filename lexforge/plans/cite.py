@@ -100,8 +100,8 @@ def citations(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "documents").select(k.alias("cite_id"), F.element_at(F.array(*forms), (k % 16 + 1).cast("int")).alias("cite"))
 
 
-def looked_up(spark, sf_dir) -> DataFrame:
-    return C.cite_lookup(citations(spark, sf_dir), legal(spark, sf_dir), roots(spark, sf_dir))
+def looked_up(spark, sf_dir, only: str | None = None) -> DataFrame:
+    return C.cite_lookup(citations(spark, sf_dir), legal(spark, sf_dir), roots(spark, sf_dir), only=only)
 
 
 def judged(spark, sf_dir) -> DataFrame:
@@ -132,8 +132,7 @@ def cite_lookup(spark, sf_dir):
 @query("SELECT cite_id, rank, document_id, title FROM matches WHERE class = 'free_text_article'", *CITED)
 def cite_freetext(spark, sf_dir):
     """Substring match: article 33 also finds 330."""
-    free = C.parsed(citations(spark, sf_dir)).filter("class = 'free_text_article'").select("cite_id")
-    return looked_up(spark, sf_dir).join(free, "cite_id", "left_semi").select("cite_id", "rank", "document_id", "title")
+    return looked_up(spark, sf_dir, "free_text_article").select("cite_id", "rank", "document_id", "title")
 
 
 @query("SELECT cite_id, class, match_count, valid_match_count, state FROM states", *CITED, STATES_SQL)

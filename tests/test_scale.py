@@ -24,6 +24,31 @@ def join_rows(plan):
     return own + [n for p in below for n in join_rows(p)]
 
 
+def test_hot_citations_are_not_multiplied_out(spark):
+    """Many citations of an article that many documents are: the join has 20 rows a question, the result 20 a citation."""
+    n = 600
+    legal = cite.legal(spark, SF).limit(1).select("*")
+    k = F.col("id")
+    d = spark.range(n).select(F.concat(F.lit("legi:x"), k.cast("string")).alias("document_id"), F.lit("legi").alias("source"), F.lit("article").alias("kind"), F.concat(F.lit("LEGIARTI"), F.lpad(k.cast("string"), 12, "0")).alias("source_uid"), F.lit("Code civil").alias("citation"), F.lit("Article 7").alias("title"), F.date_add(F.lit("2000-01-01").cast("date"), k.cast("int")).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(None).cast("string").alias("ecli"), F.lit(None).cast("array<string>").alias("case_numbers"))
+    assert set(d.columns) == set(legal.columns)
+    c = spark.range(n).select(k.alias("cite_id"), F.when(k % 2 == 0, "article 7 du Code civil").otherwise("article 7").alias("cite"))
+    out = citations.cite_lookup(c, d, cite.roots(spark, SF).limit(0))
+    rows = out.collect()
+    assert max(join_rows(out._jdf.queryExecution().executedPlan())) <= 20 * n
+    assert len(rows) == 20 * n
+    best = {(r.rank, r.document_id) for r in rows}
+    assert best == {(i + 1, f"legi:x{n - 1 - i}") for i in range(20)}
+
+
+def test_an_id_of_another_version_finds_both_ways(spark):
+    """The named version is exact and first, others of its publisher id follow, also beyond the limit."""
+    k = F.col("id")
+    d = spark.range(50).select(F.concat(F.lit("legi:LEGIARTI000000000001@"), k.cast("string")).alias("document_id"), F.lit("legi").alias("source"), F.lit("article").alias("kind"), F.lit("LEGIARTI000000000001").alias("source_uid"), F.lit("Code civil").alias("citation"), F.lit("Article 7").alias("title"), F.date_add(F.lit("2000-01-01").cast("date"), k.cast("int")).alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.lit(None).cast("string").alias("ecli"), F.lit(None).cast("array<string>").alias("case_numbers"))
+    c = spark.createDataFrame([(1, "legi:LEGIARTI000000000001@3")], "cite_id long, cite string")
+    got = citations.cite_lookup(c, d, cite.roots(spark, SF).limit(0)).orderBy("rank").collect()
+    assert [(r.rank, r.exact, r.document_id.split("@")[1]) for r in got] == [(1, True, "3"), *((i + 2, False, str(49 - i)) for i in range(19))]
+
+
 def test_a_table_of_long_texts_has_several_buckets(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "BUCKET_BYTES", 50_000, raising=False)
     rows = spark.range(100).select(F.col("id"), F.repeat(F.lit("x"), 5000).alias("body"))
