@@ -7,16 +7,16 @@ two give the log odds that it is personal data; candidates from a calibrated thr
 generator on are added to the base spans.
 
 Labels. Base matches pass exact checks, but candidates that base finds needn't be found again. So the
-positives are base matches of the sample in other spellings, in their own context (`FORMS`: without
+positives are base matches of the documents in other spellings, in their own context (`FORMS`: without
 the plus, with other separators, `name [at] host [dot] tld`), so that base no longer matches them,
-base matches themselves, and well-formed candidates that a keyword supports; negatives are the sample's
+base matches themselves, and well-formed candidates that a keyword supports; negatives are the documents'
 other candidates that no base match overlaps, and spellings that break a check (another last digit of a card, an address part over 255). A few fixed
 `SEEDS` and `OTHERS` join them, each as `WEIGHT` examples, so that a corpus without base matches has a
 model too.
 
-Fit: candidates of at most about `SAMPLE` documents with about `CHARS` characters, chosen by hash, are
-counted by feature vector in one aggregation. The driver receives the counted vectors (small integers,
-some thousands of kinds), never texts or ids, boosts over those of three quarters of the documents, and sets each generator's threshold on the others:
+Fit: candidates of all documents are counted by feature vector in one aggregation. The driver receives
+the counted vectors (small integers of bounded range, some thousands of kinds), never texts or ids,
+boosts over those of three quarters of the documents, and sets each generator's threshold on the others:
 the lowest score, of even odds or better, from which on `PRECISION` of the candidates are positives.
 The trees are compiled to column expressions, so scoring is a projection without a shuffle.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import narrow
 from .spans import SPAN, apart, empty, find_all, hashed, let, listed, literal, ranked, reached, with_settled
 
-SAMPLE, CHARS, PRECISION, ROUNDS, SHRINK, CONTEXT, WEIGHT = 20_000, 64_000_000, 0.98, 60, 0.4, 24, 20
+PRECISION, ROUNDS, SHRINK, CONTEXT, WEIGHT = 0.98, 60, 0.4, 24, 20
 KINDS = ["email", "ip", "card", "phone", "email_like", "number_like"]
 #: The base patterns, in order, written so that Java matches them without recursion
 #: and in linear time: a run is entered at its start only.
@@ -166,12 +166,14 @@ def boost(x: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> dict:
         out = (0.0, -1, 0)
         gs, hs = g[rows].sum(), h[rows].sum()
         for j in range(x.shape[1]):
-            for cut in np.unique(x[rows, j])[1:]:
-                left = rows & (x[:, j] < cut)
-                gl, hl = g[left].sum(), h[left].sum()
+            v = x[rows, j]
+            cuts = np.unique(v)[1:]
+            if len(cuts):  # sums below each cut, from one pass over the values
+                gl, hl = (np.cumsum(np.bincount(v, w[rows]))[cuts - 1] for w in (g, h))
                 gain = gl**2 / (hl + 1) + (gs - gl) ** 2 / (hs - hl + 1) - gs**2 / (hs + 1)
-                if gain > out[0] + 1e-9:
-                    out = (float(gain), j, int(cut))
+                k = int(gain.argmax())
+                if gain[k] > out[0] + 1e-9:
+                    out = (float(gain[k]), j, int(cuts[k]))
         return out
 
     for _ in range(ROUNDS):
@@ -221,7 +223,7 @@ def compiled(model: dict, f: str) -> str:
 
 def examples(docs: DataFrame) -> DataFrame:
     """(f, label, held, w) of candidates to learn from; held: for the threshold; w: weight. One plan: the
-    sample's texts, what isn't personal, and the other spellings of base matches, each in a text of
+    documents' texts, what isn't personal, and the other spellings of base matches, each in a text of
     its own, pass the generators together."""
     spark = docs.sparkSession
     tag = "struct<held:boolean,w:int,label:int,a:int,b:int>"
@@ -241,17 +243,14 @@ def examples(docs: DataFrame) -> DataFrame:
     clean = f"{f['glued_before']} = 0 AND {f['glued_after']} = 0"
     kinds = f"({f['context']} = 1 AND {f['digits']} BETWEEN 7 AND 15) OR ({f['context']} = 2 AND {f['luhn']} = 1) OR ({f['context']} = 3 AND {f['quad']} = 1)"
     supported = f"({f['gen']} = 0 AND {f['domain']} = 1) OR ({clean} AND {f['gen']} = 1 AND ({kinds}))"
-    # a text of the sample counts whole; of another, candidates over its subject that base doesn't find
+    # a text of the documents counts whole; of another, candidates over its subject that base doesn't find
     told = c.filter("label IS NULL OR (NOT c.hit AND c.start < b AND c.end > a)")
     return told.selectExpr("c.f AS f", f"coalesce(label, CAST(c.hit OR {supported} AS int)) AS label", "held", "w")
 
 
 def fit(docs: DataFrame) -> dict:
     docs = docs.filter("doc_id is not null")
-    seen = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).first()
-    share = min(1.0, SAMPLE / max(seen.n, 1), CHARS / max(seen.chars or 0, 1))
-    sample = docs if share == 1 else docs.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    cells = examples(sample).groupBy("f", "held").agg(F.sum(F.col("label") * F.col("w")).alias("pos"), F.sum("w").alias("n")).orderBy(F.desc("n"), "f", "held").collect()
+    cells = examples(docs).groupBy("f", "held").agg(F.sum(F.col("label") * F.col("w")).alias("pos"), F.sum("w").alias("n")).orderBy(F.desc("n"), "f", "held").collect()
     x = np.array([r.f for r in cells], np.int64).reshape(-1, len(NAMES))
     pos, n, held = (np.array([r[k] for r in cells], float) for k in ("pos", "n", "held"))
     learn = held == 0

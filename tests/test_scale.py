@@ -101,3 +101,11 @@ def test_texts_go_to_python_in_small_batches(spark):
         use()
         assert all(int(spark.conf.get(k)) < int(v) for k, v in keys.items())
     assert storage.small_batches
+
+
+def test_personal_data_is_learned_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE", 10, raising=False)
+    seen, examples = [], pii.examples
+    monkeypatch.setattr(pii, "examples", lambda docs: seen.append(docs.count()) or examples(docs.limit(5)))
+    pii.fit(spark.range(200).select(F.col("id").alias("doc_id"), F.lit("call +1 202-555-0143 now").alias("text")))
+    assert seen == [200]
