@@ -7,7 +7,7 @@ are cut into levels, and a term's postings of a level are a block. `heads` has e
 postings and its largest impact; `forward` a row per chunk with its terms; `terms` (term, df).
 So a search reads the blocks that can still reach the best k, and its candidates' postings.
 
-Files are segments of the collection, as search engines have them: each holds all postings of its chunks, so
+Postings lie in a folder a bucket. Segments are of the collection, as search engines have them: one task writes all postings of its chunks, so
 that a term of every chunk lies in all of them. Tokens are cut on the JVM; a batch's term counts are made on
 arrays. Neither texts nor postings are shuffled by the build, only a row per (segment, term, level).
 """
@@ -83,7 +83,7 @@ def build(chunks: DataFrame, path: str, analyzer: Callable[[Column], Column] = p
     impact = part(F.col("tf"), F.col("len"), avg_len)
     posts = posts.select("*", impact.alias("part"), F.floor(impact * LEVELS).cast("int").alias("level"), F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"))
     with in_splits(spark, SEGMENT_BYTES):  # a task sorts the postings of a split
-        posts.sortWithinPartitions("bucket", "term", F.desc("level"), "chunk_id").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/postings")
+        posts.sortWithinPartitions("bucket", "term", F.desc("level"), "chunk_id").write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).partitionBy("bucket").parquet(f"{path}/postings")
     heads = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term", "level").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("top"))
     heads.sortWithinPartitions("bucket", "term", F.desc("level")).write.mode("overwrite").option("parquet.block.size", GROUP_BYTES).parquet(f"{path}/heads")
     df = spark.read.parquet(f"{path}/heads").groupBy("bucket", "term").agg(F.sum("n").alias("df"))
